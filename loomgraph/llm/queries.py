@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import line_dedup, topk, url_filter, warc
-from loomgraph.llm.common import table
+from loomgraph.llm import langid, line_dedup, simhash, token_store, topk, url_filter, warc, word_bpe
+from loomgraph.llm.common import new_dir, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -50,6 +50,32 @@ FROM p LEFT JOIN f ON p.html = f.html
 """
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = word_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.fit_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "tokens")
+    token_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
+    return token_store.read_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -103,8 +129,12 @@ FROM j
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op4_word_bpe": op4_word_bpe,
+    "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
+    "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
+    "op9_token_store": op9_token_store,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
