@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, line_dedup, simhash, token_store, topk, url_filter, warc, word_bpe
+from loomgraph.llm import langid, line_dedup, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
 from loomgraph.llm.common import new_dir, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -126,6 +126,11 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 FROM j
 """
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
     "op9_token_store": op9_token_store,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
