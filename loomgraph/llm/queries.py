@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, line_dedup, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
+from loomgraph.llm import decontaminate, langid, line_dedup, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
 from loomgraph.llm.common import new_dir, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -50,6 +50,11 @@ FROM p LEFT JOIN f ON p.html = f.html
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -134,6 +139,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op3_decontaminate": op3_decontaminate,
     "op4_word_bpe": op4_word_bpe,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
