@@ -5,7 +5,9 @@ for a vocabulary that drops white space). A slice of a partition keeps, for each
 occurrence, its position and the place of the word in the slice's own word list; the
 lists are dealt by word hash, so that each distinct word meets in one group and is
 encoded once by the tokenizers library; its ids go back to the slices, which put them
-in place by position. Decoding joins ids with the vocabulary's pieces.
+in place by position. Decoding joins ids with the vocabulary's pieces. Positions don't travel:
+each slice's are a file in the shared folder, named in the word lists, so a repeated
+task's file is never read by mistake.
 
 Bounds: a slice holds about ``SLICE_BYTES`` of text (a longer document is a slice of
 its own); a group of the word table holds the words of one hash part of
@@ -27,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, release, slices, stored
+from loomgraph.llm.common import byte_view, local_path, new_dir, slices, stored
 from loomgraph.llm.hashing import Words, distinct, gathered, xxh64
 
 SLICE_BYTES = 32 << 20
 STEP_BYTES = 4 << 20
 WORDS_AT_ONCE = 1 << 19
+COMMON = 255
 AS_IS = np.where(np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]), 0x20, np.arange(256)).astype(np.uint8)
 
 _loaded: dict[str, object] = {}
@@ -60,15 +64,22 @@ def encoded(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for x in found for i in x), np.uint32, int(offsets[-1])), offsets
 
 
-def packed_places(places: np.ndarray) -> bytes:
-    """Places as byte planes, compressed."""
-    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+def packed_places(ranks: np.ndarray) -> bytes:
+    """Frequency ranks, compressed: a byte for the most frequent words, three for the others."""
+    rare = ranks >= COMMON
+    rest = (ranks[rare] - COMMON).astype("<u4").view(np.uint8).reshape(-1, 4)
+    first = np.where(rare, 255, ranks).astype(np.uint8)
+    planes = [first, *(np.ascontiguousarray(rest[:, j]) for j in (3, 2, 1, 0))]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in planes))
 
 
-def unpacked_places(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def unpacked_places(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out = raw[:n].astype(np.int64)
+    rare = out == 255
+    planes = raw[n:].reshape(4, -1)[::-1]
+    out[rare] = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) + COMMON
+    return out
 
 
 class _Slice:
@@ -91,116 +102,130 @@ class _Slice:
         self.places.append(at[place] if len(names) else place)
         self.bytes += len(data)
 
-    def rows(self, parts: int, schema: pa.Schema) -> pa.RecordBatch:
-        """One row with the positions, and one for each part of the word list."""
+    def written(self, parts: int, folder: str, kind: pa.DataType) -> pa.RecordBatch:
+        """Write the positions to a file of their own; a row for each part of the word list."""
         name = uuid.uuid4().int >> 65
-        words = sorted(self.index)
-        flat = np.frombuffer(b"".join(words), np.uint8)
+        places = np.concatenate([*self.places, np.zeros(0, np.int64)])
+        words = list(self.index)
+        by_count = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[by_count] = np.arange(len(words))
+        words = [words[i] for i in by_count.tolist()]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        part = (xxh64(flat, ends - sizes, sizes) % np.uint64(parts)).astype(np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        part = (xxh64(flat, ends - sizes, sizes) % np.uint64(parts)).astype("<u4")
+        files, root = local_path(folder)
+        files.create_dir(root, recursive=True)
+        docs = pa.table({"id": pa.array(self.ids, kind), "n": pa.array(np.concatenate(self.counts))})
+        meta = {b"places": packed_places(rank[places]), b"parts": zstandard.compress(part.tobytes(), 3)}
+        with files.open_output_stream(f"{root}/{name}.arrow", compression=None) as out:
+            out.write(len(meta[b"places"]).to_bytes(8, "little") + meta[b"places"] + len(meta[b"parts"]).to_bytes(8, "little") + meta[b"parts"])
+            with pa.ipc.new_stream(out, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(docs)
+        rows = []
         order = np.argsort(part, kind="stable")
-        new = np.empty(len(words), np.int64)
-        new[np.fromiter((self.index[words[i]] for i in order.tolist()), np.int64, len(order))] = np.arange(len(order))
-        places = np.concatenate(self.places) if self.places else np.zeros(0, np.int64)
-        rows = [{"slice": name, "part": -1, "ids": self.ids, "counts": np.concatenate(self.counts), "places": packed_places(new[places] if len(places) else places), "words": None}]
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        for h in np.unique(part).tolist():
-            rows.append({"slice": name, "part": h, "ids": None, "counts": None, "places": None, "words": [words[i] for i in order[cuts[h] : cuts[h + 1]].tolist()]})
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        present, first = np.unique(part[order], return_index=True)
+        for h, a, b in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            rows.append((name, h, b - a, zstandard.compress(b"\n".join(words[i] for i in order[a:b].tolist()), 3)))
+        if not rows:  # documents without words still come back
+            rows.append((name, 0, 0, b""))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["slice", "part", "n", "words"])
 
 
-def word_slices(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
-    kind = docs.schema[doc_id].dataType.simpleString()
+def read_slice(folder: str, name: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(documents with their numbers of words, ranks by position, part of each rank)."""
+    files, root = local_path(folder)
+    with files.open_input_stream(f"{root}/{name}.arrow", compression=None) as source:
+        raw = source.read()
+    n = int.from_bytes(raw[:8], "little")
+    m = int.from_bytes(raw[8 + n : 16 + n], "little")
+    docs = pa.ipc.open_stream(pa.BufferReader(raw[16 + n + m :])).read_all()
+    total = int(np.asarray(docs.column("n"), np.int64).sum())
+    return docs, unpacked_places(raw[8 : 8 + n], total), np.frombuffer(zstandard.decompress(raw[16 + n : 16 + n + m]), "<u4")
+
+
+def word_slices(docs: DataFrame, doc_id: str, text: str, parts: int, folder: str) -> DataFrame:
+    """(slice, part, n, words): the word lists; positions go to files below ``folder``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = _Slice()
-        schema = None
+        kind = None
         for batch in batches:
-            schema = pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(batch.schema.field(0).type)), ("counts", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.list_(pa.binary()))])
+            kind = batch.schema.field(0).type
             for a, b in slices(batch.column(1), STEP_BYTES):
                 now.add(batch.column(0)[a:b], batch.column(1)[a:b])
                 if now.bytes >= SLICE_BYTES:
-                    yield now.rows(parts, schema)
+                    yield now.written(parts, folder, kind)
                     now = _Slice()
         if now.ids:
-            yield now.rows(parts, schema)
+            yield now.written(parts, folder, kind)
 
-    return docs.select(doc_id, docs[text].cast("string")).mapInArrow(run, f"slice bigint, part int, ids array<{kind}>, counts array<bigint>, places binary, words array<binary>")
+    return docs.select(doc_id, docs[text].cast("string")).mapInArrow(run, "slice bigint, part int, n int, words binary")
 
 
 def encode_words(lists: DataFrame, path: str) -> DataFrame:
     """(slice, part, lengths, tokens): each distinct word of a part is encoded once."""
-    from pyspark.sql import functions as F
 
     def run(table: pa.Table) -> pa.Table:
-        words = table.column("words").combine_chunks()
-        if isinstance(words, pa.ChunkedArray):
-            words = words.chunk(0)
-        known = words.flatten().dictionary_encode()
-        flat, offsets = encoded(path, [x.decode() for x in known.dictionary.to_pylist()])
-        places = np.asarray(known.indices, np.int64)
-        ends = np.cumsum(np.asarray(words.value_lengths(), np.int64))
-        lengths, tokens, a = [], [], 0
-        for b in ends.tolist():
-            ids, n = gathered(flat, offsets, places[a:b])
-            lengths.append(zstandard.compress(n.astype("<u4").tobytes(), 1))
-            tokens.append(ids.astype("<u4" if len(flat) and flat.max() >= 1 << 16 else "<u2").tobytes())
-            a = b
+        known: dict[bytes, int] = {}
+        places = []
+        for n, blob in zip(table.column("n").to_pylist(), table.column("words").to_pylist()):
+            words = zstandard.decompress(blob).split(b"\n") if n else []
+            places.append(np.fromiter((known.setdefault(x, len(known)) for x in words), np.int64, n))
+        flat, offsets = encoded(path, [x.decode() for x in known])
         wide = bool(len(flat) and flat.max() >= 1 << 16)
+        lengths, tokens = [], []
+        for which in places:
+            ids, n = gathered(flat, offsets, which)
+            lengths.append(zstandard.compress(n.astype("<u4").tobytes(), 1))
+            tokens.append(zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1))
         return pa.table({"slice": table.column("slice"), "part": table.column("part"), "lengths": pa.array(lengths, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "wide": pa.array([wide] * len(lengths))})
 
-    return lists.filter(F.col("part") >= 0).select("slice", "part", "words").groupBy("part").applyInArrow(run, "slice bigint, part int, lengths binary, tokens binary, wide boolean")
+    return lists.groupBy("part").applyInArrow(run, "slice bigint, part int, lengths binary, tokens binary, wide boolean")
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (null unless ``decode``)."""
-    from pyspark.sql import functions as F
-
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = stored(word_slices(docs, doc_id, text, parts), "word-slices")
-    tokens = stored(encode_words(lists, path), "word-ids")
-    release(spark)
-    places = lists.filter(F.col("part") < 0).select("slice", "ids", "counts", "places")
+    folder = new_dir(spark, "word-places")
+    lists = stored(word_slices(docs, doc_id, text, parts, folder), "word-lists")
 
-    def run(mine: pa.Table, words: pa.Table) -> pa.Table:
-        out_type = mine.schema.field("ids").type.value_type
+    def run(words: pa.Table) -> Iterator[pa.Table]:
+        mine, place, part = read_slice(folder, words.column("slice")[0].as_py())
         words = words.sort_by("part")
         n = [np.frombuffer(zstandard.decompress(x), "<u4") for x in words.column("lengths").to_pylist()]
-        ids = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(words.column("tokens").to_pylist(), words.column("wide").to_pylist())]
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype("<u4")
+        ids = [np.frombuffer(zstandard.decompress(x), "<u4" if w else "<u2") for x, w in zip(words.column("tokens").to_pylist(), words.column("wide").to_pylist())]
+        flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype("<u4")
         offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([*n, np.zeros(0, np.uint32)]).astype(np.int64))])
+        # the lists come by part, ranks run over all parts
+        at = np.empty(len(part), np.int64)
+        at[np.argsort(part, kind="stable")] = np.arange(len(part))
+        place = at[place]
         shown: list[bytes] = []
         if decode:
             piece = pieces(path)
-            at = offsets.tolist()
+            cut = offsets.tolist()
             joined = [piece[i] for i in flat.tolist()]
-            shown = [b" ".join(joined[a:b]) for a, b in zip(at, at[1:])]
-        doc_ids, totals, buffers, texts = [], [], [], []
-        for row in mine.select(["ids", "counts", "places"]).to_pylist():
-            place, counts = unpacked_places(row["places"]), np.array(row["counts"], np.int64)
-            ends = np.cumsum(counts)
-            for a, b in runs(counts, WORDS_AT_ONCE):
-                first = int(ends[a] - counts[a])
-                which = place[first : int(ends[b - 1])]
-                got, lengths = gathered(flat, offsets, which)
-                upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-                cuts = (ends[a:b] - first).tolist()
-                raw, names, last = got.tobytes(), which.tolist(), 0
-                for doc, cut in zip(row["ids"][a:b], cuts):
-                    i, j = int(upto[last]), int(upto[cut])
-                    doc_ids.append(doc)
-                    totals.append(j - i)
-                    buffers.append(raw[4 * i : 4 * j])
-                    if decode:
-                        # a word without ids (dropped by the vocabulary) leaves no blank behind
-                        texts.append(b" ".join([x for k in names[last:cut] if (x := shown[k])]))
-                    last = cut
-        return pa.table({"doc_id": pa.array(doc_ids, out_type), "n_tokens": pa.array(totals, pa.int64()), "ids": pa.array(buffers, pa.binary()), "decoded": pa.array(texts, pa.binary()) if decode else pa.nulls(len(doc_ids), pa.binary())})
-
-    out = places.groupBy("slice").cogroup(tokens.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+            shown = [b" ".join(joined[a:b]) for a, b in zip(cut, cut[1:])]
+        counts = np.asarray(mine.column("n"), np.int64)
+        ends = np.cumsum(counts)
+        for a, b in runs(counts, WORDS_AT_ONCE):
+            first = int(ends[a] - counts[a])
+            which = place[first : int(ends[b - 1])]
+            got, lengths = gathered(flat, offsets, which)
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+            raw, names = got.tobytes(), which.tolist()
+            cuts = [0, *(ends[a:b] - first).tolist()]
+            tokens = upto[cuts].tolist()
+            out = {"doc_id": mine.column("id").slice(a, b - a), "n_tokens": pa.array(np.diff(tokens)), "ids": pa.array([raw[4 * i : 4 * j] for i, j in zip(tokens, tokens[1:])], pa.binary())}
+            # a word without ids (dropped by the vocabulary) leaves no blank behind
+            texts = [b" ".join([x for k in names[i:j] if (x := shown[k])]) for i, j in zip(cuts, cuts[1:])] if decode else None
+            yield pa.table(out | {"decoded": pa.array(texts, pa.binary()) if decode else pa.nulls(b - a, pa.binary())})
+
+    out = encode_words(lists, path).groupBy("slice").applyInArrow(lambda t: pa.concat_tables(run(t)), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
     return out.withColumn("decoded", F.col("decoded").cast("string"))
 
 
