@@ -9,7 +9,8 @@ column and an offset index for each, so a read of a few documents touches their
 only, and a read of lengths touches no tokens.
 
 Encoding cuts a text before ASCII white space that follows a character that is surely
-not white space, a boundary that byte-level pre-tokenisation never crosses; each
+not white space, and between an ASCII letter and an ASCII mark: boundaries that byte-level
+pre-tokenisation never crosses; each
 distinct piece of a slice is encoded once by the tokenizers library and kept in a
 cache of ``CACHE_PIECES`` entries per process (emptied when full). ``end_id`` is appended
 to every document.
@@ -43,6 +44,10 @@ _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = _PRINTED & ~_LETTER
+_MARK[48:58] = False
 
 
 class PieceCache:
@@ -89,6 +94,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
         before[1:] = _PRINTED[data[:-1]]
         before[2:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80)  # a letter of Latin-1
         cut &= before
+        cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
         edges = offsets[(offsets < len(data))]
         cut[edges] = True
         starts = np.flatnonzero(cut)

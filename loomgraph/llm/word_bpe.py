@@ -38,6 +38,7 @@ SLICE_BYTES = 32 << 20
 STEP_BYTES = 4 << 20
 WORDS_AT_ONCE = 1 << 19
 COMMON = 255
+WORDS_A_TEXT = 1000
 AS_IS = np.where(np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]), 0x20, np.arange(256)).astype(np.uint8)
 
 _loaded: dict[str, object] = {}
@@ -56,12 +57,51 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def separator(path: str) -> tuple[str, int] | None:
+    """A special token that the library always cuts out of a text, whatever stands beside it."""
+    for i, token in tokenizer(path).get_added_tokens_decoder().items():
+        if token.special and not (token.normalized or token.lstrip or token.rstrip or token.single_word):
+            return token.content, i
+    return None
+
+
 def encoded(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words one after the other, and n+1 offsets."""
-    found = [x.ids for x in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-    offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(x) for x in found], out=offsets[1:])
-    return np.fromiter((i for x in found for i in x), np.uint32, int(offsets[-1])), offsets
+    """Ids of the words one after the other, and n+1 offsets.
+
+    Many words go into one text, with a special token between them: the library encodes
+    what lies between special tokens by itself, and their ids tell where words end. A
+    word that holds the token's own text is encoded alone.
+    """
+    cut = separator(path)
+    alone = [i for i, x in enumerate(words) if cut is None or cut[0] in x]
+    apart = set(alone)
+    joined = [x for i, x in enumerate(words) if i not in apart] if apart else words
+    groups = [joined[i : i + WORDS_A_TEXT] for i in range(0, len(joined), WORDS_A_TEXT)]
+    lengths = np.zeros(len(words), np.int64)
+    rest = np.setdiff1d(np.arange(len(words)), alone)
+    parts, sizes = [], []
+    if groups:
+        for group, found in zip(groups, tokenizer(path).encode_batch_fast([cut[0].join(g) + cut[0] for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(ids == cut[1])
+            if len(ends) != len(group):
+                raise ValueError("the separating token was lost or met in a word")
+            parts.append(np.delete(ids, ends))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        lengths[rest] = np.concatenate(sizes)
+    if not alone:
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        return np.concatenate([*parts, np.zeros(0, np.uint32)]), offsets
+    own = [x.ids for x in tokenizer(path).encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
+    lengths[alone] = [len(x) for x in own]
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+    out = np.empty(int(offsets[-1]), np.uint32)
+    kept = np.ones(len(out), bool)
+    for i, x in zip(alone, own):
+        out[offsets[i] : offsets[i + 1]] = x
+        kept[offsets[i] : offsets[i + 1]] = False
+    out[kept] = np.concatenate([*parts, np.zeros(0, np.uint32)])
+    return out, offsets
 
 
 def packed_places(ranks: np.ndarray) -> bytes:
