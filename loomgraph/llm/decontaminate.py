@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, slices
+from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices
 from loomgraph.llm.hashing import Words, mixed, xxh64
 
 WIDTH = 5
@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 8
 GROUP_WORDS = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 LEAK = "item_id bigint, start_word bigint, n_words bigint, similarity double"
 
@@ -217,6 +217,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
     names = [f.name for f in arrow.value_type]
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def judge(sent):
         @F.arrow_udf(kind)
@@ -224,6 +225,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             for batch in batches:
                 leaks = leaks_of(pc.fill_null(batch, ""), sent.value, threshold)
                 yield pa.array([[dict(zip(names, x)) for x in row] for row in leaks], arrow)
+            release_memory()
 
         return judged(F.col(text).cast("string"))
 

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, slices
+from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices
 
 ORDER = 4
 FOLDS = 5
 TRAIN_DOCS = 400
 TRAIN_BYTES = 8192
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 UNDETERMINED = "und"
 _U = np.uint64
 
@@ -231,7 +231,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield predicted(batch, sent.value)
+        release_memory()
 
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn("__judged", judged(F.col(text).cast("string")))
     return out.withColumns({k: F.col(f"__judged.{k}") for k in ("lang_pred", "score", "bits_per_byte")}).drop("__judged")
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import bounded_batches, release_memory, stored
 
 MIN_SITES = 10
 BAND = 0.25
@@ -77,21 +77,27 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float
     return sketched.filter(F.col("estimate") > high).unionByName(near.join(spread, ["a", "b"], "left_semi")).select("a", "b", "first")
 
 
-@F.pandas_udf("string")
-def without_lines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, gone in batches:
-        out = []
-        for text, numbers in zip(texts, gone):
-            if text is None or numbers is None:
-                out.append(text)
-                continue
-            numbers = set(numbers)
-            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers))
-        yield pd.Series(out, dtype=object)
+def without_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines numbered in ``gone``."""
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, numbers in batches:
+            out = []
+            for t, n in zip(texts, numbers):
+                if t is not None and n is not None:
+                    n = set(n)
+                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in n)
+                out.append(t)
+            yield pd.Series(out, dtype=object)
+        release_memory()
+
+    return cut(text, gone)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines, n_removed (longs)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(*({"n_lines", "n_removed"} - {doc_id, text, site}))
     lines = document_lines(docs, doc_id, text, site)
     common = stored(boilerplate_lines(lines, min_sites, band), "boilerplate")
@@ -103,7 +109,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     )
     out = docs.withColumn("__key", row_key(doc_id, text, site)).join(removed, "__key", "left")
     changed = F.col("__gone").isNotNull()
-    return out.withColumn("__text", without_lines(F.when(changed, F.col(text)), "__gone")).withColumns({
+    return out.withColumn("__text", without_lines(F.when(changed, F.col(text)), F.col("__gone"))).withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long"),
         "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
         text: F.when(changed, F.col("__text")).otherwise(F.col(text)),

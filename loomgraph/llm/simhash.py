@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, slices, stored
+from loomgraph.llm.common import bounded_batches, byte_view, slices, stored, tidy
 from loomgraph.llm.graph import components
 from loomgraph.llm.hashing import Words, xxh64
 
 RADIUS = 3
 WIDTH = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BITS_AT_ONCE = 1 << 16
 
 
@@ -79,7 +79,8 @@ def with_fingerprint(df: DataFrame, doc_id: str, text: str, width: int = WIDTH)
             fp = pa.array(fingerprints(batch.column(1), width).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
-    return df.select(doc_id, F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    bounded_batches(df.sparkSession)
+    return df.select(doc_id, F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:

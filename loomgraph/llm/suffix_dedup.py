@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, release, slices, stored
+from loomgraph.llm.common import bounded_batches, byte_view, release, slices, stored, tidy
 from loomgraph.llm.hashing import mixed, xxh64
 from loomgraph.llm.suffix_sort import suffix_array
 
@@ -149,7 +149,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             h = np.where(again, mixed((doc * 1000003 + at).view(np.uint64)).view(np.int64), h)
             yield pa.RecordBatch.from_arrays([pa.array(again.astype(np.int8)), pa.array(h), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(at)], names=["kind", "h", "c", "doc", "at"])
 
-    return docs.select("doc", "text").mapInArrow(run, "kind byte, h bigint, c bigint, doc bigint, at bigint")
+    return docs.select("doc", "text").mapInArrow(tidy(run), "kind byte, h bigint, c bigint, doc bigint, at bigint")
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def judged(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_kind, out_doc, out_at)], names=["kind", "doc", "at"])
 
     ordered = rows.repartition(F.col("h")).sortWithinPartitions("h", "c", "doc", "at")
-    return ordered.mapInArrow(run, "kind byte, doc bigint, at bigint")
+    return ordered.mapInArrow(tidy(run), "kind byte, doc bigint, at bigint")
 
 
 def cut_out(docs: DataFrame, unsure: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def cut_out(docs: DataFrame, unsure: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), pa.array(rel.astype(np.int32)), pa.array(cut, pa.binary())], names=["key", "doc", "start", "anchor", "bytes"])
 
     places = unsure.groupBy("doc").agg(F.collect_list("at").alias("at"))
-    return docs.join(places, "doc").select("doc", "text", "at").mapInArrow(run, "key bigint, doc bigint, start bigint, anchor int, bytes binary")
+    return docs.join(places, "doc").select("doc", "text", "at").mapInArrow(tidy(run), "key bigint, doc bigint, start bigint, anchor int, bytes binary")
 
 
 def shared_reach(group: np.ndarray, strings: list[bytes], width: int) -> np.ndarray:
@@ -349,7 +349,7 @@ def sorted_contexts(cuts: DataFrame) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     ordered = cuts.repartition(F.col("key")).sortWithinPartitions("key", "doc", "start")
-    return ordered.mapInArrow(run, "doc bigint, first bigint, last bigint")
+    return ordered.mapInArrow(tidy(run), "doc bigint, first bigint, last bigint")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -386,13 +386,14 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
     joined = docs.join(grouped, "doc", "left").select("doc", "text", "windows")
-    return joined.mapInArrow(run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return joined.mapInArrow(tidy(run), "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges removed) and kept (bytes) of each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    bounded_batches(spark)
     rows, most, absent = unambiguous(rows)
     marks = stored(judged(anchor_rows(rows)), "marks")
     release(spark)

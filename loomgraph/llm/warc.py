@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import local_path, new_dir
+from loomgraph.llm.common import bounded_batches, local_path, new_dir, tidy
 
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 256 << 20
@@ -115,6 +115,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record per row of ``pages`` below ``folder``; returns the stored index."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(payload).cast("string").cast("binary"), F.lit(b"")).alias("payload"),
@@ -149,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             if out is not None:
                 out.close()
 
-    with_revisits(rows).mapInArrow(written, INDEX).write.parquet(f"{folder}/index")
+    with_revisits(rows).mapInArrow(tidy(written), INDEX).write.parquet(f"{folder}/index")
     return read_index(spark, folder)
 
 
@@ -201,7 +202,7 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
         if source is not None:
             source.close()
 
-    return dealt.mapInArrow(read, RECORD)
+    return dealt.mapInArrow(tidy(read), RECORD)
 
 
 def archive_folder(spark: SparkSession) -> str:

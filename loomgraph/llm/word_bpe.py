@@ -31,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, local_path, new_dir, slices, stored
+from loomgraph.llm.common import bounded_batches, byte_view, local_path, new_dir, release_memory, slices, stored, tidy
 from loomgraph.llm.hashing import Words, distinct, gathered, xxh64
 
 SLICE_BYTES = 32 << 20
-STEP_BYTES = 4 << 20
-WORDS_AT_ONCE = 1 << 19
+STEP_BYTES = 1 << 20
+WORDS_AT_ONCE = 1 << 18
 COMMON = 255
 WORDS_A_TEXT = 1000
 AS_IS = np.where(np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]), 0x20, np.arange(256)).astype(np.uint8)
@@ -201,7 +201,7 @@ def word_slices(docs: DataFrame, doc_id: str, text: str, parts: int, folder: str
         if now.ids:
             yield now.written(parts, folder, kind)
 
-    return docs.select(doc_id, docs[text].cast("string")).mapInArrow(run, "slice bigint, part int, n int, words binary")
+    return docs.select(doc_id, docs[text].cast("string")).mapInArrow(tidy(run), "slice bigint, part int, n int, words binary")
 
 
 def encode_words(lists: DataFrame, path: str) -> DataFrame:
@@ -228,6 +228,7 @@ def encode_words(lists: DataFrame, path: str) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (null unless ``decode``)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_dir(spark, "word-places")
@@ -265,7 +266,12 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
             texts = [b" ".join([x for k in names[i:j] if (x := shown[k])]) for i, j in zip(cuts, cuts[1:])] if decode else None
             yield pa.table(out | {"decoded": pa.array(texts, pa.binary()) if decode else pa.nulls(b - a, pa.binary())})
 
-    out = encode_words(lists, path).groupBy("slice").applyInArrow(lambda t: pa.concat_tables(run(t)), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+    def assembled(words: pa.Table) -> pa.Table:
+        out = pa.concat_tables(run(words))
+        release_memory()
+        return out
+
+    out = encode_words(lists, path).groupBy("slice").applyInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
     return out.withColumn("decoded", F.col("decoded").cast("string"))
 
 
