@@ -24,6 +24,7 @@ Recovery: a store is written by Spark's commit protocol and is read from its fil
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_view, slices
+from loomgraph.llm.common import bounded_batches, byte_view, slices, tidy
 from loomgraph.llm.hashing import distinct, gathered
-from loomgraph.llm.word_bpe import encoded
+from loomgraph.llm.word_bpe import encoded, tokenizer
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 CACHE_PIECES = 400_000
 
 _GAP = np.zeros(256, bool)
@@ -84,6 +85,12 @@ class PieceCache:
 _caches: dict[str, PieceCache] = {}
 
 
+def special_tokens(path: str) -> re.Pattern:
+    """Matches the text of every added token (nothing if there are none)."""
+    found = [re.escape(t.content.encode()) for t in tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile(b"|".join(found) or b"(?!)")
+
+
 def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts and n+1 offsets."""
     cache = _caches.setdefault(path, PieceCache(path))
@@ -95,6 +102,8 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
         before[2:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80)  # a letter of Latin-1
         cut &= before
         cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        for found in special_tokens(path).finditer(data.tobytes()):  # these are met as one, letters and marks alike
+            cut[found.start() + 1 : found.end()] = False
         edges = offsets[(offsets < len(data))]
         cut[edges] = True
         starts = np.flatnonzero(cut)
@@ -114,6 +123,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
 
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every text and write the store below ``folder``."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     ranged = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id")
     ordered = ranged.withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h").drop("h")
@@ -131,7 +141,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int | None = 2,
                 before += len(ids)
 
     (
-        ordered.mapInArrow(run, f"part int, doc_id {kind}, part_start bigint, n_tokens bigint, token_ids array<int>").write
+        ordered.mapInArrow(tidy(run), f"part int, doc_id {kind}, part_start bigint, n_tokens bigint, token_ids array<int>").write
         .option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size", str(PAGE_BYTES))
         .option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
         .option("parquet.enable.dictionary#token_ids.list.element", "true").option("parquet.dictionary.page.size", str(1 << 20))
@@ -175,4 +185,4 @@ def checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["part", "doc_id", "part_start", "n_tokens", "ids_crc32"])
 
     columns = ["part", "doc_id", "part_start", "n_tokens", "token_ids"]
-    return rows.select(*columns).mapInArrow(run, f"part int, doc_id {kind}, part_start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.select(*columns).mapInArrow(tidy(run), f"part int, doc_id {kind}, part_start bigint, n_tokens bigint, ids_crc32 bigint")
