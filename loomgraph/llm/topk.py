@@ -15,7 +15,7 @@ own cells).
 
 Defined results: vectors that are null, empty, or hold null or non-finite components
 take no part. Shorter vectors count as padded with zeros. Repeated ids are separate
-candidates, and a query never meets rows of its own id. Ties go to the smaller id. A
+candidates and separate queries, and a query never meets rows of its own id. Ties go to the smaller id. A
 query without candidates gives no rows; an empty table gives an empty result.
 """
 
@@ -131,7 +131,7 @@ def best_of_cell(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple]
             scores[mine], ids[mine] = np.take_along_axis(all_scores, take, 1), np.take_along_axis(all_ids, take, 1)
             filled[mine] = np.minimum(k, filled[mine] + ok.sum(1))
     rank = np.arange(k)[None, :] < filled[:, None]
-    return pd.DataFrame({"query_id": np.repeat(query_ids, k)[rank.ravel()], "vec_id": ids.ravel()[rank.ravel()], "score": scores.ravel()[rank.ravel()]})
+    return pd.DataFrame({"query_id": np.repeat(query_ids, k)[rank.ravel()], "query_row": np.repeat(np.arange(nq), k)[rank.ravel()], "vec_id": ids.ravel()[rank.ravel()], "score": scores.ravel()[rank.ravel()]})
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, scale: int = SCALE) -> DataFrame:
@@ -162,9 +162,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
             wide = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1])))
             held = [(np.frombuffer(r.ids, np.int64), wide(unpacked(r.rows, r.n, r.dims)), wide(np.frombuffer(r.low, np.int64)[None, :])[0], wide(np.frombuffer(r.high, np.int64)[None, :])[0]) for r in cell.sort_values("block").itertuples()]
             for q in asked.itertuples():
-                parts.append(best_of_cell(np.frombuffer(q.ids, np.int64), wide(unpacked(q.rows, q.n, q.dims)), held, k))
-        return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
+                best = best_of_cell(np.frombuffer(q.ids, np.int64), wide(unpacked(q.rows, q.n, q.dims)), held, k)
+                parts.append(best.assign(query_row=best["query_row"] + q.block * QUERY_GROUP))
+        return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "query_row", "vec_id", "score")})
 
-    found = cells.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(run, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = cells.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(run, "query_id bigint, query_row bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
