@@ -359,7 +359,7 @@ def sec_version_documents(spark, sf):
 
 
 def sec_entities(spark, sf) -> DataFrame:
-    return security.entities(advisories(spark, sf))
+    return security.entities(stored(advisories(spark, sf), "advisories"))
 
 
 @query("sec_entities", cte("sec") + "SELECT doc_id, ent_ord, entity_type, domain_type, text FROM sec")
@@ -511,8 +511,8 @@ _add_blocks = {
 oracle.BLOCKS.update(_add_blocks)
 
 
-def code_aligned(spark, sf) -> DataFrame:
-    found = sec_entities(spark, sf).filter("domain_type = 'code_construct'").select("doc_id", F.col("ent_ord").alias("node_id"), "text")
+def code_aligned(spark, sf, ents: DataFrame | None = None) -> DataFrame:
+    found = (ents or sec_entities(spark, sf)).filter("domain_type = 'code_construct'").select("doc_id", F.col("ent_ord").alias("node_id"), "text")
     return crossmodal.alignments(found, cpg(spark))
 
 
@@ -527,8 +527,10 @@ def cpg_align_name(spark, sf):
 
 
 def aligned_nodes(spark, sf) -> DataFrame:
-    ents = sec_entities(spark, sf).withColumns({"node_id": F.col("ent_ord"), "node_type": F.lit("ENTITY")})
-    return ents.join(code_aligned(spark, sf).select("doc_id", "node_id", "cpg_id"), ["doc_id", "node_id"], "left")
+    ents = stored(sec_entities(spark, sf), "entities")
+    aligned = code_aligned(spark, sf, ents)
+    ents = ents.withColumns({"node_id": F.col("ent_ord"), "node_type": F.lit("ENTITY")})
+    return ents.join(aligned.select("doc_id", "node_id", "cpg_id"), ["doc_id", "node_id"], "left")
 
 
 @query("cpg_describes", cte("aligned") + "SELECT v.doc_id, v.ent_ord AS src, a.ent_ord AS dst, a.cpg_id, lower(v.text) AS pattern FROM sec v JOIN aligned a ON a.doc_id = v.doc_id WHERE v.entity_type = 'VULN_TYPE' AND coalesce(a.cpg_id, 0) <> 0")
