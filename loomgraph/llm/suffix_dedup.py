@@ -49,6 +49,7 @@ GRAM = 32
 SLICE_BYTES = 1 << 20
 SORT_BYTES = 8 << 10
 BATCH_BYTES = 4 << 20
+COLLAPSE_ROWS = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -131,23 +132,30 @@ REPEAT, SINGLE = 1, 0
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(kind, h, c, doc, at) over (doc, text): first of equal contexts in a task, or a known repeat."""
 
+    def collapsed(parts: list[tuple]) -> pa.RecordBatch:
+        h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((at, doc, c, h))
+        h, c, doc, at = h[order], c[order], doc[order], at[order]
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        # known repeats are dealt out by their place
+        h = np.where(again, mixed((doc * 1000003 + at).view(np.uint64)).view(np.int64), h)
+        return pa.RecordBatch.from_arrays([pa.array(again.astype(np.int8)), pa.array(h), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(at)], names=["kind", "h", "c", "doc", "at"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        total = 0
         for batch in batches:
             ids = np.asarray(batch.column(0).cast(pa.int64()))
-            parts = []
             for a, b in slices(batch.column(1), SLICE_BYTES):
                 h, c, text, *place = contexts(*byte_view(batch.column(1)[a:b], ""))
                 parts.append((h, c, ids[a + text], packed_at(*place)))
-            if not parts:
-                continue
-            h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((at, doc, c, h))
-            h, c, doc, at = h[order], c[order], doc[order], at[order]
-            again = np.zeros(len(h), bool)
-            again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            # known repeats are dealt out by their place
-            h = np.where(again, mixed((doc * 1000003 + at).view(np.uint64)).view(np.int64), h)
-            yield pa.RecordBatch.from_arrays([pa.array(again.astype(np.int8)), pa.array(h), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(at)], names=["kind", "h", "c", "doc", "at"])
+                total += len(h)
+                if total >= COLLAPSE_ROWS:
+                    yield collapsed(parts)
+                    parts, total = [], 0
+        if parts:
+            yield collapsed(parts)
 
     return docs.select("doc", "text").mapInArrow(tidy(run), "kind byte, h bigint, c bigint, doc bigint, at bigint")
 
