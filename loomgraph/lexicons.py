@@ -189,6 +189,12 @@ EDGE_TYPE_OF_LABEL = {
 MERGE_NODE_TYPE = {k: v for k, v in NODE_TYPE_OF_LABEL.items() if k != "METHOD_BLOCK"}
 MERGE_EDGE_TYPE = {k: EDGE_TYPE_OF_LABEL[k] for k in ("AST", "CFG", "REACHING_DEF", "CDG", "ARGUMENT", "CONTAINS")}
 
+# ---- Fixed values: names and sentences that exports and metadata carry
+
+FORMAT_TYPE, FORMAT_LABEL = "TPG", "tpg"
+MERGED_SOURCE = "tpg+cpg_merged"
+FLOW_SENTENCE = "Text-described attack vector '%s' maps to CPG data flow reaching %s"
+
 # ---- Patterns of the rule annotator (our own; they read the same in Java and RE2)
 
 PARAGRAPH_BREAK = r"\n\s*\n"

@@ -56,7 +56,7 @@ def maps_to(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
     reached = cpg.edges.filter("label = 'REACHING_DEF'").select(F.col("dst").alias("cpg_id")).distinct()
     vectors = nodes.filter("node_type = 'ENTITY' and entity_type = 'ATTACK_VECTOR'").select("doc_id", F.col("node_id").alias("src"), F.col("text").alias("vector"))
     code = nodes.filter("domain_type = 'code_construct' and coalesce(cpg_id, 0) <> 0").join(reached, "cpg_id", "left_semi").select("doc_id", F.col("node_id").alias("dst"), F.col("text").alias("element"))
-    said = F.format_string("Text-described attack vector '%s' maps to CPG data flow reaching %s", "vector", "element")
+    said = F.format_string(lex.FLOW_SENTENCE, "vector", "element")
     return vectors.join(code, "doc_id").select("doc_id", "src", "dst", said.alias("description"))
 
 
@@ -139,7 +139,7 @@ def merge(graph: PropertyGraph, cpg: CodeGraph | None, suffix: str = "_merged")
     refs = references(graph.nodes, cpg).join(place.withColumnRenamed("ord", "last"), "cpg_id").join(counts, "doc_id")
     refs = refs.select("doc_id", F.col("node_id").alias("src"), (F.col("base") + F.col("last")).alias("dst"), F.lit("ENTITY_REL").alias("edge_type"), F.lit("CROSS_MODAL_REFERS_TO").alias("entity_rel_type"), extra(EDGE_EXTRA, cross_modal=F.lit(True)).alias("extra"), seq(ALIGN_STAGE, "node_id", "ord").alias("seq"))
     n_code = cpg.vertices.select("cpg_id").distinct().count()
-    meta = graph.meta.drop("tpg_nodes").join(counts.withColumnRenamed("base", "tpg_nodes"), "doc_id", "left").withColumns({"source": F.lit("tpg+cpg_merged"), "cpg_nodes": F.lit(n_code).cast("long"), "passes_applied": F.array().cast("array<string>")})
+    meta = graph.meta.drop("text_nodes").join(counts.withColumnRenamed("base", "text_nodes"), "doc_id", "left").withColumns({"source": F.lit(lex.MERGED_SOURCE), "code_nodes": F.lit(n_code).cast("long"), "passes_applied": F.array().cast("array<string>")})
     merged = PropertyGraph(graph.nodes.unionByName(new), text, meta.select(*graph.meta.columns)).with_edges(code).with_edges(refs).marked("cross_modal_merge")
     named = F.concat(F.col("doc_id").cast("string"), F.lit(suffix))
     return PropertyGraph(*(df.withColumn("doc_id", named) for df in (merged.nodes, merged.edges, merged.meta)), passes=merged.passes)

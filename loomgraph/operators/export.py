@@ -55,7 +55,7 @@ def graphson(graph: PropertyGraph) -> DataFrame:
     out = graph.meta.join(v, "doc_id", "left").join(e, "doc_id", "left").join(by_type(nodes, "node_type"), "doc_id", "left").join(by_type(edges, "edge_type"), "doc_id", "left")
     names = lambda xs: F.array(*[F.lit(x) for x in xs])
     document = F.struct(
-        F.lit(True).alias("directed"), F.lit("TPG").alias("type"), F.lit("tpg").alias("label"), F.col("doc_id"),
+        F.lit(True).alias("directed"), F.lit(lex.FORMAT_TYPE).alias("type"), F.lit(lex.FORMAT_LABEL).alias("label"), F.col("doc_id"),
         F.struct(F.substring("source_text", 1, SOURCE_CHARS).alias("source_text"), "spacy_model", "has_parser", "passes_applied").alias("metadata"),
         F.struct(names(lex.NODE_TYPES).alias("node_types"), names(lex.EDGE_TYPES).alias("edge_types"), F.lit(len(lex.NODE_TYPES)).alias("num_node_types"), F.lit(len(lex.EDGE_TYPES)).alias("num_edge_types")).alias("schema"),
         F.struct(F.size("vs").alias("total_nodes"), F.coalesce(F.size("es"), F.lit(0)).alias("total_edges"), F.col("node_types"), F.col("edge_types"), "passes_applied").alias("stats"),

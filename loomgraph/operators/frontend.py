@@ -189,6 +189,6 @@ def build(a: Annotations, schema: Schema = DEFAULT_SCHEMA) -> PropertyGraph:
     edges = initial_edges(a, nodes, *made)
     meta = a.docs.select(
         "doc_id", F.lit(a.model).alias("spacy_model"), F.lit(a.has_parser).alias("has_parser"), F.col("text").alias("source_text"),
-        F.array().cast("array<string>").alias("passes_applied"), F.lit("").alias("source"), F.lit(None).cast("long").alias("tpg_nodes"), F.lit(None).cast("long").alias("cpg_nodes"),
+        F.array().cast("array<string>").alias("passes_applied"), F.lit("").alias("source"), F.lit(None).cast("long").alias("text_nodes"), F.lit(None).cast("long").alias("code_nodes"),
     )
     return PropertyGraph(nodes.drop(*_KEY), edges, meta, schema).marked(SOURCE)

@@ -61,10 +61,10 @@ def _text_blocks(src: str) -> None:
     _add(f"paras0_{src}", [src], rf"SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, {q(lex.PARAGRAPH_BREAK)}), lambda p: regexp_replace(p, {WS}, '', 'g')), lambda p: p <> '') AS ps FROM {src}")
     _add(f"paras_{src}", [f"paras0_{src}"], f"SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS para_idx, unnest(ps) AS text FROM (SELECT doc_id, CASE WHEN len(ps) > 0 THEN ps ELSE [text] END AS ps FROM paras0_{src})")
     _add(f"sents0_{src}", [f"paras_{src}"], f"SELECT doc_id, para_idx, unnest(range(len(m))) AS k, unnest(m) AS raw FROM (SELECT doc_id, para_idx, regexp_extract_all(text, {q(lex.SENTENCE)}) AS m FROM paras_{src})")
-    _add(f"sents1_{src}", [f"sents0_{src}"], rf"SELECT doc_id, para_idx, k, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, para_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS char_start, regexp_replace(raw, {WS}, '', 'g') AS text FROM sents0_{src}")
+    _add(f"sents1_{src}", [f"sents0_{src}"], rf"SELECT doc_id, para_idx, k, CAST(coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, para_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS BIGINT) AS char_start, regexp_replace(raw, {WS}, '', 'g') AS text FROM sents0_{src}")
     _add(f"sents_{src}", [f"sents1_{src}"], f"SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, k) - 1 AS sent_idx, text, char_start, char_start + length(text) AS char_end FROM sents1_{src} WHERE text <> ''")
     _add(f"toks0_{src}", [f"sents_{src}"], f"SELECT doc_id, para_idx, sent_idx, char_start AS base, unnest(range(len(m))) AS token_idx, unnest(m) AS text, unnest(list_slice(g, 1, len(m))) AS gap FROM (SELECT *, regexp_extract_all(text, {q(lex.TOKEN)}) AS m, string_split_regex(text, {q(lex.TOKEN)}) AS g FROM sents_{src})")
-    _add(f"toks1_{src}", [f"toks0_{src}"], f"SELECT *, base + sum(length(gap) + length(text)) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS char_end, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY sent_idx, token_idx) - 1 AS i FROM toks0_{src}")
+    _add(f"toks1_{src}", [f"toks0_{src}"], f"SELECT *, CAST(base + sum(length(gap) + length(text)) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS BIGINT) AS char_end, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY sent_idx, token_idx) - 1 AS i FROM toks0_{src}")
     _add(f"toks_{src}", [f"toks1_{src}"], f"SELECT doc_id, para_idx, sent_idx, token_idx, i, text, lower(text) AS lemma, char_end - length(text) AS char_start, char_end FROM toks1_{src}")
     # the initial graph of the rule annotator
     _add(
@@ -130,8 +130,8 @@ for _src in ("corpus", "turns", "advisories"):
 
 
 def pattern_sql(rank: int, pattern: str, entity_type: str, domain: str, confidence: float, src: str = "advisories") -> str:
-    return f"""SELECT doc_id, {rank} AS rank, 0 AS o1, ord AS o2, {q(entity_type)} AS entity_type, {domain} AS domain_type, match AS text, e - length(match) AS char_start, e AS char_end, {confidence} AS confidence FROM (
-        SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY ord) AS e FROM (
+    return f"""SELECT doc_id, {rank} AS rank, 0 AS o1, ord AS o2, {q(entity_type)} AS entity_type, {domain} AS domain_type, match AS text, e - length(match) AS char_start, e AS char_end, CAST({confidence} AS DOUBLE) AS confidence FROM (
+        SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS e FROM (
         SELECT doc_id, unnest(range(len(m))) AS ord, unnest(m) AS match, unnest(list_slice(g, 1, len(m))) AS gap FROM (SELECT doc_id, regexp_extract_all(text, {q(pattern)}) AS m, string_split_regex(text, {q(pattern)}) AS g FROM {src})))"""
 
 
@@ -140,19 +140,19 @@ def _phrases(phrases: list[tuple[str, str]]) -> str:
 
 
 def all_phrases_sql(rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float, src: str = "advisories") -> str:
-    return f"""SELECT doc_id, {rank} AS rank, o1, ord AS o2, {q(entity_type)} AS entity_type, domain AS domain_type, substring(text, CAST(e - length(phrase) + 1 AS BIGINT), length(phrase)) AS text, e - length(phrase) AS char_start, e AS char_end, {confidence} AS confidence FROM (
-        SELECT *, sum(length(gap) + length(phrase)) OVER (PARTITION BY doc_id, o1 ORDER BY ord) AS e FROM (
+    return f"""SELECT doc_id, {rank} AS rank, o1, ord AS o2, {q(entity_type)} AS entity_type, domain AS domain_type, substring(text, CAST(e - length(phrase) + 1 AS BIGINT), length(phrase)) AS text, e - length(phrase) AS char_start, e AS char_end, CAST({confidence} AS DOUBLE) AS confidence FROM (
+        SELECT *, CAST(sum(length(gap) + length(phrase)) OVER (PARTITION BY doc_id, o1 ORDER BY ord) AS BIGINT) AS e FROM (
         SELECT doc_id, text, o1, phrase, domain, unnest(range(len(g) - 1)) AS ord, unnest(list_slice(g, 1, len(g) - 1)) AS gap FROM (SELECT d.doc_id, d.text, p.*, string_split(lower(d.text), p.phrase) AS g FROM {src} d JOIN {_phrases(phrases)} p ON contains(lower(d.text), p.phrase))))"""
 
 
 def first_phrases_sql(rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float, src: str = "advisories") -> str:
-    return f"""SELECT doc_id, {rank} AS rank, o1, 0 AS o2, {q(entity_type)} AS entity_type, domain AS domain_type, substring(text, strpos(lower(text), phrase), length(phrase)) AS text, strpos(lower(text), phrase) - 1 AS char_start, strpos(lower(text), phrase) - 1 + length(phrase) AS char_end, {confidence} AS confidence
+    return f"""SELECT doc_id, {rank} AS rank, o1, 0 AS o2, {q(entity_type)} AS entity_type, domain AS domain_type, substring(text, strpos(lower(text), phrase), length(phrase)) AS text, strpos(lower(text), phrase) - 1 AS char_start, strpos(lower(text), phrase) - 1 + length(phrase) AS char_end, CAST({confidence} AS DOUBLE) AS confidence
         FROM {src} d JOIN {_phrases(phrases)} p ON contains(lower(d.text), p.phrase)"""
 
 
 def remediation_sql(src: str = "advisories") -> str:
     parts = [f"SELECT doc_id, {i} AS o1, {q(d)} AS domain, regexp_extract(text, {q(p)}) AS match, length(string_split_regex(text, {q(p)})[1]) AS start FROM {src}" for i, (d, p) in enumerate(lex.REMEDIATIONS)]
-    return f"SELECT doc_id, 10 AS rank, o1, 0 AS o2, 'REMEDIATION' AS entity_type, domain AS domain_type, match AS text, start AS char_start, start + length(match) AS char_end, 0.85 AS confidence FROM ({' UNION ALL '.join(parts)}) WHERE match <> ''"
+    return f"SELECT doc_id, 10 AS rank, o1, 0 AS o2, 'REMEDIATION' AS entity_type, domain AS domain_type, match AS text, start AS char_start, start + length(match) AS char_end, CAST(0.85 AS DOUBLE) AS confidence FROM ({' UNION ALL '.join(parts)}) WHERE match <> ''"
 
 
 EXTRACTORS = {

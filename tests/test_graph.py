@@ -113,7 +113,7 @@ def test_cross_modal(spark):
     assert (code.extra.cpg_node_id, code.extra.cpg_label, code.extra.cross_modal) == (4, "CALL", "REFERS_TO")
     m = p.merge_with_code(g)
     meta = m.meta.first()
-    assert (meta.doc_id, meta.cpg_nodes, meta.source) == ("a_merged", 11, "tpg+cpg_merged")
+    assert (meta.doc_id, meta.code_nodes, meta.source) == ("a_merged", 11, lex.MERGED_SOURCE)
     n = m.node_table()
     assert n.count() == g.node_table().count() + 11
     imported = [r.node_type for r in n.filter("source like 'cpg:%'").orderBy("node_id").collect()]
