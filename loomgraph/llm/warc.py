@@ -38,6 +38,7 @@ FILE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
 CHUNK_BYTES = 8 << 20
+TASK_BYTES = 16 << 20
 SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
 
@@ -175,9 +176,10 @@ def coalesced(rows: list[tuple], gap: int = GAP_BYTES, most: int = RANGE_BYTES)
 def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the index rows in ``selected``, as ``RECORD``."""
     records = f"{folder}/records"
+    total = selected.agg(F.sum("length")).first()[0] or 0
     # ranges of one stretch of a file are read by one task, in order
     dealt = (
-        selected.withColumn("chunk", F.expr(f"offset div {CHUNK_BYTES}")).repartition(F.col("file"), F.col("chunk"))
+        selected.withColumn("chunk", F.expr(f"offset div {CHUNK_BYTES}")).repartition(-(-total // TASK_BYTES) or 1, "file", "chunk")
         .sortWithinPartitions("file", "offset").select("file", "offset", "length")
     )
 
