@@ -37,15 +37,18 @@ def find_all(df: DataFrame, keys: list[str], text: str, pattern: Column | str) -
     before anything is exploded.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.split(F.col(text), p, -1)
-    matches = F.regexp_extract_all(F.col(text), p, F.lit(0))
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.length(F.get(F.col("__gaps"), i)).alias("gap")))
-    out = df.filter(F.regexp_like(F.col(text), p)).withColumn("__gaps", gaps)
-    out = out.select("*", F.posexplode(pairs).alias("ord", "__m")).drop("__gaps")
+    # zipped, not looked up by place: an expression inside a lambda would be evaluated for each match
+    pairs = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.regexp_extract_all(F.col(text), p, F.lit(0)).alias("match"))
+    out = df.filter(F.regexp_like(F.col(text), p)).select("*", F.posexplode(pairs).alias("ord", "__m"))
+    out = out.select(*df.columns, "ord", F.col("__m").getField("gap").alias("__gap"), F.col("__m").getField("match").alias("match")).filter("match is not null")
     upto = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("__m.gap") + F.length("__m.match")).over(upto).cast("int")
-    out = out.withColumn("end", end).withColumn("match", F.col("__m.match")).withColumn("start", F.col("end") - F.length("match"))
-    return out.drop("__m")
+    end = F.sum(F.length("__gap") + F.length("match")).over(upto).cast("int")
+    return out.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).drop("__gap")
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with ``value`` evaluated once although lambdas inside ``f`` use it often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def quoted(col: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
-from loomgraph.functions.text import or_else, strip
+from loomgraph.functions.text import let, or_else, strip
 from loomgraph.operators.graph import PropertyGraph, seq
 from loomgraph.operators.security import longest_first
 from loomgraph.schema import EDGE_EXTRA, extra
@@ -103,10 +103,9 @@ class CoreferencePass:
 
 def first_marker(text: Column) -> Column:
     """(k, label) of the first marker, longest first, that the lower-cased text starts with or holds after a comma; else null."""
-    items = F.array(*[F.struct(F.lit(m).alias("k"), F.lit(lex.DISCOURSE_MARKERS[m]).alias("label")) for m in longest_first(lex.DISCOURSE_MARKERS)])
-    low = F.lower(text)
-    hit = lambda m: low.startswith(m["k"]) | low.contains(F.concat(F.lit(", "), m["k"], F.lit(" "))) | low.contains(F.concat(F.lit(", "), m["k"], F.lit(",")))
-    return F.get(F.filter(items, hit), F.lit(0))
+    items = F.array(*[F.struct(F.lit(m).alias("k"), F.lit(lex.DISCOURSE_MARKERS[m]).alias("label"), F.lit(f", {m} ").alias("inside"), F.lit(f", {m},").alias("between")) for m in longest_first(lex.DISCOURSE_MARKERS)])
+    hits = lambda low: F.filter(items, lambda m: low.startswith(m["k"]) | low.contains(m["inside"]) | low.contains(m["between"]))
+    return let(F.lower(text), lambda low: F.get(hits(low), F.lit(0)))
 
 
 def discourse_links(sentences: DataFrame) -> DataFrame:

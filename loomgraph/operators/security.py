@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
-from loomgraph.functions.text import find_all, quoted
+from loomgraph.functions.text import find_all, let, quoted
 from loomgraph.operators.graph import PropertyGraph, seq
 
 SOURCE = "security_frontend"
@@ -42,7 +42,7 @@ def _present(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, text, low, o1, phrase, domain) of the phrases that a document holds."""
     items = F.array(*[F.struct(F.lit(i).alias("o1"), F.lit(p).alias("phrase"), F.lit(d).alias("domain")) for i, (p, d) in enumerate(phrases)])
     low = docs.withColumn("low", F.lower("text"))
-    return low.select("doc_id", "text", "low", F.explode(F.filter(items, lambda x: F.col("low").contains(x["phrase"]))).alias("x")).select("doc_id", "text", "low", "x.*")
+    return low.select("doc_id", "text", "low", F.explode(let(F.col("low"), lambda low: F.filter(items, lambda x: low.contains(x["phrase"])))).alias("x")).select("doc_id", "text", "low", "x.*")
 
 
 def _cut(df: DataFrame) -> DataFrame:
