@@ -11,7 +11,10 @@ the complete distance, then by the exact weighted-shingle similarity (sum of sma
 sum of larger multiplicities), which must reach ``SIMILARITY``.
 
 A window can only reach a similarity above 0 if it holds one of the item's shingles, so
-windows are formed around such shingles; this leaves none out. RADIUS is over three
+windows are formed around such shingles; this leaves none out. An item of m < ``WIDTH``
+words is one shingle, found in longer documents by the hashes of their windows of m words
+if ``short`` is set, as the query and the pipeline do; else it matches whole documents only.
+RADIUS is over three
 standard deviations above the distance expected at SIMILARITY.
 
 Bounds: the items are read in groups of at most ``GROUP_WORDS`` words; each group is one
@@ -139,8 +142,11 @@ class Index:
         return items[np.bitwise_count(self.prints[items] ^ print_) <= radius]
 
 
-def leaks_of(texts: pa.Array, index: Index, threshold: float = SIMILARITY, width: int = WIDTH) -> list[list[tuple]]:
-    """For each text the items found in it: (item_id, start_word, n_words, similarity) of the best window."""
+def leaks_of(texts: pa.Array, index: Index, threshold: float = SIMILARITY, width: int = WIDTH, short: bool = False) -> list[list[tuple]]:
+    """For each text the items found in it: (item_id, start_word, n_words, similarity) of the best window.
+
+    ``short``: items of fewer than ``width`` words are sought in longer texts as well.
+    """
     out: list[list[tuple]] = [[] for _ in range(len(texts))]
     if not len(index.ids):
         return out
@@ -162,9 +168,31 @@ def leaks_of(texts: pa.Array, index: Index, threshold: float = SIMILARITY, width
             best = best_window(hashes[begin : int(ends[t])], int(words.counts[t]), np.array(places) - begin, item, index, threshold, width)
             if best:
                 out[a + t].append((index.ids[item], best[0], best[1], best[2]))
+        for m in sorted({n for n in index.words if n < width}) if short else []:
+            for t, item, start in short_items(words, index, m):
+                # a text of fewer than ``width`` words has been compared as a whole
+                if not (words.counts[t] == m and (t, item) in near):
+                    out[a + t].append((index.ids[item], start, m, 1.0))
     return out
 
 
+def short_items(words: Words, index: Index, m: int) -> Iterator[tuple[int, int, int]]:
+    """(text, item, first word) of the first window equal to each item of ``m`` words; such an item is one shingle."""
+    hashes, _, n = shingle_hashes(words, m)
+    whole = np.repeat(words.counts >= m, n)
+    maybe = np.flatnonzero(whole & index.filter[(hashes & _U((1 << 20) - 1)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(index.known, hashes[maybe]), len(index.known) - 1)
+    real = index.known[at] == hashes[maybe]
+    seeds, at = maybe[real], at[real]
+    ends = np.cumsum(n)
+    text = np.searchsorted(ends, seeds, "right")
+    _, once = np.unique(text * len(index.known) + at, return_index=True)
+    for t, s, k in zip(text[once].tolist(), seeds[once].tolist(), at[once].tolist()):
+        for item in index.holders[k].tolist():
+            if index.words[item] == m:
+                yield t, item, s - int(ends[t] - n[t])
+
+
 def best_window(hashes: np.ndarray, n_words: int, seeds: np.ndarray, item: int, index: Index, threshold: float, width: int) -> tuple | None:
     """(start, words, similarity) of the best item-sized window that holds a seed and passes the fingerprint index."""
     size = min(index.words[item], n_words)
@@ -211,8 +239,11 @@ def item_groups(benchmark: DataFrame, item_id: str, text: str, most: int = GROUP
         yield group
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with ``leaks``, an array of (item_id, start_word, n_words, similarity), empty if clean."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, short: bool = False) -> DataFrame:
+    """``docs`` with ``leaks``, an array of (item_id, start_word, n_words, similarity), empty if clean.
+
+    ``short``: items of fewer than ``WIDTH`` words are found inside longer documents as well.
+    """
     kind = f"array<struct<{', '.join(x.replace(' ', ': ') for x in LEAK.split(', '))}>>"
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
     names = [f.name for f in arrow.value_type]
@@ -223,7 +254,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         @F.arrow_udf(kind)
         def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                leaks = leaks_of(pc.fill_null(batch, ""), sent.value, threshold)
+                leaks = leaks_of(pc.fill_null(batch, ""), sent.value, threshold, short=short)
                 yield pa.array([[dict(zip(names, x)) for x in row] for row in leaks], arrow)
             release_memory()
 

@@ -51,7 +51,7 @@ FROM p LEFT JOIN f ON p.html = f.html
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short=True)
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
