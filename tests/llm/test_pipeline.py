@@ -62,3 +62,12 @@ def test_near_duplicates_in_a_large_bucket(spark):
     rows = list(enumerate(" ".join(edited(rnd, base, rnd.choice([1, 2, 3, 5, 8]))) for _ in range(4 * near_dups.BLOCK)))
     out = corpus_pipeline.remove_near_duplicates(spark, documents(spark, rows), "").collect()
     assert sorted(r.doc_id for r in out) == sorted(survivors(rows))
+
+
+def test_near_duplicates_keep_every_text_of_odd_rows(spark):
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(1, say("a")), (2, say("a")), (2, say("b")), (2, say("c")), (2, say("c")), (None, say("d")), (None, say("e")), (None, say("e")), (None, say("b")), (3, "")]
+    rows += [(4, None), (5, say("f")), (None, say("f") + " more")]
+    out = corpus_pipeline.remove_near_duplicates(spark, documents(spark, rows).repartition(3), "").collect()
+    want = [(1, say("a")), (2, say("b")), (2, say("c")), (None, say("d")), (None, say("e")), (3, ""), (5, say("f"))]
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(want, key=str)
