@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from loomgraph.llm import near_dups  # noqa: E402
+from loomgraph.llm import langid, near_dups  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -71,3 +71,15 @@ def test_near_duplicates_keep_every_text_of_odd_rows(spark):
     out = corpus_pipeline.remove_near_duplicates(spark, documents(spark, rows).repartition(3), "").collect()
     want = [(1, say("a")), (2, say("b")), (2, say("c")), (None, say("d")), (None, say("e")), (3, ""), (5, say("f"))]
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_language_keeps_short_texts_and_drops_unlearned_ones(spark):
+    rnd = random.Random(2)
+    say = lambda n: " ".join(rnd.choice(["the", "cat", "sat", "on", "a", "mat", "with", "her", "hat"]) for _ in range(n))
+    rows = [(i, say(40)) for i in range(60)]
+    short, junk = [(100, "A."), (101, "Q")], [(200, "".join(rnd.choice("абвгдежзиклмн") for _ in range(40))), (201, "漢字" * 30)]
+    docs = documents(spark, rows).unionByName(spark.createDataFrame([(i, t, None, "a", len(t)) for i, t in short + junk], SCHEMA))
+    rates = {r.doc_id: r.bits_per_byte for r in langid.fit_and_identify(docs).collect()}
+    assert all(rates[i] > corpus_pipeline.MOST_BITS_PER_BYTE for i, _ in short + junk)
+    out = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in out) == [i for i, _ in rows + short]
