@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _U = np.uint64
@@ -117,11 +118,12 @@ class Words:
         return word, word + np.repeat(np.minimum(self.counts, width), n) - 1, n
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct slices of a byte array, and for each slice its place among them."""
-    _, first, place = np.unique(xxh64(data, starts, ends - starts), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], place.ravel()
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The distinct pieces of a byte array cut at ``starts`` (the last goes to its end), compared byte by byte, and for each piece its place among them."""
+    ends = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    found = pieces.dictionary_encode()
+    return found.dictionary, np.asarray(found.indices)
 
 
 def gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

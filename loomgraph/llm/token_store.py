@@ -11,7 +11,7 @@ only, and a read of lengths touches no tokens.
 Encoding cuts a text before ASCII white space that follows a character that is surely
 not white space, and between an ASCII letter and an ASCII mark: boundaries that byte-level
 pre-tokenisation never crosses; each
-distinct piece of a slice is encoded once by the tokenizers library and kept in a
+distinct piece of a slice (told apart by its bytes) is encoded once by the tokenizers library and kept in a
 cache of ``CACHE_PIECES`` entries per process (emptied when full). ``end_id`` is appended
 to every document.
 
@@ -24,11 +24,14 @@ Recovery: a store is written by Spark's commit protocol and is read from its fil
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,8 @@ from loomgraph.llm.word_bpe import encoded, tokenizer
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-STEP_BYTES = 2 << 20
-CACHE_PIECES = 400_000
+STEP_BYTES = 8 << 20
+CACHE_PIECES = 1 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,41 +53,81 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = _PRINTED & ~_LETTER
 _MARK[48:58] = False
 
+#: Letters of ASCII and Latin-1 (in UTF-8), after a blank or not
+LETTERS = r"^ ?([A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
+#: The alphabet that stands for bytes: printed Latin-1 characters for themselves, the others in order from U+0100 on
+_KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = np.arange(256, dtype="<u2")
+_SHOWN[np.setdiff1d(np.arange(256), _KEPT)] = 0x100 + np.arange(256 - len(_KEPT))
+_SHOWN[0x0A] = 0x0A  # between pieces
+
 
 class PieceCache:
-    """Ids of pieces seen before, in one growing array."""
+    """Ids of pieces seen before, in growing arrays."""
 
     def __init__(self, path: str) -> None:
         self.path = path
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat = [np.zeros(0, np.uint32)]
-        self.offsets = [np.zeros(1, np.int64)]
-        self.joined: tuple[np.ndarray, np.ndarray] | None = None
+        self.pieces = pa.array([], pa.large_binary())
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def look_up(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.at) > CACHE_PIECES:
+    def look_up(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
+        """The place of each of some distinct pieces in the cache."""
+        if len(self.pieces) + len(pieces) > CACHE_PIECES:
             self.clear()
-        new = [x for x in pieces if x not in self.at]
-        if new:
-            ids, offsets = encoded(self.path, [x.decode() for x in new])
-            base, start = len(self.at), self.offsets[-1][-1]
-            for i, x in enumerate(new):
-                self.at[x] = base + i
-            self.flat.append(ids)
-            self.offsets.append(offsets[1:] + start)
-            self.joined = None
-        if self.joined is None:
-            self.joined = np.concatenate(self.flat), np.concatenate(self.offsets)
-            self.flat, self.offsets = [self.joined[0]], [self.joined[1]]
-        return np.fromiter((self.at[x] for x in pieces), np.int64, len(pieces))
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = pieces.filter(at.is_null())
+        place = np.asarray(at.fill_null(0), np.int64)
+        if len(new):
+            place[np.asarray(at.is_null())] = len(self.pieces) + np.arange(len(new))
+            ids, offsets = piece_ids(self.path, new)
+            self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, ids])
+            self.pieces = pa.concat_arrays([self.pieces, new])
+        return place
 
 
 _caches: dict[str, PieceCache] = {}
 
 
+def piece_ids(path: str, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces one after the other, and n+1 offsets.
+
+    A piece of letters alone, with a blank before it or not, is one word to the byte-level
+    pre-tokenizer; it goes to the library's BPE model directly. The others take the whole way.
+    """
+    simple = is_byte_level(path)
+    alone = np.asarray(pc.match_substring_regex(pieces, LETTERS)) if simple else np.zeros(len(pieces), bool)
+    lengths = np.zeros(len(pieces), np.int64)
+    joined = np.frombuffer(b"\n".join(pieces.filter(pa.array(alone)).to_pylist()), np.uint8)
+    words = _SHOWN[joined].tobytes().decode("utf-16-le").split("\n") if alone.any() else []
+    tokenize = tokenizer(path).model.tokenize
+    found = [[t.id for t in tokenize(x)] for x in words]
+    lengths[alone] = np.fromiter(map(len, found), np.int64, len(found))
+    rest, at = encoded(path, [x.decode() for x in pieces.filter(pa.array(~alone)).to_pylist()])
+    lengths[~alone] = np.diff(at)
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+    out = np.empty(int(offsets[-1]), np.uint32)
+    mine = np.repeat(alone, lengths)
+    out[mine] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(mine.sum()))
+    out[~mine] = rest
+    return out, offsets
+
+
+@functools.cache
+def is_byte_level(path: str) -> bool:
+    """Whether the file is a BPE whose only step before the model is the byte-level pre-tokenizer as it comes."""
+    import json
+
+    told = json.loads(tokenizer(path).to_str())
+    before = told["pre_tokenizer"] or {}
+    model = told["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    return bool(plain and told["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout") and not any(t["content"].strip().isalpha() for t in told["added_tokens"]))
+
+
 def special_tokens(path: str) -> re.Pattern:
     """Matches the text of every added token (nothing if there are none)."""
     found = [re.escape(t.content.encode()) for t in tokenizer(path).get_added_tokens_decoder().values()]
@@ -107,10 +150,9 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
         edges = offsets[(offsets < len(data))]
         cut[edges] = True
         starts = np.flatnonzero(cut)
-        pieces, place = distinct(data, starts, np.append(starts[1:], len(data)))
+        pieces, place = distinct(data, starts)
         which = cache.look_up(pieces)[place]
-        flat, at = cache.joined
-        ids, lengths = gathered(flat, at, which)
+        ids, lengths = gathered(cache.flat, cache.offsets, which)
         upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         bounds = upto[np.searchsorted(starts, offsets, "left")]
     else:

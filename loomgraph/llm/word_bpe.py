@@ -5,13 +5,14 @@ for a vocabulary that drops white space). A slice of a partition keeps, for each
 occurrence, its position and the place of the word in the slice's own word list; the
 lists are dealt by word hash, so that each distinct word meets in one group and is
 encoded once by the tokenizers library; its ids go back to the slices, which put them
-in place by position. Decoding joins ids with the vocabulary's pieces. Positions don't travel:
+in place by position. Words are told apart by their bytes. Decoding joins ids with the vocabulary's pieces
+(a vocabulary with a decoder of its own is decoded by the library). Positions don't travel:
 each slice's are a file in the shared folder, named in the word lists, so a repeated
 task's file is never read by mistake.
 
 Bounds: a slice holds about ``SLICE_BYTES`` of text (a longer document is a slice of
-its own); a group of the word table holds the words of one hash part of
-``spark.sql.shuffle.partitions`` parts; the id-to-piece table has one row for each entry of
+its own); the word table has ``spark.sql.shuffle.partitions`` hash parts, each read as a stream
+in which about ``WORDS_HELD`` encoded words are kept; the id-to-piece table has one row for each entry of
 the vocabulary. A word that fills a third of the corpus is one entry per slice.
 
 Defined results: null and empty texts have no tokens and decode to the empty string;
@@ -21,6 +22,7 @@ not returned. Special tokens in a text are matched as the library does by defaul
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,8 +37,9 @@ from loomgraph.llm.common import bounded_batches, byte_view, local_path, new_dir
 from loomgraph.llm.hashing import Words, distinct, gathered, xxh64
 
 SLICE_BYTES = 32 << 20
-STEP_BYTES = 1 << 20
+STEP_BYTES = 8 << 20
 WORDS_AT_ONCE = 1 << 18
+WORDS_HELD = 1 << 20
 COMMON = 255
 WORDS_A_TEXT = 1000
 AS_IS = np.where(np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]), 0x20, np.arange(256)).astype(np.uint8)
@@ -135,7 +138,8 @@ class _Slice:
     def add(self, doc_ids: pa.Array, texts: pa.Array) -> None:
         data, offsets = byte_view(texts)
         words = Words(data, offsets, folded=AS_IS)
-        names, place = distinct(words.data, words.starts, words.ends)
+        pieces, place = distinct(words.data, words.starts)
+        names = [x[:-1] for x in pieces.to_pylist()]  # each word is followed by a blank
         at = np.fromiter((self.index.setdefault(x, len(self.index)) for x in names), np.int64, len(names))
         self.ids += doc_ids.to_pylist()
         self.counts.append(words.counts)
@@ -205,24 +209,39 @@ def word_slices(docs: DataFrame, doc_id: str, text: str, parts: int, folder: str
 
 
 def encode_words(lists: DataFrame, path: str) -> DataFrame:
-    """(slice, part, lengths, tokens): each distinct word of a part is encoded once."""
+    """(slice, part, lengths, tokens, wide): each distinct word of a part is encoded once, as long as ``WORDS_HELD`` words hold it."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        places = []
-        for n, blob in zip(table.column("n").to_pylist(), table.column("words").to_pylist()):
-            words = zstandard.decompress(blob).split(b"\n") if n else []
-            places.append(np.fromiter((known.setdefault(x, len(known)) for x in words), np.int64, n))
-        flat, offsets = encoded(path, [x.decode() for x in known])
-        wide = bool(len(flat) and flat.max() >= 1 << 16)
-        lengths, tokens = [], []
-        for which in places:
-            ids, n = gathered(flat, offsets, which)
-            lengths.append(zstandard.compress(n.astype("<u4").tobytes(), 1))
-            tokens.append(zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1))
-        return pa.table({"slice": table.column("slice"), "part": table.column("part"), "lengths": pa.array(lengths, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "wide": pa.array([wide] * len(lengths))})
-
-    return lists.groupBy("part").applyInArrow(run, "slice bigint, part int, lengths binary, tokens binary, wide boolean")
+        flat, offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        now = None
+        for batch in batches:
+            parts = np.asarray(batch.column(1))
+            first = np.flatnonzero(np.diff(parts, prepend=-1))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(parts)]):
+                if parts[a] != now or len(known) > WORDS_HELD:
+                    known, flat, offsets, now = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64), parts[a]
+                places = []
+                for n, blob in zip(batch.column(2)[a:b].to_pylist(), batch.column(3)[a:b].to_pylist()):
+                    words = zstandard.decompress(blob).split(b"\n") if n else []
+                    places.append(np.fromiter((known.setdefault(x, len(known)) for x in words), np.int64, n))
+                new = list(itertools.islice(known, len(offsets) - 1, None))
+                if new:
+                    ids, at = encoded(path, [x.decode() for x in new])
+                    offsets = np.concatenate([offsets, at[1:] + len(flat)])
+                    flat = np.concatenate([flat, ids])
+                wide = bool(len(flat) and flat.max() >= 1 << 16)
+                lengths, tokens = [], []
+                for which in places:
+                    ids, n = gathered(flat, offsets, which)
+                    lengths.append(zstandard.compress(n.astype("<u4").tobytes(), 1))
+                    tokens.append(zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(lengths, pa.binary()), pa.array(tokens, pa.binary()), pa.array([wide] * (b - a))], names=["slice", "part", "lengths", "tokens", "wide"]
+                )
+
+    dealt = lists.repartition(F.col("part")).sortWithinPartitions("part", "slice")
+    return dealt.mapInArrow(tidy(run), "slice bigint, part int, lengths binary, tokens binary, wide boolean")
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
@@ -246,7 +265,8 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         at[np.argsort(part, kind="stable")] = np.arange(len(part))
         place = at[place]
         shown: list[bytes] = []
-        if decode:
+        decoder = decode and tokenizer(path).decoder
+        if decode and not decoder:
             piece = pieces(path)
             cut = offsets.tolist()
             joined = [piece[i] for i in flat.tolist()]
@@ -263,7 +283,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
             tokens = upto[cuts].tolist()
             out = {"doc_id": mine.column("id").slice(a, b - a), "n_tokens": pa.array(np.diff(tokens)), "ids": pa.array([raw[4 * i : 4 * j] for i, j in zip(tokens, tokens[1:])], pa.binary())}
             # a word without ids (dropped by the vocabulary) leaves no blank behind
-            texts = [b" ".join([x for k in names[i:j] if (x := shown[k])]) for i, j in zip(cuts, cuts[1:])] if decode else None
+            if decoder:
+                texts = [tokenizer(path).decode(got[i:j].tolist(), skip_special_tokens=False).encode() for i, j in zip(tokens, tokens[1:])]
+            else:
+                texts = [b" ".join([x for k in names[i:j] if (x := shown[k])]) for i, j in zip(cuts, cuts[1:])] if decode else None
             yield pa.table(out | {"decoded": pa.array(texts, pa.binary()) if decode else pa.nulls(b - a, pa.binary())})
 
     def assembled(words: pa.Table) -> pa.Table:
