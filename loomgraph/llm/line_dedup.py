@@ -14,20 +14,18 @@ document's line hashes with the boilerplate table, whose hot keys are split by a
 
 Defined results: a null text stays null with no lines; an empty text stays empty.
 Blank lines are never counted or removed. A null site counts as one site of its own.
-Repeated document ids are separate documents (rows are told apart by a row key made
-of id, site and text hash; rows equal in all three are identical and get equal
-results). An empty table gives an empty result. Extra columns are kept.
+Repeated document ids are separate documents (rows are told apart by id and 128 bits
+of id, site and text; rows equal in all three are identical and get equal
+results). An empty table gives an empty result. Extra columns are kept, whatever their
+names; n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, release_memory, stored
+from loomgraph.llm.common import stored
 
 MIN_SITES = 10
 BAND = 0.25
@@ -37,21 +35,23 @@ BLANKS = " \t\r\x0b\x0c"
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """A row (a, b, site, at) for each non-blank line; at = (doc_id, row key, line number)."""
+    """A row (a, b, site, at) for each non-blank line; at = (doc_id, k1, k2, line number)."""
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), row_key(doc_id, text, site).alias("key"),
+        F.col(doc_id).alias("doc_id"), *row_key(doc_id, text, site),
         F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
     ).withColumn("line", F.btrim("line", F.lit(BLANKS))).filter(F.col("line") != "")
     return rows.select(
         F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), "site",
-        F.struct("doc_id", "key", "line_no").alias("at"),
+        F.struct("doc_id", "k1", "k2", "line_no").alias("at"),
     )
 
 
-def row_key(doc_id: str, text: str, site: str) -> Column:
-    """Tells rows with the same id apart, unless site and text are equal as well."""
-    return F.xxhash64(F.lit("row"), F.col(doc_id), F.col(site), F.col(text))
+def row_key(doc_id: str, text: str, site: str) -> list[Column]:
+    """(k1, k2): 128 bits that tell rows apart unless id, site and text are equal."""
+    # a hash passes over nulls, so where they stand is hashed as well
+    parts = [x for c in (doc_id, site, text) for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(k), *parts).alias(k) for k in ("k1", "k2")]
 
 
 def salted(df: DataFrame) -> DataFrame:
@@ -79,38 +79,34 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float
 
 def without_lines(text: Column, gone: Column) -> Column:
     """``text`` without the lines numbered in ``gone``."""
-
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, numbers in batches:
-            out = []
-            for t, n in zip(texts, numbers):
-                if t is not None and n is not None:
-                    n = set(n)
-                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in n)
-                out.append(t)
-            yield pd.Series(out, dtype=object)
-        release_memory()
-
-    return cut(text, gone)
+    # the list of one binds the lines to a name, so that they are split once
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(kept(lines), lambda i: lines[i]), "\n"))[0]
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines, n_removed (longs)."""
-    bounded_batches(docs.sparkSession)
     docs = docs.drop(*({"n_lines", "n_removed"} - {doc_id, text, site}))
     lines = document_lines(docs, doc_id, text, site)
     common = stored(boilerplate_lines(lines, min_sites, band), "boilerplate")
     removed = (
         lines.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
         .join(salted(common), ["a", "b", "salt"]).filter(F.col("at") != F.col("first"))
-        .groupBy(F.col("at.key").alias("__key"))
-        .agg(F.collect_set("at.line_no").alias("__gone"))
+        .groupBy("at.doc_id", "at.k1", "at.k2").agg(F.collect_set("at.line_no").alias("gone"))
     )
-    out = docs.withColumn("__key", row_key(doc_id, text, site)).join(removed, "__key", "left")
-    changed = F.col("__gone").isNotNull()
-    return out.withColumn("__text", without_lines(F.when(changed, F.col(text)), F.col("__gone"))).withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long"),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        text: F.when(changed, F.col("__text")).otherwise(F.col(text)),
-    }).drop("__key", "__gone", "__text")
+    # the row travels as one struct, so no column of the input can clash
+    rows = docs.select(F.struct("*").alias("row"), *row_key(doc_id, text, site)).alias("d")
+    same = F.col(f"d.row.{quoted(doc_id)}").eqNullSafe(F.col("r.doc_id")) & (F.col("d.k1") == F.col("r.k1")) & (F.col("d.k2") == F.col("r.k2"))
+    out = rows.join(removed.alias("r"), same, "left")
+    whole = F.col(f"d.row.{quoted(text)}")
+    made = {
+        text: F.when(F.col("r.gone").isNotNull(), without_lines(whole, F.col("r.gone"))).otherwise(whole),
+        "n_lines": F.when(whole.isNull(), 0).otherwise(F.size(F.split(whole, "\n"))).cast("long"),
+        "n_removed": F.coalesce(F.when(F.col("r.gone").isNotNull(), F.size("r.gone")), F.lit(0)).cast("long"),
+    }
+    names = [*docs.columns, *(n for n in made if n not in docs.columns)]
+    return out.select(*(made[n].alias(n) if n in made else F.col(f"d.row.{quoted(n)}").alias(n) for n in names))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
