@@ -22,6 +22,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every node points at one root, and no root points on: then the (u, v) edges are stars."""
+    roots = edges.select(F.col("v").alias("node"), F.lit(1).alias("as_root"), F.lit(0).alias("as_node")).distinct()
+    nodes = edges.select(F.col("u").alias("node"), F.lit(0).alias("as_root"), F.lit(1).alias("as_node"))
+    seen = roots.unionByName(nodes).groupBy("node").agg(F.sum("as_root").alias("roots"), F.sum("as_node").alias("links"))
+    return not seen.filter("links > 1 or (links > 0 and roots > 0)").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the (u, v) edges except roots; root is the smallest node reached.
 
@@ -29,11 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path.
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    last = None
     for _ in range(MAX_ROUNDS):
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-        if state == last or not state[0]:
+        if settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = state
         now = stored(_stars(stored(_stars(now, True), "large-stars"), False), "small-stars")
     raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")

@@ -18,6 +18,8 @@ Spark's skew join (both sides are plain exchanges).
 
 Defined results: null, empty and white-space texts have fingerprint zero and are linked
 like any other. Repeated ids are separate rows with the component of their fingerprint.
+Rows with a null id link others like any row; the component_id of a component is the
+smallest id in it that isn't null, and null if it has none.
 An empty table gives an empty result. Extra columns aren't returned.
 """
 
@@ -102,8 +104,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, fingerprint (hex), component_id (smallest id reachable) for each row."""
     marked = stored(with_fingerprint(df, doc_id, text, width), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots = components(links(distinct, radius))
-    of_fp = stored(distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "classes")
-    out = marked.join(of_fp, "fp")
+    # fingerprints are the nodes, so that one that only rows without an id have still links others
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    of_fp = stored(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
+    ids = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = marked.join(stored(of_fp.join(ids, "root").select("fp", "component_id"), "component-ids"), "fp")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
