@@ -12,11 +12,10 @@ with the smallest total wins; ties go to the smaller name. The score is the winn
 posterior probability under equal priors.
 
 Training sample (bounded): rows with a language and a text whose crc32(id as text) mod
-``FOLDS`` is not 0; of each language the ``TRAIN_DOCS`` rows that come first by a hash of
-their id, texts of up to ``TRAIN_BYTES`` bytes before longer ones (of which the first
-``TRAIN_BYTES`` bytes train). The model has at most languages x TRAIN_DOCS x
-TRAIN_BYTES x (ORDER + 1) entries; that bounds what is broadcast. Predictions read whole
-texts and nothing but the text.
+``FOLDS`` is not 0; of each language the whole texts of the ``TRAIN_DOCS`` rows that come
+first by a hash of id and text (fewer where all languages' would be over ``TRAIN_ROWS``;
+rows equal in id and text count once). That bounds the rows that reach the driver and the
+model that is broadcast. Predictions read whole texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
 every text when no row can train. Repeated ids and rows are predicted alike. A null id is
@@ -34,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices
+from loomgraph.llm.common import bounded_batches, byte_view, fresh, release_memory, slices
 
 ORDER = 4
 FOLDS = 5
 TRAIN_DOCS = 400
-TRAIN_BYTES = 8192
+TRAIN_ROWS = 20_000
 SLICE_BYTES = 1 << 18
 UNDETERMINED = "und"
 _U = np.uint64
@@ -204,23 +203,28 @@ def predicted(texts: pa.Array, model: Model) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], names=["lang_pred", "score", "bits_per_byte"])
 
 
-def training_texts(docs: DataFrame, doc_id: str, text: str, lang: str, n: int = TRAIN_DOCS, most: int = TRAIN_BYTES) -> dict[str, list[str]]:
-    """The bounded training sample, on the driver."""
+def training_texts(docs: DataFrame, doc_id: str, text: str, lang: str, n: int = TRAIN_DOCS, rows_at_most: int = TRAIN_ROWS) -> dict[str, list[str]]:
+    """The bounded training sample, on the driver: whole texts of each language's first rows by hash."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("train"), doc_id).alias("h"), F.col(text).alias("text"))
-    long = F.octet_length("text") > most
-    counts = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", long.alias("long")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    # a threshold on the hash thins each class to about 4n rows before they are ranked
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("train"), doc_id, text).alias("h"), F.col(text).alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = max(1, min(n, rows_at_most // max(1, len(counts))))
+    # a threshold on the hash thins each language to about 4n rows before they are ranked
     share = F.lit(None).cast("bigint")
-    for (name, is_long), count in sorted(counts.items()):
+    for name, count in sorted(counts.items()):
         limit = (1 << 63) - 1 if count <= 4 * n else int((4 * n / count * 2 - 1) * (1 << 63))
-        share = F.when((F.col("lang") == name) & (long == is_long), F.lit(limit)).otherwise(share)
-    order = Window.partitionBy("lang").orderBy("long", "h", F.xxhash64("text"))
-    chosen = rows.filter(F.col("h") <= share).withColumn("long", long).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+        share = F.when(F.col("lang") == name, F.lit(limit)).otherwise(share)
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = rows.filter(F.col("h") <= share).select("lang", "h").distinct().withColumn("rank", F.row_number().over(order))
+    last = {r["lang"]: r["h"] for r in ranked.filter(F.col("rank") <= n).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    upto = F.lit(None).cast("bigint")
+    for name, h in sorted(last.items()):
+        upto = F.when(F.col("lang") == name, F.lit(h)).otherwise(upto)
+    chosen = rows.filter(F.col("h") <= upto).groupBy("lang", "h").agg(F.first("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in chosen.select("lang", "rank", "text").collect():
-        out.setdefault(r["lang"], []).append((r["rank"], r["text"]))
-    return {k: [t.encode()[:most].decode(errors="ignore") for _, t in sorted(v)] for k, v in out.items()}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"])):
+        out.setdefault(r["lang"], []).append(r["text"])
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -234,8 +238,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         release_memory()
 
     bounded_batches(docs.sparkSession)
-    out = docs.withColumn("__judged", judged(F.col(text).cast("string")))
-    return out.withColumns({k: F.col(f"__judged.{k}") for k in ("lang_pred", "score", "bits_per_byte")}).drop("__judged")
+    own = fresh(docs, "judged")
+    out = docs.withColumn(own, judged(F.col(text).cast("string")))
+    return out.withColumns({k: F.col(f"{own}.{k}") for k in ("lang_pred", "score", "bits_per_byte")}).drop(own)
 
 
 def fit_and_identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
