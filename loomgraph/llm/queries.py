@@ -101,11 +101,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), "url", URL_RULES)
-    return out.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms")
+    return out.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms", "soft_weight")
 
 
-def _terms(words, edge: str = "[^a-z0-9]") -> str:
-    return f"(^|{edge})({'|'.join(words)})({edge}|$)"
+def _term_rows() -> str:
+    """The terms are runs of [a-z0-9], so a hit between boundaries is such a run of the URL."""
+    words = url_filter.Vocabulary.default()
+    return ", ".join([f"('{t}', 'strict', 0)" for t in sorted(words.strict)] + [f"('{t}', 'soft', {n})" for t, n in sorted(words.soft.items())])
 
 
 OP8_SQL = f"""
@@ -121,16 +123,20 @@ WITH u AS (
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    {" + ".join(f"(len(regexp_extract_all(replace(low, '{t}', '{t} '), '{_terms([t])[:-len('([^a-z0-9]|$)')]} ([^a-z0-9]|$)')))" for t in url_filter.STRICT_TERMS)} AS strict_hits,
-    {" + ".join(f"CAST(regexp_matches(low, '{_terms([t])}') AS BIGINT)" for t in url_filter.SOFT_TERMS)} AS soft_terms
+    list_filter(string_split_regex(low, '[^a-z0-9]+'), lambda w: w <> '') AS words
   FROM p
+), t(term, kind, weight) AS (VALUES {_term_rows()}),
+h AS (
+  SELECT page_id, coalesce(sum(n) FILTER (kind = 'strict'), 0) AS strict_hits, count(*) FILTER (kind = 'soft') AS soft_terms, coalesce(sum(weight) FILTER (kind = 'soft'), 0) AS soft_weight
+  FROM (SELECT page_id, word, count(*) AS n FROM (SELECT page_id, unnest(words) AS word FROM j) GROUP BY ALL) JOIN t ON word = term GROUP BY page_id
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN strict_hits > 0 OR soft_terms >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
-  CAST(strict_hits AS BIGINT) AS strict_hits, soft_terms
-FROM j
+SELECT j.page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN strict_hits > 0 OR (soft_terms >= {url_filter.SOFT_AT_LEAST} AND soft_weight >= {url_filter.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END AS verdict,
+  CAST(coalesce(strict_hits, 0) AS BIGINT) AS strict_hits, CAST(coalesce(soft_terms, 0) AS BIGINT) AS soft_terms, CAST(coalesce(soft_weight, 0) AS BIGINT) AS soft_weight
+FROM j LEFT JOIN h USING (page_id)
 """
 
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

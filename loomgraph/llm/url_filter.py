@@ -2,8 +2,8 @@
 
 Method: an Aho-Corasick automaton counts strict and soft terms in the lower-cased
 (A-Z) URL. A hit counts only if the characters beside it are not in [a-z0-9]. One
-strict hit rejects; so do several distinct soft hits whose weights sum to
-``soft_limit``. A rule ``(host, path)`` fits its host and every subdomain when the
+strict hit rejects; so do ``SOFT_AT_LEAST`` or more distinct soft terms whose weights sum to
+``soft_limit``. The terms come from a table (term, kind, weight). A rule ``(host, path)`` fits its host and every subdomain when the
 URL's path starts with the rule's path; the longest fitting rule overrides the
 vocabulary.
 
@@ -15,37 +15,62 @@ output names are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import csv
+import os
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ascii_lower
+from loomgraph.llm.common import ascii_lower, fresh
 
-STRICT_TERMS = ("porn", "xxx", "hentai", "camgirls", "escorts", "sexcam", "warez", "torrents")
-SOFT_TERMS = {
-    "adult": 1, "sex": 1, "nude": 1, "casino": 1, "poker": 1, "betting": 1, "jackpot": 1,
-    "viagra": 1, "cialis": 1, "loan": 1, "crack": 1, "keygen": 1, "dating": 1, "hot": 1,
-    "ads": 1, "popup": 1,
-}
-SOFT_LIMIT = 2
+#: The table (term, kind, weight) that ``Vocabulary.default`` reads.
+TERMS = os.path.join(os.path.dirname(__file__), "url_terms.csv")
+SOFT_LIMIT = 4
+SOFT_AT_LEAST = 2
+MOST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Strict terms, soft terms with weights, and the weight of distinct soft hits that rejects."""
+    """Strict terms, soft terms with weights, and the weight of several distinct soft hits that rejects."""
 
-    strict: tuple[str, ...] = STRICT_TERMS
-    soft: dict[str, int] = field(default_factory=lambda: dict(SOFT_TERMS))
+    strict: frozenset[str]
+    soft: dict[str, int]
     soft_limit: int = SOFT_LIMIT
 
-
-def split_url(url: Column) -> tuple[Column, Column]:
+    @classmethod
+    def of(cls, rows: list[tuple[str, str, int]], soft_limit: int = SOFT_LIMIT) -> Vocabulary:
+        """From (term, kind, weight) rows; a term that is strict and soft is strict, of repeated soft ones the largest weight holds."""
+        strict = frozenset(t for t, kind, _ in rows if kind == "strict" and t)
+        soft: dict[str, int] = {}
+        for t, kind, weight in rows:
+            if kind == "soft" and t and t not in strict:
+                soft[t] = max(int(weight), soft.get(t, 0))
+        return cls(strict, soft, soft_limit)
+
+    @classmethod
+    def default(cls) -> Vocabulary:
+        with open(TERMS, newline="") as rows:
+            return cls.of([(r["term"], r["kind"], int(r["weight"])) for r in csv.DictReader(rows)])
+
+    @classmethod
+    def from_table(cls, table: DataFrame, soft_limit: int = SOFT_LIMIT) -> Vocabulary:
+        """From a DataFrame (term, kind, weight); refuses more than ``MOST_TERMS`` rows, since the terms are sent to every task."""
+        rows = table.select("term", "kind", F.col("weight").cast("int")).limit(MOST_TERMS + 1).collect()
+        if len(rows) > MOST_TERMS:
+            raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+        return cls.of([tuple(r) for r in rows], soft_limit)
+
+
+def split_url(url: Column, name: str) -> tuple[Column, Column]:
     """(host, path): after the first ``://`` up to / ? # or the end; then up to ? # or the end."""
     at = F.locate("://", url)
-    rest = F.when(at > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("__url"))).otherwise("")
+    rest = F.when(at > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format(name))).otherwise("")
     host = ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -66,10 +91,9 @@ def automaton(vocabulary: Vocabulary):
 
     words = ahocorasick.Automaton()
     for term in vocabulary.strict:
-        words.add_word(term, (term, True))
-    for term in vocabulary.soft:
-        if term not in vocabulary.strict:
-            words.add_word(term, (term, False))
+        words.add_word(term, (term, 0))
+    for term, weight in vocabulary.soft.items():
+        words.add_word(term, (term, weight))
     words.make_automaton()
     return words
 
@@ -78,39 +102,52 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def count_terms(url: str | None, words, vocabulary: Vocabulary) -> tuple[int, int, int]:
-    """(strict hits, distinct soft terms, their weight)."""
-    strict, soft = 0, set()
-    if url and len(words):
-        url = url.translate(_LOWER)
-        for end, (term, is_strict) in words.iter(url):
-            start = end + 1 - len(term)
-            if (start and url[start - 1] in _INSIDE) or (end + 1 < len(url) and url[end + 1] in _INSIDE):
-                continue
-            if is_strict:
-                strict += 1
-            else:
-                soft.add(term)
-    return strict, len(soft), sum(vocabulary.soft[t] for t in soft)
-
-
-def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = (), vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+def counted(urls: pa.Array, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strict hits, distinct soft terms, their weight) of each URL: the automaton runs once over a batch."""
+    strict, terms, weights = (np.zeros(len(urls), np.int64) for _ in range(3))
+    if not len(words):
+        return strict, terms, weights
+    urls = pc.fill_null(urls.cast(pa.large_string()), "")
+    ends = np.cumsum(np.asarray(pc.utf8_length(urls), np.int64) + 1)  # a line break, which stands in no term, ends each
+    text = "\n".join([*urls.to_pylist(), ""]).translate(_LOWER)
+    at, soft = [], []
+    for end, (term, weight) in words.iter(text):
+        start = end + 1 - len(term)
+        if (start and text[start - 1] in _INSIDE) or text[end + 1] in _INSIDE:
+            continue
+        if weight:
+            soft.append((end, term, weight))
+        else:
+            at.append(end)
+    np.add.at(strict, np.searchsorted(ends, at, "right"), 1)
+    rows = np.searchsorted(ends, [x[0] for x in soft], "right").tolist()
+    for row, _, weight in {(row, term, weight) for row, (_, term, weight) in zip(rows, soft)}:
+        terms[row] += 1
+        weights[row] += weight
+    return strict, terms, weights
+
+
+def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = (), vocabulary: Vocabulary | None = None) -> DataFrame:
     """``df`` with host, path, rule, verdict, strict_hits, soft_terms, soft_weight."""
+    vocabulary = vocabulary or Vocabulary.default()
+    if any(t != t.strip() or "\n" in t or t != t.translate(_LOWER) for t in [*vocabulary.strict, *vocabulary.soft]):
+        raise ValueError("terms are lower case and hold no line break")
 
-    @F.pandas_udf("struct<strict_hits: bigint, soft_terms: bigint, soft_weight: bigint>")
-    def counted(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<strict_hits: bigint, soft_terms: bigint, soft_weight: bigint>")
+    def hits(urls: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = automaton(vocabulary)
         for batch in urls:
-            yield pd.DataFrame([count_terms(u, words, vocabulary) for u in batch], columns=["strict_hits", "soft_terms", "soft_weight"], dtype="int64")
-
-    out = df.withColumn("__url", F.col(url))
-    host, path = split_url(F.col("__url"))
-    out = out.withColumns({"host": host, "path": path}).withColumn("__hits", counted("__url"))
-    out = out.withColumns({k: F.col(f"__hits.{k}") for k in ("strict_hits", "soft_terms", "soft_weight")})
-    rejected = (F.col("strict_hits") > 0) | (F.col("soft_weight") >= vocabulary.soft_limit)
+            yield pa.StructArray.from_arrays([pa.array(x) for x in counted(batch, words)], names=["strict_hits", "soft_terms", "soft_weight"])
+
+    own, found = fresh(df, "url_judged"), fresh(df, "url_hits")
+    out = df.withColumn(own, F.col(url).cast("string"))
+    host, path = split_url(F.col(own), own)
+    out = out.withColumns({"host": host, "path": path}).withColumn(found, hits(own))
+    out = out.withColumns({k: F.col(f"{found}.{k}") for k in ("strict_hits", "soft_terms", "soft_weight")})
+    rejected = (F.col("strict_hits") > 0) | ((F.col("soft_terms") >= SOFT_AT_LEAST) & (F.col("soft_weight") >= vocabulary.soft_limit))
     rules = list(rules)
     ruled = rule_column(F.col("host"), F.col("path"), rules, 1)
     return out.withColumns({
         "rule": rule_column(F.col("host"), F.col("path"), rules, 0),
         "verdict": F.coalesce(ruled, F.when(rejected, "block").otherwise("allow")),
-    }).drop("__url", "__hits")
+    }).drop(own, found)
