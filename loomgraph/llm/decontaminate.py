@@ -6,39 +6,42 @@ document (a shorter document is one window). Item and windows have a SimHash of
 shingles (``WIDTH`` words; the whole text if shorter), each weighted by how often it
 occurs. Item fingerprints are indexed by ``BLOCKS`` blocks of bits: two fingerprints that
 differ in at most ``RADIUS`` bits differ in at most ``RADIUS // BLOCKS`` bits in one of the
-blocks, so each block's table lists every item within that ball. Candidates are checked on
-the complete distance, then by the exact weighted-shingle similarity (sum of smaller over
-sum of larger multiplicities), which must reach ``SIMILARITY``.
-
-A window can only reach a similarity above 0 if it holds one of the item's shingles, so
-windows are formed around such shingles; this leaves none out. An item of m < ``WIDTH``
-words is one shingle, found in longer documents by the hashes of their windows of m words
+blocks, so each block's table lists every item within that ball. Each window's fingerprint
+looks its blocks up; what the tables return is checked on the complete distance, then by the
+exact weighted-shingle similarity (sum of smaller over sum of larger multiplicities),
+which must reach ``SIMILARITY``.
+
+A window whose similarity to an item of s shingles reaches t holds at least
+t / (1 + t) x (shingles of the window + s) shingles of that item. Windows with fewer
+shingles of all items together have no fingerprint made; this leaves none out, and
+tells nothing of which item it could be. An item of m < ``WIDTH``
+words is one shingle, found in longer documents by windows of m words
 if ``short`` is set, as the query and the pipeline do; else it matches whole documents only.
-RADIUS is over three
-standard deviations above the distance expected at SIMILARITY.
+RADIUS is over three standard deviations above the distance expected at SIMILARITY.
 
 Bounds: the items are read in groups of at most ``GROUP_WORDS`` words; each group is one
-pass over the documents, and only one group is sent to the executors at a time.
+pass over the documents (written between passes), and only one group is sent to the executors at a time.
 
 Defined results: null, empty and white-space texts match nothing, items without words
 likewise; repeated items and documents are each judged; ties between windows go to the
-first. Columns of the documents are kept; a column named ``leaks`` is replaced. Empty
-tables give no leaks.
+first. Item ids are of any type, null included. Columns of the documents are kept; a column
+named ``leaks`` is replaced. Empty tables give no leaks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices
-from loomgraph.llm.hashing import Words, mixed, xxh64
+from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices, stored
+from loomgraph.llm.hashing import Words, gathered, mixed, xxh64
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -47,7 +50,7 @@ BLOCKS = 8
 GROUP_WORDS = 1 << 20
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-LEAK = "item_id bigint, start_word bigint, n_words bigint, similarity double"
+WINDOWS_AT_ONCE = 1 << 14
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -95,157 +98,169 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 0.0
 
 
+@dataclass
+class Sized:
+    """The items of one number of words: their places in the group, shingles and fingerprints, and a table for each block."""
+
+    items: np.ndarray
+    shingles: list[np.ndarray]
+    prints: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]]  # by block: n+1 offsets by value, and the items within the ball
+
+    @classmethod
+    def build(cls, items: list[int], shingles: list[np.ndarray], radius: int, blocks: int) -> Sized:
+        prints = np.array([simhash(x) for x in shingles], np.uint64)
+        width, ball = 64 // blocks, radius // blocks
+        values = np.arange(1 << width, dtype=np.uint64)
+        tables = []
+        for block in range(blocks):
+            part = (prints >> _U(block * width)) & _U((1 << width) - 1)
+            value, held = np.nonzero(np.bitwise_count(values[:, None] ^ part[None, :]) <= ball)
+            tables.append((np.searchsorted(value, np.arange(len(values) + 1)), held))
+        return cls(np.array(items), shingles, prints, tables)
+
+    def look_up(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs whose fingerprints differ in at most ``radius`` bits, from the blocks' tables."""
+        width = 64 // len(self.tables)
+        found = [np.zeros(0, np.int64)]
+        for block, (offsets, held) in enumerate(self.tables):
+            value = ((prints >> _U(block * width)) & _U((1 << width) - 1)).astype(np.int64)
+            items, n = gathered(held, offsets, value)
+            window = np.repeat(np.arange(len(prints)), n)
+            near = np.bitwise_count(self.prints[items] ^ prints[window]) <= radius
+            found.append(window[near] * len(self.items) + items[near])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.items)))
+
+
 @dataclass
 class Index:
     """Shingles and fingerprints of a group of items."""
 
-    ids: list[int]
-    words: list[int]
-    shingles: list[np.ndarray]
-    prints: np.ndarray = field(default=None)
-    known: np.ndarray = field(default=None)  # distinct shingles, sorted
-    filter: np.ndarray = field(default=None)
-    holders: list[np.ndarray] = field(default_factory=list)  # items of each known shingle
-    tables: list[list[np.ndarray]] = field(default_factory=list)  # by block and value: items within the ball
+    sizes: dict[int, Sized]  # by number of words
+    known: np.ndarray  # distinct shingles of items of WIDTH words or more, sorted
+    filter: np.ndarray
+    radius: int
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], radius: int = RADIUS, blocks: int = BLOCKS) -> Index:
-        texts = pa.array([t for _, t in items], pa.string())
-        words = words_of(texts)
+    def build(cls, texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> Index:
+        words = words_of(pa.array(texts, pa.string()))
         hashes, _, n = shingle_hashes(words)
         ends = np.cumsum(n)
         own = [hashes[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
-        use = [i for i, x in enumerate(own) if len(x)]
-        out = cls([items[i][0] for i in use], [int(words.counts[i]) for i in use], [own[i] for i in use])
-        out.prints = np.array([simhash(x) for x in out.shingles], np.uint64)
-        out.known = np.unique(np.concatenate([*out.shingles, np.zeros(0, np.uint64)]))
-        out.filter = np.zeros(1 << 20, bool)
-        out.filter[(out.known & _U((1 << 20) - 1)).astype(np.int64)] = True
-        holders: list[set[int]] = [set() for _ in out.known]
-        for i, x in enumerate(out.shingles):
-            for k in np.searchsorted(out.known, x).tolist():
-                holders[k].add(i)
-        out.holders = [np.array(sorted(x)) for x in holders]
-        width = 64 // blocks
-        ball = radius // blocks
-        values = np.arange(1 << width, dtype=np.uint64)
-        for block in range(blocks):
-            part = (out.prints >> _U(block * width)) & _U((1 << width) - 1)
-            out.tables.append([np.flatnonzero(np.bitwise_count(part ^ v) <= ball) for v in values])
+        sizes = {}
+        for m in sorted(set(words.counts.tolist()) - {0}):
+            mine = np.flatnonzero(words.counts == m).tolist()
+            sizes[m] = Sized.build(mine, [own[i] for i in mine], radius, blocks)
+        known = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(known & _U((1 << 20) - 1)).astype(np.int64)] = True
+        return cls(sizes, known, maybe, radius)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes are shingles of an item."""
+        out = np.zeros(len(hashes), bool)
+        maybe = np.flatnonzero(self.filter[(hashes & _U((1 << 20) - 1)).astype(np.int64)])
+        if len(self.known):
+            out[maybe] = self.known[np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)] == hashes[maybe]
         return out
 
-    def candidates(self, print_: np.uint64, radius: int = RADIUS) -> np.ndarray:
-        """Items whose fingerprint is within ``radius`` of a window's."""
-        width = 64 // len(self.tables)
-        found = [t[int(print_ >> _U(k * width)) & ((1 << width) - 1)] for k, t in enumerate(self.tables)]
-        items = np.unique(np.concatenate(found))
-        return items[np.bitwise_count(self.prints[items] ^ print_) <= radius]
-
 
 def leaks_of(texts: pa.Array, index: Index, threshold: float = SIMILARITY, width: int = WIDTH, short: bool = False) -> list[list[tuple]]:
-    """For each text the items found in it: (item_id, start_word, n_words, similarity) of the best window.
+    """For each text the items found in it: (place of the item, start_word, n_words, similarity) of the best window.
 
     ``short``: items of fewer than ``width`` words are sought in longer texts as well.
     """
     out: list[list[tuple]] = [[] for _ in range(len(texts))]
-    if not len(index.ids):
-        return out
-    for a, b in slices(texts, SLICE_BYTES):
+    for a, b in slices(texts, SLICE_BYTES) if index.sizes else []:
         words = words_of(texts[a:b])
-        hashes, first, n = shingle_hashes(words, width)
-        maybe = np.flatnonzero(index.filter[(hashes & _U((1 << 20) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(index.known, hashes[maybe]), len(index.known) - 1)
-        real = index.known[at] == hashes[maybe]
-        seeds, at = maybe[real], at[real]
+        hashes, _, n = shingle_hashes(words, width)
+        held = np.concatenate([[0], np.cumsum(index.holds(hashes))])
         ends = np.cumsum(n)
-        text = np.searchsorted(ends, seeds, "right")
-        near: dict[tuple[int, int], list[int]] = {}
-        for t, s, k in zip(text.tolist(), seeds.tolist(), at.tolist()):
-            for item in index.holders[k].tolist():
-                near.setdefault((t, item), []).append(s)
-        for (t, item), places in near.items():
-            begin = int(ends[t] - n[t])
-            best = best_window(hashes[begin : int(ends[t])], int(words.counts[t]), np.array(places) - begin, item, index, threshold, width)
-            if best:
-                out[a + t].append((index.ids[item], best[0], best[1], best[2]))
-        for m in sorted({n for n in index.words if n < width}) if short else []:
+        for t in np.flatnonzero(held[ends] > held[ends - n]).tolist():
+            lo, hi = int(ends[t] - n[t]), int(ends[t])
+            out[a + t] += leaks_of_one(hashes[lo:hi], int(words.counts[t]), held[lo : hi + 1], index, threshold, width)
+        for m in [m for m in index.sizes if m < width] if short else []:
             for t, item, start in short_items(words, index, m):
-                # a text of fewer than ``width`` words has been compared as a whole
-                if not (words.counts[t] == m and (t, item) in near):
-                    out[a + t].append((index.ids[item], start, m, 1.0))
+                out[a + t].append((item, start, m, 1.0))
     return out
 
 
+def leaks_of_one(hashes: np.ndarray, n_words: int, held: np.ndarray, index: Index, threshold: float, width: int) -> list[tuple]:
+    """The items found in one text; ``held``: the number of items' shingles before each place."""
+    best: dict[int, tuple] = {}
+    places = np.flatnonzero(np.diff(held))
+    for m, sized in index.sizes.items():
+        if min(m, n_words) < width and m != n_words:  # a text or item of one shingle equals its like only
+            continue
+        size = min(m, n_words)
+        span, own = max(size - width + 1, 1), max(m - width + 1, 1)  # shingles of a window and of an item
+        needed = max(1, int(np.ceil(threshold / (1 + threshold) * (span + own) - 1e-9)))
+        last = len(hashes) - span
+        if last < 0 or len(places) < needed:
+            continue
+        # windows that hold ``needed`` of the places: all that start between the last and the first of such a run
+        first, upto = np.maximum(places[needed - 1 :] - span + 1, 0), np.minimum(places[: len(places) - needed + 1], last)
+        mark = np.zeros(last + 2, np.int64)
+        some = first <= upto
+        np.add.at(mark, first[some], 1)
+        np.add.at(mark, upto[some] + 1, -1)
+        starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+        if not len(starts):
+            continue
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1):
+            for k in range(0, len(run), WINDOWS_AT_ONCE):
+                part = run[k : k + WINDOWS_AT_ONCE]
+                prints = sliding_simhashes(hashes[part[0] : part[-1] + span], span)
+                for window, item in zip(*(x.tolist() for x in sized.look_up(prints, index.radius))):
+                    s, place = int(part[window]), int(sized.items[item])
+                    found = similarity(hashes[s : s + span], sized.shingles[item])
+                    if found >= threshold and (place not in best or found > best[place][3]):
+                        best[place] = (place, s, size, found)
+    return [best[i] for i in sorted(best)]
+
+
 def short_items(words: Words, index: Index, m: int) -> Iterator[tuple[int, int, int]]:
-    """(text, item, first word) of the first window equal to each item of ``m`` words; such an item is one shingle."""
+    """(text, place of the item, first word) of the first window equal to each item of ``m`` words, in texts of more words.
+
+    Such an item is one shingle, and its fingerprint that shingle's hash.
+    """
     hashes, _, n = shingle_hashes(words, m)
-    whole = np.repeat(words.counts >= m, n)
-    maybe = np.flatnonzero(whole & index.filter[(hashes & _U((1 << 20) - 1)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(index.known, hashes[maybe]), len(index.known) - 1)
-    real = index.known[at] == hashes[maybe]
-    seeds, at = maybe[real], at[real]
-    ends = np.cumsum(n)
-    text = np.searchsorted(ends, seeds, "right")
-    _, once = np.unique(text * len(index.known) + at, return_index=True)
-    for t, s, k in zip(text[once].tolist(), seeds[once].tolist(), at[once].tolist()):
-        for item in index.holders[k].tolist():
-            if index.words[item] == m:
-                yield t, item, s - int(ends[t] - n[t])
-
-
-def best_window(hashes: np.ndarray, n_words: int, seeds: np.ndarray, item: int, index: Index, threshold: float, width: int) -> tuple | None:
-    """(start, words, similarity) of the best item-sized window that holds a seed and passes the fingerprint index."""
-    size = min(index.words[item], n_words)
-    span = max(size - width + 1, 1)  # shingles of a window
-    last = len(hashes) - span
-    if last < 0:
-        return None
-    mark = np.zeros(last + 2, np.int64)
-    np.add.at(mark, np.maximum(seeds - span + 1, 0), 1)
-    np.add.at(mark, np.minimum(seeds, last) + 1, -1)
-    starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-    own = index.shingles[item]
-    # a window shares at most as many shingles as it has places with a shingle of the item
-    held = np.concatenate([[0], np.cumsum(np.isin(hashes, own))])
-    common = np.minimum(held[starts + span] - held[starts], len(own))
-    starts = starts[common >= threshold * (span + len(own) - common)]
-    best = None
-    if not len(starts):
-        return None
-    cuts = np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1)
-    for run in cuts:
-        prints = sliding_simhashes(hashes[run[0] : run[-1] + span], span)
-        for s, p in zip(run.tolist(), prints):
-            if item in index.candidates(p):
-                found = similarity(hashes[s : s + span], own)
-                if found >= threshold and (best is None or found > best[2]):
-                    best = (s, size, found)
-    return best
-
-
-def item_groups(benchmark: DataFrame, item_id: str, text: str, most: int = GROUP_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in groups of bounded size."""
-    group: list[tuple[int, str]] = []
+    seeds = np.flatnonzero(np.repeat(words.counts > m, n) & index.holds(hashes))
+    sized, ends, seen = index.sizes[m], np.cumsum(n), set()
+    for window, item in zip(*(x.tolist() for x in sized.look_up(hashes[seeds], index.radius))):
+        s = int(seeds[window])
+        t = int(np.searchsorted(ends, s, "right"))
+        if sized.shingles[item][0] == hashes[s] and (t, item) not in seen:
+            seen.add((t, item))
+            yield t, int(sized.items[item]), s - int(ends[t] - n[t])
+
+
+def item_groups(benchmark: DataFrame, item_id: str, text: str, most: int = GROUP_WORDS) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts): the benchmark in groups of bounded size."""
+    ids: list = []
+    texts: list[str] = []
     size = 0
-    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), F.col(text).cast("string"))
+    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item_id), F.col(text).cast("string"))
     for i, t in rows.toLocalIterator():
         n = t.count(" ") + 1
-        if group and size + n > most:
-            yield group
-            group, size = [], 0
-        group.append((i, t))
+        if ids and size + n > most:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(i)
+        texts.append(t)
         size += n
-    if group:
-        yield group
+    if ids:
+        yield ids, texts
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, short: bool = False) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, short: bool = False, group_words: int = GROUP_WORDS) -> DataFrame:
     """``docs`` with ``leaks``, an array of (item_id, start_word, n_words, similarity), empty if clean.
 
     ``short``: items of fewer than ``WIDTH`` words are found inside longer documents as well.
     """
-    kind = f"array<struct<{', '.join(x.replace(' ', ': ') for x in LEAK.split(', '))}>>"
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
+    id_type = benchmark.schema[item_id].dataType
+    kind = f"array<struct<item_id: {id_type.simpleString()}, start_word: bigint, n_words: bigint, similarity: double>>"
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
     names = [f.name for f in arrow.value_type]
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -253,12 +268,20 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     def judge(sent):
         @F.arrow_udf(kind)
         def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            ids, index = sent.value
             for batch in batches:
-                leaks = leaks_of(pc.fill_null(batch, ""), sent.value, threshold, short=short)
-                yield pa.array([[dict(zip(names, x)) for x in row] for row in leaks], arrow)
+                leaks = leaks_of(pc.fill_null(batch, ""), index, threshold, short=short)
+                yield pa.array([[dict(zip(names, (ids[x[0]], *x[1:]))) for x in row] for row in leaks], arrow)
             release_memory()
 
         return judged(F.col(text).cast("string"))
 
-    found = [judge(spark.sparkContext.broadcast(Index.build(group))) for group in item_groups(benchmark, item_id, item_text)]
-    return docs.withColumn("leaks", F.concat(F.expr(f"cast(array() as {kind})"), *found))
+    out = docs.withColumn("leaks", F.expr(f"cast(array() as {kind})"))
+    sent = None
+    for ids, texts in item_groups(benchmark, item_id, item_text, group_words):
+        if sent is not None:
+            out = stored(out, "leaks")
+            sent.destroy()
+        sent = spark.sparkContext.broadcast((ids, Index.build(texts)))
+        out = out.withColumn("leaks", F.concat("leaks", judge(sent)))
+    return out
