@@ -61,6 +61,40 @@ def test_top_k(spark, block_rows):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_takes_the_nearest_score_of_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1e18, 2.0]), (4, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, df.filter("vec_id = 0"), 4).orderBy("rank").collect()]
+    most = (1 << 63) - 1
+    assert got == [(0, 1, 1, most), (0, 2, 3, most), (0, 3, 4, most), (0, 4, 2, -most)]
+
+
+def clustered_blocks(rnd, n):
+    """Blocks of 32 rows, each around a direction of its own."""
+    out = []
+    for k in range(n):
+        centre = rnd.normal(size=16) * 200
+        rows = np.floor(centre + rnd.normal(size=(32, 16)) * 10).astype(np.int64)
+        out.append((np.arange(32 * k, 32 * k + 32), rows, rows.min(0), rows.max(0)))
+    return out
+
+
+def test_top_k_prunes_blocks_and_more_with_a_known_score():
+    blocks = clustered_blocks(np.random.default_rng(1), 40)
+    rows = np.concatenate([b[1] for b in blocks])
+    queries_, ids = rows[::50], np.arange(len(rows))[::50]
+    none = np.full(len(ids), -topk.MOST)
+    best, scored = topk.best_of_cell(ids, queries_, blocks, 5, none)
+    want = brute_top([(i, (v / 256).tolist()) for i, v in enumerate(rows)], 5)
+    assert [(r.query_id, r.vec_id, r.score) for r in best.itertuples()] == [(q, j, s) for q, _, j, s in want]
+    assert scored < 0.5 * len(ids) * len(blocks)
+    floors = best.groupby("query_id")["score"].min().to_numpy()
+    first, mine = blocks[:20], blocks[20:]
+    apart = [topk.best_of_cell(ids, queries_, part, 5, none)[1] for part in (first, mine)]
+    shared = [topk.best_of_cell(ids, queries_, part, 5, floors)[1] for part in (first, mine)]
+    assert sum(shared) < sum(apart)
+
+
 def test_top_k_of_large_values():
     q, m = np.array([[1 << 40, -3]]), np.array([[1 << 20, 5], [-7, 1 << 50]])
     assert topk.product(q, m).tolist() == [[(1 << 60) - 15, -7 * (1 << 40) - 3 * (1 << 50)]]
@@ -84,9 +118,19 @@ URLS = {
 }
 
 
+def test_a_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame([("bad", "strict", None), ("soso", "soft", 1), ("soso", "soft", 3), ("meh", "soft", 2), ("bad", "soft", 9)], "term string, kind string, weight int")
+    words = url_filter.Vocabulary.from_table(table, soft_limit=5)
+    assert words == url_filter.Vocabulary(frozenset({"bad"}), {"soso": 3, "meh": 2}, 5)
+    urls = {"http://x/bad": "block", "http://x/badly": "allow", "soso-soso": "allow", "SOSO/meh": "block", "meh": "allow", "ébadé": "block", "bad\nsoso": "block", None: "allow"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.verdict for r in url_filter.judge_urls(df, vocabulary=words).collect()} == urls
+
+
 def test_urls(spark):
-    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*URLS, None])], "page_id bigint, url string, host string, verdict string")
+    df = spark.createDataFrame([(i, u, "x", "y", "z", "z") for i, u in enumerate([*URLS, None])], "page_id bigint, url string, host string, verdict string, url_hits string, `URL_judged` string")
     out = url_filter.judge_urls(df, "url", queries.URL_RULES).collect()
+    assert {(r.url_hits, r.URL_judged) for r in out} == {("z", "z")}
     assert len(out) == len(URLS) + 1
     for r in out:
         assert (r.host, r.path, r.rule, r.verdict) == URLS[r.url], r.url
@@ -109,7 +153,7 @@ def test_against_sql(spark, sf, name):
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from loomgraph.llm import langid
-    from tests.llm.test_texts import best_similarity, components, dedup, fingerprint, public
+    from tests.llm.test_texts import best_similarity, dedup, grouped, public
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
@@ -129,12 +173,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     df = spark.read.parquet(f"file://{tmp_path}/in/documents.parquet")
     model = langid.train(langid.training_texts(df, "doc_id", "text", "lang"))
     said = langid.predicted(pa.array([d["text"] for d in docs], pa.string()), model).to_pylist()
-    left = [d for d, s in zip(docs, said) if s["lang_pred"] != "und" and s["bits_per_byte"] <= corpus_pipeline.MOST_BITS_PER_BYTE]
+    excess = lambda d, s: (s["bits_per_byte"] - corpus_pipeline.MOST_BITS_PER_BYTE) * len(d["text"].encode())
+    left = [d for d, s in zip(docs, said) if s["lang_pred"] != "und" and excess(d, s) <= corpus_pipeline.EXCESS_BITS]
     cleaned = dedup([(d["doc_id"], d["text"], d["source"]) for d in left], 10)
     left = [d | {"text": t} for d, t in zip(left, cleaned) if t == d["text"] or t.strip()]
-    prints = [(d["doc_id"], fingerprint(d["text"])) for d in left]
-    root = components(prints)
-    left = [d for d, (i, f) in zip(left, prints) if root[f] == i]
+    root = grouped([(d["doc_id"], d["text"]) for d in left])
+    left = [d for d in left if root[d["doc_id"]] == d["doc_id"]]
     left = [d for d in left if not any(best_similarity(d["text"], b["text"]) >= 0.8 for b in bench)]
     from tokenizers import Tokenizer
 
@@ -156,3 +200,4 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark, odd_docs, tmp_path):
             out = stage(spark, rows, f"file://{tmp_path}")
             assert out.columns == docs.columns, name
             assert out.count() <= rows.count()
+        assert corpus_pipeline.encode(spark, rows, f"file://{tmp_path}").count() == rows.count()

@@ -76,6 +76,24 @@ def dedup(rows, min_sites):
     return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, (_, t, _) in enumerate(rows)]
 
 
+def grouped(rows):
+    """{id: smallest id of its group}: texts linked by a similarity of 0.8 or more of their sets of 5-word shingles, all with all."""
+    sets = {}
+    for i, text in rows:
+        w = words3(text or "")
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    root = {i: i for i in sets}
+    near = [(i, j) for i in sets for j in sets if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    return root
+
+
 def bag(text, width=5):
     w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
     return w, [tuple(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else ([tuple(w)] if w else [])
@@ -146,6 +164,25 @@ def test_links_cover_every_pair_within_the_radius(spark):
     assert got == {(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3}
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    prints = {1: 0, None: 0b111, 3: 0b111111, 4: 1 << 40, 5: 0b1111 << 50}
+    texts = {f"text {k}": v for k, v in prints.items()}
+    rows = [(k, f"text {k}") for k in prints] + [(None, "text 4")]
+    marked = spark.createDataFrame([(i, texts[t] - (1 << 64) if texts[t] >> 63 else texts[t]) for i, t in rows], "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *a: marked)
+    out = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: v for (k, _), v in out.items() if k} == {1: 1, 3: 1, 4: 1, 5: 5} and out[None, f"{7:016x}"] == 1
+
+
+def test_documents_that_share_an_id_lose_their_own_lines_only(spark):
+    line = "Subscribe to our newsletter"
+    rows = [(i, f"{line}\nown {i}", f"s{i}") for i in range(12)] + [(20, f"a\n{line}\n", "x"), (20, f"b\nc\n{line}", "x"), (20, f"b\nc\n{line}", None), (None, f"{line}\n\nd", "x"), (None, "d", "x")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)).collect()
+    want = dedup([(-1 if i is None else i, t, s) for i, t, s in rows], 10)
+    assert sorted(((r.doc_id, r.text, r.source) for r in out), key=str) == sorted(((i, t, s) for (i, _, s), t in zip(rows, want)), key=str)
+    assert [r.n_lines for r in out if r.text == "a\n"] == [3]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from loomgraph.llm.graph import components as joined
 
@@ -207,18 +244,75 @@ def test_leaks_of_odd_rows(spark, odd_docs, odd_rows):
 
 def test_every_print_within_the_radius_is_a_candidate():
     rnd = random.Random(2)
-    index = decontaminate.Index.build([(i, " ".join(f"a{rnd.randint(0, 99)}" for _ in range(20))) for i in range(30)])
-    for item, p in enumerate(index.prints.tolist()):
-        for n in (0, 1, 10, decontaminate.RADIUS):
+    index = decontaminate.Index.build([" ".join(f"a{rnd.randint(0, 99)}" for _ in range(20)) for _ in range(30)])
+    sized = index.sizes[20]
+    for item, p in enumerate(sized.prints.tolist()):
+        for n in (0, 1, 10, decontaminate.RADIUS, decontaminate.RADIUS + 1):
             x = p
             for b in rnd.sample(range(64), n):
                 x ^= 1 << b
-            assert item in index.candidates(np.uint64(x))
+            found = sized.look_up(np.array([x], np.uint64), decontaminate.RADIUS)[1].tolist()
+            assert (item in found) == (n <= decontaminate.RADIUS)
+
+
+def leaky_texts(rnd, n, size):
+    """Texts that each hold an edited item of ``size`` words, with the similarity of the best window."""
+    items = [[f"i{k}w{rnd.randint(0, 5000)}" for _ in range(size)] for k in range(40)]
+    out = []
+    while len(out) < n:
+        k = rnd.randrange(len(items))
+        leak = list(items[k])
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            leak[rnd.randrange(size)] = "zz"
+        text = " ".join([f"x{rnd.randint(0, 9999)}" for _ in range(rnd.randint(0, 40))] + leak + ["end"])
+        if best_similarity(text, " ".join(items[k])) >= 0.8:
+            out.append((k, text))
+    return [" ".join(x) for x in items], out
+
+
+def test_recall_of_the_blocks_and_that_matches_come_from_them():
+    rnd = random.Random(9)
+    found = total = 0
+    for size in (30, 60, 120):
+        items, texts = leaky_texts(rnd, 300, size)
+        index = decontaminate.Index.build(items)
+        leaks = decontaminate.leaks_of(pa.array([t for _, t in texts]), index)
+        found += sum(k in [x[0] for x in got] for (k, _), got in zip(texts, leaks))
+        total += len(texts)
+        for sized in index.sizes.values():
+            sized.tables = [(np.zeros_like(offsets), held[:0]) for offsets, held in sized.tables]
+        assert not any(decontaminate.leaks_of(pa.array([t for _, t in texts]), index))
+    assert found >= 0.99 * total
+
+
+def test_leaks_with_items_in_several_groups_and_ids_of_any_type(spark):
+    rnd = random.Random(5)
+    items, texts = leaky_texts(rnd, 30, 40)
+    docs = spark.createDataFrame(list(enumerate(t for _, t in texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(f"item-{i}", t) for i, t in enumerate(items)], "item_id string, text string")
+    whole = {(r.doc_id, x) for r in decontaminate.with_leaks(docs, bench).collect() for x in r.leaks}
+    parts = {(r.doc_id, x) for r in decontaminate.with_leaks(docs, bench, group_words=200).collect() for x in r.leaks}
+    assert whole == parts and {(i, f"item-{k}") for i, (k, _) in enumerate(texts)} <= {(i, x.item_id) for i, x in whole}
 
 
 # ---- tokens
 
 
+def test_pieces_are_encoded_as_the_library_does():
+    rnd = random.Random(3)
+    bits = ["a", "Zz", "é", "ß", "×", "÷", "ÿ", "Ÿ", "漢", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2003", "'s", "'ll", "'", "don't", "1", "23", "_", "-", "...", "<|endoftext|>", "<|end", "|>", "ª", "µ", "word", " the", "😀"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
+    ids, at = token_store.encode_texts(pa.array(texts), public.path("byte_bpe_50k.json"), None)
+    for i, want in enumerate(reference_ids("byte_bpe_50k.json", texts)[1]):
+        assert ids[at[i] : at[i + 1]].tolist() == want, texts[i]
+
+
+def test_pieces_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"ab ab abc ab", np.uint8)
+    pieces, place = hashing.distinct(data, np.array([0, 3, 6, 10]))
+    assert pieces.to_pylist() == [b"ab ", b"abc ", b"ab"] and place.tolist() == [0, 0, 1, 2]
+
+
 def reference_ids(name, texts):
     from tokenizers import Tokenizer
 
