@@ -4,29 +4,37 @@ Texts are UTF-8 bytes; strings never cross documents; "earlier" is a smaller doc
 or an earlier start in the same document. Overlaps count, and strings are judged on the
 input.
 
-Method, exact and without sorting the whole corpus in one place:
+Method: repeats come out of suffix arrays, built by linear grouping (see ``suffix_sort``),
+over those parts of the corpus that can hold any:
 
 1. Anchors. Every window of ``LENGTH`` bytes is assigned to the position of its smallest
    ``GRAM``-byte hash (rightmost of equals). That depends on the window's bytes only, so
    equal windows have equal anchors at equal offsets. Consecutive windows with one anchor
    form a stretch, its context (at most 2 x LENGTH - GRAM bytes).
-2. Equal contexts (by two 64-bit hashes) collapse, first within a task, then in one
-   shuffle by anchor: all but the first are repeats, without any sorting of text.
-3. Where an anchor has several distinct contexts, only the first of each is left to
-   judge. Their bytes are cut out of the documents, keyed by the 66 or 67 bytes that each
-   of their windows holds around the anchor (this splits frequent short strings), and
-   trimmed to what another context of the key shares.
-4. The remaining contexts are put into a suffix array by linear grouping (see
-   ``suffix_sort``); neighbours in it with 100 equal bytes are equal windows, of which all
-   but the first are repeats.
+2. Contexts meet by anchor in one shuffle, equal ones (80 bits of two hashes beside the 48 of
+   the anchor) next to each other. The second of equal contexts is paired with the first;
+   where an anchor has several distinct contexts, the first of each is a candidate. Further
+   copies are collapsed, first within a task: they repeat what the second repeats.
+3. Pairs that go on in step through two documents are joined to runs, cut into pieces of
+   ``PIECE`` windows. Candidates are keyed by the 66 or 67 bytes that each of their windows
+   holds around the anchor (this splits frequent short strings), and trimmed to what
+   another candidate of the key shares.
+4. The two sides of a piece, and the candidates of a key, go into one suffix array;
+   neighbours in it with 100 equal bytes (compared) are equal windows, of which all but the
+   first are repeats.
 5. Spans meet their documents again, are merged, and cut out.
 
+So a window is removed because the array found it equal to an earlier one, or because its
+context equals, by hash, a second one of which the array tells. README has the shares.
+
 Skew: a copied document is one row per anchor and task after step 2's local collapse; the
-rows that are already known as repeats are dealt out by a hash of their place. A frequent
-line is split by its surroundings in step 3. The stream of step 2 holds one row of state.
+rows that are already known as repeats are dealt out by a hash of their place. Each context is
+paired once in its task and once over all, so no document has more pairs than contexts, however
+often it is copied. A key with more than ``MOST`` candidates is not gathered: its windows meet
+by two 64-bit hashes, one row each, like contexts in step 2, whose stream holds one row of state.
 
-Defined results: null and empty texts have no bytes and no spans. Ids are integers;
-documents that share an id come in the order of a hash of their text, each on its own.
+Defined results: null and empty texts have no bytes and no spans. Ids are integers, of any
+size; documents that share an id come in the order of a hash of their text, each on its own.
 Null ids sort first. An empty table gives an empty result. Extra columns aren't kept.
 """
 
@@ -37,19 +45,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bounded_batches, byte_view, release, slices, stored, tidy
 from loomgraph.llm.hashing import mixed, xxh64
-from loomgraph.llm.suffix_sort import suffix_array
+from loomgraph.llm.suffix_sort import suffix_arrays
 
 LENGTH = 100
 GRAM = 32
 SLICE_BYTES = 1 << 20
-SORT_BYTES = 8 << 10
 BATCH_BYTES = 4 << 20
 COLLAPSE_ROWS = 1 << 20
+PIECE = 1000
+MOST = 64
+CUTS_AT_ONCE = 1 << 14
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -92,7 +102,10 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, text number, anchor, first window, last window) of each stretch; places within the text."""
+    """(h, c, text number, anchor, first window, last window) of each stretch; places within the text.
+
+    h holds 48 bits of the anchor's hash and 16 of the context's, from its grams; c is another hash of the context.
+    """
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64))
     if len(data) < LENGTH:
         return none
@@ -113,7 +126,11 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     ctx = xxh64(data, first, last + LENGTH - first)
     mine = text[first]
     base = offsets[mine]
-    return hashes[p].view(np.int64), (ctx ^ mixed((p - first).astype(np.uint64))).view(np.int64), mine, p - base, first - base, last - base
+    grams, end = hashes[first], last + LENGTH - GRAM
+    for k in range(1, -(-(2 * LENGTH - GRAM) // GRAM)):
+        grams = mixed(grams * _BASE + hashes[np.minimum(first + k * GRAM, end)])
+    h = (hashes[p] & ~_U(0xFFFF)) | (grams >> _U(48))
+    return h.view(np.int64), (ctx ^ mixed((p - first).astype(np.uint64))).view(np.int64), mine, p - base, first - base, last - base
 
 
 def packed_at(p, first, last):
@@ -126,11 +143,12 @@ def unpacked_at(at):
     return p, p - ((at >> 8) & 255), p - (at & 255)
 
 
-REPEAT, SINGLE = 1, 0
+SINGLE, REPEAT, PAIR = 0, 1, 2
+ROWS = "kind byte, h bigint, c bigint, doc bigint, at bigint"
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(kind, h, c, doc, at) over (doc, text): first of equal contexts in a task, or a known repeat."""
+    """(kind, h, c, doc, at) over (doc, text): the first of equal contexts in a task, or a known repeat; of a PAIR, (h, c) is the place (doc, at) of the first."""
 
     def collapsed(parts: list[tuple]) -> pa.RecordBatch:
         h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
@@ -138,9 +156,13 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         h, c, doc, at = h[order], c[order], doc[order], at[order]
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        # known repeats are dealt out by their place
-        h = np.where(again, mixed((doc * 1000003 + at).view(np.uint64)).view(np.int64), h)
-        return pa.RecordBatch.from_arrays([pa.array(again.astype(np.int8)), pa.array(h), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(at)], names=["kind", "h", "c", "doc", "at"])
+        second = again.copy()
+        second[1:] &= ~again[:-1]
+        kind = np.where(again, np.where(second, PAIR, REPEAT), SINGLE)
+        at_second = np.flatnonzero(second)
+        h[again], c[again] = 0, 0
+        h[at_second], c[at_second] = doc[at_second - 1], at[at_second - 1]
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), *(pa.array(x) for x in (h, c, doc, at))], names=["kind", "h", "c", "doc", "at"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -157,36 +179,38 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         if parts:
             yield collapsed(parts)
 
-    return docs.select("doc", "text").mapInArrow(tidy(run), "kind byte, h bigint, c bigint, doc bigint, at bigint")
+    return docs.select("doc", "text").mapInArrow(tidy(run), ROWS)
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(kind, doc, at): repeats, and the first of each context whose anchor has several."""
+    """(kind, doc, at, first_doc, first_at) of ``anchor_rows``: repeats, pairs with their firsts, and as SINGLE the first of each context whose anchor has several."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (h, c, doc, at) of a first row whose anchor has one context so far
-        last = None  # (h, c) of the last row
+        held = None  # (doc, at) of a first row whose anchor has one context so far
+        last = None  # (h, c, doc, at, whether it is its context's first) of the last row
         several = False
+        none = np.zeros(0, np.int64)
         for batch in batches:
             kind, h, c, doc, at = (np.asarray(x) for x in batch.columns)
-            out_kind, out_doc, out_at = [], [], []
+            out: list[tuple] = []
 
-            def put(k, d, a):
-                out_kind.append(np.full(len(d), k, np.int8))
-                out_doc.append(d)
-                out_at.append(a)
+            def put(k, d, a, first_d=None, first_a=None):
+                out.append((np.full(len(d), k, np.int8), d, a, np.zeros_like(d) if first_d is None else first_d, np.zeros_like(a) if first_a is None else first_a))
 
-            known = kind == REPEAT
-            put(REPEAT, doc[known], at[known])
-            h, c, doc, at = (x[~known] for x in (h, c, doc, at))
+            put(REPEAT, doc[kind == REPEAT], at[kind == REPEAT])
+            known = kind == PAIR
+            put(PAIR, doc[known], at[known], h[known], c[known])
+            h, c, doc, at = (x[kind == SINGLE] for x in (h, c, doc, at))
             if len(h):
-                new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
-                new_h[1:] = h[1:] != h[:-1]
-                new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
-                if last is not None:
-                    new_h[0] = h[0] != last[0]
-                    new_c[0] = new_h[0] or c[0] != last[1]
-                put(REPEAT, doc[~new_c], at[~new_c])
+                # the last row of the batch before stands in front
+                front = last if last is not None else (~h[0], c[0], 0, 0, True)
+                ph, pc_, pdoc, pat = (np.concatenate([[x], y[:-1]]) for x, y in zip(front, (h, c, doc, at)))
+                new_h = h >> 16 != ph >> 16
+                new_c = (h != ph) | (c != pc_)
+                second = ~new_c & np.concatenate([[front[4]], new_c[:-1]])
+                put(PAIR, doc[second], at[second], pdoc[second], pat[second])
+                more = ~new_c & ~second
+                put(REPEAT, doc[more], at[more])
                 run_of = np.cumsum(new_h)  # 0: goes on from the batch before
                 distinct = np.bincount(run_of, new_c, minlength=run_of[-1] + 1).astype(np.int64)
                 if last is not None:
@@ -203,45 +227,88 @@ def judged(rows: DataFrame) -> DataFrame:
                 tail = firsts[run_of[firsts] == run_of[-1]]
                 if not many[-1] and len(tail):
                     held = (doc[tail[0]], at[tail[0]])
-                last, several = (h[-1], c[-1]), bool(many[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_kind, out_doc, out_at)], names=["kind", "doc", "at"])
+                last, several = (h[-1], c[-1], doc[-1], at[-1], bool(new_c[-1])), bool(many[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none.astype(x[0].dtype), *x])) for x in zip(*out)], names=["kind", "doc", "at", "first_doc", "first_at"])
+
+    dealt = F.when(F.col("kind") == SINGLE, F.shiftright("h", 16)).otherwise(F.xxhash64("doc", "at"))
+    ordered = rows.repartition(dealt).sortWithinPartitions("h", "c", "doc", "at")
+    return ordered.mapInArrow(tidy(run), "kind byte, doc bigint, at bigint, first_doc bigint, first_at bigint")
 
-    ordered = rows.repartition(F.col("h")).sortWithinPartitions("h", "c", "doc", "at")
-    return ordered.mapInArrow(tidy(run), "kind byte, doc bigint, at bigint")
 
+def places(marks: DataFrame) -> DataFrame:
+    """(doc, places): what is to be cut out of each document: candidates (role -1), and of pairs the first (0) and the second (1)."""
+    pair = marks.filter(F.col("kind") == PAIR)
+    step = F.shiftright("at", 16) - F.shiftright("first_at", 16)
+    found = marks.filter(F.col("kind") == SINGLE).select("doc", F.struct(F.lit(-1).alias("role"), F.lit(0).cast("bigint").alias("other"), F.lit(0).cast("bigint").alias("step"), "at").alias("x"))
+    found = found.unionAll(pair.select("doc", F.struct(F.lit(1).alias("role"), F.col("first_doc").alias("other"), step.alias("step"), "at").alias("x")))
+    found = found.unionAll(pair.select(F.col("first_doc").alias("doc"), F.struct(F.lit(0).alias("role"), F.col("doc").alias("other"), step.alias("step"), F.col("first_at").alias("at")).alias("x")))
+    return found.groupBy("doc").agg(F.collect_list("x").alias("places"))
 
-def cut_out(docs: DataFrame, unsure: DataFrame) -> DataFrame:
-    """(key, doc, start, anchor, bytes): the contexts to sort, on the left and on the right of their anchors."""
+
+CUTS = "key bigint, doc bigint, start bigint, anchor int, bytes binary"
+
+
+def cut_out(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, doc, start, anchor, bytes): the strings to sort; anchor is -1 in pieces of pairs."""
     side = 2 * LENGTH - GRAM - LENGTH  # 68: the most that lies on one side of a gram
     half = side // 2
 
+    def candidates(data, doc, base, at):
+        p, first, last = unpacked_at(at)
+        found = []
+        # windows that hold the half before the gram, and those that hold the half after it
+        for lo, hi, left, width, salt in ((np.maximum(first, p - half), last, 0, GRAM + half, 0), (first, np.minimum(last, p - half - 1), half + 1, GRAM + half + 1, 1)):
+            ok = lo <= hi
+            key = mixed(xxh64(data, (base + p - left)[ok], np.full(int(ok.sum()), width)) + _U(salt))
+            found.append((key.view(np.int64), doc[ok], lo[ok], (p - lo)[ok], base[ok], (hi + LENGTH - lo)[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def pieces(doc, base, role, other, step, at):
+        p, first, last = unpacked_at(at)
+        order = np.lexsort((first, step, other, role, doc))
+        doc, base, role, other, step, first, last = (x[order] for x in (doc, base, role, other, step, first, last))
+        new = np.ones(len(doc), bool)
+        new[1:] = first[1:] != last[:-1] + 1
+        for x in (doc, role, other, step):
+            new[1:] |= x[1:] != x[:-1]
+        lead = np.flatnonzero(new)
+        first, last = first[lead], last[np.append(lead[1:], len(doc)) - 1] if len(lead) else last
+        n = -(-(last - first + 1) // PIECE)
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        doc, base, role, other, step, first, last = (np.repeat(x, n) for x in (doc[lead], base[lead], role[lead], other[lead], step[lead], first, last))
+        first = first + k * PIECE
+        last = np.minimum(last, first + PIECE - 1)
+        # both sides of a pair name it by the first document, the second, and the place in the second
+        key = np.zeros(len(doc), np.uint64)
+        for x in (np.where(role == 0, doc, other), np.where(role == 0, other, doc), step, np.where(role == 0, first + step, first)):
+            key = mixed(key * _BASE + x.view(np.uint64) + _U(1))
+        return key.view(np.int64), doc, first, np.full(len(doc), -1), base, last - first + LENGTH
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), BATCH_BYTES):
                 data, offsets = byte_view(batch.column(1)[a:b], "")
                 lists = batch.column(2)[a:b]
                 n = np.asarray(lists.value_lengths(), np.int64)
-                at = np.asarray(lists.flatten(), np.int64)
+                role, other, step, at = (np.asarray(lists.flatten().field(k), np.int64) for k in range(4))
                 doc = np.repeat(np.asarray(batch.column(0)[a:b], np.int64), n)
                 base = np.repeat(offsets[:-1], n)
-                p, first, last = unpacked_at(at)
-                found = []
-                # windows that hold the half before the gram, and those that hold the half after it
-                for lo, hi, left, width, salt in ((np.maximum(first, p - half), last, 0, GRAM + half, 0), (first, np.minimum(last, p - half - 1), half + 1, GRAM + half + 1, 1)):
-                    ok = lo <= hi
-                    key = mixed(xxh64(data, (base + p - left)[ok], np.full(int(ok.sum()), width)) + _U(salt))
-                    found.append((key.view(np.int64), doc[ok], lo[ok], (p - lo)[ok], (base + lo)[ok], (hi + LENGTH - lo)[ok]))
-                key, doc, start, rel, here, size = (np.concatenate(x) for x in zip(*found))
+                lone = role < 0
+                found = candidates(data, doc[lone], base[lone], at[lone]), pieces(*(x[~lone] for x in (doc, base, role, other, step, at)))
+                key, doc, start, rel, base, size = (np.concatenate(x) for x in zip(*found))
                 raw = data.tobytes()
-                cut = [raw[i : i + k] for i, k in zip(here.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), pa.array(rel.astype(np.int32)), pa.array(cut, pa.binary())], names=["key", "doc", "start", "anchor", "bytes"])
+                for k in range(0, len(key), CUTS_AT_ONCE):
+                    mine = slice(k, k + CUTS_AT_ONCE)
+                    cut = [raw[i : i + m] for i, m in zip((base + start)[mine].tolist(), size[mine].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[mine]), pa.array(doc[mine]), pa.array(start[mine]), pa.array(rel[mine].astype(np.int32)), pa.array(cut, pa.binary())], names=["key", "doc", "start", "anchor", "bytes"])
 
-    places = unsure.groupBy("doc").agg(F.collect_list("at").alias("at"))
-    return docs.join(places, "doc").select("doc", "text", "at").mapInArrow(tidy(run), "key bigint, doc bigint, start bigint, anchor int, bytes binary")
+    return docs.join(places(marks), "doc").select("doc", "text", "places").mapInArrow(tidy(run), CUTS)
 
 
 def shared_reach(group: np.ndarray, strings: list[bytes], width: int) -> np.ndarray:
     """How many leading bytes each string shares with another one of its group, at most ``width``."""
+    if not strings:
+        return np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     table = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), np.uint8).reshape(-1, width)
     keyed = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), table], 1)
@@ -257,77 +324,90 @@ def shared_reach(group: np.ndarray, strings: list[bytes], width: int) -> np.ndar
 
 
 def repeats_of(key: np.ndarray, doc: np.ndarray, start: np.ndarray, anchor: np.ndarray, cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first window, last window) of repeated windows among contexts, sorted by key, doc, start."""
-    nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
-    if not len(key):
-        return nothing
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    """(doc, first window, last window) of repeated windows among strings, sorted by key, doc, start."""
+    new = np.diff(key, prepend=~key[:1]) != 0
     group = np.cumsum(new) - 1
-    some = np.bincount(group)[group] > 1
+    keep = np.bincount(group, minlength=1)[group] > 1
+    anchor = anchor.astype(np.int64)
+    lone = np.flatnonzero(keep & (anchor >= 0))
+    # what no other candidate shares can't repeat
+    right = shared_reach(group[lone], [cut[i][anchor[i] :] for i in lone.tolist()], LENGTH)
+    left = shared_reach(group[lone], [cut[i][: anchor[i]][::-1] for i in lone.tolist()], LENGTH)
+    ok = left + right >= LENGTH
+    trimmed = zip(lone[ok].tolist(), left[ok].tolist(), right[ok].tolist())
+    pairs = np.flatnonzero(keep & (anchor < 0))
+    group, doc, start = (np.concatenate([x[pairs], x[lone[ok]]]) for x in (group, doc, start + np.maximum(anchor, 0)))
+    strings = [cut[i] for i in pairs.tolist()] + [cut[i][anchor[i] - m : anchor[i] + r] for i, m, r in trimmed]
+    start[len(pairs) :] -= left[ok]
+    return sorted_repeats(group, doc, start, strings)
+
+
+def sorted_repeats(group: np.ndarray, doc: np.ndarray, start: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first window, last window) of windows that an earlier one in the group equals, by a suffix array of each group's strings."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    new = np.diff(group, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(group)))
+    some = np.repeat(n > 1, n)
     if not some.any():
-        return nothing
-    keep = np.flatnonzero(some)
-    group, doc, start, anchor, cut = group[keep], doc[keep], start[keep], anchor[keep].astype(np.int64), [cut[i] for i in keep.tolist()]
-    # what no other context shares can't repeat
-    right = shared_reach(group, [x[a:] for x, a in zip(cut, anchor.tolist())], LENGTH)
-    left = shared_reach(group, [x[:a][::-1] for x, a in zip(cut, anchor.tolist())], LENGTH)
-    ok = np.flatnonzero(left + right >= LENGTH)
-    if not len(ok):
-        return nothing
-    group, doc, start, anchor, left, right = (x[ok] for x in (group, doc, start, anchor, left, right))
-    cut = [cut[i][a - m : a + r] for i, a, m, r in zip(ok.tolist(), anchor.tolist(), left.tolist(), right.tolist())]
-    start, anchor = start + anchor - left, left
-    # equal trimmed contexts: all but the first repeat throughout
-    seen: dict[tuple[int, int, bytes], int] = {}
-    again = np.zeros(len(cut), bool)
-    for i, k in enumerate(zip(group.tolist(), anchor.tolist(), cut)):
-        again[i] = seen.setdefault(k, i) != i
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    out = [(doc[again], start[again], (start + sizes - LENGTH)[again])]
-    rest = np.flatnonzero(~again)
-    counts = np.bincount(group[rest], minlength=int(group.max()) + 1)
-    rest = rest[counts[group[rest]] > 1]
-    first = 0
-    while first < len(rest):
-        # whole groups, up to about SORT_BYTES
-        upto, total = first, 0
-        while upto < len(rest) and (total < SORT_BYTES or group[rest[upto]] == group[rest[upto - 1]]):
-            total += int(sizes[rest[upto]])
-            upto += 1
-        mine = rest[first:upto]
-        out.append(sorted_repeats(doc[mine], start[mine], [cut[i] for i in mine.tolist()]))
-        first = upto
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def sorted_repeats(doc: np.ndarray, start: np.ndarray, cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Repeated windows among some contexts, by a suffix array of them all."""
-    n = len(cut)
-    symbols: list[int] = []
-    for i, x in enumerate(cut):
-        symbols += [b + n for b in x]
-        symbols.append(n - 1 - i)  # each context ends in a symbol of its own; the last is the smallest
-    array = np.array(suffix_array(symbols))
-    sizes = np.fromiter(map(len, cut), np.int64, n)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    if not some.all():
+        return sorted_repeats(group[some], doc[some], start[some], [x for x, k in zip(strings, some.tolist()) if k])
+    # each string ends in a symbol of its own, below all bytes; the last of a group is the smallest
+    data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    of = np.searchsorted(begin, array, "right") - 1
-    inside = array - begin[of]
-    window = inside + LENGTH <= sizes[of]
-    array, of, inside = array[window], of[window], inside[window]
-    data = np.frombuffer(b"\0".join(cut), np.uint8)
-    strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[array]
-    new = np.ones(len(array), bool)
-    new[1:] = (strings[1:] != strings[:-1]).any(1)
-    run = np.cumsum(new) - 1
-    d, s = doc[of], start[of] + inside
+    text = data.astype(np.int64) + np.repeat(np.repeat(n, n), sizes + 1)
+    text[begin + sizes] = np.repeat(n + first, n) - 1 - np.arange(len(group))
+    array = suffix_arrays(text, np.append(begin[first], len(data)))
+    of = np.repeat(np.arange(len(group)), sizes + 1)[array]
+    window = array - begin[of] + LENGTH <= sizes[of]
+    array, of = array[window], of[window]
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", buffer=data, strides=(1,))
+    same = np.flatnonzero(group[of[1:]] == group[of[:-1]])
+    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        same = same[words[array[same] + k] == words[array[same + 1] + k]]
+    fresh_ = np.ones(len(array), bool)
+    fresh_[same + 1] = False
+    run = np.cumsum(fresh_) - 1
+    many = np.bincount(run, minlength=1)[run] > 1
+    array, of, run = array[many], of[many], run[many]
+    d, s = doc[of], start[of] + array - begin[of]
     order = np.lexsort((s, d, run))
-    leads = np.ones(len(order), bool)
-    leads[1:] = run[order][1:] != run[order][:-1]
-    # a document's window may stand in two contexts; it is no repeat of itself
-    lead = order[np.flatnonzero(leads)][run]
-    repeat = (d != d[lead]) | (s != s[lead])
-    return d[repeat], s[repeat], s[repeat]
+    d, s, run = d[order], s[order], run[order]
+    lead = np.flatnonzero(np.diff(run, prepend=-1))
+    lead = np.repeat(lead, np.diff(np.append(lead, len(run))))
+    # a document's window may stand in two strings; it is no repeat of itself
+    again = (d != d[lead]) | (s != s[lead])
+    d, s = d[again], s[again]
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    first = np.flatnonzero(new)
+    return d[first], s[first], s[np.append(first[1:], len(d)) - 1] if len(first) else s[:0]
+
+
+def windows_of(cuts: DataFrame) -> DataFrame:
+    """Rows like ``anchor_rows`` for each window of some candidates, which meet by hash alone."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(4), SLICE_BYTES):
+                cut = batch.column(4)[a:b].cast(pa.large_binary())
+                offsets = np.frombuffer(cut.buffers()[1], np.int64)[cut.offset : cut.offset + len(cut) + 1]
+                data = np.frombuffer(cut.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                offsets = offsets - offsets[0]
+                n = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(offsets[:-1], n) + inside
+                full = np.full(len(at), LENGTH)
+                place = np.repeat(np.asarray(batch.column(2)[a:b], np.int64), n) + inside
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(at), np.int8)), *(pa.array(xxh64(data, at, full, seed).view(np.int64)) for seed in (42, 43)), pa.array(np.repeat(np.asarray(batch.column(1)[a:b], np.int64), n)), pa.array(packed_at(place, place, place))],
+                    names=["kind", "h", "c", "doc", "at"],
+                )
+
+    return cuts.mapInArrow(tidy(run), ROWS)
 
 
 def sorted_contexts(cuts: DataFrame) -> DataFrame:
@@ -338,6 +418,7 @@ def sorted_contexts(cuts: DataFrame) -> DataFrame:
         size = 0
 
         def solve(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
             found = repeats_of(*(np.asarray(table.column(i), np.int64) for i in range(4)), table.column(4).to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc", "first", "last"])
 
@@ -361,7 +442,7 @@ def sorted_contexts(cuts: DataFrame) -> DataFrame:
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, spans, kept) of (doc, text) and windows (doc, first, last)."""
+    """(doc, id, n_bytes, n_removed, n_spans, spans, kept) of (doc, id, text) and windows (doc, first, last)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,42 +469,42 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 kept = data[~gone].tobytes()
                 cuts = (offsets - upto[offsets]).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(of)), spans_out, pa.array([kept[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())],
-                    names=["doc", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
+                    [batch.column(0)[a:b], batch.column(3)[a:b], pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(of)), spans_out, pa.array([kept[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["doc", "id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
                 )
 
     grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
-    joined = docs.join(grouped, "doc", "left").select("doc", "text", "windows")
-    return joined.mapInArrow(tidy(run), "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    joined = docs.join(grouped, "doc", "left").select("doc", "text", "windows", "id")
+    return joined.mapInArrow(tidy(run), "doc bigint, id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges removed) and kept (bytes) of each document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     bounded_batches(spark)
-    rows, most, absent = unambiguous(rows)
+    rows = unambiguous(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")))
     marks = stored(judged(anchor_rows(rows)), "marks")
     release(spark)
-    unsure = marks.filter(F.col("kind") == SINGLE).select("doc", "at")
-    sorted_ = stored(sorted_contexts(cut_out(rows, unsure)), "sorted-windows")
+    cuts = stored(cut_out(rows, marks), "strings")
+    release(spark)
+    hot = stored(cuts.filter("anchor >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("key"), "hot-keys")
+    later = [marks.filter(F.col("kind") != SINGLE).select("doc", "at")]
+    if hot.limit(1).count():
+        later.append(stored(judged(windows_of(cuts.join(hot, "key", "left_semi"))).filter(F.col("kind") != SINGLE).select("doc", "at"), "hot-windows"))
+        cuts = cuts.join(hot, "key", "left_anti")
+    found = stored(sorted_contexts(cuts), "sorted-windows")
     release(spark)
-    known = marks.filter(F.col("kind") == REPEAT).select("doc", F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)").alias("first"), F.expr("shiftright(at, 16) - (at & 255)").alias("last"))
-    out = without_spans(rows, known.unionByName(sorted_)).withColumnRenamed("doc", "doc_id")
-    if most > 1:
-        out = out.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {most})) div {most}"))
-    return out if absent is None else out.withColumn("doc_id", F.expr(f"nullif(doc_id, {absent})"))
-
-
-def unambiguous(rows: DataFrame) -> tuple[DataFrame, int, int | None]:
-    """Rows (doc, text) under ids that differ, in order; what to divide ids by; the id that stands for null."""
-    counts = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    most, least, nulls = counts.agg(F.max("n"), F.min("doc"), F.count_if(F.col("doc").isNull())).first()
-    absent = (least or 0) - 1 if nulls else None
-    if nulls:
-        rows = rows.withColumn("doc", F.coalesce("doc", F.lit(absent)))
-    if (most or 1) == 1:
-        return rows, 1, absent
-    number = F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")) - 1
-    # written, because equal rows are numbered in any order
-    return stored(rows.withColumn("doc", F.col("doc") * most + number), "numbered"), most, absent
+    for x in later:
+        found = found.unionByName(x.select("doc", F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)").alias("first"), F.expr("shiftright(at, 16) - (at & 255)").alias("last")))
+    return without_spans(rows, found).withColumnRenamed("id", "doc_id").drop("doc")
+
+
+def unambiguous(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) with ``doc``, numbers that differ and are in order of id."""
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    most, nulls = counts.agg(F.max("n"), F.count_if(F.col("id").isNull())).first()
+    if (most or 1) == 1 and not nulls:
+        return rows.withColumn("doc", F.col("id"))
+    # numbers that grow with the partition and the row in it; written, because equal rows are numbered in any order
+    order = ["id", F.xxhash64("text"), "text"]
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()), "numbered")

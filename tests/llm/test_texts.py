@@ -125,11 +125,14 @@ def test_vector_xxh64_is_xxh64(parts):
     assert hashing.xxh64(data, starts, sizes).tolist() == [xxhash.xxh64_intdigest(p, 42) for p in parts]
 
 
-@given(st.lists(st.integers(1, 4), max_size=60))
+@given(st.lists(st.one_of(st.lists(st.integers(1, 4), max_size=60), st.builds(lambda x, n: x * n, st.lists(st.integers(1, 3), max_size=5), st.integers(1, 20))), max_size=6))
 @settings(max_examples=300, deadline=None)
-def test_suffix_array_by_grouping(symbols):
-    text = [*symbols, 0]
-    assert suffix_sort.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+def test_suffix_arrays_by_grouping(texts):
+    texts = [[*x, 0] for x in texts]
+    bounds = np.cumsum([0, *map(len, texts)])
+    got = suffix_sort.suffix_arrays(np.array([x for t in texts for x in t], np.int64), bounds)
+    want = [b + i for b, t in zip(bounds.tolist(), texts) for i in sorted(range(len(t)), key=lambda i: t[i:])]
+    assert got.tolist() == want
 
 
 # ---- SimHash
@@ -447,6 +450,44 @@ def test_repeats_of_odd_rows(odd_docs, odd_rows):
     assert suffix_dedup.remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def by_id(docs):
+    return [(i, *x) for (i, _), x in zip(docs, repeats(docs))]
+
+
+def test_repeats_of_one_line_in_many_documents(spark):
+    """A line of 98 bytes with other text on both sides: more candidates on one key than are gathered."""
+    rnd = random.Random(12)
+    line = "".join(rnd.choice("abcdefghij ") for _ in range(96))
+    say = lambda n: "".join(rnd.choice("klmnop") for _ in range(n))
+    docs = [(i, f"{say(rnd.randint(0, 150))}\n{line}\n{say(rnd.randint(0, 150))}") for i in range(5 * suffix_dedup.MOST)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    marks = suffix_dedup.judged(suffix_dedup.anchor_rows(rows.selectExpr("doc_id AS id", "text", "doc_id AS doc")))
+    keys = suffix_dedup.cut_out(rows.selectExpr("doc_id AS doc", "text"), marks).filter("anchor >= 0").groupBy("key").count()
+    assert keys.filter(f"count > {suffix_dedup.MOST}").count() > 0
+    want = by_id(docs)
+    assert sorted((i, *v) for i, v in removed(rows).items()) == want and sum(x[2] > 0 for x in want) > 100
+
+
+def test_repeats_of_large_and_repeated_ids(spark):
+    text = "".join(random.Random(3).choice("abcdefgh") for _ in range(300))
+    docs = [(-(1 << 63), text[:150]), (-5, "x" + text[:120]), (1 << 62, text), ((1 << 62) + 1, "q" + text[100:]), ((1 << 63) - 1, text + "z")]
+    assert sorted((i, *v) for i, v in removed(spark.createDataFrame(docs, "doc_id bigint, text string")).items()) == by_id(docs)
+    again = docs + [(1 << 62, text), ((1 << 63) - 1, text + "z")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(again, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == sorted((i, n) for i, _, n, *_ in by_id(sorted(again)))
+
+
+def test_repeats_come_out_of_the_array_byte_by_byte():
+    rnd = random.Random(8)
+    a = bytes(rnd.choice(b"abc") for _ in range(260))
+    b = bytearray(a)
+    b[130] ^= 1
+    one, two = np.zeros(2, np.int64), np.array([5, 9])
+    got = suffix_dedup.sorted_repeats(one, two, np.array([7, 1000]), [a, bytes(b)])
+    assert [x.tolist() for x in got] == [[9, 9], [1000, 1131], [1030, 1160]]
+    assert not len(suffix_dedup.sorted_repeats(np.arange(2), two, np.array([7, 1000]), [a, a])[0])
+
+
 def test_contexts_depend_on_the_window_only():
     rnd = random.Random(1)
     core = bytes(rnd.choice(b"abc ") for _ in range(300)).decode()
@@ -456,7 +497,7 @@ def test_contexts_depend_on_the_window_only():
     for k in range(len(h)):
         for s in range(first[k], last[k] + 1):
             w = data[offsets[text[k]] + s : offsets[text[k]] + s + 100].tobytes()
-            seen[w].add((int(h[k]), int(p[k] - s)))
+            seen[w].add((int(h[k]) >> 16, int(p[k] - s)))
     assert len(seen) > 201 and all(len(x) == 1 for x in seen.values())
 
 
