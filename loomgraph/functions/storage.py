@@ -18,15 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it again: later steps start from files, not from a long lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete all intermediate tables. Results that haven't been written or collected yet are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomgraph")
+    """Delete this application's intermediate tables. Results that haven't been written or collected yet are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,10 +7,27 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPACE, WORD = r"\s\x1c-\x1f\x85\p{Z}", r"\p{L}\p{N}_"
+#: What the shorthands of a pattern stand for in Unicode text
+_WIDE = {
+    "d": r"\p{Nd}", "s": f"[{SPACE}]", "S": f"[^{SPACE}]", "w": f"[{WORD}]",
+    "b": f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))",
+}
+
+
+def wide(pattern: str) -> str:
+    """The pattern with its digits, spaces, words and letter cases taken from all of Unicode."""
+    return re.sub(r"\\([dsSwb])", lambda m: _WIDE[m[1]], pattern).replace("(?i)", "(?iu)")
+
+
+def lstrip(col: Column) -> Column:
+    """Without white space at the start."""
+    return F.regexp_replace(col, wide(r"^\s+"), "")
+
 
 def strip(col: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, wide(r"^\s+|\s+$"), "")
 
 
 def rstrip(col: Column, chars: str) -> Column:
@@ -25,35 +42,36 @@ def or_else(col: Column, other: Column) -> Column:
 
 def paragraphs_of(text: Column, break_: str) -> Column:
     """Stripped, non-empty paragraphs; the whole text if there is none."""
-    found = F.filter(F.transform(F.split(text, break_), strip), lambda p: p != "")
+    found = F.filter(F.transform(F.split(text, wide(break_)), strip), lambda p: p != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 
-def find_all(df: DataFrame, keys: list[str], text: str, pattern: Column | str) -> DataFrame:
-    """A row for each match: the columns of ``df`` with ord, match, start, end.
+def let(value: Column, f) -> Column:
+    """f(value), with ``value`` evaluated once although lambdas inside ``f`` use it often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def matches(text: Column, pattern: Column | str) -> Column:
+    """An array of (gap, match): each match in ``text``, and how many characters lie between it and the one before.
 
-    Gaps and matches alternate, so a match starts after all gaps up to it and all
-    matches before it. ``keys`` name a row of ``df``. Rows without a match are dropped
-    before anything is exploded.
+    ``placed`` tells where they stand.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    # zipped, not looked up by place: an expression inside a lambda would be evaluated for each match
-    pairs = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.regexp_extract_all(F.col(text), p, F.lit(0)).alias("match"))
-    out = df.filter(F.regexp_like(F.col(text), p)).select("*", F.posexplode(pairs).alias("ord", "__m"))
-    out = out.select(*df.columns, "ord", F.col("__m").getField("gap").alias("__gap"), F.col("__m").getField("match").alias("match")).filter("match is not null")
-    upto = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("__gap") + F.length("match")).over(upto).cast("int")
-    return out.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).drop("__gap")
+    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("match"))
+    # what follows the last match has none
+    return F.transform(F.filter(pairs, lambda x: x["match"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match")))
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with ``value`` evaluated once although lambdas inside ``f`` use it often."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def placed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` with start and end in place of gap: gaps and matches alternate, so a match ends after all of both up to it. ``keys`` name a text."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("match")).over(upto).cast("int")
+    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).drop("gap")
 
 
-def quoted(col: Column) -> Column:
-    """A pattern that matches the string itself."""
-    return F.concat(F.lit(r"\Q"), col, F.lit(r"\E"))
+def in_any_case(phrase: str) -> str:
+    """A pattern for what becomes an ASCII phrase in lower case: letters of either case, and the Kelvin sign for k."""
+    return "(?i)" + re.escape(phrase).replace("k", "[k\u212a]")
 
 
 def in_list(col: Column, values: list[str]) -> Column:

@@ -96,15 +96,15 @@ STOPWORDS = [
 
 # ---- Fixed values: patterns and phrases of the security overlay
 
-CVE = r"(?i)CVE-[0-9]{4}-[0-9]{4,}"
-CWE = r"(?i)CWE-[0-9]{1,4}"
-VERSION = r"\b[0-9]+\.[0-9]+(?:\.[0-9]+)*(?:-[a-zA-Z0-9]+)?\b"
+CVE = r"(?i)CVE-\d{4}-\d{4,}"
+CWE = r"(?i)CWE-\d{1,4}"
+VERSION = r"\b\d+\.\d+(?:\.\d+)*(?:-[a-zA-Z0-9]+)?\b"
 SEVERITY = r"(?i)\b(critical|high|medium|moderate|low|informational)\s*(?:severity|risk|impact)?\b"
 CODE_ELEMENT = (
     r"(?i)\b(strcpy|strcat|sprintf|gets|scanf|memcpy|memmove|malloc|free|"
     r"printf|fprintf|eval|exec|system|popen|fork|[a-z_][a-z0-9_]*\(\))\b"
 )
-CVSS = r"(?i)\b(?:CVSS[:\s]*)?([0-9]+\.?[0-9]*)\s*/\s*10\b"
+CVSS = r"(?i)\b(?:CVSS[:\s]*)?(\d+\.?\d*)\s*/\s*10\b"
 SOFTWARE = [
     "apache", "apache http server", "nginx", "iis", "tomcat", "openssl", "openssh", "linux kernel",
     "windows", "macos", "mysql", "postgresql", "mongodb", "redis", "elasticsearch", "python", "java",
@@ -186,8 +186,16 @@ EDGE_TYPE_OF_LABEL = {
     "CALL": "ENTITY_REL", "DOMINATE": "DISCOURSE", "EVAL_TYPE": "SIMILARITY",
 }
 #: what a merge uses (a label missing here becomes TOKEN, or DEP for edges)
-MERGE_NODE_TYPE = {k: v for k, v in NODE_TYPE_OF_LABEL.items() if k != "METHOD_BLOCK"}
-MERGE_EDGE_TYPE = {k: EDGE_TYPE_OF_LABEL[k] for k in ("AST", "CFG", "REACHING_DEF", "CDG", "ARGUMENT", "CONTAINS")}
+MERGE_NODE_TYPE = {
+    "METHOD": "DOCUMENT", "BLOCK": "PARAGRAPH", "CALL": "PREDICATE", "IDENTIFIER": "ENTITY",
+    "LITERAL": "TOKEN", "CONTROL_STRUCTURE": "CLAUSE", "PARAM": "ARGUMENT", "LOCAL": "ARGUMENT",
+    "FIELD_IDENTIFIER": "NOUN_PHRASE", "TYPE": "CONCEPT", "RETURN": "VERB_PHRASE",
+    "UNKNOWN": "MENTION", "META_DATA": "TOPIC",
+}
+MERGE_EDGE_TYPE = {
+    "AST": "DEP", "CFG": "NEXT_TOKEN", "REACHING_DEF": "COREF", "CDG": "RST_RELATION",
+    "ARGUMENT": "SRL_ARG", "CONTAINS": "CONTAINS",
+}
 
 # ---- Fixed values: names and sentences that exports and metadata carry
 
@@ -197,6 +205,6 @@ FLOW_SENTENCE = "Text-described attack vector '%s' maps to CPG data flow reachin
 
 # ---- Patterns of the rule annotator (our own; they read the same in Java and RE2)
 
-PARAGRAPH_BREAK = r"\n\s*\n"
+PARAGRAPH_BREAK = r"\n\s*\n"  # a fixed value
 SENTENCE = r"[^.!?]+(?:[.!?]+[^\s.!?][^.!?]*)*[.!?]*|[.!?]+"
-TOKEN = r"[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]"
+TOKEN = r"[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}]"

@@ -7,6 +7,7 @@ paragraph, ``token_idx`` those of a sentence; ``sent_idx`` runs over the documen
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Protocol
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
-from loomgraph.functions.text import find_all, paragraphs_of, strip
+from loomgraph.functions.text import lstrip, matches, paragraphs_of, placed, strip
 
 TOKEN_SCHEMA = (
     "doc_id {id}, para_idx int, sent_idx int, token_idx int, i int, text string, lemma string, pos string, dep string, "
@@ -52,7 +53,7 @@ class Annotator(Protocol):
 
 
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text), dealt by doc_id once; a null text is empty."""
+    """(doc_id, text), dealt by doc_id once, which all windows and joins within a document go on from; a null text is empty."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("doc_id")
 
 
@@ -60,25 +61,26 @@ def split_paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text"), lex.PARAGRAPH_BREAK)).alias("para_idx", "text"))
 
 
-def split_sentences(paragraphs: DataFrame) -> DataFrame:
-    """Stripped sentences; one that is white space only is dropped."""
-    pieces = paragraphs.select("doc_id", "para_idx", F.posexplode(F.regexp_extract_all("text", F.lit(lex.SENTENCE), F.lit(0))).alias("k", "raw"))
+def split_sentences(docs: DataFrame) -> DataFrame:
+    """Stripped sentences of documents (doc_id, text); one that is white space only is dropped."""
+    pieces = split_paragraphs(docs).select("doc_id", "para_idx", F.posexplode(F.regexp_extract_all("text", F.lit(lex.SENTENCE), F.lit(0))).alias("k", "raw"))
     before = Window.partitionBy("doc_id", "para_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
-    placed = pieces.withColumn("char_start", (F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)) + lead).cast("int"))
-    placed = placed.withColumn("text", strip(F.col("raw"))).filter(F.col("text") != "")
+    lead = F.length("raw") - F.length(lstrip(F.col("raw")))
+    at = pieces.withColumn("char_start", (F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)) + lead).cast("int"))
+    at = at.withColumn("text", strip(F.col("raw"))).filter(F.col("text") != "")
     order = Window.partitionBy("doc_id").orderBy("para_idx", "k")
-    return placed.select(
+    return at.select(
         "doc_id", "para_idx", (F.row_number().over(order) - 1).alias("sent_idx"), "text", "char_start",
         (F.col("char_start") + F.length("text")).cast("int").alias("char_end"),
     )
 
 
 def split_tokens(sentences: DataFrame) -> DataFrame:
-    found = find_all(sentences.withColumnRenamed("char_start", "base"), ["doc_id", "sent_idx"], "text", lex.TOKEN)
-    order = Window.partitionBy("doc_id", "para_idx").orderBy("sent_idx", "ord")
+    found = sentences.select("doc_id", "para_idx", "sent_idx", F.col("char_start").alias("base"), F.posexplode(matches(F.col("text"), lex.TOKEN)).alias("token_idx", "m"))
+    found = placed(found.select("doc_id", "para_idx", "sent_idx", "base", "token_idx", "m.*"), ["doc_id", "para_idx", "sent_idx"], "token_idx")
+    order = Window.partitionBy("doc_id", "para_idx").orderBy("sent_idx", "token_idx")
     return found.select(
-        "doc_id", "para_idx", "sent_idx", F.col("ord").alias("token_idx"), (F.row_number().over(order) - 1).alias("i"),
+        "doc_id", "para_idx", "sent_idx", "token_idx", (F.row_number().over(order) - 1).alias("i"),
         F.col("match").alias("text"), (F.col("base") + F.col("start")).cast("int").alias("char_start"), (F.col("base") + F.col("end")).cast("int").alias("char_end"),
     )
 
@@ -89,7 +91,7 @@ class RuleAnnotator:
     def annotate(self, docs: DataFrame) -> Annotations:
         docs = documents(docs)
         paragraphs = split_paragraphs(docs)
-        sentences = split_sentences(paragraphs)
+        sentences = split_sentences(docs)
         kind = docs.schema["doc_id"].dataType.simpleString()
         empty = F.lit("")
         tokens = split_tokens(sentences).withColumns({"lemma": F.lower("text"), "pos": empty, "dep": empty, "head_i": F.col("i"), "ent_type": empty, "ent_iob": empty})
@@ -238,3 +240,42 @@ class ModelAnnotator:
             return rows.select("doc_id", "para_idx", (F.col("base") + F.col("r.sent")).alias("sent_idx"), "r.*").drop("sent").select(*[x.split()[0] for x in schema.split(", ")])
 
         return Annotations(docs, paragraphs, table("s", SENTENCE_SCHEMA), table("t", TOKEN_SCHEMA), table("n", SPAN_SCHEMA), True, self.model)
+
+
+def load_spacy(model: str) -> Callable[[str], tuple[list[dict], list[dict], list[dict]]]:
+    """A parser for ``ModelAnnotator`` by a spaCy model: sentences, tokens, and entities and noun chunks as spans."""
+    import spacy
+
+    nlp = spacy.load(model)
+
+    def parse(text: str) -> tuple[list[dict], list[dict], list[dict]]:
+        doc = nlp(text)
+        sents, toks, spans = [], [], []
+        for number, sent in enumerate(doc.sents):
+            shown = sent.text.strip()
+            start = sent.start_char + len(sent.text) - len(sent.text.lstrip())
+            sents.append({"sent": number, "text": shown, "char_start": start, "char_end": start + len(shown)})
+            for k, t in enumerate(sent):
+                toks.append({
+                    "sent": number, "token_idx": k, "i": t.i, "text": t.text, "lemma": t.lemma_, "pos": t.pos_, "dep": t.dep_, "head_i": t.head.i,
+                    "ent_type": t.ent_type_, "ent_iob": t.ent_iob_, "char_start": t.idx, "char_end": t.idx + len(t.text),
+                })
+            for kind, found in (("ent", sent.ents), ("np", sent.noun_chunks)):
+                spans += [{"sent": number, "kind": kind, "label": x.label_, "text": x.text, "start_i": x.start, "end_i": x.end, "char_start": x.start_char, "char_end": x.end_char} for x in found]
+        return sents, toks, spans
+
+    return parse
+
+
+def best_annotator(model: str = "en_core_web_sm") -> Annotator:
+    """``ModelAnnotator`` with a spaCy model where the library and the model are installed, else ``RuleAnnotator``.
+
+    The driver looks; the workers must have what it has.
+    """
+    try:
+        import spacy
+
+        spacy.load(model)
+    except (ImportError, OSError):
+        return RuleAnnotator()
+    return ModelAnnotator(functools.partial(load_spacy, model), model)

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import lookup, rstrip
-from loomgraph.operators.graph import PropertyGraph, numbered, seq
+from loomgraph.operators.graph import PropertyGraph, edge_rows, numbered, seq
 from loomgraph.schema import EDGE_EXTRA, NODE_COLUMNS, NODE_EXTRA, extra
 from loomgraph.sources.code_graph import CodeGraph
 
+#: Rows of a code graph that are copied to every document at most
+MOST_CODE_ROWS = 1_000_000
 DESCRIBE_STAGE, MAP_STAGE, CODE_STAGE, ALIGN_STAGE = 10, 11, 12, 13
 
 
@@ -107,6 +109,18 @@ def merge_edge_type(label: Column) -> Column:
     return F.coalesce(lookup(label, lex.MERGE_EDGE_TYPE), F.lit("DEP"))
 
 
+def for_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of the code graph once for every document: documents x rows, which is what a merge is asked for.
+
+    The code graph reaches the tasks as one value, so its size is checked.
+    """
+    listed = rows.agg(F.collect_list(F.struct("*")).alias("rows"))
+    n = rows.count()
+    if n > MOST_CODE_ROWS:
+        raise ValueError(f"a code graph of {n} rows for every document; at most {MOST_CODE_ROWS} are copied")
+    return docs.withColumn("__rows", listed.scalar()).select(*docs.columns, F.inline("__rows"))
+
+
 def code_nodes(docs: DataFrame, cpg: CodeGraph) -> DataFrame:
     """The vertices as node rows of every document (doc_id)."""
     v = cpg.vertices.withColumn("label", F.coalesce("label", F.lit("UNKNOWN")))
@@ -114,7 +128,7 @@ def code_nodes(docs: DataFrame, cpg: CodeGraph) -> DataFrame:
         "ord", merge_node_type(F.col("label")).alias("node_type"), F.coalesce("code", F.lit("")).alias("text"), F.coalesce("line", F.lit(0)).alias("sent_idx"),
         F.concat(F.lit("cpg:"), "label").alias("source"), extra(NODE_EXTRA, cpg_original_label=F.col("label"), cpg_original_id=F.col("cpg_id")).alias("extra"),
     )
-    return docs.select("doc_id").distinct().withColumn("__all", F.lit(1)).join(rows.withColumn("__all", F.lit(1)), "__all").drop("__all")
+    return for_each(docs.select("doc_id").distinct(), rows)
 
 
 def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
@@ -126,16 +140,19 @@ def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
 
 
 def merge(graph: PropertyGraph, cpg: CodeGraph | None, suffix: str = "_merged") -> PropertyGraph:
-    """Each document's graph and the code graph as one; unchanged without a code graph."""
+    """Each document's graph and the code graph as one; unchanged without a code graph.
+
+    The result has documents x vertices of code nodes: each document's graph holds the whole code graph.
+    """
     if cpg is None:
         return graph
-    text = graph.edge_table().select("doc_id", "src", "dst", "edge_type", *[c for c in graph.edges.columns if c not in ("doc_id", "src", "dst", "edge_type", "seq")], seq(0, "edge_id").alias("seq"))
+    text = edge_rows(graph.edge_table().withColumn("seq", seq(0, "edge_id")))
     counts = graph.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"))
     new = numbered(code_nodes(graph.meta, cpg), graph.nodes, "ord")
     place = cpg.vertices.groupBy("cpg_id").agg(F.max("ord").alias("ord"))
     ends = cpg.edges.withColumn("label", F.coalesce("label", F.lit("AST"))).join(place.withColumnsRenamed({"cpg_id": "src", "ord": "s"}), "src").join(place.withColumnsRenamed({"cpg_id": "dst", "ord": "d"}), "dst")
-    rows = ends.select("ord", "s", "d", merge_edge_type(F.col("label")).alias("edge_type"), extra(EDGE_EXTRA, cpg_original_label=F.col("label")).alias("extra"), F.lit(1).alias("__all"))
-    code = counts.withColumn("__all", F.lit(1)).join(rows, "__all").select("doc_id", (F.col("base") + F.col("s")).alias("src"), (F.col("base") + F.col("d")).alias("dst"), "edge_type", "extra", seq(CODE_STAGE, "ord").alias("seq"))
+    rows = ends.select("ord", "s", "d", merge_edge_type(F.col("label")).alias("edge_type"), extra(EDGE_EXTRA, cpg_original_label=F.col("label")).alias("extra"))
+    code = for_each(counts, rows).select("doc_id", (F.col("base") + F.col("s")).alias("src"), (F.col("base") + F.col("d")).alias("dst"), "edge_type", "extra", seq(CODE_STAGE, "ord").alias("seq"))
     refs = references(graph.nodes, cpg).join(place.withColumnRenamed("ord", "last"), "cpg_id").join(counts, "doc_id")
     refs = refs.select("doc_id", F.col("node_id").alias("src"), (F.col("base") + F.col("last")).alias("dst"), F.lit("ENTITY_REL").alias("edge_type"), F.lit("CROSS_MODAL_REFERS_TO").alias("entity_rel_type"), extra(EDGE_EXTRA, cross_modal=F.lit(True)).alias("extra"), seq(ALIGN_STAGE, "node_id", "ord").alias("seq"))
     n_code = cpg.vertices.select("cpg_id").distinct().count()

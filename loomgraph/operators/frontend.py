@@ -61,9 +61,14 @@ def subtrees(a: Annotations, heads: DataFrame, max_rounds: int = 32) -> DataFram
     return own.unionByName(heads.join(known.withColumnsRenamed({"upper": "head", "lower": "i"}), ["doc_id", "para_idx", "head"]).select("doc_id", "para_idx", "head", "i"))
 
 
+def clause_heads(a: Annotations) -> DataFrame:
+    """(doc_id, para_idx, sent_idx, head, dep) of subordinate clauses."""
+    return a.tokens.filter(F.col("dep").isin(lex.CLAUSE_DEPS)).select("doc_id", "para_idx", "sent_idx", F.col("i").alias("head"), "dep")
+
+
 def clauses(a: Annotations) -> DataFrame:
     """(doc_id, para_idx, sent_idx, head, dep, members, text) of subordinate clauses."""
-    heads = a.tokens.filter(F.col("dep").isin(lex.CLAUSE_DEPS)).select("doc_id", "para_idx", "sent_idx", F.col("i").alias("head"), F.col("dep").alias("clause_dep"))
+    heads = clause_heads(a).withColumnRenamed("dep", "clause_dep")
     below = subtrees(a, heads).join(a.tokens.select("doc_id", "para_idx", "i", "text"), ["doc_id", "para_idx", "i"])
     parts = below.groupBy("doc_id", "para_idx", "head").agg(F.sort_array(F.collect_list(F.struct("i", "text"))).alias("m"))
     parts = parts.select("doc_id", "para_idx", "head", F.col("m.i").alias("members"), F.array_join("m.text", " ").alias("text"))

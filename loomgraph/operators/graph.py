@@ -32,8 +32,18 @@ class PropertyGraph:
         return replace(self, nodes=self.nodes.unionByName(stored(numbered(new, self.nodes, *order), "nodes")))
 
     def with_edges(self, new: DataFrame) -> PropertyGraph:
+        """Append edges whose ends come from the graph's own nodes, as those of passes do."""
         return replace(self, edges=self.edges.unionByName(edge_rows(new)))
 
+    def add_edges(self, new: DataFrame, allow_duplicate: bool = False) -> PropertyGraph:
+        """Append edges (doc_id, src, dst, edge_type, seq, fields); raises when an end doesn't exist.
+
+        Of edges with one (src, dst, edge_type) the first added is kept, and with
+        ``allow_duplicate`` these as well.
+        """
+        rows = checked_edges(new, self.nodes)
+        return self.with_edges(rows.withColumn("allow_duplicate", F.lit(True)) if allow_duplicate else rows)
+
     def marked(self, name: str) -> PropertyGraph:
         """Log a pass."""
         meta = self.meta.withColumn("passes_applied", F.array_append("passes_applied", F.lit(name)))
@@ -67,13 +77,14 @@ def seq(stage: int, *parts: Column | str | int) -> Column:
 
 def edge_rows(df: DataFrame) -> DataFrame:
     """Edge rows with all fields, in order."""
-    return filled(df, EDGE_FIELDS).select("doc_id", "src", "dst", "edge_type", *EDGE_FIELDS, "seq")
+    return filled(df, EDGE_FIELDS | {"allow_duplicate": ("boolean", "false")}).select("doc_id", "src", "dst", "edge_type", *EDGE_FIELDS, "seq", "allow_duplicate")
 
 
 def first_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
-    """Of the edges with one (doc_id, src, dst, edge_type) the first added."""
+    """Of the edges with one (doc_id, src, dst, edge_type) the first added, and those that may be duplicates."""
     w = Window.partitionBy("doc_id", "src", "dst", "edge_type").orderBy(order)
-    return edges.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    kept = "__n = 1 or allow_duplicate" if "allow_duplicate" in edges.columns else "__n = 1"
+    return edges.withColumn("__n", F.row_number().over(w)).filter(kept).drop("__n")
 
 
 def stored_edges(edges: DataFrame) -> DataFrame:
@@ -124,6 +135,15 @@ def having_edges(wanted: DataFrame, edges: DataFrame) -> DataFrame:
     return wanted.join(edges, ["doc_id", "src", "dst", "edge_type"], "left_semi")
 
 
+def with_properties(rows: DataFrame, equal: dict[str, object] | None = None, none_of: dict[str, list] | None = None) -> DataFrame:
+    """The nodes or edges whose columns equal the given values and hold none of those excluded."""
+    for name, value in (equal or {}).items():
+        rows = rows.filter(F.col(name) == value)
+    for name, values in (none_of or {}).items():
+        rows = rows.filter(~F.col(name).isin(values))
+    return rows
+
+
 # ---- traversal
 
 

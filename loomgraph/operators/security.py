@@ -7,134 +7,134 @@ offsets hold the position (both ends included), ``"document"`` compares document
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
-from loomgraph.functions.text import find_all, let, quoted
+from loomgraph.functions.text import in_any_case, let, matches, placed, wide
 from loomgraph.operators.graph import PropertyGraph, seq
 
 SOURCE = "security_frontend"
 NODE_STAGE, EDGE_STAGE = 3, 4
-_COLUMNS = ["doc_id", "rank", "o1", "o2", "entity_type", "domain_type", "text", "char_start", "char_end", "confidence"]
+BUCKET = 256
 
 
-def _rows(df: DataFrame, rank: int, entity_type: str, domain: Column | str, confidence: float, o1: Column | int = 0) -> DataFrame:
-    """Entity rows of one extractor from (doc_id, ord, match, start, end)."""
-    return df.select(
-        "doc_id", F.lit(rank).alias("rank"), (F.lit(o1) if isinstance(o1, int) else o1).cast("int").alias("o1"), F.col("ord").alias("o2"),
-        F.lit(entity_type).alias("entity_type"), (F.lit(domain) if isinstance(domain, str) else domain).alias("domain_type"),
-        F.col("match").alias("text"), F.col("start").cast("int").alias("char_start"), F.col("end").cast("int").alias("char_end"), F.lit(confidence).alias("confidence"),
+def _found(rank: int, entity_type: str, domain: Column | str, confidence: float, gap: Column, match: Column, o1: Column | int, o2: Column | int) -> Column:
+    """A match of one text pass: (rank, o1) name the pass, o2 its place in it, gap what lies before."""
+    as_col = lambda x: F.lit(x) if isinstance(x, (int, str)) else x
+    return F.struct(
+        F.lit(rank).alias("rank"), as_col(o1).cast("int").alias("o1"), as_col(o2).cast("int").alias("o2"), F.lit(entity_type).alias("entity_type"), as_col(domain).alias("domain_type"),
+        gap.cast("int").alias("gap"), match.alias("match"), F.lit(confidence).alias("confidence"),
     )
 
 
-def by_pattern(docs: DataFrame, rank: int, pattern: str, entity_type: str, domain: Column | str, confidence: float) -> DataFrame:
-    """Every match of a pattern."""
-    return _rows(find_all(docs, ["doc_id"], "text", pattern), rank, entity_type, domain, confidence)
+def by_pattern(rank: int, pattern: str, entity_type: str, domain: Callable[[Column], Column] | str, confidence: float) -> Callable[[Column], Column]:
+    """Every match of a pattern in a text; ``domain`` is fixed or made of the match."""
+    of = (lambda m: domain) if isinstance(domain, str) else domain
+    return lambda text: F.transform(matches(text, wide(pattern)), lambda m, k: _found(rank, entity_type, of(m["match"]), confidence, m["gap"], m["match"], 0, k))
 
 
 def longest_first(phrases) -> list[str]:
     return sorted(phrases, key=len, reverse=True)
 
 
-def _present(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, text, low, o1, phrase, domain) of the phrases that a document holds."""
-    items = F.array(*[F.struct(F.lit(i).alias("o1"), F.lit(p).alias("phrase"), F.lit(d).alias("domain")) for i, (p, d) in enumerate(phrases)])
-    low = docs.withColumn("low", F.lower("text"))
-    return low.select("doc_id", "text", "low", F.explode(let(F.col("low"), lambda low: F.filter(items, lambda x: low.contains(x["phrase"])))).alias("x")).select("doc_id", "text", "low", "x.*")
-
+def _present(low: Column, phrases: list[tuple[str, str]]) -> Column:
+    """(o1, phrase, pattern, domain) of the phrases that a lower-cased text holds."""
+    items = F.array(*[F.struct(F.lit(i).alias("o1"), F.lit(p).alias("phrase"), F.lit(in_any_case(p)).alias("pattern"), F.lit(d).alias("domain")) for i, (p, d) in enumerate(phrases)])
+    return F.filter(items, lambda x: low.contains(x["phrase"]))
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The original spelling at positions found in the lower-cased text."""
-    return df.withColumn("match", F.expr("substring(text, start + 1, end - start)"))
 
-
-def all_phrases(docs: DataFrame, rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float) -> DataFrame:
+def all_phrases(rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float) -> Callable[[Column], Column]:
     """Every occurrence of every phrase, without regard to word boundaries."""
-    found = _present(docs, phrases)
-    hits = find_all(found, ["doc_id", "o1"], "low", quoted(F.col("phrase")))
-    return _rows(_cut(hits), rank, entity_type, F.col("domain"), confidence, F.col("o1"))
-
-
-def first_phrases(docs: DataFrame, rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float) -> DataFrame:
-    """The first occurrence of every phrase."""
-    found = _present(docs, phrases).withColumn("start", F.expr("locate(phrase, low) - 1"))
-    found = found.withColumns({"end": F.col("start") + F.length("phrase"), "ord": F.lit(0)})
-    return _rows(_cut(found), rank, entity_type, F.col("domain"), confidence, F.col("o1"))
-
-
-def cve_ids(docs: DataFrame) -> DataFrame:
-    return by_pattern(docs, 1, lex.CVE, "CVE_ID", "vulnerability_id", 1.0)
 
+    def found(text: Column) -> Column:
+        of = lambda x: F.transform(matches(text, x["pattern"]), lambda m, k: _found(rank, entity_type, x["domain"], confidence, m["gap"], m["match"], x["o1"], k))
+        return let(F.lower(text), lambda low: F.flatten(F.transform(_present(low, phrases), of)))
 
-def cwe_ids(docs: DataFrame) -> DataFrame:
-    return by_pattern(docs, 2, lex.CWE, "CWE_ID", "weakness_class", 1.0)
+    return found
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    return by_pattern(docs, 3, lex.VERSION, "VERSION", "software_version", 0.8)
-
-
-def software(docs: DataFrame) -> DataFrame:
-    """Ties between names of one length go by the alphabet."""
-    return all_phrases(docs, 4, [(p, "software_product") for p in longest_first(sorted(lex.SOFTWARE))], "SOFTWARE", 0.9)
+def first_phrases(rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float) -> Callable[[Column], Column]:
+    """The first occurrence of every phrase."""
 
+    def found(text: Column) -> Column:
+        own = lambda low, x: let(F.position(x["phrase"], low), lambda at: _found(rank, entity_type, x["domain"], confidence, at - 1, F.substring(text, at, F.length(x["phrase"])), x["o1"], 0))
+        return let(F.lower(text), lambda low: F.transform(_present(low, phrases), lambda x: own(low, x)))
 
-def code_elements(docs: DataFrame) -> DataFrame:
-    return by_pattern(docs, 5, lex.CODE_ELEMENT, "CODE_ELEMENT", "code_construct", 1.0)
+    return found
 
 
-def attack_vectors(docs: DataFrame) -> DataFrame:
-    return first_phrases(docs, 6, [(p, lex.ATTACK_VECTORS[p]) for p in longest_first(lex.ATTACK_VECTORS)], "ATTACK_VECTOR", 0.85)
+def remediation(text: Column) -> Column:
+    """The first match of each pattern."""
+    items = []
+    for i, (domain, pattern) in enumerate(lex.REMEDIATIONS):
+        gap = F.length(F.get(F.split(text, wide(pattern), 2), F.lit(0)))
+        items.append(_found(10, "REMEDIATION", domain, 0.85, gap, F.regexp_extract(text, wide(pattern), 0), i, 0))
+    return F.filter(F.array(*items), lambda x: x["match"] != "")
 
 
-def impacts(docs: DataFrame) -> DataFrame:
-    return first_phrases(docs, 7, [(p, lex.IMPACTS[p]) for p in longest_first(lex.IMPACTS)], "IMPACT", 0.9)
+def _listed(phrases: dict[str, str]) -> list[tuple[str, str]]:
+    return [(p, phrases[p]) for p in longest_first(phrases)]
 
 
-def vulnerability_types(docs: DataFrame) -> DataFrame:
-    return first_phrases(docs, 8, [(p, lex.VULNERABILITIES[p]) for p in longest_first(lex.VULNERABILITIES)], "VULN_TYPE", 0.95)
+#: name -> text -> array of entities; their order is that of the ranks. Ties between names of one length go by the alphabet.
+EXTRACTORS: dict[str, Callable[[Column], Column]] = {
+    "cve": by_pattern(1, lex.CVE, "CVE_ID", "vulnerability_id", 1.0),
+    "cwe": by_pattern(2, lex.CWE, "CWE_ID", "weakness_class", 1.0),
+    "version": by_pattern(3, lex.VERSION, "VERSION", "software_version", 0.8),
+    "software": all_phrases(4, [(p, "software_product") for p in longest_first(sorted(lex.SOFTWARE))], "SOFTWARE", 0.9),
+    "code_element": by_pattern(5, lex.CODE_ELEMENT, "CODE_ELEMENT", "code_construct", 1.0),
+    "attack_vector": first_phrases(6, _listed(lex.ATTACK_VECTORS), "ATTACK_VECTOR", 0.85),
+    "impact": first_phrases(7, _listed(lex.IMPACTS), "IMPACT", 0.9),
+    "vulnerability": first_phrases(8, _listed(lex.VULNERABILITIES), "VULN_TYPE", 0.95),
+    "severity": by_pattern(9, lex.SEVERITY, "SEVERITY", lambda match: F.lower(F.regexp_extract(match, wide(lex.SEVERITY), 1)), 0.9),
+    "remediation": remediation,
+}
+#: Scores out of ten; not part of the overlay.
+CVSS = by_pattern(11, lex.CVSS, "CVSS", lambda match: F.regexp_extract(match, wide(lex.CVSS), 1), 1.0)
 
 
-def severities(docs: DataFrame) -> DataFrame:
-    return by_pattern(docs, 9, lex.SEVERITY, "SEVERITY", F.lower(F.regexp_extract("match", lex.SEVERITY, 1)), 0.9)
+def _placed(docs: DataFrame, found: Column) -> DataFrame:
+    """(doc_id, rank, o1, o2, entity_type, domain_type, text, char_start, char_end, confidence) of the found array: one pass over the texts, one window over the matches."""
+    rows = placed(docs.select("doc_id", F.inline(found)), ["doc_id", "rank", "o1"], "o2")
+    return rows.select("doc_id", "rank", "o1", "o2", "entity_type", "domain_type", F.col("match").alias("text"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), "confidence")
 
 
-def remediations(docs: DataFrame) -> DataFrame:
-    """The first match of each pattern."""
-    items = F.array(*[F.struct(F.lit(i).alias("o1"), F.lit(d).alias("domain"), F.regexp_extract("text", p, 0).alias("match"), F.length(F.get(F.split("text", p, 2), F.lit(0))).alias("start")) for i, (d, p) in enumerate(lex.REMEDIATIONS)])
-    found = docs.select("doc_id", F.explode(items).alias("x")).select("doc_id", "x.*").filter("match <> ''")
-    return _rows(found.withColumns({"end": F.col("start") + F.length("match"), "ord": F.lit(0)}), 10, "REMEDIATION", F.col("domain"), 0.85, F.col("o1"))
+def extracted(docs: DataFrame, name: str) -> DataFrame:
+    """The entities of one extractor."""
+    return _placed(docs, EXTRACTORS[name](F.col("text")))
 
 
 def cvss_scores(docs: DataFrame) -> DataFrame:
-    """Scores out of ten; not part of the overlay."""
-    return by_pattern(docs, 11, lex.CVSS, "CVSS", F.regexp_extract("match", lex.CVSS, 1), 1.0)
-
-
-EXTRACTORS = [cve_ids, cwe_ids, versions, software, code_elements, attack_vectors, impacts, vulnerability_types, severities, remediations]
+    return _placed(docs, CVSS(F.col("text")))
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """All entities with ``ent_ord``, their order in the document."""
-    found = EXTRACTORS[0](docs)
-    for extract in EXTRACTORS[1:]:
-        found = found.unionByName(extract(docs))
+    found = _placed(docs, F.concat(*[extract(F.col("text")) for extract in EXTRACTORS.values()]))
     order = Window.partitionBy("doc_id").orderBy("rank", "o1", "o2")
-    return found.select(*_COLUMNS).withColumn("ent_ord", F.row_number().over(order) - 1)
+    return found.withColumn("ent_ord", F.row_number().over(order) - 1)
 
 
 def sentence_links(found: DataFrame, sentences: DataFrame, paragraphs: DataFrame | None = None, offset_mode: str = "reference") -> DataFrame:
-    """Entities with sent_idx and ``linked`` (whether a sentence holds the position)."""
+    """Entities with sent_idx and ``linked`` (whether a sentence holds the position).
+
+    Sentences and positions meet by stretches of ``BUCKET`` characters, not all with all.
+    """
     place = sentences.select("doc_id", F.col("sent_idx").alias("s"), F.col("char_start").alias("a"), F.col("char_end").alias("b"))
     if offset_mode == "document":
         if paragraphs is None:
             raise ValueError("document offsets need paragraphs with their offsets")
         base = paragraphs.select("doc_id", "para_idx", "doc_offset")
         place = sentences.join(base, ["doc_id", "para_idx"]).select("doc_id", F.col("sent_idx").alias("s"), (F.col("char_start") + F.col("doc_offset")).alias("a"), (F.col("char_end") + F.col("doc_offset")).alias("b"))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    place = place.withColumn("bucket", F.explode(F.sequence(bucket("a"), bucket("b"))))
     inside = (F.col("a") <= F.col("char_start")) & (F.col("char_start") <= F.col("b"))
-    held = found.select("doc_id", "ent_ord", "char_start").join(place, "doc_id").filter(inside).groupBy("doc_id", "ent_ord").agg(F.min("s").alias("s"))
+    wanted = found.select("doc_id", "ent_ord", "char_start", bucket("char_start").alias("bucket"))
+    held = wanted.join(place, ["doc_id", "bucket"]).filter(inside).groupBy("doc_id", "ent_ord").agg(F.min("s").alias("s"))
     out = found.join(held, ["doc_id", "ent_ord"], "left")
     return out.withColumns({"sent_idx": F.coalesce("s", F.lit(0)).cast("int"), "linked": F.col("s").isNotNull()}).drop("s")
 
@@ -150,7 +150,7 @@ def relation_pairs(found: DataFrame, key: str = "ent_ord") -> DataFrame:
 
 def overlay(g: PropertyGraph, docs: DataFrame, sentences: DataFrame) -> PropertyGraph:
     """The graph with security entities, their sentence links and relations."""
-    found = stored(sentence_links(entities(docs), sentences), "entities")
+    found = stored(sentence_links(stored(entities(docs), "found"), sentences), "entities")
     fields = ["entity_type", "domain_type", "text", "char_start", "char_end", "confidence", "sent_idx"]
     new = found.select("doc_id", "ent_ord", *fields, F.lit("ENTITY").alias("node_type"), F.lit(SOURCE).alias("source"))
     base = g.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from loomgraph import lexicons as lex
 from loomgraph.operators.annotate import _ADPOSITIONS, _CONJUNCTIONS, _DETERMINERS
-from loomgraph.operators.security import longest_first
 
 
 def q(text: str) -> str:
@@ -43,12 +42,27 @@ ADVISORY = (
     " || " + pick("p_partkey", ["upgrade to version 2.4.52.", "try a workaround.", "mitigate this by disabling uploads.", "patch by applying fix 9."]) + " || ' Therefore CVE-2024-' || lpad(cast(p_partkey as string), 5, '0') || ' is closed, however, slowly.' END"
 )
 
-WS = r"'^\s+|\s+$'"
+#: white space in RE2, and what it is stripped by
+SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+WS = rf"'^{SPACE}+|{SPACE}+$'"
+BREAK = rf"\n{SPACE}*\n"
+
+#: the advisories with other white space and digits than ASCII's
+WIDE = f"CASE p_partkey % 3 WHEN 0 THEN translate({ADVISORY}, ' 2', '\u00a0\u0662') WHEN 1 THEN translate({ADVISORY}, ' 0', '\u2003\uff10') ELSE translate({ADVISORY}, 'x5', '\u00e9\u096b') END"
+
+
+def shape(text: str) -> str:
+    """The text as ASCII of the same length, digits as 0, other letters as _, white space as blanks: patterns that know ASCII only find in it what they find in Unicode text."""
+    digits = rf"regexp_replace({text}, '\p{{Nd}}', '0', 'g')"
+    letters = rf"regexp_replace({digits}, '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]', '_', 'g')"
+    return f"regexp_replace({letters}, '{SPACE}', ' ', 'g')"
+
 
 BLOCKS: dict[str, tuple[list[str], str]] = {
     "corpus": ([], "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
     "turns": ([], "SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"),
     "advisories": ([], f"SELECT p_partkey AS doc_id, {ADVISORY} AS text FROM part"),
+    "wide": ([], f"SELECT p_partkey AS doc_id, {WIDE} AS text FROM part"),
 }
 
 
@@ -58,10 +72,10 @@ def _add(name: str, needs: list[str], sql: str) -> None:
 
 def _text_blocks(src: str) -> None:
     """paras, sents and toks of a source, each suffixed with its name."""
-    _add(f"paras0_{src}", [src], rf"SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, {q(lex.PARAGRAPH_BREAK)}), lambda p: regexp_replace(p, {WS}, '', 'g')), lambda p: p <> '') AS ps FROM {src}")
+    _add(f"paras0_{src}", [src], rf"SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, {q(BREAK)}), lambda p: regexp_replace(p, {WS}, '', 'g')), lambda p: p <> '') AS ps FROM {src}")
     _add(f"paras_{src}", [f"paras0_{src}"], f"SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS para_idx, unnest(ps) AS text FROM (SELECT doc_id, CASE WHEN len(ps) > 0 THEN ps ELSE [text] END AS ps FROM paras0_{src})")
     _add(f"sents0_{src}", [f"paras_{src}"], f"SELECT doc_id, para_idx, unnest(range(len(m))) AS k, unnest(m) AS raw FROM (SELECT doc_id, para_idx, regexp_extract_all(text, {q(lex.SENTENCE)}) AS m FROM paras_{src})")
-    _add(f"sents1_{src}", [f"sents0_{src}"], rf"SELECT doc_id, para_idx, k, CAST(coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, para_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS BIGINT) AS char_start, regexp_replace(raw, {WS}, '', 'g') AS text FROM sents0_{src}")
+    _add(f"sents1_{src}", [f"sents0_{src}"], rf"SELECT doc_id, para_idx, k, CAST(coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, para_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^{SPACE}+', '')) AS BIGINT) AS char_start, regexp_replace(raw, {WS}, '', 'g') AS text FROM sents0_{src}")
     _add(f"sents_{src}", [f"sents1_{src}"], f"SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, k) - 1 AS sent_idx, text, char_start, char_start + length(text) AS char_end FROM sents1_{src} WHERE text <> ''")
     _add(f"toks0_{src}", [f"sents_{src}"], f"SELECT doc_id, para_idx, sent_idx, char_start AS base, unnest(range(len(m))) AS token_idx, unnest(m) AS text, unnest(list_slice(g, 1, len(m))) AS gap FROM (SELECT *, regexp_extract_all(text, {q(lex.TOKEN)}) AS m, string_split_regex(text, {q(lex.TOKEN)}) AS g FROM sents_{src})")
     _add(f"toks1_{src}", [f"toks0_{src}"], f"SELECT *, CAST(base + sum(length(gap) + length(text)) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS BIGINT) AS char_end, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY sent_idx, token_idx) - 1 AS i FROM toks0_{src}")
@@ -122,17 +136,91 @@ def _text_blocks(src: str) -> None:
     _add(f"lents_{src}", [f"ents_{src}", f"paras_{src}"], f"SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.para_idx, e.sent_idx, e.start_i) - 1 AS ent, substring(p.text, CAST(e.char_start + 1 AS BIGINT), CAST(e.char_end - e.char_start AS BIGINT)) AS text FROM ents_{src} e JOIN paras_{src} p USING (doc_id, para_idx)")
 
 
-for _src in ("corpus", "turns", "advisories"):
+def _graph_blocks(src: str) -> None:
+    """The initial graph of the lexicon annotator: lnodes (clauses without their text) and its edges."""
+    t, zero = f"ltoks_{src}", "'' AS lemma, '' AS dep, '' AS ent_type, '' AS ent_iob, '' AS role"
+    roles = f"CASE c.dep {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in lex.ROLE_OF_DEP.items())} END"
+    _add(f"largs_{src}", [t, f"lpreds_{src}"], f"SELECT c.*, p.i AS verb_i, p.sent_idx AS verb_sent, {roles} AS role FROM {t} c JOIN lpreds_{src} p ON p.doc_id = c.doc_id AND p.para_idx = c.para_idx AND p.i = c.head_i WHERE c.head_i <> c.i AND c.dep IN {in_(lex.ROLE_OF_DEP)}")
+    companions = f"c.dep IN {in_(lex.VERB_GROUP_DEPS)} AND c.head_i <> c.i"
+    _add(f"lgroups_{src}", [t], f"SELECT v.*, c.i AS companion FROM {t} v JOIN {t} c ON c.doc_id = v.doc_id AND c.para_idx = v.para_idx AND c.head_i = v.i WHERE {companions} AND v.pos = 'VERB' AND v.dep NOT IN ('aux', 'auxpass')")
+    columns = "doc_id, st, para, sent, kind, k1, k2, node_type, text, lemma, dep, ent_type, ent_iob, role, sent_idx, token_idx, char_start, char_end"
+    _add(
+        f"lnodes_{src}", [src, f"paras_{src}", f"sents_{src}", f"lents_{src}", f"chunks_{src}", f"largs_{src}", f"lgroups_{src}", f"lpreds_{src}", t],
+        f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st, para, sent, kind, k1, k2) - 1 AS node_id, * EXCLUDE (doc_id) FROM (
+        SELECT doc_id, 0 AS st, -1 AS para, -1 AS sent, 0 AS kind, 0 AS k1, 0 AS k2, 'DOCUMENT' AS node_type, substring(text, 1, 200) AS text, {zero}, 0 AS sent_idx, 0 AS token_idx, 0 AS char_start, 0 AS char_end FROM {src}
+        UNION ALL SELECT doc_id, 1, para_idx, -1, 0, 0, 0, 'PARAGRAPH', substring(text, 1, 100), {zero}, 0, 0, 0, 0 FROM paras_{src}
+        UNION ALL SELECT doc_id, 1, para_idx, sent_idx, 0, 0, 0, 'SENTENCE', text, {zero}, sent_idx, 0, char_start, char_end FROM sents_{src}
+        UNION ALL SELECT doc_id, 1, para_idx, sent_idx, 1, i, 0, 'TOKEN', text, lemma, dep, ent_type, ent_iob, '', sent_idx, token_idx, char_start, char_end FROM {t}
+        UNION ALL SELECT doc_id, 1, para_idx, sent_idx, 2, start_i, end_i, 'ENTITY', text, '', '', label, '', '', sent_idx, 0, char_start, char_end FROM lents_{src}
+        UNION ALL SELECT doc_id, 1, para_idx, sent_idx, 3, i, -1, 'PREDICATE', text, lemma, '', '', '', '', sent_idx, token_idx, 0, 0 FROM lpreds_{src}
+        UNION ALL SELECT doc_id, 1, para_idx, verb_sent, 3, verb_i, i, 'ARGUMENT', text, lemma, dep, '', '', role, sent_idx, token_idx, 0, 0 FROM largs_{src}
+        UNION ALL SELECT doc_id, 1, para_idx, sent_idx, 4, start_i, end_i, 'NOUN_PHRASE', '', {zero}, sent_idx, 0, 0, 0 FROM chunks_{src}
+        UNION ALL SELECT doc_id, 1, para_idx, sent_idx, 5, i, 0, 'CLAUSE', '', '', dep, '', '', '', sent_idx, 0, 0, 0 FROM {t} WHERE dep IN {in_(lex.CLAUSE_DEPS)}
+        UNION ALL SELECT DISTINCT doc_id, 1, para_idx, sent_idx, 6, i, 0, 'VERB_PHRASE', '', {zero}, sent_idx, 0, 0, 0 FROM lgroups_{src}) AS n ({columns})""",
+    )
+    _add(f"ltoken_{src}", [f"lnodes_{src}"], f"SELECT doc_id, para, k1 AS i, node_id FROM lnodes_{src} WHERE node_type = 'TOKEN'")
+    _add(f"lcontains_{src}", [f"lnodes_{src}"], contains_sql(f"lnodes_{src}", "para", "sent"))
+    on = "t.doc_id = n.doc_id AND t.para = n.para"
+    _add(
+        f"lbelongs_{src}", [f"lnodes_{src}", f"ltoken_{src}", f"lgroups_{src}"],
+        f"""SELECT n.doc_id, n.node_id AS src, t.node_id AS dst, n.node_type FROM lnodes_{src} n JOIN ltoken_{src} t ON {on} AND t.i >= n.k1 AND t.i < n.k2 WHERE n.node_type IN ('ENTITY', 'NOUN_PHRASE')
+        UNION ALL SELECT n.doc_id, n.node_id, t.node_id, n.node_type FROM lnodes_{src} n JOIN ltoken_{src} t ON {on} AND t.i = CASE n.node_type WHEN 'ARGUMENT' THEN n.k2 ELSE n.k1 END WHERE n.node_type IN ('PREDICATE', 'ARGUMENT', 'VERB_PHRASE')
+        UNION ALL SELECT n.doc_id, n.node_id, t.node_id, n.node_type FROM lnodes_{src} n JOIN lgroups_{src} g ON g.doc_id = n.doc_id AND g.para_idx = n.para AND g.i = n.k1 JOIN ltoken_{src} t ON {on} AND t.i = g.companion WHERE n.node_type = 'VERB_PHRASE'""",
+    )
+    _add(
+        f"lsrl_{src}", [f"lnodes_{src}", f"ltoken_{src}"],
+        f"""SELECT a.doc_id, CASE k WHEN 0 THEN t.node_id ELSE a.node_id END AS src, v.node_id AS dst, a.role AS srl_label, a.dep AS dep_label FROM lnodes_{src} a
+        JOIN lnodes_{src} v ON v.doc_id = a.doc_id AND v.para = a.para AND v.k1 = a.k1 AND v.node_type = 'PREDICATE' JOIN ltoken_{src} t ON t.doc_id = a.doc_id AND t.para = a.para AND t.i = a.k2, (VALUES (0), (1)) AS w(k) WHERE a.node_type = 'ARGUMENT'""",
+    )
+    _add(f"ldep_{src}", [t, f"ltoken_{src}"], f"SELECT c.doc_id, h.node_id AS src, m.node_id AS dst, c.dep AS dep_label FROM {t} c JOIN ltoken_{src} h ON h.doc_id = c.doc_id AND h.para = c.para_idx AND h.i = c.head_i JOIN ltoken_{src} m ON m.doc_id = c.doc_id AND m.para = c.para_idx AND m.i = c.i WHERE c.dep <> '' AND c.head_i <> c.i")
+    _add(f"lent_{src}", [f"lnodes_{src}"], f"SELECT doc_id, node_id AS ent, ent_type AS label, text, sent_idx, char_start, char_end FROM lnodes_{src} WHERE node_type = 'ENTITY'")
+    # where entities are first met, and pronouns with the entity they refer to
+    _add(f"lmet_{src}", [t, f"lent_{src}"], f"SELECT t.doc_id, t.sent_idx, t.token_idx, min(e.ent) AS ent FROM {t} t JOIN lent_{src} e ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx AND e.char_start <= t.char_start AND t.char_end <= e.char_end WHERE t.ent_iob = 'B' GROUP BY t.doc_id, t.sent_idx, t.token_idx")
+    _add(f"lseen_{src}", [f"lmet_{src}", f"lent_{src}"], f"SELECT m.doc_id, m.ent, any_value(e.label) AS label, min((m.sent_idx, m.token_idx)) AS place FROM lmet_{src} m JOIN lent_{src} e ON e.doc_id = m.doc_id AND e.ent = m.ent GROUP BY m.doc_id, m.ent")
+    p = lex.PRONOUNS
+    want = f"CASE WHEN lemma IN {in_(p['male'] + p['female'])} THEN 'person' WHEN lemma IN {in_(p['neutral'])} THEN 'thing' WHEN lemma IN {in_(p['plural'])} THEN 'group' WHEN lemma IN {in_(p['demonstrative'] + p['relative'])} THEN 'any' END"
+    fits = f"CASE t.want WHEN 'person' THEN s.label IN {in_(lex.PERSON_TYPES)} WHEN 'thing' THEN s.label NOT IN {in_(lex.PERSON_TYPES)} WHEN 'group' THEN s.label IN {in_(lex.GROUP_TYPES)} ELSE true END"
+    _add(
+        f"lmentions_{src}", [t, f"lseen_{src}"],
+        f"""SELECT t.doc_id, t.sent_idx, t.token_idx, t.text, t.para_idx, t.i, coalesce(max_by(s.ent, s.place) FILTER ({fits}), max_by(s.ent, s.place)) AS antecedent
+        FROM (SELECT doc_id, sent_idx, token_idx, text, para_idx, i, {want} AS want FROM {t}) t JOIN lseen_{src} s ON s.doc_id = t.doc_id AND s.place <= (t.sent_idx, t.token_idx) WHERE t.want IS NOT NULL GROUP BY ALL""",
+    )
+
+
+def contains_sql(nodes: str, para: str, sent: str) -> str:
+    """(doc_id, src, dst) of CONTAINS edges: paragraphs in the document, sentences in paragraphs, all else in sentences."""
+    held = lambda t: f"max(CASE WHEN node_type = '{t}' THEN node_id END)"
+    return f"""SELECT doc_id, src, dst FROM (SELECT doc_id, node_id AS dst, node_type, CASE node_type WHEN 'PARAGRAPH' THEN 0 WHEN 'SENTENCE' THEN {held("PARAGRAPH")} OVER (PARTITION BY doc_id, {para})
+        ELSE {held("SENTENCE")} OVER (PARTITION BY doc_id, {para}, {sent}) END AS src FROM {nodes}) WHERE node_type NOT IN ('DOCUMENT', 'ARGUMENT')"""
+
+
+def topics_sql(tokens: str, place: str) -> str:
+    """(doc_id, word, freq, rank) of the five most frequent words of each document."""
+    return f"SELECT doc_id, word, freq, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, first) AS rank FROM (SELECT doc_id, lemma AS word, count(*) AS freq, min({place}) AS first FROM {tokens} WHERE lemma NOT IN {in_(lex.STOPWORDS)} AND length(lemma) > 2 GROUP BY doc_id, lemma) QUALIFY rank <= 5"
+
+
+def marker_sql(sents: str) -> str:
+    """(doc_id, sent_idx, marker, label) of each sentence but the first."""
+    low = "lower(text)"
+    tests = [f"WHEN starts_with({low}, {q(m)}) OR contains({low}, {q(f', {m} ')}) OR contains({low}, {q(f', {m},')}) THEN {q(m)}" for m in sorted(lex.DISCOURSE_MARKERS, key=len, reverse=True)]
+    return f"SELECT doc_id, sent_idx, marker, {case('marker', lex.DISCOURSE_MARKERS)} AS label FROM (SELECT doc_id, sent_idx, CASE {' '.join(tests)} END AS marker FROM {sents} WHERE sent_idx > 0)"
+
+
+for _src in ("corpus", "turns", "advisories", "wide"):
     _text_blocks(_src)
+    _graph_blocks(_src)
+    _add(f"topics_{_src}", [f"nodes_{_src}"], topics_sql(f"(SELECT * FROM nodes_{_src} WHERE node_type = 'TOKEN')", "node_id"))
+    _add(f"markers_{_src}", [f"sents_{_src}"], marker_sql(f"sents_{_src}"))
 
 
 # ---- security entities
 
 
-def pattern_sql(rank: int, pattern: str, entity_type: str, domain: str, confidence: float, src: str = "advisories") -> str:
-    return f"""SELECT doc_id, {rank} AS rank, 0 AS o1, ord AS o2, {q(entity_type)} AS entity_type, {domain} AS domain_type, match AS text, e - length(match) AS char_start, e AS char_end, CAST({confidence} AS DOUBLE) AS confidence FROM (
+def pattern_sql(rank: int, pattern: str, entity_type: str, domain: str, confidence: float, src: str = "advisories", shaped: bool = True) -> str:
+    seen = shape("text") if shaped else "text"
+    return f"""SELECT doc_id, {rank} AS rank, 0 AS o1, ord AS o2, {q(entity_type)} AS entity_type, {domain} AS domain_type, substring(text, CAST(e - length(match) + 1 AS BIGINT), length(match)) AS text, e - length(match) AS char_start, e AS char_end, CAST({confidence} AS DOUBLE) AS confidence FROM (
         SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS e FROM (
-        SELECT doc_id, unnest(range(len(m))) AS ord, unnest(m) AS match, unnest(list_slice(g, 1, len(m))) AS gap FROM (SELECT doc_id, regexp_extract_all(text, {q(pattern)}) AS m, string_split_regex(text, {q(pattern)}) AS g FROM {src})))"""
+        SELECT doc_id, text, unnest(range(len(m))) AS ord, unnest(m) AS match, unnest(list_slice(g, 1, len(m))) AS gap FROM (SELECT doc_id, text, regexp_extract_all(seen, {q(pattern)}) AS m, string_split_regex(seen, {q(pattern)}) AS g FROM (SELECT doc_id, text, {seen} AS seen FROM {src}))))"""
 
 
 def _phrases(phrases: list[tuple[str, str]]) -> str:
@@ -151,29 +239,38 @@ def first_phrases_sql(rank: int, phrases: list[tuple[str, str]], entity_type: st
 
 
 def remediation_sql(src: str = "advisories") -> str:
-    parts = [f"SELECT doc_id, {i} AS o1, {q(d)} AS domain, regexp_extract(text, {q(p)}) AS match, length(string_split_regex(text, {q(p)})[1]) AS start FROM {src}" for i, (d, p) in enumerate(lex.REMEDIATIONS)]
-    return f"SELECT doc_id, 10 AS rank, o1, 0 AS o2, 'REMEDIATION' AS entity_type, domain AS domain_type, match AS text, start AS char_start, start + length(match) AS char_end, CAST(0.85 AS DOUBLE) AS confidence FROM ({' UNION ALL '.join(parts)}) WHERE match <> ''"
-
-
-EXTRACTORS = {
-    "cve": pattern_sql(1, lex.CVE, "CVE_ID", "'vulnerability_id'", 1.0),
-    "cwe": pattern_sql(2, lex.CWE, "CWE_ID", "'weakness_class'", 1.0),
-    "version": pattern_sql(3, lex.VERSION, "VERSION", "'software_version'", 0.8),
-    "software": all_phrases_sql(4, [(p, "software_product") for p in longest_first(sorted(lex.SOFTWARE))], "SOFTWARE", 0.9),
-    "code_element": pattern_sql(5, lex.CODE_ELEMENT, "CODE_ELEMENT", "'code_construct'", 1.0),
-    "attack_vector": first_phrases_sql(6, [(p, lex.ATTACK_VECTORS[p]) for p in longest_first(lex.ATTACK_VECTORS)], "ATTACK_VECTOR", 0.85),
-    "impact": first_phrases_sql(7, [(p, lex.IMPACTS[p]) for p in longest_first(lex.IMPACTS)], "IMPACT", 0.9),
-    "vulnerability": first_phrases_sql(8, [(p, lex.VULNERABILITIES[p]) for p in longest_first(lex.VULNERABILITIES)], "VULN_TYPE", 0.95),
-    "severity": pattern_sql(9, lex.SEVERITY, "SEVERITY", f"lower(regexp_extract(match, {q(lex.SEVERITY)}, 1))", 0.9),
-    "remediation": remediation_sql(),
-}
-_add("sec0", ["advisories"], " UNION ALL ".join(f"SELECT * FROM ({x})" for x in EXTRACTORS.values()))
-_add("sec", ["sec0"], "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, o1, o2) - 1 AS ent_ord FROM sec0")
-_add(
-    "seclinks", ["sec", "sents_advisories"],
-    """SELECT e.*, coalesce(s.s, 0) AS sent_idx, s.s IS NOT NULL AS linked FROM sec e LEFT JOIN (
-        SELECT e.doc_id, e.ent_ord, min(s.sent_idx) AS s FROM sec e JOIN sents_advisories s ON e.doc_id = s.doc_id AND s.char_start <= e.char_start AND e.char_start <= s.char_end GROUP BY e.doc_id, e.ent_ord) s USING (doc_id, ent_ord)""",
-)
+    parts = [f"SELECT doc_id, text, {i} AS o1, {q(d)} AS domain, length(regexp_extract(seen, {q(p)})) AS n, length(string_split_regex(seen, {q(p)})[1]) AS start FROM shapes" for i, (d, p) in enumerate(lex.REMEDIATIONS)]
+    return f"WITH shapes AS MATERIALIZED (SELECT doc_id, text, {shape('text')} AS seen FROM {src}) SELECT doc_id, 10 AS rank, o1, 0 AS o2, 'REMEDIATION' AS entity_type, domain AS domain_type, substring(text, CAST(start + 1 AS BIGINT), n) AS text, start AS char_start, start + n AS char_end, CAST(0.85 AS DOUBLE) AS confidence FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+def _longest(phrases: dict[str, str]) -> list[tuple[str, str]]:
+    return [(p, phrases[p]) for p in sorted(phrases, key=len, reverse=True)]
+
+
+def extractors(src: str) -> dict[str, str]:
+    return {
+        "cve": pattern_sql(1, lex.CVE, "CVE_ID", "'vulnerability_id'", 1.0, src),
+        "cwe": pattern_sql(2, lex.CWE, "CWE_ID", "'weakness_class'", 1.0, src),
+        "version": pattern_sql(3, lex.VERSION, "VERSION", "'software_version'", 0.8, src),
+        "software": all_phrases_sql(4, [(p, "software_product") for p in sorted(sorted(lex.SOFTWARE), key=len, reverse=True)], "SOFTWARE", 0.9, src),
+        "code_element": pattern_sql(5, lex.CODE_ELEMENT, "CODE_ELEMENT", "'code_construct'", 1.0, src, shaped=False),
+        "attack_vector": first_phrases_sql(6, _longest(lex.ATTACK_VECTORS), "ATTACK_VECTOR", 0.85, src),
+        "impact": first_phrases_sql(7, _longest(lex.IMPACTS), "IMPACT", 0.9, src),
+        "vulnerability": first_phrases_sql(8, _longest(lex.VULNERABILITIES), "VULN_TYPE", 0.95, src),
+        "severity": pattern_sql(9, lex.SEVERITY, "SEVERITY", f"lower(regexp_extract(match, {q(lex.SEVERITY)}, 1))", 0.9, src),
+        "remediation": remediation_sql(src),
+    }
+
+
+EXTRACTORS = extractors("advisories")
+for _src, _mark in (("advisories", ""), ("wide", "_wide")):
+    _add(f"sec0{_mark}", [_src], " UNION ALL ".join(f"SELECT * FROM ({x})" for x in extractors(_src).values()))
+    _add(f"sec{_mark}", [f"sec0{_mark}"], f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, o1, o2) - 1 AS ent_ord FROM sec0{_mark}")
+    _add(
+        f"seclinks{_mark}", [f"sec{_mark}", f"sents_{_src}"],
+        f"""SELECT e.*, coalesce(s.s, 0) AS sent_idx, s.s IS NOT NULL AS linked FROM sec{_mark} e LEFT JOIN (
+        SELECT e.doc_id, e.ent_ord, min(s.sent_idx) AS s FROM sec{_mark} e JOIN sents_{_src} s ON e.doc_id = s.doc_id AND s.char_start <= e.char_start AND e.char_start <= s.char_end GROUP BY e.doc_id, e.ent_ord) s USING (doc_id, ent_ord)""",
+    )
 _RULES = [(i, name, s, d) for i, (name, ss, ds) in enumerate(lex.RELATIONS) for s in ss for d in ds]
 _add("secpairs", ["sec"], f"SELECT a.doc_id, r.rule, r.relation, a.ent_ord AS src, b.ent_ord AS dst FROM sec a JOIN {values(_RULES, 'rule, relation, s, d')} r ON a.domain_type = r.s JOIN sec b ON b.doc_id = a.doc_id AND b.domain_type = r.d")
 
@@ -213,4 +310,4 @@ def cte(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS ({BLOCKS[n][1]})" for n in done) + "\n"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({BLOCKS[n][1]})" for n in done) + "\n"

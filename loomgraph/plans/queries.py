@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
 from loomgraph.operators import crossmodal, export, frontend, graph, passes, security
-from loomgraph.operators.annotate import Annotations, LexiconAnnotator, RuleAnnotator, split_paragraphs, split_sentences
+from loomgraph.operators.annotate import Annotations, LexiconAnnotator, RuleAnnotator, split_sentences
 from loomgraph.plans import oracle
 from loomgraph.plans.oracle import case, cte, in_, q, values
-from loomgraph.plans.pipeline import CrossModalPipeline, GraphPipeline, SecurityPipeline
 from loomgraph.schema import FULL_SCHEMA, mapping
 from loomgraph.sources import code_graph
 from loomgraph.sources.text import from_table, from_turns
@@ -51,6 +50,11 @@ def advisories(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS doc_id", f"{oracle.ADVISORY} AS text")
 
 
+def wide_advisories(spark: SparkSession, sf: str) -> DataFrame:
+    """The advisories with no-break and em spaces, and digits and letters beyond ASCII."""
+    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS doc_id", f"{oracle.WIDE} AS text")
+
+
 def rules(docs: DataFrame) -> Annotations:
     return RuleAnnotator().annotate(docs)
 
@@ -129,16 +133,12 @@ def initial(spark, sf, edge_type: str, docs=turns) -> DataFrame:
     return frontend.initial_edges(a, nodes).filter(F.col("edge_type") == edge_type)
 
 
-_PARENT = """SELECT n.doc_id, CASE n.node_type WHEN 'PARAGRAPH' THEN 0 WHEN 'SENTENCE' THEN p.node_id ELSE s.node_id END AS src, n.node_id AS dst FROM nodes_turns n
-LEFT JOIN nodes_turns p ON p.doc_id = n.doc_id AND p.para = n.para AND p.node_type = 'PARAGRAPH' LEFT JOIN nodes_turns s ON s.doc_id = n.doc_id AND s.sent = n.sent AND s.node_type = 'SENTENCE' WHERE n.node_type <> 'DOCUMENT'"""
-
-
-@query("contains_edges", cte("nodes_turns") + _PARENT)
+@query("contains_edges", cte("nodes_turns") + oracle.contains_sql("nodes_turns", "para", "sent"))
 def contains_edges(spark, sf):
     return initial(spark, sf, "CONTAINS").select("doc_id", "src", "dst")
 
 
-@query("belongs_to_edges", cte("nodes_advisories") + "SELECT p.doc_id, p.node_id AS src, t.node_id AS dst FROM nodes_advisories p JOIN nodes_advisories t ON t.doc_id = p.doc_id AND t.para = p.para AND t.k1 = p.k1 AND t.node_type = 'TOKEN' WHERE p.node_type = 'PREDICATE'")
+@query("belongs_to_edges", cte("nodes_advisories") + "SELECT doc_id, src, dst FROM (SELECT doc_id, node_id AS src, node_type, max(CASE WHEN node_type = 'TOKEN' THEN node_id END) OVER (PARTITION BY doc_id, para, sent, k1) AS dst FROM nodes_advisories) WHERE node_type = 'PREDICATE'")
 def belongs_to_edges(spark, sf):
     return initial(spark, sf, "BELONGS_TO", advisories).select("doc_id", "src", "dst")
 
@@ -180,13 +180,6 @@ def noun_phrases(spark, sf):
     return lexicon(turns(spark, sf)).spans.filter("kind = 'np'").drop("kind", "label", "text")
 
 
-@query("entity_membership", cte("ents_advisories", "ltoks_advisories") + "SELECT e.doc_id, e.para_idx, e.start_i, t.i FROM ents_advisories e JOIN ltoks_advisories t ON t.doc_id = e.doc_id AND t.para_idx = e.para_idx AND t.i >= e.start_i AND t.i < e.end_i")
-def entity_membership(spark, sf):
-    a = lexicon(advisories(spark, sf))
-    spans = a.spans.filter("kind = 'ent'").select("doc_id", "para_idx", "start_i", F.explode(F.sequence("start_i", F.col("end_i") - 1)).alias("i"))
-    return spans.join(a.tokens.select("doc_id", "para_idx", "i"), ["doc_id", "para_idx", "i"])
-
-
 @query("content_verbs", cte("lpreds_turns") + "SELECT doc_id, para_idx, i, text FROM lpreds_turns")
 def content_verbs(spark, sf):
     return frontend.predicates(lexicon(turns(spark, sf))).select("doc_id", "para_idx", "i", "text")
@@ -197,12 +190,6 @@ def srl_args(spark, sf):
     return frontend.arguments(lexicon(turns(spark, sf))).select("doc_id", "para_idx", "verb_i", "i", "srl_role")
 
 
-@query("dep_edges", cte("ltoks_turns") + "SELECT doc_id, para_idx, head_i, i, dep FROM ltoks_turns WHERE dep <> '' AND head_i <> i")
-def dep_edges(spark, sf):
-    a = lexicon(turns(spark, sf))
-    return a.tokens.filter("dep <> '' and head_i <> i").select("doc_id", "para_idx", "head_i", "i", "dep")
-
-
 @query("verb_phrases", cte("ltoks_turns") + f"""SELECT doc_id, para_idx, head, string_agg(text, ' ' ORDER BY i) AS text, count(*) AS n FROM (
 SELECT doc_id, para_idx, i AS head, i, text FROM ltoks_turns WHERE pos = 'VERB' AND dep NOT IN ('aux', 'auxpass')
 UNION ALL SELECT c.doc_id, c.para_idx, c.head_i, c.i, c.text FROM ltoks_turns c JOIN ltoks_turns v ON v.doc_id = c.doc_id AND v.para_idx = c.para_idx AND v.i = c.head_i WHERE c.dep IN {in_(lex.VERB_GROUP_DEPS)} AND c.head_i <> c.i AND v.pos = 'VERB' AND v.dep NOT IN ('aux', 'auxpass')) GROUP BY doc_id, para_idx, head HAVING count(*) > 1""")
@@ -236,12 +223,12 @@ def edge_dedupe_first(spark, sf):
 
 @query("node_type_counts", cte("star_nodes") + "SELECT node_type, count(*) AS n FROM star_nodes GROUP BY node_type")
 def node_type_counts(spark, sf):
-    return star(spark, sf)[0].groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+    return graph.stats(*first_star(spark, sf)).filter("kind = 'node' and type is not null").select(F.col("type").alias("node_type"), "n")
 
 
 @query("edge_type_counts", cte("star_first") + "SELECT edge_type, count(*) AS n FROM star_first GROUP BY edge_type")
 def edge_type_counts(spark, sf):
-    return first_star(spark, sf)[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    return graph.stats(*first_star(spark, sf)).filter("kind = 'edge' and type is not null").select(F.col("type").alias("edge_type"), "n")
 
 
 @query("stats_grouping_sets", cte("star_nodes", "star_first") + """SELECT doc_id, 'node' AS kind, node_type AS type, count(*) AS n FROM star_nodes GROUP BY GROUPING SETS ((doc_id), (doc_id, node_type))
@@ -344,22 +331,22 @@ def first_nodes(spark, sf):
 # ---- security overlay
 
 _SEC_COLUMNS = ["doc_id", "entity_type", "domain_type", "text", "char_start", "char_end", "confidence"]
-for _name, _extract in zip(oracle.EXTRACTORS, security.EXTRACTORS):
-    query(f"sec_{_name}", cte("advisories") + f"SELECT {', '.join(_SEC_COLUMNS)} FROM ({oracle.EXTRACTORS[_name]})")(lambda s, d, f=_extract: f(advisories(s, d)).select(*_SEC_COLUMNS))
+for _name in oracle.EXTRACTORS:
+    query(f"sec_{_name}", cte("advisories") + f"SELECT {', '.join(_SEC_COLUMNS)} FROM ({oracle.EXTRACTORS[_name]})")(lambda s, d, n=_name: security.extracted(advisories(s, d), n).select(*_SEC_COLUMNS))
 
 
-@query("sec_software_documents", cte("corpus") + "SELECT doc_id, text, char_start, char_end FROM (" + oracle.all_phrases_sql(4, [(p, "software_product") for p in security.longest_first(sorted(lex.SOFTWARE))], "SOFTWARE", 0.9, "corpus") + ")")
+@query("sec_software_documents", cte("corpus") + "SELECT doc_id, text, char_start, char_end FROM (" + oracle.extractors("corpus")["software"] + ")")
 def sec_software_documents(spark, sf):
-    return security.software(corpus(spark, sf)).select("doc_id", "text", "char_start", "char_end")
+    return security.extracted(corpus(spark, sf), "software").select("doc_id", "text", "char_start", "char_end")
 
 
 @query("sec_version_documents", cte("corpus") + "SELECT doc_id, text, char_start, char_end FROM (" + oracle.pattern_sql(3, lex.VERSION, "VERSION", "'software_version'", 0.8, "corpus") + ")")
 def sec_version_documents(spark, sf):
-    return security.versions(corpus(spark, sf)).select("doc_id", "text", "char_start", "char_end")
+    return security.extracted(corpus(spark, sf), "version").select("doc_id", "text", "char_start", "char_end")
 
 
 def sec_entities(spark, sf) -> DataFrame:
-    return security.entities(stored(advisories(spark, sf), "advisories"))
+    return security.entities(advisories(spark, sf))
 
 
 @query("sec_entities", cte("sec") + "SELECT doc_id, ent_ord, entity_type, domain_type, text FROM sec")
@@ -367,9 +354,8 @@ def sec_entities_query(spark, sf):
     return sec_entities(spark, sf).select("doc_id", "ent_ord", "entity_type", "domain_type", "text")
 
 
-def sec_linked(spark, sf) -> DataFrame:
-    docs = advisories(spark, sf)
-    return security.sentence_links(security.entities(docs), split_sentences(split_paragraphs(docs)))
+def sec_linked(spark, sf, docs=advisories) -> DataFrame:
+    return security.sentence_links(stored(security.entities(docs(spark, sf)), "found"), split_sentences(docs(spark, sf)))
 
 
 @query("sec_sentence_link", cte("seclinks") + "SELECT doc_id, ent_ord, sent_idx, linked FROM seclinks")
@@ -378,7 +364,7 @@ def sec_sentence_link(spark, sf):
 
 
 for _rule, (_relation, _, _) in enumerate(lex.RELATIONS):
-    query(f"sec_{_relation.lower()}", cte("secpairs") + f"SELECT doc_id, src, dst FROM secpairs WHERE rule = {_rule}")(lambda s, d, k=_rule: security.relation_pairs(sec_entities(s, d)).filter(F.col("rule") == k).select("doc_id", "src", "dst"))
+    query(f"sec_{_relation.lower()}", cte("secpairs") + f"SELECT doc_id, src, dst FROM secpairs WHERE rule = {_rule}")(lambda s, d, k=_rule: security.relation_pairs(stored(sec_entities(s, d), "found")).filter(F.col("rule") == k).select("doc_id", "src", "dst"))
 
 
 # ---- passes
@@ -391,89 +377,84 @@ def topic_top5(spark, sf):
     return passes.top_topics(rules(corpus(spark, sf)).tokens.withColumn("place", F.col("i")))
 
 
-_TOPICS = f""", f AS (SELECT doc_id, lemma AS word, count(*) AS freq, min(node_id) AS first FROM nodes_turns WHERE node_type = 'TOKEN' AND lemma NOT IN {in_(lex.STOPWORDS)} AND length(lemma) > 2 GROUP BY doc_id, lemma),
-top AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, first) <= 5)"""
-
-
-@query("topic_sentence_links", cte("nodes_turns").rstrip() + _TOPICS + " SELECT DISTINCT t.doc_id, t.word, n.sent_idx FROM top t JOIN nodes_turns n ON n.doc_id = t.doc_id AND n.lemma = t.word AND n.node_type = 'TOKEN'")
+@query("topic_sentence_links", cte("topics_turns") + "SELECT DISTINCT t.doc_id, t.word, n.sent_idx FROM topics_turns t JOIN nodes_turns n ON n.doc_id = t.doc_id AND n.lemma = t.word AND n.node_type = 'TOKEN'")
 def topic_sentence_links(spark, sf):
-    toks = frontend.initial_nodes(rules(turns(spark, sf))).filter("node_type = 'TOKEN'").withColumn("place", F.col("node_id"))
+    toks = stored(frontend.initial_nodes(rules(turns(spark, sf))).filter("node_type = 'TOKEN'").withColumn("place", F.col("node_id")), "tokens")
     return passes.topic_sentences(toks, passes.top_topics(toks)).select("doc_id", "word", "sent_idx")
 
 
-def _marker_sql(src: str) -> str:
-    low = "lower(text)"
-    tests = [f"WHEN starts_with({low}, {q(m)}) OR contains({low}, {q(f', {m} ')}) OR contains({low}, {q(f', {m},')}) THEN {q(m)}" for m in security.longest_first(lex.DISCOURSE_MARKERS)]
-    return cte(f"sents_{src}").rstrip() + f", m AS (SELECT doc_id, sent_idx, CASE {' '.join(tests)} END AS marker FROM sents_{src} WHERE sent_idx > 0) SELECT doc_id, sent_idx, marker, {case('marker', lex.DISCOURSE_MARKERS)} AS label FROM m"
-
-
 def _links(docs: DataFrame) -> DataFrame:
-    sents = split_sentences(split_paragraphs(docs)).withColumn("node_id", F.col("sent_idx"))
+    sents = split_sentences(docs).withColumn("node_id", F.col("sent_idx"))
     return passes.discourse_links(sents).select("doc_id", "sent_idx", "marker", "label")
 
 
-query("rst_relations", _marker_sql("corpus") + " WHERE marker IS NOT NULL")(lambda s, d: _links(corpus(s, d)).filter("marker is not null"))
-query("discourse_continuation", "SELECT doc_id, sent_idx FROM (" + _marker_sql("corpus") + ") WHERE marker IS NULL")(lambda s, d: _links(corpus(s, d)).filter("marker is null").select("doc_id", "sent_idx"))
-query("discourse_advisories", _marker_sql("advisories"))(lambda s, d: _links(advisories(s, d)))
+query("rst_relations", cte("markers_corpus") + "SELECT * FROM markers_corpus WHERE marker IS NOT NULL")(lambda s, d: _links(corpus(s, d)).filter("marker is not null"))
+query("discourse_continuation", cte("markers_corpus") + "SELECT doc_id, sent_idx FROM markers_corpus WHERE marker IS NULL")(lambda s, d: _links(corpus(s, d)).filter("marker is null").select("doc_id", "sent_idx"))
+query("discourse_advisories", cte("markers_advisories") + "SELECT * FROM markers_advisories")(lambda s, d: _links(advisories(s, d)))
 
 
-def sec_nodes(spark, sf) -> DataFrame:
-    return sec_linked(spark, sf).withColumns({"node_id": F.col("ent_ord"), "node_type": F.lit("ENTITY")})
+def sec_nodes(spark, sf, docs=advisories) -> DataFrame:
+    return sec_linked(spark, sf, docs).withColumns({"node_id": F.col("ent_ord"), "node_type": F.lit("ENTITY")})
 
 
-_CLUSTERS = r""", c AS (SELECT *, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS key FROM seclinks),
+def _clusters_sql(links: str) -> str:
+    return cte(links).rstrip() + f""", c AS (SELECT *, regexp_replace(lower(text), {oracle.WS}, '', 'g') AS key FROM {links}),
 d AS (SELECT *, min((sent_idx, char_start, ent_ord)) OVER (PARTITION BY doc_id, key) AS first FROM c)"""
 
 
-@query("coref_clusters", cte("seclinks").rstrip() + _CLUSTERS + " SELECT doc_id, ent_ord, key, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS cluster FROM d")
+_CLUSTER = " SELECT doc_id, ent_ord, key, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS cluster FROM d"
+
+
+@query("coref_clusters", _clusters_sql("seclinks") + _CLUSTER)
 def coref_clusters(spark, sf):
     return passes.entity_clusters(sec_nodes(spark, sf)).select("doc_id", F.col("node_id").alias("ent_ord"), "key", "cluster")
 
 
-@query("coref_chain", cte("seclinks").rstrip() + _CLUSTERS + " SELECT doc_id, src, dst FROM (SELECT doc_id, lag(ent_ord) OVER (PARTITION BY doc_id, key ORDER BY sent_idx, char_start, ent_ord) AS src, ent_ord AS dst FROM d) WHERE src IS NOT NULL")
+@query("coref_clusters_wide", _clusters_sql("seclinks_wide") + _CLUSTER)
+def coref_clusters_wide(spark, sf):
+    return passes.entity_clusters(sec_nodes(spark, sf, wide_advisories)).select("doc_id", F.col("node_id").alias("ent_ord"), "key", "cluster")
+
+
+@query("sec_entities_wide", cte("seclinks_wide") + "SELECT doc_id, ent_ord, entity_type, domain_type, text, char_start, char_end, sent_idx, linked FROM seclinks_wide")
+def sec_entities_wide(spark, sf):
+    return sec_linked(spark, sf, wide_advisories).select("doc_id", "ent_ord", "entity_type", "domain_type", "text", "char_start", "char_end", "sent_idx", "linked")
+
+
+@query("tokens_wide", cte("toks_wide") + "SELECT doc_id, para_idx, sent_idx, token_idx, i, text, char_start, char_end FROM toks_wide")
+def tokens_wide(spark, sf):
+    return rules(wide_advisories(spark, sf)).tokens.select("doc_id", "para_idx", "sent_idx", "token_idx", "i", "text", "char_start", "char_end")
+
+
+@query("coref_chain", _clusters_sql("seclinks") + " SELECT doc_id, src, dst FROM (SELECT doc_id, lag(ent_ord) OVER (PARTITION BY doc_id, key ORDER BY sent_idx, char_start, ent_ord) AS src, ent_ord AS dst FROM d) WHERE src IS NOT NULL")
 def coref_chain(spark, sf):
     return passes.entity_chain(passes.entity_clusters(sec_nodes(spark, sf))).select("doc_id", "src", "dst")
 
 
 def lexicon_nodes(docs: DataFrame) -> DataFrame:
-    """Tokens and entities of the lexicon annotator as node rows; tokens are numbered after entities."""
+    """The nodes of the lexicon annotator's graph, clauses without their text."""
     a = lexicon(docs).kept()
-    order = F.row_number().over(graph.Window.partitionBy("doc_id").orderBy("para_idx", "sent_idx", "start_i")) - 1
-    ents = a.spans.filter("kind = 'ent'").select("doc_id", order.cast("long").alias("node_id"), F.lit("ENTITY").alias("node_type"), "text", F.col("label").alias("entity_type"), F.lit("").alias("entity_iob"), "para_idx", "sent_idx", F.lit(0).alias("token_idx"), "char_start", "char_end", F.lit("").alias("lemma"))
-    toks = a.tokens.select("doc_id", (F.col("sent_idx") * 100000 + F.col("token_idx") + 1000000).cast("long").alias("node_id"), F.lit("TOKEN").alias("node_type"), "text", F.col("ent_type").alias("entity_type"), F.col("ent_iob").alias("entity_iob"), "para_idx", "sent_idx", "token_idx", "char_start", "char_end", "lemma")
-    preds = frontend.predicates(a).select("doc_id", (F.col("sent_idx") * 100000 + F.col("token_idx")).cast("long").alias("node_id"), F.lit("PREDICATE").alias("node_type"), "text", F.lit("").alias("entity_type"), F.lit("").alias("entity_iob"), "para_idx", "sent_idx", "token_idx", F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), "lemma")
-    return ents.unionByName(toks).unionByName(preds)
+    return stored(frontend.initial_nodes(a, frontend.clause_heads(a).withColumn("text", F.lit(""))), "nodes")
 
 
-_SEEN = """, met AS (SELECT t.doc_id, t.sent_idx, t.token_idx, min(e.ent) AS ent FROM ltoks_advisories t JOIN lents_advisories e ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx AND e.char_start <= t.char_start AND t.char_end <= e.char_end WHERE t.ent_iob = 'B' GROUP BY t.doc_id, t.sent_idx, t.token_idx),
-seen AS (SELECT m.doc_id, m.ent, any_value(e.label) AS label, min((m.sent_idx, m.token_idx)) AS place FROM met m JOIN lents_advisories e ON e.doc_id = m.doc_id AND e.ent = m.ent GROUP BY m.doc_id, m.ent)"""
-
-
-@query("coref_first_sightings", cte("ltoks_advisories", "lents_advisories").rstrip() + _SEEN + " SELECT doc_id, ent AS node_id, label AS entity_type, place[1] AS sent_idx, place[2] AS token_idx FROM seen")
+@query("coref_first_sightings", cte("lseen_advisories") + "SELECT doc_id, ent AS node_id, label AS entity_type, place[1] AS sent_idx, place[2] AS token_idx FROM lseen_advisories")
 def coref_first_sightings(spark, sf):
     return passes.first_sightings(lexicon_nodes(advisories(spark, sf)))
 
 
-def _pronoun_sql() -> str:
-    p = lex.PRONOUNS
-    want = f"CASE WHEN lemma IN {in_(p['male'] + p['female'])} THEN 'person' WHEN lemma IN {in_(p['neutral'])} THEN 'thing' WHEN lemma IN {in_(p['plural'])} THEN 'group' WHEN lemma IN {in_(p['demonstrative'] + p['relative'])} THEN 'any' END"
-    fits = f"CASE t.want WHEN 'person' THEN s.label IN {in_(lex.PERSON_TYPES)} WHEN 'thing' THEN s.label NOT IN {in_(lex.PERSON_TYPES)} WHEN 'group' THEN s.label IN {in_(lex.GROUP_TYPES)} ELSE true END"
-    return cte("ltoks_advisories", "lents_advisories").rstrip() + _SEEN + f""", p AS (SELECT doc_id, sent_idx, token_idx, text, {want} AS want FROM ltoks_advisories)
-SELECT t.doc_id, t.sent_idx, t.token_idx, t.text, coalesce(max_by(s.ent, s.place) FILTER ({fits}), max_by(s.ent, s.place)) AS antecedent
-FROM p t JOIN seen s ON s.doc_id = t.doc_id AND s.place <= (t.sent_idx, t.token_idx) WHERE t.want IS NOT NULL GROUP BY t.doc_id, t.sent_idx, t.token_idx, t.text"""
-
-
-@query("coref_pronoun_asof", _pronoun_sql())
+@query("coref_pronoun_asof", cte("lmentions_advisories") + "SELECT doc_id, sent_idx, token_idx, text, antecedent FROM lmentions_advisories")
 def coref_pronoun_asof(spark, sf):
     return passes.antecedents(lexicon_nodes(advisories(spark, sf))).select("doc_id", "sent_idx", "token_idx", "text", "antecedent")
 
 
-@query("entity_pairs", cte("lents_advisories") + "SELECT a.doc_id, a.sent_idx, a.ent AS src, b.ent AS dst, (a.char_start + b.char_start) / 2 AS mid FROM lents_advisories a JOIN lents_advisories b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.ent < b.ent")
+_PAIRS = "SELECT a.doc_id, a.sent_idx, a.ent AS src, b.ent AS dst, (a.char_start + b.char_start) / 2 AS mid FROM lent_advisories a JOIN lent_advisories b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.ent < b.ent"
+
+
+@query("entity_pairs", cte("lent_advisories") + _PAIRS)
 def entity_pairs(spark, sf):
     return passes.entity_pairs(lexicon_nodes(advisories(spark, sf)))
 
 
-@query("entity_rel_nearest_predicate", cte("lents_advisories", "lpreds_advisories").rstrip() + """, pr AS (SELECT a.doc_id, a.sent_idx, a.ent AS src, b.ent AS dst, (a.char_start + b.char_start) / 2 AS mid FROM lents_advisories a JOIN lents_advisories b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.ent < b.ent)
+@query("entity_rel_nearest_predicate", cte("lent_advisories", "lpreds_advisories").rstrip() + f""", pr AS ({_PAIRS})
 SELECT doc_id, src, dst, label FROM (SELECT x.doc_id, x.src, x.dst, coalesce(v.lemma, 'co-occurs') AS label, row_number() OVER (PARTITION BY x.doc_id, x.src, x.dst ORDER BY abs(v.token_idx - x.mid), v.token_idx) AS n FROM pr x LEFT JOIN lpreds_advisories v ON v.doc_id = x.doc_id AND v.sent_idx = x.sent_idx) WHERE n = 1""")
 def entity_rel_nearest_predicate(spark, sf):
     nodes = lexicon_nodes(advisories(spark, sf))
@@ -554,18 +535,6 @@ def merge_nodes(spark, sf):
     return crossmodal.code_nodes(advisories(spark, sf), cpg(spark)).select("doc_id", "ord", "node_type", "text", "sent_idx", "source")
 
 
-_merged_edges = f"""SELECT src, dst, edge_type FROM (SELECT s.ord AS src, d.ord AS dst, coalesce({case('e.label', lex.MERGE_EDGE_TYPE)}, 'DEP') AS edge_type FROM {_E} e JOIN {_V} s ON s.cpg_id = e.src JOIN {_V} d ON d.cpg_id = e.dst) GROUP BY src, dst, edge_type"""
-
-
-@query("merge_edges", _merged_edges)
-def merge_edges(spark, sf):
-    c = cpg(spark)
-    place = c.vertices.select("cpg_id", F.col("ord").cast("long").alias("p"))
-    ends = c.edges.join(place.withColumnsRenamed({"cpg_id": "src", "p": "s"}), "src").join(place.withColumnsRenamed({"cpg_id": "dst", "p": "d"}), "dst")
-    ends = ends.select(F.lit(0).alias("doc_id"), F.col("s").alias("src"), F.col("d").alias("dst"), crossmodal.merge_edge_type(F.col("label")).alias("edge_type"), "ord")
-    return graph.first_edges(ends, "ord").select("src", "dst", "edge_type")
-
-
 @query("merge_alignment", cte("code") + f"SELECT c.doc_id, c.ent_ord AS node_id, v.ord, v.cpg_id FROM code c JOIN {_V} v ON contains(lower(v.code), c.needle)")
 def merge_alignment(spark, sf):
     nodes = sec_entities(spark, sf).withColumn("node_id", F.col("ent_ord"))
@@ -616,29 +585,13 @@ def vocab(spark, sf):
     return part("node").unionAll(part("edge"))
 
 
-# ---- whole pipelines: rows only where SQL has no short form
-
-
-@query("pipeline_generic_counts")
-def pipeline_generic_counts(spark, sf):
-    g = GraphPipeline(LexiconAnnotator()).run(turns(spark, sf))
-    return graph.stats(g.node_table(), g.edge_table())
-
-
-@query("pipeline_security_edges")
-def pipeline_security_edges(spark, sf):
-    return SecurityPipeline().run(advisories(spark, sf)).edge_table().groupBy("doc_id", "edge_type", "entity_rel_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("pipeline_cross_modal_graphson")
-def pipeline_cross_modal_graphson(spark, sf):
-    p = CrossModalPipeline(cpg(spark))
-    return export.graphson(p.merge_with_code(p.run(advisories(spark, sf))))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from loomgraph.plans import engine_queries  # noqa: F401  registers the queries over whole graphs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from loomgraph.plans import engine_queries  # noqa: F401
+
     return dict(SQL)

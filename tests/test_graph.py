@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.operators import crossmodal, export, graph, security
-from loomgraph.operators.annotate import FixtureAnnotator, LexiconAnnotator, ModelAnnotator, RuleAnnotator
-from loomgraph.plans import queries
+from loomgraph.operators.annotate import FixtureAnnotator, LexiconAnnotator, ModelAnnotator, RuleAnnotator, best_annotator
+from loomgraph.plans import engine_queries, queries
 from loomgraph.plans.pipeline import CrossModalPipeline, GraphPipeline, SecurityPipeline, parse_security_text
 from loomgraph.schema import DEFAULT_SCHEMA, FULL_SCHEMA, SECURITY_SCHEMA
 from loomgraph.sources import code_graph
@@ -84,11 +84,11 @@ def test_security_example(spark):
 
 def test_extractor_rules(spark):
     docs = from_strings(spark, {"a": "high value, low below digital. foo() bar foo()x use-after-free", "b": "😀 LOW", "c": ""})
-    assert sorted((r.text, r.char_start) for r in security.severities(docs).collect()) == [("LOW", 2), ("high ", 0), ("low ", 12)]
-    assert sorted(r.text for r in security.code_elements(docs).collect()) == ["foo()", "free"]
-    assert [(r.text, r.char_start) for r in security.software(docs).collect()] == [("git", 24)]
-    assert [r.domain_type for r in security.impacts(docs).collect()] == ["uaf"]
-    assert [r.domain_type for r in security.vulnerability_types(docs).collect()] == ["use_after_free"]
+    assert sorted((r.text, r.char_start) for r in security.extracted(docs, "severity").collect()) == [("LOW", 2), ("high ", 0), ("low ", 12)]
+    assert sorted(r.text for r in security.extracted(docs, "code_element").collect()) == ["foo()", "free"]
+    assert [(r.text, r.char_start) for r in security.extracted(docs, "software").collect()] == [("git", 24)]
+    assert [r.domain_type for r in security.extracted(docs, "impact").collect()] == ["uaf"]
+    assert [r.domain_type for r in security.extracted(docs, "vulnerability").collect()] == ["use_after_free"]
 
 
 @pytest.mark.parametrize("offset_mode", ["reference", "document"])
@@ -96,8 +96,53 @@ def test_sentence_links(spark, offset_mode):
     text = "First sentence here.\n\nSecond holds CVE-2024-0001 now."
     a = RuleAnnotator().annotate(from_strings(spark, {"d": text}))
     paras = a.paragraphs.withColumn("doc_offset", F.when(F.col("para_idx") == 0, 0).otherwise(22))
-    got = security.sentence_links(security.cve_ids(a.docs).withColumn("ent_ord", F.lit(0)), a.sentences, paras, offset_mode).first()
-    assert (got.sent_idx, got.linked) == (1, True) if offset_mode == "document" else (got.linked in (True, False))
+    got = security.sentence_links(security.extracted(a.docs, "cve").withColumn("ent_ord", F.lit(0)), a.sentences, paras, offset_mode).first()
+    # place 35 of the document; the second paragraph has 31 characters of its own
+    assert (got.sent_idx, got.linked) == ((1, True) if offset_mode == "document" else (0, False))
+
+
+def test_patterns_know_unicode(spark):
+    import re
+
+    texts = ["high\u00a0risk", "upgrade\u2003to 2.0", "CVE-\u0662\u0660\u0662\u0664-\uff11234", "v\u0661.\u0662.3 x1.2 \u00e91.2", "LOW\u0085severity", "highé lowe low.", "mitigaté", "disabled\x1cfoo", "\u212aubernetes KUBERNETES"]
+    docs = from_strings(spark, {str(i): t for i, t in enumerate(texts)})
+    plain = {"severity": lex.SEVERITY, "cve": lex.CVE, "version": lex.VERSION}
+    for name, pattern in plain.items():
+        got = sorted((r.doc_id, r.text, r.char_start, r.char_end) for r in security.extracted(docs, name).collect())
+        assert got == sorted((str(i), m[0], m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(pattern, t)), name
+    got = sorted((r.doc_id, r.domain_type, r.text, r.char_start) for r in security.extracted(docs, "remediation").collect())
+    assert got == sorted((str(i), d, m[0], m.start()) for i, t in enumerate(texts) for d, p in lex.REMEDIATIONS if (m := re.search(p, t)))
+    assert sorted((r.text, r.char_start) for r in security.extracted(docs, "software").collect()) == [("KUBERNETES", 11), ("\u212aubernetes", 0)]
+
+
+def test_edges_are_checked_and_may_be_duplicates(spark):
+    nodes = spark.createDataFrame([(0, 0, "DOCUMENT"), (0, 1, "TOKEN")], "doc_id int, node_id bigint, node_type string")
+    edges = spark.createDataFrame([], "doc_id int, src bigint, dst bigint, edge_type string").withColumn("seq", graph.seq(0))
+    g = graph.PropertyGraph(nodes, graph.edge_rows(edges), nodes.select("doc_id").distinct())
+    link = lambda dst, place: spark.createDataFrame([(0, 0, dst, "DEP", f"l{place}")], "doc_id int, src bigint, dst bigint, edge_type string, dep_label string").withColumn("seq", graph.seq(place))
+    g = g.add_edges(link(1, 1)).add_edges(link(1, 2)).add_edges(link(1, 3), allow_duplicate=True).add_edges(link(0, 4))
+    assert [(r.edge_id, r.dst, r.dep_label) for r in g.edge_table().orderBy("edge_id").collect()] == [(0, 1, "l1"), (1, 1, "l3"), (2, 0, "l4")]
+    with pytest.raises(ValueError, match="unknown target"):
+        g.add_edges(link(7, 5))
+
+
+def test_a_model_by_its_adapter(spark, tmp_path, monkeypatch):
+    """A stand-in for the model library, found by driver and workers alike."""
+    (tmp_path / "spacy.py").write_text(
+        "class T:\n"
+        "    def __init__(s, i, text, idx):\n        s.i, s.text, s.idx, s.lemma_, s.pos_, s.dep_, s.ent_type_, s.ent_iob_, s.head = i, text, idx, text.lower(), 'NOUN', 'dep', '', 'O', s\n"
+        "class S:\n"
+        "    def __init__(s, text):\n        s.text, s.start_char, s.ents, s.noun_chunks, s.label_, s.start, s.end, s.end_char = text, 0, [], [], 'X', 0, 1, len(text.split()[0])\n        s.toks = [T(i, w, text.index(w)) for i, w in enumerate(text.split())]\n        s.ents = [type('E', (), dict(label_='ORG', text=text.split()[0], start=0, end=1, start_char=0, end_char=len(text.split()[0])))]\n"
+        "    def __iter__(s):\n        return iter(s.toks)\n"
+        "def load(name):\n    if name != 'tiny':\n        raise OSError(name)\n    return lambda text: type('D', (), dict(sents=[S(text)]))\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "spacy.py"))
+    assert isinstance(best_annotator("none"), RuleAnnotator)
+    a = best_annotator("tiny").annotate(from_strings(spark, {"d": "Acme sells\n\nfish"}))
+    assert a.has_parser and a.model == "tiny"
+    assert sorted((r.para_idx, r.sent_idx, r.i, r.text, r.char_start) for r in a.tokens.collect()) == [(0, 0, 0, "Acme", 0), (0, 0, 1, "sells", 5), (1, 1, 0, "fish", 0)]
+    assert sorted((r.sent_idx, r.label, r.text) for r in a.spans.collect()) == [(0, "ORG", "Acme"), (1, "ORG", "fish")]
 
 
 def cpg(spark):
@@ -252,7 +297,11 @@ def shown(row):
     return tuple(round(x, 9) if isinstance(x, float) else (int(x) if isinstance(x, int) and not isinstance(x, bool) else x) for x in row)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+#: of the queries over whole graphs one of each kind; the others take the same paths
+WHOLE = ["lexicon_graph_nodes", "srl_arg_edges", "mention_edges", "topic_edges", "pipeline_security_edges", "merge_edges", "graphson_documents"]
+
+
+@pytest.mark.parametrize("name", [*sorted(set(queries.SQL) - set(engine_queries.NAMES)), *WHOLE])
 def test_against_sql(spark, sf, con, name):
     got = queries.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
