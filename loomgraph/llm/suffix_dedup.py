@@ -30,8 +30,10 @@ context equals, by hash, a second one of which the array tells. README has the s
 Skew: a copied document is one row per anchor and task after step 2's local collapse; the
 rows that are already known as repeats are dealt out by a hash of their place. Each context is
 paired once in its task and once over all, so no document has more pairs than contexts, however
-often it is copied. A key with more than ``MOST`` candidates is not gathered: its windows meet
-by two 64-bit hashes, one row each, like contexts in step 2, whose stream holds one row of state.
+often it is copied. A key with more than ``MOST`` candidates is not gathered: its candidates are
+sorted by what stands to their right and to their left, in ranges, and trimmed to what neighbours
+share; the windows that are left meet by two 64-bit hashes, one row each, like contexts in step 2,
+whose stream holds one row of state.
 
 Defined results: null and empty texts have no bytes and no spans. Ids are integers, of any
 size; documents that share an id come in the order of a hash of their text, each on its own.
@@ -387,13 +389,60 @@ def sorted_repeats(group: np.ndarray, doc: np.ndarray, start: np.ndarray, string
     return d[first], s[first], s[np.append(first[1:], len(d)) - 1] if len(first) else s[:0]
 
 
+def common_with_next(key: np.ndarray, sides: list[bytes]) -> np.ndarray:
+    """How many leading bytes each string shares with the next one, if that has the same key."""
+    sizes = np.fromiter(map(len, sides), np.int64, len(sides))
+    width = max(1, int(sizes.max(initial=0)))
+    table = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in sides), np.uint8).reshape(-1, width)
+    same = table[1:] == table[:-1]
+    common = np.where(same.all(1), width, same.argmin(1))
+    return np.where(key[1:] == key[:-1], np.minimum(common, np.minimum(sizes[1:], sizes[:-1])), 0)
+
+
+def with_reach(cuts: DataFrame, name: str, side: str) -> DataFrame:
+    """``cuts`` with ``name``: how many bytes of ``side`` any other candidate of the key shares at most.
+
+    Neighbours in the order of (key, side) tell. Ranges of that order are dealt out, so a key of
+    any size is split; the first and last row of a range take their whole length, which is never too little.
+    """
+    columns = [c for c in cuts.columns if c not in (side, name)]
+    kinds = {f.name: f.dataType.simpleString() for f in cuts.schema.fields}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last row, whose next one isn't known yet
+        before = None  # what it shares with the one before
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            if not len(table):
+                continue
+            sides = table[side].to_pylist()
+            common = common_with_next(np.asarray(table["key"]), sides)
+            first = np.array([len(sides[0]) if before is None else before])
+            reach = np.maximum(np.concatenate([first, common])[:-1], common)
+            yield from table.slice(0, len(table) - 1).select(columns).append_column(name, pa.array(reach.astype(np.int32))).to_batches()
+            held, before = table.slice(len(table) - 1), (int(common[-1]) if len(common) else first[0])
+        if held is not None:
+            yield from held.select(columns).append_column(name, pa.array([len(held[side][0].as_py())], pa.int32())).to_batches()
+
+    ranged = cuts.repartitionByRange("key", side).sortWithinPartitions("key", side)
+    return ranged.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c]}" for c in columns) + f", {name} int")
+
+
 def windows_of(cuts: DataFrame) -> DataFrame:
-    """Rows like ``anchor_rows`` for each window of some candidates, which meet by hash alone."""
+    """Rows like ``anchor_rows`` for the windows that some candidates may share, which meet by hash alone."""
+    mirrored = F.arrow_udf(lambda x: pa.array([y[::-1] for y in x.to_pylist()], pa.binary()), "binary")
+    sided = cuts.withColumn("right_side", F.expr("substring(bytes, anchor + 1)")).withColumn("left_side", mirrored(F.expr("substring(bytes, 1, anchor)")))
+    reached = with_reach(stored(with_reach(stored(sided, "hot-strings"), "right_reach", "right_side"), "hot-right"), "left_reach", "left_side")
+    trimmed = reached.filter(F.col("left_reach") + F.col("right_reach") >= LENGTH).select(
+        "doc", (F.col("start") + F.col("anchor") - F.col("left_reach")).alias("start"), F.expr("substring(bytes, anchor - left_reach + 1, left_reach + right_reach)").alias("bytes")
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(4), SLICE_BYTES):
-                cut = batch.column(4)[a:b].cast(pa.large_binary())
+            for a, b in slices(batch.column(2), SLICE_BYTES):
+                cut = batch.column(2)[a:b].cast(pa.large_binary())
                 offsets = np.frombuffer(cut.buffers()[1], np.int64)[cut.offset : cut.offset + len(cut) + 1]
                 data = np.frombuffer(cut.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
                 offsets = offsets - offsets[0]
@@ -401,13 +450,13 @@ def windows_of(cuts: DataFrame) -> DataFrame:
                 inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(offsets[:-1], n) + inside
                 full = np.full(len(at), LENGTH)
-                place = np.repeat(np.asarray(batch.column(2)[a:b], np.int64), n) + inside
+                place = np.repeat(np.asarray(batch.column(1)[a:b], np.int64), n) + inside
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(at), np.int8)), *(pa.array(xxh64(data, at, full, seed).view(np.int64)) for seed in (42, 43)), pa.array(np.repeat(np.asarray(batch.column(1)[a:b], np.int64), n)), pa.array(packed_at(place, place, place))],
+                    [pa.array(np.zeros(len(at), np.int8)), *(pa.array(xxh64(data, at, full, seed).view(np.int64)) for seed in (42, 43)), pa.array(np.repeat(np.asarray(batch.column(0)[a:b], np.int64), n)), pa.array(packed_at(place, place, place))],
                     names=["kind", "h", "c", "doc", "at"],
                 )
 
-    return cuts.mapInArrow(tidy(run), ROWS)
+    return trimmed.mapInArrow(tidy(run), ROWS)
 
 
 def sorted_contexts(cuts: DataFrame) -> DataFrame:

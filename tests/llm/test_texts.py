@@ -468,6 +468,17 @@ def test_repeats_of_one_line_in_many_documents(spark):
     assert sorted((i, *v) for i, v in removed(rows).items()) == want and sum(x[2] > 0 for x in want) > 100
 
 
+def test_reach_of_candidates_over_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9))).encode()) for i in range(300)]
+    df = spark.createDataFrame(rows, "key bigint, doc bigint, side binary")
+    share = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    want = {i: max(share(x, y) for k, j, y in rows if k == key and j != i) for key, i, x in rows}
+    got = {r.doc: r.reach for r in suffix_dedup.with_reach(df, "reach", "side").collect()}
+    assert all(got[i] == want[i] or (got[i] > want[i] and got[i] == len(x)) for _, i, x in rows)
+    assert sum(got[i] > want[i] for i in want) <= 2 * 8
+
+
 def test_repeats_of_large_and_repeated_ids(spark):
     text = "".join(random.Random(3).choice("abcdefgh") for _ in range(300))
     docs = [(-(1 << 63), text[:150]), (-5, "x" + text[:120]), (1 << 62, text), ((1 << 62) + 1, "q" + text[100:]), ((1 << 63) - 1, text + "z")]
