@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
