@@ -431,7 +431,7 @@ def with_reach(cuts: DataFrame, name: str, side: str) -> DataFrame:
 
 
 def windows_of(cuts: DataFrame) -> DataFrame:
-    """Rows like ``anchor_rows`` for the windows that some candidates may share, which meet by hash alone."""
+    """Rows like ``anchor_rows`` for the windows that some candidates may share, which meet by hash alone; collapsed within a task."""
     mirrored = F.arrow_udf(lambda x: pa.array([y[::-1] for y in x.to_pylist()], pa.binary()), "binary")
     sided = cuts.withColumn("right_side", F.expr("substring(bytes, anchor + 1)")).withColumn("left_side", mirrored(F.expr("substring(bytes, 1, anchor)")))
     reached = with_reach(stored(with_reach(stored(sided, "hot-strings"), "right_reach", "right_side"), "hot-right"), "left_reach", "left_side")
@@ -439,7 +439,32 @@ def windows_of(cuts: DataFrame) -> DataFrame:
         "doc", (F.col("start") + F.col("anchor") - F.col("left_reach")).alias("start"), F.expr("substring(bytes, anchor - left_reach + 1, left_reach + right_reach)").alias("bytes")
     )
 
+    def collapsed(parts: list[tuple]) -> pa.RecordBatch:
+        """The first of equal windows in a task; the others as stretches of repeats."""
+        h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((at, doc, c, h))
+        h, c, doc, at = h[order], c[order], doc[order], at[order]
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        d, s = doc[again], at[again]
+        order = np.lexsort((s, d))
+        d, s = d[order], s[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
+        run = np.cumsum(new) - 1
+        inside = np.arange(len(d)) - np.flatnonzero(new)[run]
+        new |= inside % 128 == 0  # what a packed place can tell
+        first = np.flatnonzero(new)
+        last = s[np.append(first[1:], len(d)) - 1] if len(first) else s
+        kept = ~again
+        kind = np.concatenate([np.full(len(first), REPEAT), np.full(int(kept.sum()), SINGLE)]).astype(np.int8)
+        none = np.zeros(len(first), np.int64)
+        places_ = np.concatenate([packed_at(last, s[first], last), packed_at(at[kept], at[kept], at[kept])])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([none, h[kept]])), pa.array(np.concatenate([none, c[kept]])), pa.array(np.concatenate([d[first], doc[kept]])), pa.array(places_)], names=["kind", "h", "c", "doc", "at"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        total = 0
         for batch in batches:
             for a, b in slices(batch.column(2), SLICE_BYTES):
                 cut = batch.column(2)[a:b].cast(pa.large_binary())
@@ -451,10 +476,13 @@ def windows_of(cuts: DataFrame) -> DataFrame:
                 at = np.repeat(offsets[:-1], n) + inside
                 full = np.full(len(at), LENGTH)
                 place = np.repeat(np.asarray(batch.column(1)[a:b], np.int64), n) + inside
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(at), np.int8)), *(pa.array(xxh64(data, at, full, seed).view(np.int64)) for seed in (42, 43)), pa.array(np.repeat(np.asarray(batch.column(0)[a:b], np.int64), n)), pa.array(packed_at(place, place, place))],
-                    names=["kind", "h", "c", "doc", "at"],
-                )
+                parts.append((*(xxh64(data, at, full, seed).view(np.int64) for seed in (42, 43)), np.repeat(np.asarray(batch.column(0)[a:b], np.int64), n), place))
+                total += len(at)
+                if total >= COLLAPSE_ROWS:
+                    yield collapsed(parts)
+                    parts, total = [], 0
+        if parts:
+            yield collapsed(parts)
 
     return trimmed.mapInArrow(tidy(run), ROWS)
 
