@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, langid, line_dedup, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
+from loomgraph.llm import decontaminate, langid, line_dedup, replay, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
 from loomgraph.llm.common import new_dir, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -142,6 +142,46 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of a text, by a table of 256 entries that the statement makes itself."""
+    digit = lambda k: f"instr('123456789ABCDEF', substr(hex({text}), CAST({k} AS BIGINT), 1))"
+    read = f"list_transform(range(0, strlen({text})), lambda i: 16 * {digit('2 * i + 1')} + {digit('2 * i + 2')})"
+    return f"xor(list_reduce(list_prepend(4294967295, {read}), lambda c, b: xor(c >> 8, list_extract(steps, (xor(c, b) & 255) + 1))), 4294967295)"
+
+
+def _h_sql(k: int) -> str:
+    return _crc32_sql(f"'{k}:' || conv_id || ':' || turn")
+
+
+OP11_SQL = f"""
+WITH RECURSIVE s AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps FROM (SELECT unnest(range(256)) AS n)
+), t AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, {_crc32_sql("coalesce(text, '')")} AS crc,
+         {_h_sql(0)} % 5 AS back, {_h_sql(1)} % 101 < 50 AS faulty, {_h_sql(2)} % 101 AS repair, [{", ".join(f"{_h_sql(a + 3)} % 3 = 0" for a in range(6))}] AS fails
+  FROM conversations, s
+), r AS (
+  SELECT conv_id, CAST(-1 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS crc, CAST(NULL AS INTEGER) AS attempts, CAST(NULL AS BIGINT) AS first_at, CAST(NULL AS BIGINT) AS last_at, CAST([] AS BIGINT[]) AS lasts FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, p, turn, crc, CASE WHEN first_at IS NULL THEN 0 ELSE coalesce(good, 6) END, first_at, first_at + 20 * (pow(2, coalesce(good, 6) - 1)::BIGINT - 1),
+         list_append(lasts, CASE WHEN good IS NOT NULL THEN first_at + 20 * (pow(2, good - 1)::BIGINT - 1) END)
+  FROM (SELECT *, CASE WHEN first_at IS NOT NULL THEN list_filter(range(1, 7), lambda a: NOT faulty OR (first_at + 20 * (pow(2, a - 1)::BIGINT - 1) >= 7 * p + repair AND NOT list_extract(fails, a)))[1] END AS good
+        FROM (SELECT t.*, lasts, CASE WHEN back = 0 OR back > t.p THEN 7 * t.p WHEN list_extract(lasts, t.p - back + 1) IS NOT NULL THEN greatest(7 * t.p, list_extract(lasts, t.p - back + 1)) END AS first_at
+              FROM r JOIN t ON t.conv_id = r.conv_id AND t.p = r.p + 1))
+), o AS (
+  SELECT conv_id, turn, attempts, first_at, last_at, crc, CASE WHEN attempts = 0 THEN 'blocked' WHEN list_last(lasts) IS NULL THEN 'dead' ELSE 'delivered' END AS status FROM r WHERE p >= 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY last_at, turn) AS release_no FROM o WHERE status = 'delivered'
+)
+SELECT conv_id, turn, status, attempts, first_at, last_at, release_no, CAST(sum(release_no * crc) OVER (PARTITION BY conv_id ORDER BY release_no) AS BIGINT) AS state FROM n
+UNION ALL SELECT conv_id, turn, status, attempts, first_at, last_at, NULL, NULL FROM o WHERE status <> 'delivered'
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -153,12 +193,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_store": op9_token_store,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_replay": op11_replay,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op6_topk": OP6_SQL,
     "op8_url_filter": OP8_SQL,
+    "op11_replay": OP11_SQL,
 }
 
 
