@@ -4,7 +4,7 @@ The similarity of two texts is that of their sets of shingles of ``WIDTH`` words
 over all; words as in simhash.py, a shorter text is one shingle). Texts of ``SIMILARITY``
 or more are linked, linked texts are one group.
 
-Method: texts with equal bags of shingles (64-bit hash) are made one first. Each distinct
+Method: texts with equal bags of shingles (128 bits of sums over the shingles' hashes) are made one first. Each distinct
 bag has ``BANDS`` keys of ``ROWS`` MinHash values. Bags that share a key are compared
 exactly, all with all, as blocks of about ``BLOCK`` bags: common shingles are counted as
 bits of a block's shared shingles, and only the links that join its parts are returned.
@@ -53,17 +53,28 @@ def row_key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(k), *parts).alias(k) for k in KEY]
 
 
-def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' shingles, and how many each has."""
     words = Words(*byte_view(texts))
-    first, last, n = words.shingles(WIDTH)
+    first, last, n = words.shingles(width)
     starts = words.starts[first]
     return xxh64(words.data, starts, words.ends[last] - starts), n
 
 
+def sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits (two columns) that tell the bags of hashes apart; each bag begins at one of ``first``."""
+    return np.stack([np.add.reduceat(mixed(hashes ^ flip), first) for flip in (_U(0), _U(0x9E3779B97F4A7C15))], 1)
+
+
+def binaries(keys: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit values as binaries of 16 bytes."""
+    ends = np.arange(len(keys) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the hash of its bag of shingles, and its band keys."""
-    bags, bands = np.zeros(len(texts), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
+    bags, bands = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for a, b in slices(texts, SLICE_BYTES):
             hashes, n = shingle_hashes(texts[a:b])
@@ -71,7 +82,7 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if not len(some):
                 continue
             first = (np.cumsum(n) - n)[some]
-            bags[a + some] = np.add.reduceat(mixed(hashes), first)
+            bags[a + some] = sums(hashes, first)
             high = (hashes >> _U(32)).astype(np.uint32)
             for k in range(BANDS):
                 key = np.full(len(some), k + 1, np.uint64)
@@ -89,22 +100,28 @@ def marked_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             bags, bands = signatures(batch.column(3))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bags) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bags.view(np.int64)), lists, pc.fill_null(pc.binary_length(batch.column(3)), 0).cast(pa.int64())], names=[*KEY, "doc_id", "bag", "bands", "bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], binaries(bags), lists, pc.fill_null(pc.binary_length(batch.column(3)), 0).cast(pa.int64())], names=[*KEY, "doc_id", "bag", "bands", "bytes"])
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(*row_key(docs), F.col(doc_id), F.col(text).cast("string"))
-    return rows.mapInArrow(tidy(run), f"__k1 bigint, __k2 bigint, doc_id {kind}, bag bigint, bands array<bigint>, bytes bigint")
+    return rows.mapInArrow(tidy(run), f"__k1 bigint, __k2 bigint, doc_id {kind}, bag binary, bands array<bigint>, bytes bigint")
 
 
-def similar(texts: pa.Array) -> np.ndarray:
-    """Which pairs of texts (a square of booleans) have the similarity."""
-    hashes, n = shingle_hashes(texts)
+def distinct_shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each text's distinct shingles, by hash."""
+    hashes, n = shingle_hashes(texts, width)
     text = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((text, hashes))
     hashes, text = hashes[order], text[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    hashes, text = hashes[new], text[new]
+    return hashes[new], text[new]
+
+
+def similar(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
+    """Which pairs of texts (a square of booleans) have the similarity."""
+    hashes, text = distinct_shingles(texts, width)
+    n = np.zeros(len(texts))
     size = np.bincount(text, minlength=len(n))
     _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
     shared = times[column] > 1
@@ -122,7 +139,7 @@ def similar(texts: pa.Array) -> np.ndarray:
     return common * (over + under) >= over * (size[:, None] + size[None, :])
 
 
-def joined(bags: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+def joined(bags: list[bytes], near: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Links (u, v) that join what ``near`` joins, one fewer than the bags of each part."""
     out, left = [], set(range(len(bags)))
     while left:
@@ -132,20 +149,20 @@ def joined(bags: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
             for j in [j for j in np.flatnonzero(near[i]).tolist() if j in left]:
                 left.remove(j)
                 todo.append(j)
-                out.append((int(bags[i]), int(bags[j])))
+                out.append((bags[i], bags[j]))
     return out
 
 
-def links(lists: DataFrame, texts: DataFrame) -> DataFrame:
+def links(lists: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """(u, v) of similar bags that stand in one of the lists (bags); texts: (bag, text)."""
 
     def compare(rows: pa.Table) -> pa.Table:
-        found = joined(rows["bag"].to_numpy(), similar(rows["text"].combine_chunks()))
+        found = joined(rows["bag"].to_pylist(), similar(rows["text"].combine_chunks(), width))
         release_memory()
-        return pa.table([pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], []))], names=["u", "v"])
+        return pa.table([pa.array(x, pa.binary()) for x in (zip(*found) if found else ([], []))], names=["u", "v"])
 
     members = lists.select(F.xxhash64("bags").alias("list"), F.explode("bags").alias("bag")).distinct()
-    return members.join(texts, "bag").groupBy("list").applyInArrow(compare, "u bigint, v bigint")
+    return members.join(texts, "bag").groupBy("list").applyInArrow(compare, "u binary, v binary")
 
 
 def blocked(buckets: DataFrame, pairs: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, langid, line_dedup, replay, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
+from loomgraph.llm import decontaminate, langid, line_dedup, minhash, replay, simhash, suffix_dedup, token_store, topk, url_filter, warc, word_bpe
 from loomgraph.llm.common import new_dir, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -182,6 +182,28 @@ UNION ALL SELECT conv_id, turn, status, attempts, first_at, last_at, NULL, NULL
 """
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: list_extract(ws, i) || ' ' || list_extract(ws, i + 1)) ELSE ws END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), linked AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)
+), reach AS (
+  SELECT a, b FROM linked UNION SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(w.doc_id, least_id), w.doc_id) AS component_id, coalesce(least(w.doc_id, least_id), w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) r ON r.a = w.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -194,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_replay": op11_replay,
+    "op12_minhash": op12_minhash,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
@@ -201,6 +224,7 @@ SQL: dict[str, str] = {
     "op6_topk": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op11_replay": OP11_SQL,
+    "op12_minhash": OP12_SQL,
 }
 
 
