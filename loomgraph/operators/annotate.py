@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
+from loomgraph.functions.arrays import before, scanned
 from loomgraph.functions.storage import stored
-from loomgraph.functions.text import lstrip, matches, paragraphs_of, placed, strip
+from loomgraph.functions.text import let, paragraphs_of, strip
 
 TOKEN_SCHEMA = (
     "doc_id {id}, para_idx int, sent_idx int, token_idx int, i int, text string, lemma string, pos string, dep string, "
@@ -33,7 +34,10 @@ SENTENCE_SCHEMA = "doc_id {id}, para_idx int, sent_idx int, text string, char_st
 
 @dataclass(frozen=True)
 class Annotations:
-    """docs(doc_id, text), paragraphs(doc_id, para_idx, text), sentences, tokens and spans."""
+    """docs(doc_id, text), paragraphs(doc_id, para_idx, text), sentences, tokens and spans.
+
+    ``nested``: a row a sentence with its tokens and spans as arrays, where the tables come from such rows.
+    """
 
     docs: DataFrame
     paragraphs: DataFrame
@@ -42,9 +46,12 @@ class Annotations:
     spans: DataFrame
     has_parser: bool = False
     model: str = "rules"
+    nested: DataFrame | None = None
 
     def kept(self) -> Annotations:
-        """The same with tokens, sentences and spans written once, since several operators read each."""
+        """The same written once, since several operators read each."""
+        if self.nested is not None:
+            return from_nested(self.docs, stored(self.nested, "annotated"), self.has_parser, self.model)
         return replace(self, sentences=stored(self.sentences, "sentences"), tokens=stored(self.tokens, "tokens"), spans=stored(self.spans, "spans"))
 
 
@@ -53,36 +60,89 @@ class Annotator(Protocol):
 
 
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text), dealt by doc_id once, which all windows and joins within a document go on from; a null text is empty."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("doc_id")
+    """(doc_id, text); a null text is empty."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text"), lex.PARAGRAPH_BREAK)).alias("para_idx", "text"))
 
 
+def sentences_of(paragraph: Column) -> Column:
+    """An array of (text, char_start): stripped sentences; one that is white space only is dropped."""
+    raws = F.regexp_extract_all(paragraph, F.lit(lex.SENTENCE), F.lit(0))
+    pairs = let(raws, lambda found: F.arrays_zip(found.alias("raw"), before(F.transform(found, F.length)).alias("at")))
+    # what is stripped in front is white space, so the stripped text is first found behind it
+    shown = F.transform(pairs, lambda x: let(strip(x["raw"]), lambda text: F.struct(text.alias("text"), (x["at"] + F.position(text, x["raw"]) - 1).alias("char_start"))))
+    return F.filter(shown, lambda x: x["text"] != "")
+
+
+PLACED = "struct<text: string, char_start: int, char_end: int>"
+
+
+def tokens_of(sentence: Column) -> Column:
+    """An array of (text, char_start, char_end) of a sentence (text, char_start)."""
+
+    def token(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        return end, F.struct(x["match"].alias("text"), start.alias("char_start"), end.alias("char_end"))
+
+    text, pattern = sentence["text"], F.lit(lex.TOKEN)
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
+    # what follows the last match has none
+    return scanned(let(pairs, lambda xs: F.slice(xs, 1, F.size(xs) - 1)), sentence["char_start"], token, "int", PLACED)
+
+
+def _sentence_rows(docs: DataFrame, of_paragraph) -> DataFrame:
+    """A row for each element that ``of_paragraph`` gives for a paragraph's text, with para_idx and sent_idx, which runs over the document."""
+    cut = docs.select("doc_id", F.transform(paragraphs_of(F.col("text"), lex.PARAGRAPH_BREAK), of_paragraph).alias("cut"))
+    paras = cut.select("doc_id", F.posexplode(F.arrays_zip("cut", before(F.transform("cut", F.size)).alias("base"))).alias("para_idx", "p"))
+    rows = paras.select("doc_id", "para_idx", F.col("p.base").alias("base"), F.posexplode("p.cut").alias("k", "s"))
+    return rows.select("doc_id", "para_idx", (F.col("base") + F.col("k")).alias("sent_idx"), "s.*")
+
+
 def split_sentences(docs: DataFrame) -> DataFrame:
-    """Stripped sentences of documents (doc_id, text); one that is white space only is dropped."""
-    pieces = split_paragraphs(docs).select("doc_id", "para_idx", F.posexplode(F.regexp_extract_all("text", F.lit(lex.SENTENCE), F.lit(0))).alias("k", "raw"))
-    before = Window.partitionBy("doc_id", "para_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.length("raw") - F.length(lstrip(F.col("raw")))
-    at = pieces.withColumn("char_start", (F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)) + lead).cast("int"))
-    at = at.withColumn("text", strip(F.col("raw"))).filter(F.col("text") != "")
-    order = Window.partitionBy("doc_id").orderBy("para_idx", "k")
-    return at.select(
-        "doc_id", "para_idx", (F.row_number().over(order) - 1).alias("sent_idx"), "text", "char_start",
-        (F.col("char_start") + F.length("text")).cast("int").alias("char_end"),
-    )
+    """Stripped sentences of documents (doc_id, text), cut within the row: no shuffle."""
+    rows = _sentence_rows(docs, sentences_of)
+    return rows.withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int")).select(*_names(SENTENCE_SCHEMA))
 
 
-def split_tokens(sentences: DataFrame) -> DataFrame:
-    found = sentences.select("doc_id", "para_idx", "sent_idx", F.col("char_start").alias("base"), F.posexplode(matches(F.col("text"), lex.TOKEN)).alias("token_idx", "m"))
-    found = placed(found.select("doc_id", "para_idx", "sent_idx", "base", "token_idx", "m.*"), ["doc_id", "para_idx", "sent_idx"], "token_idx")
-    order = Window.partitionBy("doc_id", "para_idx").orderBy("sent_idx", "token_idx")
-    return found.select(
-        "doc_id", "para_idx", "sent_idx", "token_idx", (F.row_number().over(order) - 1).alias("i"),
-        F.col("match").alias("text"), (F.col("base") + F.col("start")).cast("int").alias("char_start"), (F.col("base") + F.col("end")).cast("int").alias("char_end"),
-    )
+def tokenised(docs: DataFrame) -> DataFrame:
+    """Sentences with first_i (the number of tokens before them in their paragraph) and toks, their tokens as an array."""
+
+    def parts(paragraph: Column) -> Column:
+        with_tokens = F.transform(sentences_of(paragraph), lambda s: F.struct(s["text"].alias("text"), s["char_start"].alias("char_start"), tokens_of(s).alias("toks")))
+
+        def counted(found: Column) -> Column:
+            pairs = F.arrays_zip(found.alias("s"), before(F.transform(found, lambda x: F.size(x["toks"]))).alias("first_i"))
+            return F.transform(pairs, lambda x: F.struct(x["s"]["text"].alias("text"), x["s"]["char_start"].alias("char_start"), x["s"]["toks"].alias("toks"), x["first_i"].alias("first_i")))
+
+        return let(with_tokens, counted)
+
+    rows = _sentence_rows(docs, parts)
+    return rows.withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+TOKEN = "struct<text: string, char_start: int, char_end: int, lemma: string, pos: string, dep: string, head_i: int, ent_type: string, ent_iob: string>"
+SPAN = "struct<kind: string, label: string, text: string, start_i: int, end_i: int, char_start: int, char_end: int>"
+
+
+def from_nested(docs: DataFrame, nested: DataFrame, has_parser: bool, model: str) -> Annotations:
+    """The tables of sentence rows with ``toks`` (of TOKEN; without a parser of PLACED) and ``spans`` (of SPAN)."""
+    sentences = nested.select(*_names(SENTENCE_SCHEMA))
+    tokens = nested.select("doc_id", "para_idx", "sent_idx", "first_i", F.posexplode("toks").alias("token_idx", "t"))
+    tokens = tokens.select("*", "t.*").withColumn("i", F.col("first_i") + F.col("token_idx"))
+    if not has_parser:
+        none = F.lit("")
+        tokens = tokens.withColumns({"lemma": F.lower("text"), "pos": none, "dep": none, "head_i": F.col("i"), "ent_type": none, "ent_iob": none})
+    tokens = tokens.select(*_names(TOKEN_SCHEMA))
+    spans = nested.select("doc_id", "para_idx", "sent_idx", F.inline("spans")).select(*_names(SPAN_SCHEMA))
+    return Annotations(docs, split_paragraphs(docs), sentences, tokens, spans, has_parser, model, nested)
 
 
 class RuleAnnotator:
@@ -90,32 +150,26 @@ class RuleAnnotator:
 
     def annotate(self, docs: DataFrame) -> Annotations:
         docs = documents(docs)
-        paragraphs = split_paragraphs(docs)
-        sentences = split_sentences(docs)
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        empty = F.lit("")
-        tokens = split_tokens(sentences).withColumns({"lemma": F.lower("text"), "pos": empty, "dep": empty, "head_i": F.col("i"), "ent_type": empty, "ent_iob": empty})
-        tokens = tokens.select(*[x.split()[0] for x in TOKEN_SCHEMA.split(", ")])
-        return Annotations(docs, paragraphs, sentences, tokens, docs.sparkSession.createDataFrame([], SPAN_SCHEMA.format(id=kind)))
+        nested = tokenised(docs).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
+        return replace(from_nested(docs, nested, False, "rules"), sentences=split_sentences(docs))
 
 
 _DETERMINERS = ["the", "a", "an"]
 _ADPOSITIONS = ["of", "in", "to", "for", "on", "with", "at", "by", "from", "as", "via"]
 _CONJUNCTIONS = ["and", "or", "but"]
-_OF_NOUN = {"DET": "det", "ADJ": "amod", "NUM": "nummod"}
 
 
 def part_of_speech(text: Column, token_idx: Column) -> Column:
     """A tag by word list, ending and shape."""
-    low = F.lower(text)
     pronouns = [w for k in ("male", "female", "neutral", "plural", "demonstrative", "relative") for w in lex.PRONOUNS[k]]
-    return (
+    tag = lambda low: (
         F.when(low.isin(_DETERMINERS), "DET").when(low.isin(pronouns), "PRON").when(low.isin(lex.AUXILIARY_VERBS), "AUX")
         .when(low.isin(_ADPOSITIONS), "ADP").when(low.isin(_CONJUNCTIONS), "CCONJ").when(low == "not", "PART")
         .when(~text.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(text.rlike(r"^[0-9]"), "NUM")
         .when(low.isin(lex.COMMON_VERBS) | low.rlike(r"^\p{L}{3,}(ed|ing)$"), "VERB").when(low.rlike("ly$"), "ADV")
         .when(low.rlike(r"^\p{L}{2,}(ble|ful|ous|ive)$"), "ADJ").when((token_idx > 0) & text.rlike(r"^\p{Lu}"), "PROPN").otherwise("NOUN")
     )
+    return let(F.lower(text), tag)
 
 
 class LexiconAnnotator:
@@ -124,68 +178,86 @@ class LexiconAnnotator:
     A heuristic: it gives every operator over labels something to work on, but its labels
     are not those of a statistical parser. Verbs hang on the verb before them, nouns on the
     nearest verb (left: object, right: subject), determiners, adjectives and numbers on the
-    noun that follows, all else on the verb to the left or the root.
+    noun that follows, all else on the verb to the left or the root. Names are runs of
+    proper nouns; noun chunks are runs of determiners, adjectives, numbers and nouns up to their last noun.
+
+    All labels come from two folds over a sentence's tokens, one in each direction.
     """
 
     def annotate(self, docs: DataFrame) -> Annotations:
-        base = RuleAnnotator().annotate(docs)
-        w = Window.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        after = w.rowsBetween(1, Window.unboundedFollowing)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        t = base.tokens.withColumn("pos", part_of_speech(F.col("text"), F.col("token_idx")))
-        verb, noun = F.when(F.col("pos") == "VERB", F.col("i")), F.when(F.col("pos").isin("NOUN", "PROPN"), F.col("i"))
-        t = t.withColumns({
-            "vl": F.last(verb, True).over(before), "vr": F.first(verb, True).over(after), "nr": F.first(noun, True).over(after),
-            "root": F.coalesce(F.first(verb, True).over(whole), F.first("i").over(whole)), "prev": F.lower(F.lag("text").over(w)),
-            "prev_name": F.coalesce(F.lag("pos").over(w) == "PROPN", F.lit(False)),
-        })
-        pos, i, root, vl, vr, nr = (F.col(c) for c in ("pos", "i", "root", "vl", "vr", "nr"))
+        docs = documents(docs)
+        return from_nested(docs, labelled(tokenised(docs)), True, "lexicon")
+
+
+#: What a fold from the left knows of a token: the last verb before it, the word before it, where its run of names and its noun chunk begin
+_LEFT = "struct<verb: int, word: string, name: int, chunk: int>"
+#: From the right: the next verb and noun, and in the token's run of names and noun chunk the last name and the last noun
+_RIGHT = "struct<verb: int, noun: int, name: int, chunk: int>"
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Sentence rows of ``tokenised`` with toks of TOKEN and spans of SPAN."""
+    null = F.lit(None).cast("int")
+    is_noun = lambda tag: tag.isin("NOUN", "PROPN")
+    in_chunk = lambda tag: tag.isin("DET", "ADJ", "NUM", "NOUN", "PROPN")
+
+    def leftward(s: Column, x: Column) -> tuple[Column, Column]:
+        name, chunk = (F.when(inside, F.coalesce(s[c], x["k"])) for c, inside in (("name", x["tag"] == "PROPN"), ("chunk", in_chunk(x["tag"]))))
+        after = F.struct(F.when(x["tag"] == "VERB", x["k"]).otherwise(s["verb"]).alias("verb"), F.lower(x["text"]).alias("word"), name.alias("name"), chunk.alias("chunk"))
+        return after, F.struct(s["verb"].alias("verb"), s["word"].alias("word"), name.alias("name"), chunk.alias("chunk"))
+
+    def rightward(s: Column, x: Column) -> tuple[Column, Column]:
+        name = F.when(x["tag"] == "PROPN", F.coalesce(s["name"], x["k"]))
+        chunk = F.when(in_chunk(x["tag"]), F.coalesce(s["chunk"], F.when(is_noun(x["tag"]), x["k"])))
+        after = F.struct(F.when(x["tag"] == "VERB", x["k"]).otherwise(s["verb"]).alias("verb"), F.when(is_noun(x["tag"]), x["k"]).otherwise(s["noun"]).alias("noun"), name.alias("name"), chunk.alias("chunk"))
+        return after, F.struct(s["verb"].alias("verb"), s["noun"].alias("noun"), name.alias("name"), chunk.alias("chunk"))
+
+    start_left = F.struct(null.alias("verb"), F.lit(None).cast("string").alias("word"), null.alias("name"), null.alias("chunk"))
+    start_right = F.struct(null.alias("verb"), null.alias("noun"), null.alias("name"), null.alias("chunk"))
+    rows = rows.withColumn("tags", F.transform("toks", lambda t, k: F.struct(k.alias("k"), t["text"].alias("text"), part_of_speech(t["text"], k).alias("tag"))))
+    rows = rows.withColumns({
+        "lefts": scanned(F.col("tags"), start_left, leftward, _LEFT, _LEFT),
+        "rights": F.reverse(scanned(F.reverse("tags"), start_right, rightward, _RIGHT, _RIGHT)),
+        "root": F.coalesce(F.get(F.filter("tags", lambda x: x["tag"] == "VERB"), F.lit(0))["k"], F.lit(0)),
+    })
+
+    def label(x: Column) -> Column:
+        tag, k, left, right = x["tags"]["tag"], x["tags"]["k"], x["lefts"], x["rights"]
+        vl, vr, nr, root = left["verb"], right["verb"], right["noun"], F.col("root")
+        noun_like = tag.isin("NOUN", "PROPN", "PRON")
         dep = (
-            F.when(i == root, "ROOT").when(pos == "PUNCT", "punct")
-            .when(pos.isin(*_OF_NOUN) & nr.isNotNull(), F.when(pos == "DET", "det").when(pos == "ADJ", "amod").otherwise("nummod"))
-            .when((pos == "VERB") & vl.isNotNull(), F.when(F.col("prev") == "that", "ccomp").otherwise("advcl"))
-            .when(pos.isin("NOUN", "PROPN", "PRON") & vl.isNotNull(), "dobj").when(pos.isin("NOUN", "PROPN", "PRON") & vr.isNotNull(), "nsubj")
-            .when((pos == "AUX") & vr.isNotNull(), "aux").when(pos == "ADV", "advmod").when(pos == "ADP", "prep").when(pos == "PART", "neg").otherwise("dep")
+            F.when(k == root, "ROOT").when(tag == "PUNCT", "punct")
+            .when(tag.isin("DET", "ADJ", "NUM") & nr.isNotNull(), F.when(tag == "DET", "det").when(tag == "ADJ", "amod").otherwise("nummod"))
+            .when((tag == "VERB") & vl.isNotNull(), F.when(left["word"] == "that", "ccomp").otherwise("advcl"))
+            .when(noun_like & vl.isNotNull(), "dobj").when(noun_like & vr.isNotNull(), "nsubj")
+            .when((tag == "AUX") & vr.isNotNull(), "aux").when(tag == "ADV", "advmod").when(tag == "ADP", "prep").when(tag == "PART", "neg").otherwise("dep")
         )
         head = (
-            F.when(F.col("dep") == "ROOT", i).when(F.col("dep").isin("det", "amod", "nummod"), nr)
-            .when(F.col("dep").isin("nsubj", "aux"), vr).when(F.col("dep") == "punct", root).otherwise(F.coalesce(vl, root))
+            F.when(k == root, k).when(tag == "PUNCT", root).when(tag.isin("DET", "ADJ", "NUM") & nr.isNotNull(), nr).when(tag == "VERB", F.coalesce(vl, root))
+            .when(noun_like & vl.isNotNull(), vl).when(noun_like & vr.isNotNull(), vr).when((tag == "AUX") & vr.isNotNull(), vr).otherwise(F.coalesce(vl, root))
         )
-        name = pos == "PROPN"
-        t = t.withColumn("dep", dep).withColumn("head_i", head)
-        t = t.withColumn("ent_iob", F.when(name, F.when(F.col("prev_name"), "I").otherwise("B")).otherwise("O"))
-        t = t.withColumn("ent_no", F.sum((F.col("ent_iob") == "B").cast("int")).over(Window.partitionBy("doc_id").orderBy("para_idx", "i")))
-        run = Window.partitionBy("doc_id", "ent_no", name)
-        label = F.when(F.count(F.lit(1)).over(run) > 1, "PERSON").when(F.max(F.length("text")).over(run) % 2 == 0, "ORG").otherwise("GPE")
-        t = t.withColumn("ent_type", F.when(name, label).otherwise(""))
-        tokens = t.select(*[x.split()[0] for x in TOKEN_SCHEMA.split(", ")], "ent_no")
-        spans = spans_of(tokens.filter("ent_type <> ''"), ["ent_no"], "ent", F.first("ent_type")).unionByName(noun_chunks(tokens))
-        return replace(base, tokens=tokens.drop("ent_no"), spans=with_text(spans, base.paragraphs), has_parser=True, model="lexicon")
-
-
-def spans_of(tokens: DataFrame, run: list[str], kind: str, label: Column) -> DataFrame:
-    """One span for each run of tokens."""
-    return tokens.groupBy("doc_id", "para_idx", "sent_idx", *run).agg(
-        F.lit(kind).alias("kind"), label.alias("label"), F.min("i").alias("start_i"), (F.max("i") + 1).alias("end_i"),
-        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"),
-    ).drop(*run)
-
-
-def noun_chunks(tokens: DataFrame) -> DataFrame:
-    """Runs of determiners, adjectives, numbers and nouns that end in a noun (gaps and islands)."""
-    w = Window.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
-    part = F.col("pos").isin("DET", "ADJ", "NUM", "NOUN", "PROPN")
-    marked = tokens.withColumn("chunk", F.sum((~part).cast("int")).over(w)).filter(part)
-    last = F.max(F.when(F.col("pos").isin("NOUN", "PROPN"), F.col("i"))).over(Window.partitionBy("doc_id", "sent_idx", "chunk"))
-    return spans_of(marked.withColumn("last", last).filter(F.col("i") <= F.col("last")), ["chunk"], "np", F.lit("NP"))
-
-
-def with_text(spans: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Spans with the text they cover."""
-    cut = F.expr("substring(para_text, char_start + 1, char_end - char_start)")
-    joined = spans.join(paragraphs.select("doc_id", "para_idx", F.col("text").alias("para_text")), ["doc_id", "para_idx"])
-    return joined.withColumn("text", cut).select(*[x.split()[0] for x in SPAN_SCHEMA.split(", ")])
+        long, even = left["name"] != right["name"], F.length(x["toks"]["text"]) % 2 == 0
+        kind = F.when(tag != "PROPN", "").when(long, "PERSON").when(even, "ORG").otherwise("GPE")
+        iob = F.when(tag != "PROPN", "O").when(k == left["name"], "B").otherwise("I")
+        return F.struct(
+            *[x["toks"][c].alias(c) for c in ("text", "char_start", "char_end")], F.lower(x["toks"]["text"]).alias("lemma"), tag.alias("pos"), dep.alias("dep"),
+            (F.col("first_i") + head).cast("int").alias("head_i"), kind.alias("ent_type"), iob.alias("ent_iob"),
+        ).cast(TOKEN)
+
+    def span(kind: str, named: Column, first: Column, last: Column) -> Column:
+        """The span of the tokens first to last."""
+        start, end = (F.get(F.col("toks"), at)[c] for at, c in ((first, "char_start"), (last, "char_end")))
+        text = F.substring(F.col("text"), start - F.col("char_start") + 1, end - start)
+        at = lambda x: (F.col("first_i") + x).cast("int")
+        return F.struct(F.lit(kind).alias("kind"), named.alias("label"), text.alias("text"), at(first).alias("start_i"), at(last + 1).alias("end_i"), start.alias("char_start"), end.alias("char_end")).cast(SPAN)
+
+    rows = rows.withColumn("toks", F.transform(F.arrays_zip("toks", "tags", "lefts", "rights"), label))
+    every = F.transform(F.arrays_zip("toks", "tags", "lefts", "rights"), lambda x: F.struct(x["tags"]["k"].alias("k"), x["toks"]["ent_type"].alias("label"), x["lefts"]["name"].alias("a"), x["rights"]["name"].alias("b"), x["lefts"]["chunk"].alias("c"), x["rights"]["chunk"].alias("d")))
+    spans = let(every, lambda xs: F.concat(
+        F.transform(F.filter(xs, lambda x: x["k"] == x["a"]), lambda x: span("ent", x["label"], x["a"], x["b"])),
+        F.transform(F.filter(xs, lambda x: (x["k"] == x["c"]) & x["d"].isNotNull()), lambda x: span("np", F.lit("NP"), x["c"], x["d"])),
+    ))
+    return rows.withColumn("spans", spans).drop("tags", "lefts", "rights", "root")
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from loomgraph.functions.storage import stored
 from loomgraph.functions.text import lookup
 from loomgraph.operators.annotate import Annotations
 from loomgraph.operators.graph import PropertyGraph, edge_rows, seq
+from loomgraph.operators.trees import subtrees
 from loomgraph.schema import DEFAULT_SCHEMA, EDGE_EXTRA, NODE_COLUMNS, NODE_FIELDS, Schema, extra, filled
 
 SOURCE = "spacy_frontend"
@@ -42,37 +43,9 @@ def arguments(a: Annotations) -> DataFrame:
     return children.join(verbs, ["doc_id", "para_idx", "head_i"])
 
 
-def subtrees(a: Annotations, heads: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """(doc_id, para_idx, head, i): every token below each head (doc_id, para_idx, head), itself included.
-
-    The closure climbs from all tokens at once by doubling: after n rounds each token
-    knows its ancestors up to 2**n steps away. It ends when a round adds none.
-    """
-    known = a.tokens.filter("head_i <> i").select("doc_id", "para_idx", F.col("i").alias("lower"), F.col("head_i").alias("upper"))
-    n = known.count()
-    for _ in range(max_rounds):
-        upper = known.select("doc_id", "para_idx", F.col("lower").alias("upper"), F.col("upper").alias("top"))
-        longer = known.join(upper, ["doc_id", "para_idx", "upper"]).select("doc_id", "para_idx", "lower", F.col("top").alias("upper"))
-        known = stored(known.unionByName(longer).distinct(), "closure")
-        if (m := known.count()) == n:
-            break
-        n = m
-    own = heads.select("doc_id", "para_idx", "head", F.col("head").alias("i"))
-    return own.unionByName(heads.join(known.withColumnsRenamed({"upper": "head", "lower": "i"}), ["doc_id", "para_idx", "head"]).select("doc_id", "para_idx", "head", "i"))
-
-
-def clause_heads(a: Annotations) -> DataFrame:
-    """(doc_id, para_idx, sent_idx, head, dep) of subordinate clauses."""
-    return a.tokens.filter(F.col("dep").isin(lex.CLAUSE_DEPS)).select("doc_id", "para_idx", "sent_idx", F.col("i").alias("head"), "dep")
-
-
 def clauses(a: Annotations) -> DataFrame:
     """(doc_id, para_idx, sent_idx, head, dep, members, text) of subordinate clauses."""
-    heads = clause_heads(a).withColumnRenamed("dep", "clause_dep")
-    below = subtrees(a, heads).join(a.tokens.select("doc_id", "para_idx", "i", "text"), ["doc_id", "para_idx", "i"])
-    parts = below.groupBy("doc_id", "para_idx", "head").agg(F.sort_array(F.collect_list(F.struct("i", "text"))).alias("m"))
-    parts = parts.select("doc_id", "para_idx", "head", F.col("m.i").alias("members"), F.array_join("m.text", " ").alias("text"))
-    return heads.join(parts, ["doc_id", "para_idx", "head"]).withColumnRenamed("clause_dep", "dep")
+    return subtrees(a, lex.CLAUSE_DEPS)
 
 
 def verb_phrases(a: Annotations) -> DataFrame:

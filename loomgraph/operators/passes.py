@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
+from loomgraph.functions.arrays import cells, nearest
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import let, or_else, strip
 from loomgraph.operators.graph import PropertyGraph, seq
@@ -140,10 +141,12 @@ def entity_pairs(nodes: DataFrame) -> DataFrame:
 def nearest_predicates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with ``label``: the predicate of the sentence whose token_idx is nearest to mid, ties to the lower id."""
     preds = nodes.filter("node_type = 'PREDICATE'").select("doc_id", "sent_idx", F.col("node_id").alias("p"), "token_idx", or_else(F.col("lemma"), F.col("text")).alias("word"))
-    # the predicates of a sentence meet its pairs as one list
-    listed = preds.groupBy("doc_id", "sent_idx").agg(F.collect_list(F.struct("p", "token_idx", "word")).alias("ps"))
-    near = F.array_min(F.transform("ps", lambda x: F.struct(F.abs(x["token_idx"] - F.col("mid")).alias("d"), x["p"].alias("p"), x["word"].alias("word"))))
-    return pairs.join(listed, ["doc_id", "sent_idx"], "left").withColumn("label", F.coalesce(near["word"], F.lit("co-occurs"))).drop("ps")
+    # of several at one place the lowest id is nearest; the places of a sentence are cut into cells once
+    places = preds.groupBy("doc_id", "sent_idx", "token_idx").agg(F.min(F.struct("p", "word")).alias("item"))
+    points = F.sort_array(F.collect_list(F.struct(F.col("token_idx").alias("at"), "item")))
+    listed = places.groupBy("doc_id", "sent_idx").agg(points.alias("points")).select("doc_id", "sent_idx", cells(F.col("points")).alias("cells"))
+    joined = pairs.join(listed, ["doc_id", "sent_idx"], "left")
+    return joined.withColumn("label", F.coalesce(nearest(F.col("cells"), F.col("mid"))["word"], F.lit("co-occurs"))).drop("cells")
 
 
 class EntityRelationPass:

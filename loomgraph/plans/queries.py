@@ -19,7 +19,7 @@ from loomgraph.plans import oracle
 from loomgraph.plans.oracle import case, cte, in_, q, values
 from loomgraph.schema import FULL_SCHEMA, mapping
 from loomgraph.sources import code_graph
-from loomgraph.sources.text import from_table, from_turns
+from loomgraph.sources.text import dealt, from_table, from_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,12 +47,12 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def advisories(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS doc_id", f"{oracle.ADVISORY} AS text")
+    return dealt(spark.read.parquet(f"{sf}/part.parquet")).selectExpr("p_partkey AS doc_id", f"{oracle.ADVISORY} AS text")
 
 
 def wide_advisories(spark: SparkSession, sf: str) -> DataFrame:
     """The advisories with no-break and em spaces, and digits and letters beyond ASCII."""
-    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS doc_id", f"{oracle.WIDE} AS text")
+    return dealt(spark.read.parquet(f"{sf}/part.parquet")).selectExpr("p_partkey AS doc_id", f"{oracle.WIDE} AS text")
 
 
 def rules(docs: DataFrame) -> Annotations:
@@ -202,7 +202,7 @@ SELECT doc_id, para_idx, i AS head, i, text FROM ltoks_turns WHERE dep IN {in_(l
 UNION ALL SELECT c.doc_id, c.para_idx, b.head, c.i, c.text FROM below b JOIN ltoks_turns c ON c.doc_id = b.doc_id AND c.para_idx = b.para_idx AND c.head_i = b.i AND c.head_i <> c.i)
 SELECT doc_id, para_idx, head, string_agg(text, ' ' ORDER BY i) AS text, count(*) AS n FROM below GROUP BY doc_id, para_idx, head""")
 def clauses_subtree(spark, sf):
-    return frontend.clauses(lexicon(turns(spark, sf)).kept()).select("doc_id", "para_idx", "head", "text", F.size("members").cast("long").alias("n"))
+    return frontend.clauses(lexicon(turns(spark, sf))).select("doc_id", "para_idx", "head", "text", F.size("members").cast("long").alias("n"))
 
 
 # ---- graph store, over the star schema
@@ -431,9 +431,8 @@ def coref_chain(spark, sf):
 
 
 def lexicon_nodes(docs: DataFrame) -> DataFrame:
-    """The nodes of the lexicon annotator's graph, clauses without their text."""
-    a = lexicon(docs).kept()
-    return stored(frontend.initial_nodes(a, frontend.clause_heads(a).withColumn("text", F.lit(""))), "nodes")
+    """The nodes of the lexicon annotator's graph."""
+    return stored(frontend.initial_nodes(lexicon(docs).kept()), "nodes")
 
 
 @query("coref_first_sightings", cte("lseen_advisories") + "SELECT doc_id, ent AS node_id, label AS entity_type, place[1] AS sent_idx, place[2] AS token_idx FROM lseen_advisories")

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table; one of fewer splits than there are cores is dealt to all of them, since cutting texts costs more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_table(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return dealt(spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,4 +28,6 @@ def from_strings(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 def from_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """Turns of a conversation in order, each a paragraph."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text))))
-    return turns.filter(F.col(text).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.array_join(F.transform(listed, lambda x: x[text]), "\n\n").alias("text"))
+    # dealt by a given number: a text is cut into far more than its bytes tell, so small partitions stay apart
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return turns.filter(F.col(text).isNotNull()).repartition(parts, key).groupBy(F.col(key).alias("doc_id")).agg(F.array_join(F.transform(listed, lambda x: x[text]), "\n\n").alias("text"))
