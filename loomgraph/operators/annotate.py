@@ -65,7 +65,7 @@ def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text"), lex.PARAGRAPH_BREAK)).alias("para_idx", "text"))
+    return docs.select("doc_id", F.posexplode_outer(paragraphs_of(F.col("text"), lex.PARAGRAPH_BREAK)).alias("para_idx", "text"))
 
 
 def sentences_of(paragraph: Column) -> Column:
@@ -96,9 +96,10 @@ def tokens_of(sentence: Column) -> Column:
 
 def _sentence_rows(docs: DataFrame, of_paragraph) -> DataFrame:
     """A row for each element that ``of_paragraph`` gives for a paragraph's text, with para_idx and sent_idx, which runs over the document."""
+    # the outer forms, here and below: for the others Spark infers a filter on the array's size, for which it makes the array once more
     cut = docs.select("doc_id", F.transform(paragraphs_of(F.col("text"), lex.PARAGRAPH_BREAK), of_paragraph).alias("cut"))
-    paras = cut.select("doc_id", F.posexplode(F.arrays_zip("cut", before(F.transform("cut", F.size)).alias("base"))).alias("para_idx", "p"))
-    rows = paras.select("doc_id", "para_idx", F.col("p.base").alias("base"), F.posexplode("p.cut").alias("k", "s"))
+    paras = cut.select("doc_id", F.posexplode_outer(F.arrays_zip("cut", before(F.transform("cut", F.size)).alias("base"))).alias("para_idx", "p"))
+    rows = paras.select("doc_id", "para_idx", F.col("p.base").alias("base"), F.posexplode_outer("p.cut").alias("k", "s")).filter("k is not null")
     return rows.select("doc_id", "para_idx", (F.col("base") + F.col("k")).alias("sent_idx"), "s.*")
 
 
@@ -135,13 +136,13 @@ SPAN = "struct<kind: string, label: string, text: string, start_i: int, end_i: i
 def from_nested(docs: DataFrame, nested: DataFrame, has_parser: bool, model: str) -> Annotations:
     """The tables of sentence rows with ``toks`` (of TOKEN; without a parser of PLACED) and ``spans`` (of SPAN)."""
     sentences = nested.select(*_names(SENTENCE_SCHEMA))
-    tokens = nested.select("doc_id", "para_idx", "sent_idx", "first_i", F.posexplode("toks").alias("token_idx", "t"))
+    tokens = nested.select("doc_id", "para_idx", "sent_idx", "first_i", F.posexplode_outer("toks").alias("token_idx", "t")).filter("token_idx is not null")
     tokens = tokens.select("*", "t.*").withColumn("i", F.col("first_i") + F.col("token_idx"))
     if not has_parser:
         none = F.lit("")
         tokens = tokens.withColumns({"lemma": F.lower("text"), "pos": none, "dep": none, "head_i": F.col("i"), "ent_type": none, "ent_iob": none})
     tokens = tokens.select(*_names(TOKEN_SCHEMA))
-    spans = nested.select("doc_id", "para_idx", "sent_idx", F.inline("spans")).select(*_names(SPAN_SCHEMA))
+    spans = nested.select("doc_id", "para_idx", "sent_idx", F.inline_outer("spans")).filter("kind is not null").select(*_names(SPAN_SCHEMA))
     return Annotations(docs, split_paragraphs(docs), sentences, tokens, spans, has_parser, model, nested)
 
 

@@ -5,11 +5,11 @@ A document becomes one row; ``collect_list`` gathers one document's nodes, never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
-from loomgraph.operators.graph import PropertyGraph
+from loomgraph.operators.graph import PropertyGraph, dense
 from loomgraph.schema import Schema
 
 #: property name -> (column, value that stands for absent; no value: always written)
@@ -84,8 +84,8 @@ def type_index(col: Column, names: list[str]) -> Column:
 
 def node_tensor(nodes: DataFrame, embedding_dim: int = 0) -> DataFrame:
     """(doc_id, idx, node_id, x, pos, text): dense index, one-hot type, place, text."""
-    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")) - 1
-    return nodes.select("doc_id", idx.alias("idx"), "node_id", one_hot(type_index(F.col("node_type"), lex.NODE_TYPES), len(lex.NODE_TYPES), embedding_dim).alias("x"), F.array("para_idx", "sent_idx", "token_idx").alias("pos"), "text")
+    held = dense(nodes.select("doc_id", "node_id", "node_type", "para_idx", "sent_idx", "token_idx", "text"), ["node_id"], "idx")
+    return held.select("doc_id", "idx", "node_id", one_hot(type_index(F.col("node_type"), lex.NODE_TYPES), len(lex.NODE_TYPES), embedding_dim).alias("x"), F.array("para_idx", "sent_idx", "token_idx").alias("pos"), "text")
 
 
 def edge_tensor(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def tensors(graph: PropertyGraph, labels: DataFrame | None = None, embedding_dim
     out = out.join(labels.select("doc_id", "y"), "doc_id", "left") if labels is not None else out.withColumn("y", F.lit(None).cast("int"))
     listed = lambda f, kind: F.coalesce(F.col(f"e.{f}"), F.expr(f"from_json('[]', 'array<{kind}>')"))
     return out.select(
-        "doc_id", F.col("n.x").alias("x"), F.array(listed("row", "int"), listed("col", "int")).alias("edge_index"), listed("edge_type", "int").alias("edge_type"), listed("attr", "array<double>").alias("edge_attr"), "y",
+        "doc_id", F.col("n.x").alias("x"), F.array(listed("row", "bigint"), listed("col", "bigint")).alias("edge_index"), listed("edge_type", "int").alias("edge_type"), listed("attr", "array<double>").alias("edge_attr"), "y",
         F.size("n").alias("num_nodes"), F.coalesce(F.size("e"), F.lit(0)).alias("num_edges"), F.lit(len(lex.NODE_TYPES)).alias("num_node_types"), F.lit(len(lex.EDGE_TYPES)).alias("num_edge_types"),
         F.col("n.text").alias("node_texts"), F.col("n.pos").alias("node_pos"),
     )

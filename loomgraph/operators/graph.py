@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import ranges
 from loomgraph.functions.storage import stored
 from loomgraph.schema import DEFAULT_SCHEMA, EDGE_COLUMNS, EDGE_FIELDS, NODE_COLUMNS, NODE_FIELDS, Schema, filled
 
@@ -57,11 +58,15 @@ class PropertyGraph:
         return self.nodes.select(*NODE_COLUMNS)
 
 
+def dense(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... within their document. By ranges, so a document may hold any share of all rows."""
+    return ranges.numbered(rows, ["doc_id"], order, name)
+
+
 def numbered(new: DataFrame, nodes: DataFrame, *order: Column | str) -> DataFrame:
     """Node rows with ids that go on from those of ``nodes``."""
     last = nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("__base"))
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
-    out = new.withColumn("__row", row).join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
+    out = dense(stored(new, "new-nodes"), list(order), "__row").join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
     return filled(out, NODE_FIELDS).select(*NODE_COLUMNS)
 
 
@@ -81,15 +86,24 @@ def edge_rows(df: DataFrame) -> DataFrame:
 
 
 def first_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
-    """Of the edges with one (doc_id, src, dst, edge_type) the first added, and those that may be duplicates."""
-    w = Window.partitionBy("doc_id", "src", "dst", "edge_type").orderBy(order)
-    kept = "__n = 1 or allow_duplicate" if "allow_duplicate" in edges.columns else "__n = 1"
-    return edges.withColumn("__n", F.row_number().over(w)).filter(kept).drop("__n")
+    """Of the edges with one (doc_id, src, dst, edge_type) the first added, and those that may be duplicates.
+
+    An aggregation that begins where the rows are, so any share of all edges may be parallel.
+    """
+    key = ["doc_id", "src", "dst", "edge_type"]
+    rest = [c for c in edges.columns if c not in key]
+    row, place = F.struct(*rest), F.col(order)
+    if "allow_duplicate" not in edges.columns:
+        return edges.groupBy(*key).agg(F.min_by(row, place).alias("first")).select(*key, "first.*").select(*edges.columns)
+    free = F.col("allow_duplicate")
+    firsts = edges.groupBy(*key).agg(F.min_by(row, F.when(~free, place)).alias("first"), F.min(F.when(~free, place)).alias("at"), F.min(F.when(free, place)).alias("free_at"))
+    # a duplicate that was added before takes the place of the first
+    kept = firsts.filter("at is not null and (free_at is null or at <= free_at)").select(*key, "first.*").select(*edges.columns)
+    return kept.unionByName(edges.filter(free))
 
 
 def stored_edges(edges: DataFrame) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
-    return first_edges(edges).withColumn("edge_id", number.cast("long")).select(*EDGE_COLUMNS)
+    return dense(stored(first_edges(edges), "first-edges"), ["seq"], "edge_id").select(*EDGE_COLUMNS)
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,14 +195,12 @@ def subgraph(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> tuple[Dat
     Unknown ids are skipped; an id given twice makes two nodes, and edges go to the last.
     """
     kept = wanted.join(nodes, ["doc_id", "node_id"]).withColumnRenamed("node_id", "old_id")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
-    kept = kept.withColumn("node_id", number.cast("long"))
+    kept = stored(dense(stored(kept, "induced"), ["ord"], "node_id"), "renumbered")
     new = kept.groupBy("doc_id", "old_id").agg(F.max("node_id").alias("new_id"))
     ends = edges.join(new.select("doc_id", F.col("old_id").alias("src"), F.col("new_id").alias("new_src")), ["doc_id", "src"])
     ends = ends.join(new.select("doc_id", F.col("old_id").alias("dst"), F.col("new_id").alias("new_dst")), ["doc_id", "dst"])
-    ends = ends.drop("src", "dst").withColumnsRenamed({"new_src": "src", "new_dst": "dst"})
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("edge_id")) - 1
-    ends = first_edges(ends, "edge_id").withColumn("edge_id", order.cast("long"))
+    ends = ends.drop("src", "dst").withColumnsRenamed({"new_src": "src", "new_dst": "dst"}).withColumnRenamed("edge_id", "old_id")
+    ends = dense(stored(first_edges(ends, "old_id"), "induced-edges"), ["old_id"], "edge_id").drop("old_id")
     sub = F.concat(F.col("doc_id").cast("string"), F.lit("_sub"))
     return kept.drop("old_id", "ord").withColumn("doc_id", sub), ends.withColumn("doc_id", sub)
 

@@ -92,7 +92,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 def subtrees(a: Annotations, deps: list[str]) -> DataFrame:
     """(doc_id, para_idx, sent_idx, head, dep, members, text) of the tokens with one of ``deps``: all tokens below them, in order."""
     rows = numbered(forests(a).filter(F.exists("t", lambda x: x["dep"].isin(deps))))
-    heads = rows.select("doc_id", "para_idx", "t", "by_pre", F.explode(F.filter(F.arrays_zip("t", "pre", "size"), lambda x: x["t"]["dep"].isin(deps))).alias("h"))
+    heads = rows.select("doc_id", "para_idx", "t", "by_pre", F.explode_outer(F.filter(F.arrays_zip("t", "pre", "size"), lambda x: x["t"]["dep"].isin(deps))).alias("h")).filter("h is not null")
     places = F.sort_array(F.slice("by_pre", F.col("h.pre") + 1, F.col("h.size")))
     held = heads.select("doc_id", "para_idx", "h", F.transform(places, lambda k: F.get("t", k)).alias("m"))
     return held.select("doc_id", "para_idx", "h.t.sent_idx", F.col("h.t.i").alias("head"), "h.t.dep", F.col("m.i").alias("members"), F.array_join("m.text", " ").alias("text"))

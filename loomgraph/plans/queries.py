@@ -560,20 +560,20 @@ def graphson_edges(spark, sf):
 
 @query("pyg_onehot", cte("nodes_turns") + f"SELECT doc_id, node_id AS idx, array_to_string(list_transform(range(13), lambda k: CASE WHEN [{', '.join(q(t) for t in lex.NODE_TYPES)}][CAST(k + 1 AS INTEGER)] = node_type THEN '1' ELSE '0' END), '') AS x FROM nodes_turns")
 def pyg_onehot(spark, sf):
-    rows = export.node_tensor(frontend.initial_nodes(rules(turns(spark, sf))))
+    rows = export.node_tensor(stored(frontend.initial_nodes(rules(turns(spark, sf))), "nodes"))
     return rows.select("doc_id", "idx", F.array_join(F.transform("x", lambda v: v.cast("int").cast("string")), "").alias("x"))
 
 
 @query("pyg_edge_index", cte("star_nodes", "star_first").rstrip() + f", n AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS idx FROM star_nodes) SELECT a.idx AS \"row\", b.idx AS col, list_position([{', '.join(q(t) for t in lex.EDGE_TYPES)}], edge_type) - 1 AS edge_type FROM star_first e JOIN n a ON a.node_id = e.src JOIN n b ON b.node_id = e.dst")
 def pyg_edge_index(spark, sf):
     nodes, edges = first_star(spark, sf)
-    index = nodes.withColumn("idx", F.row_number().over(graph.Window.partitionBy("doc_id").orderBy("node_id")) - 1)
+    index = graph.dense(nodes.select("doc_id", "node_id"), ["node_id"], "idx")
     return export.edge_tensor(edges, index).select("row", "col", "edge_type")
 
 
 @query("pyg_node_pos", cte("nodes_turns") + "SELECT doc_id, node_id, para_idx || ',' || sent_idx || ',' || token_idx AS pos FROM nodes_turns")
 def pyg_node_pos(spark, sf):
-    rows = export.node_tensor(frontend.initial_nodes(rules(turns(spark, sf))))
+    rows = export.node_tensor(stored(frontend.initial_nodes(rules(turns(spark, sf))), "nodes"))
     return rows.select("doc_id", "node_id", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"))
 
 
