@@ -42,6 +42,23 @@ def before(sizes: Column) -> Column:
     return scanned(sizes, F.lit(0), lambda s, x: (s + x, s), "int", "int")
 
 
+PLACED = "struct<text: string, char_start: int, char_end: int>"
+
+
+def matches(text: Column, pattern: str, base: Column | None = None) -> Column:
+    """An array of (text, char_start, char_end): each match of ``pattern``; places count code points from ``base`` (0)."""
+
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        return end, F.struct(x["match"].alias("text"), start.alias("char_start"), end.alias("char_end"))
+
+    p = F.lit(pattern)
+    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("match"))
+    # what follows the last match has none
+    return scanned(let(pairs, lambda xs: F.slice(xs, 1, F.size(xs) - 1)), F.lit(0) if base is None else base, place, "int", PLACED)
+
+
 def cells(points: Column) -> Column:
     """Sorted (at, item) points as cells (upto, closed, item): ``item`` is nearest to what lies below ``upto`` (``closed``: or at it).
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
-from loomgraph.functions.arrays import before, scanned
+from loomgraph.functions.arrays import before, matches, scanned
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import let, paragraphs_of, strip
 
@@ -77,21 +77,9 @@ def sentences_of(paragraph: Column) -> Column:
     return F.filter(shown, lambda x: x["text"] != "")
 
 
-PLACED = "struct<text: string, char_start: int, char_end: int>"
-
-
 def tokens_of(sentence: Column) -> Column:
     """An array of (text, char_start, char_end) of a sentence (text, char_start)."""
-
-    def token(at: Column, x: Column) -> tuple[Column, Column]:
-        start = at + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return end, F.struct(x["match"].alias("text"), start.alias("char_start"), end.alias("char_end"))
-
-    text, pattern = sentence["text"], F.lit(lex.TOKEN)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
-    # what follows the last match has none
-    return scanned(let(pairs, lambda xs: F.slice(xs, 1, F.size(xs) - 1)), sentence["char_start"], token, "int", PLACED)
+    return matches(sentence["text"], lex.TOKEN, sentence["char_start"])
 
 
 def _sentence_rows(docs: DataFrame, of_paragraph) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.functions.arrays import cells, nearest
+from loomgraph.functions.phrases import occurrences
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import let, or_else, strip
 from loomgraph.operators.graph import PropertyGraph, seq
@@ -104,9 +105,16 @@ class CoreferencePass:
 
 def first_marker(text: Column) -> Column:
     """(k, label) of the first marker, longest first, that the lower-cased text starts with or holds after a comma; else null."""
-    items = F.array(*[F.struct(F.lit(m).alias("k"), F.lit(lex.DISCOURSE_MARKERS[m]).alias("label"), F.lit(f", {m} ").alias("inside"), F.lit(f", {m},").alias("between")) for m in longest_first(lex.DISCOURSE_MARKERS)])
-    hits = lambda low: F.filter(items, lambda m: low.startswith(m["k"]) | low.contains(m["inside"]) | low.contains(m["between"]))
-    return let(F.lower(text), lambda low: F.get(hits(low), F.lit(0)))
+    listed = longest_first(lex.DISCOURSE_MARKERS)
+    order = F.create_map(*[F.lit(x) for i, m in enumerate(listed) for x in (m, i)])
+    labels = F.create_map(*[F.lit(x) for m in listed for x in (m, lex.DISCOURSE_MARKERS[m])])
+
+    def hits(low: Column) -> Column:
+        after_comma = lambda x: (F.substring(low, x["start"] - 1, 2) == ", ") & F.substring(low, x["start"] + F.length(x["phrase"]) + 1, 1).isin(" ", ",")
+        found = F.filter(occurrences(low, listed), lambda x: (x["start"] == 0) | ((x["start"] > 1) & after_comma(x)))
+        return F.array_min(F.transform(found, lambda x: F.struct(F.try_element_at(order, x["phrase"]).alias("n"), x["phrase"].alias("k"))))
+
+    return let(F.lower(text), lambda low: let(hits(low), lambda m: F.when(m.isNotNull(), F.struct(m["k"].alias("k"), F.try_element_at(labels, m["k"]).alias("label")))))
 
 
 def discourse_links(sentences: DataFrame) -> DataFrame:

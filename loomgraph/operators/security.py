@@ -8,13 +8,16 @@ offsets hold the position (both ends included), ``"document"`` compares document
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
+from loomgraph.functions.arrays import matches
+from loomgraph.functions.phrases import apart, firsts, occurrences
 from loomgraph.functions.storage import stored
-from loomgraph.functions.text import in_any_case, let, matches, placed, wide
+from loomgraph.functions.text import let, wide
 from loomgraph.operators.graph import PropertyGraph, seq
 
 SOURCE = "security_frontend"
@@ -22,74 +25,81 @@ NODE_STAGE, EDGE_STAGE = 3, 4
 BUCKET = 256
 
 
-def _found(rank: int, entity_type: str, domain: Column | str, confidence: float, gap: Column, match: Column, o1: Column | int, o2: Column | int) -> Column:
-    """A match of one text pass: (rank, o1) name the pass, o2 its place in it, gap what lies before."""
+#: rank: the extractor's place; o1: the phrase's or pattern's place in it; o2: order within that
+ENTITY = "struct<rank: int, o1: int, o2: int, entity_type: string, domain_type: string, text: string, char_start: int, char_end: int, confidence: double>"
+
+
+def _entity(rank: int, o1: Column | int, o2: Column, entity_type: str, domain: Column | str, text: Column, start: Column, end: Column, confidence: float) -> Column:
     as_col = lambda x: F.lit(x) if isinstance(x, (int, str)) else x
     return F.struct(
-        F.lit(rank).alias("rank"), as_col(o1).cast("int").alias("o1"), as_col(o2).cast("int").alias("o2"), F.lit(entity_type).alias("entity_type"), as_col(domain).alias("domain_type"),
-        gap.cast("int").alias("gap"), match.alias("match"), F.lit(confidence).alias("confidence"),
-    )
+        F.lit(rank).alias("rank"), as_col(o1).cast("int").alias("o1"), o2.cast("int").alias("o2"), F.lit(entity_type).alias("entity_type"), as_col(domain).alias("domain_type"),
+        text.alias("text"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), F.lit(confidence).alias("confidence"),
+    ).cast(ENTITY)
 
 
 def by_pattern(rank: int, pattern: str, entity_type: str, domain: Callable[[Column], Column] | str, confidence: float) -> Callable[[Column], Column]:
     """Every match of a pattern in a text; ``domain`` is fixed or made of the match."""
     of = (lambda m: domain) if isinstance(domain, str) else domain
-    return lambda text: F.transform(matches(text, wide(pattern)), lambda m, k: _found(rank, entity_type, of(m["match"]), confidence, m["gap"], m["match"], 0, k))
+    return lambda text: F.transform(matches(text, wide(pattern)), lambda m, k: _entity(rank, 0, k, entity_type, of(m["text"]), m["text"], m["char_start"], m["char_end"], confidence))
 
 
 def longest_first(phrases) -> list[str]:
     return sorted(phrases, key=len, reverse=True)
 
 
-def _present(low: Column, phrases: list[tuple[str, str]]) -> Column:
-    """(o1, phrase, pattern, domain) of the phrases that a lower-cased text holds."""
-    items = F.array(*[F.struct(F.lit(i).alias("o1"), F.lit(p).alias("phrase"), F.lit(in_any_case(p)).alias("pattern"), F.lit(d).alias("domain")) for i, (p, d) in enumerate(phrases)])
-    return F.filter(items, lambda x: low.contains(x["phrase"]))
-
-
-def all_phrases(rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float) -> Callable[[Column], Column]:
-    """Every occurrence of every phrase, without regard to word boundaries."""
-
-    def found(text: Column) -> Column:
-        of = lambda x: F.transform(matches(text, x["pattern"]), lambda m, k: _found(rank, entity_type, x["domain"], confidence, m["gap"], m["match"], x["o1"], k))
-        return let(F.lower(text), lambda low: F.flatten(F.transform(_present(low, phrases), of)))
+@dataclass(frozen=True)
+class Phrases:
+    """Phrases found in the lower-cased text without regard to word boundaries: (phrase, domain) in order.
 
-    return found
+    Places are those in the lower-cased text, and the text is cut there: the two differ behind a letter
+    whose lower case is longer.
+    """
 
+    rank: int
+    listed: tuple[tuple[str, str], ...]
+    entity_type: str
+    confidence: float
+    first_only: bool
 
-def first_phrases(rank: int, phrases: list[tuple[str, str]], entity_type: str, confidence: float) -> Callable[[Column], Column]:
-    """The first occurrence of every phrase."""
+    def taken(self, found: Column, text: Column) -> Column:
+        """The entities among the ``occurrences`` of these and other phrases."""
+        names = [p for p, _ in self.listed]
+        mine = F.filter(found, lambda x: x["phrase"].isin(names))
+        kept = firsts(mine) if self.first_only else apart(mine, names)
+        place = F.create_map(*[F.lit(x) for i, p in enumerate(names) for x in (p, i)])
+        domain = F.create_map(*[F.lit(x) for kv in self.listed for x in kv])
 
-    def found(text: Column) -> Column:
-        own = lambda low, x: let(F.position(x["phrase"], low), lambda at: _found(rank, entity_type, x["domain"], confidence, at - 1, F.substring(text, at, F.length(x["phrase"])), x["o1"], 0))
-        return let(F.lower(text), lambda low: F.transform(_present(low, phrases), lambda x: own(low, x)))
+        def entity(x: Column) -> Column:
+            n, start = F.length(x["phrase"]), x["start"]
+            return _entity(self.rank, F.try_element_at(place, x["phrase"]), start, self.entity_type, F.try_element_at(domain, x["phrase"]), F.substring(text, start + 1, n), start, start + n, self.confidence)
 
-    return found
+        return F.transform(kept, entity)
 
 
 def remediation(text: Column) -> Column:
     """The first match of each pattern."""
-    items = []
-    for i, (domain, pattern) in enumerate(lex.REMEDIATIONS):
-        gap = F.length(F.get(F.split(text, wide(pattern), 2), F.lit(0)))
-        items.append(_found(10, "REMEDIATION", domain, 0.85, gap, F.regexp_extract(text, wide(pattern), 0), i, 0))
-    return F.filter(F.array(*items), lambda x: x["match"] != "")
+    def first(i: int, domain: str, pattern: str) -> Column:
+        pair = F.struct(F.regexp_extract(text, wide(pattern), 0).alias("text"), F.length(F.get(F.split(text, wide(pattern), 2), F.lit(0))).alias("start"))
+        return let(pair, lambda m: _entity(10, i, F.lit(0), "REMEDIATION", domain, m["text"], m["start"], m["start"] + F.length(m["text"]), 0.85))
+
+    items = [first(i, domain, pattern) for i, (domain, pattern) in enumerate(lex.REMEDIATIONS)]
+    return F.filter(F.array(*items), lambda x: x["text"] != "")
 
 
-def _listed(phrases: dict[str, str]) -> list[tuple[str, str]]:
-    return [(p, phrases[p]) for p in longest_first(phrases)]
+def _listed(phrases: dict[str, str]) -> tuple[tuple[str, str], ...]:
+    return tuple((p, phrases[p]) for p in longest_first(phrases))
 
 
-#: name -> text -> array of entities; their order is that of the ranks. Ties between names of one length go by the alphabet.
-EXTRACTORS: dict[str, Callable[[Column], Column]] = {
+#: name -> text -> array of entities, or phrases; their order is that of the ranks. Ties between names of one length go by the alphabet.
+EXTRACTORS: dict[str, Callable[[Column], Column] | Phrases] = {
     "cve": by_pattern(1, lex.CVE, "CVE_ID", "vulnerability_id", 1.0),
     "cwe": by_pattern(2, lex.CWE, "CWE_ID", "weakness_class", 1.0),
     "version": by_pattern(3, lex.VERSION, "VERSION", "software_version", 0.8),
-    "software": all_phrases(4, [(p, "software_product") for p in longest_first(sorted(lex.SOFTWARE))], "SOFTWARE", 0.9),
+    "software": Phrases(4, tuple((p, "software_product") for p in longest_first(sorted(lex.SOFTWARE))), "SOFTWARE", 0.9, False),
     "code_element": by_pattern(5, lex.CODE_ELEMENT, "CODE_ELEMENT", "code_construct", 1.0),
-    "attack_vector": first_phrases(6, _listed(lex.ATTACK_VECTORS), "ATTACK_VECTOR", 0.85),
-    "impact": first_phrases(7, _listed(lex.IMPACTS), "IMPACT", 0.9),
-    "vulnerability": first_phrases(8, _listed(lex.VULNERABILITIES), "VULN_TYPE", 0.95),
+    "attack_vector": Phrases(6, _listed(lex.ATTACK_VECTORS), "ATTACK_VECTOR", 0.85, True),
+    "impact": Phrases(7, _listed(lex.IMPACTS), "IMPACT", 0.9, True),
+    "vulnerability": Phrases(8, _listed(lex.VULNERABILITIES), "VULN_TYPE", 0.95, True),
     "severity": by_pattern(9, lex.SEVERITY, "SEVERITY", lambda match: F.lower(F.regexp_extract(match, wide(lex.SEVERITY), 1)), 0.9),
     "remediation": remediation,
 }
@@ -97,26 +107,33 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 CVSS = by_pattern(11, lex.CVSS, "CVSS", lambda match: F.regexp_extract(match, wide(lex.CVSS), 1), 1.0)
 
 
-def _placed(docs: DataFrame, found: Column) -> DataFrame:
-    """(doc_id, rank, o1, o2, entity_type, domain_type, text, char_start, char_end, confidence) of the found array: one pass over the texts, one window over the matches."""
-    rows = placed(docs.select("doc_id", F.inline(found)), ["doc_id", "rank", "o1"], "o2")
-    return rows.select("doc_id", "rank", "o1", "o2", "entity_type", "domain_type", F.col("match").alias("text"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), "confidence")
+def found_in(text: Column, extractors: list[Callable[[Column], Column] | Phrases]) -> Column:
+    """The entities of a text in order: one pass for each pattern, one for all phrases."""
+    lists = [extract(text) for extract in extractors if not isinstance(extract, Phrases)]
+    if phrases := [x for x in extractors if isinstance(x, Phrases)]:
+        every = sorted({p for x in phrases for p, _ in x.listed})
+        lists.append(let(occurrences(F.lower(text), every), lambda found: F.concat(*[x.taken(found, text) for x in phrases])))
+    return F.sort_array(F.concat(*lists))
+
+
+def _rows(docs: DataFrame, found: Column) -> DataFrame:
+    """(doc_id, ent_ord, entity fields) of the found array, cut within the row: no shuffle."""
+    rows = docs.select("doc_id", F.posexplode_outer(found).alias("ent_ord", "e")).filter("ent_ord is not null")
+    return rows.select("doc_id", "ent_ord", "e.*")
 
 
 def extracted(docs: DataFrame, name: str) -> DataFrame:
     """The entities of one extractor."""
-    return _placed(docs, EXTRACTORS[name](F.col("text")))
+    return _rows(docs, found_in(F.col("text"), [EXTRACTORS[name]]))
 
 
 def cvss_scores(docs: DataFrame) -> DataFrame:
-    return _placed(docs, CVSS(F.col("text")))
+    return _rows(docs, CVSS(F.col("text")))
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """All entities with ``ent_ord``, their order in the document."""
-    found = _placed(docs, F.concat(*[extract(F.col("text")) for extract in EXTRACTORS.values()]))
-    order = Window.partitionBy("doc_id").orderBy("rank", "o1", "o2")
-    return found.withColumn("ent_ord", F.row_number().over(order) - 1)
+    return _rows(docs, found_in(F.col("text"), list(EXTRACTORS.values())))
 
 
 def sentence_links(found: DataFrame, sentences: DataFrame, paragraphs: DataFrame | None = None, offset_mode: str = "reference") -> DataFrame:
