@@ -1,7 +1,7 @@
 """Text graph x code graph: alignment of code elements, links between them, and the merge.
 
-The code graph is one graph for all documents and stays the small side: it is joined to
-distinct code element texts, so the work grows with distinct spellings, not documents.
+The code graph is one graph for all documents: its distinct codes meet distinct code element
+texts through q-grams, so the work grows with distinct spellings, not documents.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from loomgraph import lexicons as lex
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import lookup, rstrip
+from loomgraph.operators.containment import containing
 from loomgraph.operators.graph import PropertyGraph, edge_rows, numbered, seq
 from loomgraph.schema import EDGE_EXTRA, NODE_COLUMNS, NODE_EXTRA, extra
 from loomgraph.sources.code_graph import CodeGraph
 
-#: Rows of a code graph that are copied to every document at most
-MOST_CODE_ROWS = 1_000_000
+#: Rows of a code graph that meet a document at once
+CHUNK = 1000
 DESCRIBE_STAGE, MAP_STAGE, CODE_STAGE, ALIGN_STAGE = 10, 11, 12, 13
 
 
@@ -37,13 +38,16 @@ def alignments(code_elements: DataFrame, cpg: CodeGraph) -> DataFrame:
 
     The first CALL whose code contains the text, else the last vertex with that name.
     """
-    wanted = code_elements.select(needle(F.col("text")).alias("needle")).distinct()
+    code_elements = stored(code_elements.withColumn("needle", needle(F.col("text"))), "code-elements")
+    wanted = code_elements.select("needle").distinct()
     calls = cpg.vertices.filter("label = 'CALL'").select("cpg_id", "label", "code", "ord", F.lower("code").alias("low"))
-    called = wanted.join(calls, F.col("low").contains(F.col("needle"))).groupBy("needle").agg(F.min_by(F.struct("cpg_id", "label", "code"), "ord").alias("called"))
+    firsts = calls.groupBy("low").agg(F.min(F.struct("ord", "cpg_id", "label", "code")).alias("first"))
+    held = containing(wanted, firsts.select(F.col("low").alias("text"))).join(firsts, F.col("text") == F.col("low"))
+    called = held.groupBy("needle").agg(F.min("first").alias("first")).select("needle", F.struct("first.cpg_id", "first.label", "first.code").alias("called"))
     names = by_name(cpg)
     found = wanted.join(called, "needle", "left").join(names, F.col("needle") == F.col("name"), "left").select("needle", F.coalesce("called", "named").alias("v")).filter("v is not null")
     found = found.select("needle", F.col("v.cpg_id").alias("cpg_id"), F.col("v.label").alias("cpg_label"), F.col("v.code").alias("cpg_code"))
-    return code_elements.withColumn("needle", needle(F.col("text"))).join(found, "needle", "left").drop("needle")
+    return code_elements.join(found, "needle", "left").drop("needle")
 
 
 def describes(nodes: DataFrame) -> DataFrame:
@@ -112,13 +116,13 @@ def merge_edge_type(label: Column) -> Column:
 def for_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` of the code graph once for every document: documents x rows, which is what a merge is asked for.
 
-    The code graph reaches the tasks as one value, so its size is checked.
+    The code graph is cut into chunks of some ``CHUNK`` rows, which each document meets one by one.
     """
-    listed = rows.agg(F.collect_list(F.struct("*")).alias("rows"))
-    n = rows.count()
-    if n > MOST_CODE_ROWS:
-        raise ValueError(f"a code graph of {n} rows for every document; at most {MOST_CODE_ROWS} are copied")
-    return docs.withColumn("__rows", listed.scalar()).select(*docs.columns, F.inline("__rows"))
+    chunks = max(1, -(-rows.count() // CHUNK))
+    fields = rows.columns
+    listed = rows.groupBy(F.pmod(F.xxhash64(*fields[:3]), F.lit(chunks)).cast("int").alias("__chunk")).agg(F.collect_list(F.struct(*fields)).alias("__rows"))
+    dealt = docs.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return dealt.join(listed, "__chunk").select(*docs.columns, F.inline("__rows"))
 
 
 def code_nodes(docs: DataFrame, cpg: CodeGraph) -> DataFrame:
@@ -133,9 +137,10 @@ def code_nodes(docs: DataFrame, cpg: CodeGraph) -> DataFrame:
 
 def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
     """(doc_id, node_id, ord, cpg_id): code elements x every vertex whose code contains their text."""
-    code = nodes.filter("domain_type = 'code_construct'").select("doc_id", "node_id", needle(F.col("text")).alias("needle"))
+    code = stored(nodes.filter("domain_type = 'code_construct'").select("doc_id", "node_id", needle(F.col("text")).alias("needle")), "code-elements")
     wanted = code.select("needle").distinct()
-    hits = wanted.join(cpg.vertices.select("cpg_id", "ord", F.lower("code").alias("low")), F.col("low").contains(F.col("needle"))).select("needle", "ord", "cpg_id")
+    vertices = cpg.vertices.select("cpg_id", "ord", F.lower("code").alias("text"))
+    hits = containing(wanted, vertices).join(vertices, "text").select("needle", "ord", "cpg_id")
     return code.join(hits, "needle").select("doc_id", "node_id", "ord", "cpg_id")
 
 
