@@ -66,7 +66,7 @@ def dense(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
 def numbered(new: DataFrame, nodes: DataFrame, *order: Column | str) -> DataFrame:
     """Node rows with ids that go on from those of ``nodes``."""
     last = nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("__base"))
-    out = dense(stored(new, "new-nodes"), list(order), "__row").join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
+    out = dense(new, list(order), "__row").join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
     return filled(out, NODE_FIELDS).select(*NODE_COLUMNS)
 
 

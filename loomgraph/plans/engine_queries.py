@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -15,10 +16,10 @@ from loomgraph.operators.graph import PropertyGraph, seq
 from loomgraph.plans import oracle
 from loomgraph.plans.oracle import case, cte, in_, q, values
 from loomgraph.plans.pipeline import CrossModalPipeline, GraphPipeline, SecurityPipeline, parse_security_text, parse_text
-from loomgraph.plans.queries import _E, _V, QUERIES, advisories, cpg, first_star, lexicon, lexicon_nodes, query, rules, star, turns
-from loomgraph.schema import DEFAULT_SCHEMA, FULL_SCHEMA, SECURITY_SCHEMA
+from loomgraph.plans.queries import _E, _V, QUERIES, _USED_NODES, advisories, cpg, first_star, lexicon, lexicon_nodes, query, rules, star, turns, used_nodes
+from loomgraph.schema import DEFAULT_SCHEMA, FULL_SCHEMA, SECURITY_SCHEMA, in_use, indexed
 from loomgraph.sources import code_graph
-from loomgraph.sources.text import from_strings
+from loomgraph.sources.text import from_table
 
 _BEFORE = set(QUERIES)
 
@@ -27,37 +28,45 @@ _BEFORE = set(QUERIES)
 
 _SCHEMAS = {"base": DEFAULT_SCHEMA, "security": SECURITY_SCHEMA, "full": FULL_SCHEMA}
 _LEVELS = {"base": (13, 13), "security": (25, 23), "full": (28, 28)}
+_ALL_LABELS = [(k, *r) for k, s in _SCHEMAS.items() for r in s.node_rows()]
 
 
-@query("schema_counts", f"SELECT * FROM {values([(k, 13, 13, *v) for k, v in _LEVELS.items()], 'name, node_types, edge_types, node_labels, edge_labels')}")
+@query("schema_counts", cte("star_nodes", "sec").rstrip() + f", u AS ({_USED_NODES}) SELECT s.*, (SELECT CAST(coalesce(sum(u.n), 0) AS BIGINT) FROM u JOIN {values(_ALL_LABELS, 'schema_name, name, idx, level')} l ON l.name = u.name WHERE l.schema_name = s.name) AS known FROM {values([(k, 13, 13, *v) for k, v in _LEVELS.items()], 'name, node_types, edge_types, node_labels, edge_labels')} s")
 def schema_counts(spark, sf):
-    rows = [(k, s.num_node_types, s.num_edge_types, s.total_node_labels, s.total_edge_labels) for k, s in _SCHEMAS.items()]
-    return spark.createDataFrame(rows, "name string, node_types int, edge_types int, node_labels int, edge_labels int")
+    """The prebuilt schemas, and how many of the nodes in use each has a label for."""
+    used = stored(used_nodes(spark, sf), "used")
+    out = None
+    for k, s in _SCHEMAS.items():
+        sizes = [F.lit(x).alias(c) for c, x in (("name", k), ("node_types", s.num_node_types), ("edge_types", s.num_edge_types), ("node_labels", s.total_node_labels), ("edge_labels", s.total_edge_labels))]
+        row = in_use(s.node_labels(spark), used).agg(F.sum("n").alias("known")).select(*sizes, "known")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 _KNOWN = [(k, n, i) for k, names in (("node", lex.NODE_TYPES), ("edge", lex.EDGE_TYPES)) for i, n in enumerate(names)]
 
 
-@query("type_index", f"SELECT * FROM {values([*_KNOWN, ('node', 'NONE', -1), ('edge', 'NONE', -1)], 'kind, name, idx')}")
+@query("type_index", cte("star_nodes", "star_first").rstrip() + f""", u AS (SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM star_nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM star_first GROUP BY edge_type UNION ALL SELECT 'node', lang, count(*) FROM documents GROUP BY lang)
+SELECT u.kind, u.name, coalesce(v.idx, -1) AS idx, u.n FROM u LEFT JOIN {values(_KNOWN, 'kind, name, idx')} v ON v.kind = u.kind AND v.name = u.name""")
 def type_index(spark, sf):
-    """The index of each type; -1 where the lookup raises KeyError."""
-    find = {"node": FULL_SCHEMA.node_type_index, "edge": FULL_SCHEMA.edge_type_index}
-    rows = []
-    for kind, name in [*[(k, n) for k, n, _ in _KNOWN], ("node", "NONE"), ("edge", "NONE")]:
-        try:
-            rows.append((kind, name, find[kind](name)))
-        except KeyError:
-            rows.append((kind, name, -1))
-    return spark.createDataFrame(rows, "kind string, name string, idx int")
+    """The index of every type in use; languages stand for types that no schema knows: -1."""
+    nodes, edges = first_star(spark, sf)
+    count = lambda df, c: df.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    used = count(nodes, "node_type").unionAll(count(spark.read.parquet(f"{sf}/documents.parquet"), "lang"))
+    labels = DEFAULT_SCHEMA.node_labels(spark), DEFAULT_SCHEMA.edge_labels(spark)
+    kinds = [indexed(u, of).withColumn("kind", F.lit(k)) for u, of, k in ((used, labels[0], "node"), (count(edges, "edge_type"), labels[1], "edge"))]
+    return kinds[0].unionAll(kinds[1])
 
 
 _LABELS = [[prefix + n for prefix, names in zip(("", "SEC_", "XM_"), level) for n in names] for level in ((lex.NODE_TYPES, lex.SECURITY_NODE_TYPES, lex.CROSS_MODAL_NODE_TYPES), (lex.EDGE_TYPES, lex.SECURITY_EDGE_TYPES, lex.CROSS_MODAL_EDGE_TYPES))]
 
 
-@query("schema_describe", f"SELECT '[' || idx || '] ' || name AS line, count(*) AS n FROM {values([(n, i) for names in _LABELS for i, n in enumerate(names)], 'name, idx')} GROUP BY ALL")
+@query("schema_describe", cte("star_nodes", "sec").rstrip() + f", u AS ({_USED_NODES}) SELECT '[' || idx || '] ' || v.name AS line, CAST(coalesce(u.n, 0) AS BIGINT) AS n FROM {values([(n, i) for i, n in enumerate(_LABELS[0])], 'name, idx')} v LEFT JOIN u ON u.name = v.name")
 def schema_describe(spark, sf):
-    lines = [(x.strip(),) for x in FULL_SCHEMA.describe().split("\n") if x.startswith("  [")]
-    return spark.createDataFrame(lines, "line string").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    """The node labels as the description lists them, and how often each is in use."""
+    text = FULL_SCHEMA.describe().split("Node labels\n")[1].split("\n\n")[0]
+    lines = spark.createDataFrame([(x.strip(), x.strip().split("] ")[1]) for x in text.split("\n")], "line string, name string")
+    return in_use(lines, used_nodes(spark, sf)).select("line", "n")
 
 
 # ---- sources
@@ -92,7 +101,7 @@ def nations(spark, sf) -> code_graph.CodeGraph:
     raw = n.agg(F.sort_array(F.collect_list(vertex.dropFields("properties"))).alias("order"), F.collect_list(F.struct(key.alias("k"), vertex.alias("v"), edge.alias("e"))).alias("xs"))
     xs = F.array_sort("xs", lambda a, b: (a["k"] - b["k"]).cast("int"))
     document = raw.select(F.transform(xs, lambda x: x["v"]).alias("vertices"), F.transform(xs, lambda x: x["e"]).alias("edges"))
-    folder = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/graphson-nations"
+    folder = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/graphson-nations-{uuid.uuid4().hex}"
     document.coalesce(1).write.mode("overwrite").json(folder)
     return code_graph.from_graphson(spark, folder)
 
@@ -194,15 +203,11 @@ def add_edges_allow_duplicate(spark, sf):
     return g.edge_table().filter("edge_type = 'CONTAINS' and dst < 10000000").select("src", "dst", "entity_rel_type")
 
 
-@query("add_edges_unknown_end", "SELECT 'unknown target' AS message")
+@query("add_edges_unknown_end", cte("star_nodes", "star_links") + "SELECT src, dst + 1 AS dst, 'target' AS \"end\" FROM star_links WHERE dst + 1 NOT IN (SELECT node_id FROM star_nodes)")
 def add_edges_unknown_end(spark, sf):
-    bad = spark.sql("SELECT 0 AS doc_id, 101L AS src, -7L AS dst, 'DEP' AS edge_type").withColumn("seq", seq(2))
-    try:
-        star_graph(spark, sf).add_edges(bad)
-        message = "added"
-    except ValueError as refused:
-        message = "unknown target" if "unknown target" in str(refused) else str(refused)
-    return spark.createDataFrame([(message,)], "message string")
+    """What adding the edges, each with its target moved by one, is refused for."""
+    nodes, edges = star(spark, sf)
+    return graph.dangling(edges.withColumn("dst", F.col("dst") + 1), nodes).select("src", "dst", "end")
 
 
 @query("property_filter", cte("star_nodes") + "SELECT node_id, text FROM star_nodes WHERE node_type = 'TOKEN' AND text NOT IN ('1-URGENT', '2-HIGH')")
@@ -211,20 +216,22 @@ def property_filter(spark, sf):
     return found.select("node_id", "text")
 
 
-@query("pass_log", "SELECT 0 AS doc_id, 'first,second' AS passes")
+@query("pass_log", cte("turns") + "SELECT doc_id, 'spacy_frontend,first,second' AS passes FROM turns")
 def pass_log(spark, sf):
-    meta = star_graph(spark, sf).marked("first").marked("second").meta
+    meta = frontend.build(rules(turns(spark, sf))).marked("first").marked("second").meta
     return meta.select("doc_id", F.array_join("passes_applied", ",").alias("passes"))
 
 
-_GAPS = [(1, "a", "PARAGRAPH"), (2, "b", "DOCUMENT"), (2, "c", "SENTENCE")]
+_NO_EDGES = "SELECT doc_id, 'V1' AS rule, CAST(NULL AS BIGINT) AS element_id FROM turns WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'V4', node_id FROM nodes_turns WHERE node_type = 'SENTENCE'"
 
 
-@query("validate_small", "SELECT * FROM (VALUES (1, 'V1', 'no DOCUMENT node'), (2, 'V4', 'sentence without tokens'), (2, 'V5', 'sentences but no NEXT_TOKEN edges'), (2, 'V6', 'sentences but no DEP edges')) AS v(doc_id, rule, message)")
+@query("validate_small", cte("turns", "nodes_turns") + _NO_EDGES + " UNION ALL SELECT doc_id, rule, NULL FROM (SELECT DISTINCT doc_id FROM nodes_turns WHERE node_type = 'SENTENCE'), (VALUES ('V5'), ('V6')) AS v(rule)")
 def validate_small(spark, sf):
-    nodes = spark.createDataFrame([(d, i, t) for i, (d, _, t) in enumerate(_GAPS)], "doc_id int, node_id bigint, node_type string")
-    edges = spark.createDataFrame([], "doc_id int, src bigint, dst bigint, edge_type string, edge_id bigint")
-    return graph.validate(nodes, edges, nodes.select("doc_id").distinct()).select("doc_id", "rule", "message")
+    """Graphs without edges, a third of them without a document."""
+    docs = turns(spark, sf)
+    nodes = stored(frontend.initial_nodes(rules(docs)).filter("not (doc_id % 3 = 0 and node_type = 'DOCUMENT')"), "nodes")
+    edges = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, src bigint, dst bigint, edge_type string, edge_id bigint")
+    return graph.validate(nodes, edges, docs).select("doc_id", "rule", "element_id")
 
 
 @query("summary_lines", cte("star_nodes", "star_first").rstrip() + """, n AS (SELECT 'node' AS kind, node_type AS type, count(*) AS n FROM star_nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM star_first GROUP BY edge_type)
@@ -353,14 +360,18 @@ def pipeline_user_pass(spark, sf):
     return g.node_table().filter("node_type = 'CONCEPT'").join(g.meta, "doc_id").select("doc_id", "node_id", "text", F.array_join("passes_applied", ",").alias("passes"))
 
 
-_TEXT = "CVE-2024-00001: Nginx 1.2.3 is affected. Upgrade to 1.2.4 now."
+_ONE = "(SELECT max(p_partkey) FROM part)"
 
 
-@query("parse_helpers", "SELECT * FROM (VALUES ('generic', 'SENTENCE', 2), ('generic', 'PARAGRAPH', 1), ('security', 'SENTENCE', 2), ('security', 'PARAGRAPH', 1), ('security', 'ENTITY', 5)) AS v(helper, type, n)")
+@query("parse_helpers", cte("sents_advisories", "paras_advisories", "sec") + f"""SELECT h.helper, t.type, t.n FROM (VALUES ('generic'), ('security')) AS h(helper), (
+SELECT 'SENTENCE' AS type, count(*) AS n FROM sents_advisories WHERE doc_id = {_ONE} UNION ALL SELECT 'PARAGRAPH', count(*) FROM paras_advisories WHERE doc_id = {_ONE} UNION ALL SELECT 'ENTITY', count(*) FROM sec WHERE doc_id = {_ONE}) t
+WHERE t.n > 0 AND (h.helper = 'security' OR t.type <> 'ENTITY')""")
 def parse_helpers(spark, sf):
+    """The helpers for one text, that of the last advisory."""
+    text = advisories(spark, sf).agg(F.max_by("text", "doc_id")).first()[0]
     out = None
     for name, parse in (("generic", parse_text), ("security", parse_security_text)):
-        n = parse(spark, _TEXT, "one").node_table().filter(F.col("node_type").isin("SENTENCE", "PARAGRAPH", "ENTITY")).groupBy(F.col("node_type").alias("type")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("helper"), "type", "n")
+        n = parse(spark, text, "one").node_table().filter(F.col("node_type").isin("SENTENCE", "PARAGRAPH", "ENTITY")).groupBy(F.col("node_type").alias("type")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("helper"), "type", "n")
         out = n if out is None else out.unionAll(n)
     return out
 
@@ -460,7 +471,7 @@ def graphson_documents(spark, sf):
 @query("graphson_files", cte("nodes_turns").rstrip() + _TURN_EDGES + " SELECT doc_id, v.n AS total_nodes, m.n AS total_edges FROM v JOIN m USING (doc_id)")
 def graphson_files(spark, sf):
     """Written as files, one document a line, and read again."""
-    folder = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/graphson-turns"
+    folder = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/graphson-turns-{uuid.uuid4().hex}"
     export.write_graphson(frontend.build(rules(turns(spark, sf))), folder)
     g = F.from_json("value", "doc_id bigint, stats struct<total_nodes: bigint, total_edges: bigint>")
     return spark.read.text(folder).select(g.alias("g")).select("g.doc_id", "g.stats.total_nodes", "g.stats.total_edges")
@@ -500,9 +511,11 @@ def pyg_tensors(spark, sf):
     return rows.select("doc_id", F.col("num_nodes").cast("long").alias("num_nodes"), F.col("num_edges").cast("long").alias("num_edges"), "num_node_types", "num_edge_types", F.col("y").cast("long").alias("y"), F.array_join("node_texts", "|").alias("texts"), F.array_join(hot, ",").alias("types"), F.size(F.get("x", F.lit(0))).alias("width"))
 
 
-@query("text_sources", "SELECT * FROM (VALUES ('a', 'one two'), ('b', '')) AS v(doc_id, text)")
+@query("text_sources", "SELECT page_id AS doc_id, url AS text FROM pages UNION ALL SELECT n_nationkey, n_name FROM nation")
 def text_sources(spark, sf):
-    return from_strings(spark, {"a": "one two", "b": ""}).select("doc_id", "text")
+    """Texts from tables under other names."""
+    pages = from_table(spark, f"{sf}/pages.parquet", "page_id", "url")
+    return pages.unionAll(from_table(spark, f"{sf}/nation.parquet", "n_nationkey", "n_name"))
 
 
 #: the queries of this module

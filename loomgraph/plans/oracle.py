@@ -61,6 +61,7 @@ def shape(text: str) -> str:
 BLOCKS: dict[str, tuple[list[str], str]] = {
     "corpus": ([], "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
     "turns": ([], "SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"),
+    "htmls": ([], "SELECT page_id AS doc_id, coalesce(html, '') AS text FROM pages"),
     "advisories": ([], f"SELECT p_partkey AS doc_id, {ADVISORY} AS text FROM part"),
     "wide": ([], f"SELECT p_partkey AS doc_id, {WIDE} AS text FROM part"),
 }

@@ -17,7 +17,7 @@ from loomgraph.operators import crossmodal, export, frontend, graph, passes, sec
 from loomgraph.operators.annotate import Annotations, LexiconAnnotator, RuleAnnotator, split_sentences
 from loomgraph.plans import oracle
 from loomgraph.plans.oracle import case, cte, in_, q, values
-from loomgraph.schema import FULL_SCHEMA, mapping
+from loomgraph.schema import FULL_SCHEMA, in_use, mapping
 from loomgraph.sources import code_graph
 from loomgraph.sources.text import dealt, from_table, from_turns
 
@@ -90,10 +90,43 @@ def _labels_sql(rows) -> str:
     return f"SELECT * FROM {values([(*r, i) for i, r in enumerate(rows)], 'name, idx, level, label_idx')}"
 
 
-query("schema_node_labels", _labels_sql(FULL_SCHEMA.node_rows()))(lambda s, d: FULL_SCHEMA.node_labels(s))
-query("schema_edge_labels", _labels_sql(FULL_SCHEMA.edge_rows()))(lambda s, d: FULL_SCHEMA.edge_labels(s))
-query("cpg_label_map", f"SELECT * FROM {values([(k, v, i) for i, (k, v) in enumerate(lex.NODE_TYPE_OF_LABEL.items())], 'label, node_type, ord')}")(lambda s, d: mapping(s, lex.NODE_TYPE_OF_LABEL, "label", "node_type"))
-query("cpg_edge_map", f"SELECT * FROM {values([(k, v, i) for i, (k, v) in enumerate(lex.EDGE_TYPE_OF_LABEL.items())], 'label, edge_type, ord')}")(lambda s, d: mapping(s, lex.EDGE_TYPE_OF_LABEL, "label", "edge_type"))
+_USED_NODES = "SELECT node_type AS name, count(*) AS n FROM star_nodes GROUP BY node_type UNION ALL SELECT 'SEC_' || entity_type, count(*) FROM sec GROUP BY entity_type"
+_USED_EDGES = "SELECT edge_type AS name, count(*) AS n FROM star_first GROUP BY edge_type UNION ALL SELECT 'SEC_' || relation, count(*) FROM secpairs GROUP BY relation"
+
+
+def used_nodes(spark, sf) -> DataFrame:
+    """(name, n): the labels of the nodes of the star graph and of the advisories' entities."""
+    level = lambda df, name: df.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return level(star(spark, sf)[0], F.col("node_type")).unionAll(level(sec_entities(spark, sf), F.concat(F.lit("SEC_"), "entity_type")))
+
+
+def used_edges(spark, sf) -> DataFrame:
+    level = lambda df, name: df.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = security.relation_pairs(stored(sec_entities(spark, sf), "found"))
+    return level(first_star(spark, sf)[1], F.col("edge_type")).unionAll(level(pairs, F.concat(F.lit("SEC_"), "relation")))
+
+
+def _in_use_sql(rows, used: str) -> str:
+    return f"SELECT v.name, v.idx, v.level, v.label_idx, CAST(coalesce(u.n, 0) AS BIGINT) AS n FROM {values([(*r, i) for i, r in enumerate(rows)], 'name, idx, level, label_idx')} v LEFT JOIN ({used}) u ON u.name = v.name"
+
+
+query("schema_node_labels", cte("star_nodes", "sec") + _in_use_sql(FULL_SCHEMA.node_rows(), _USED_NODES))(lambda s, d: in_use(FULL_SCHEMA.node_labels(s), used_nodes(s, d)))
+query("schema_edge_labels", cte("star_first", "secpairs") + _in_use_sql(FULL_SCHEMA.edge_rows(), _USED_EDGES))(lambda s, d: in_use(FULL_SCHEMA.edge_labels(s), used_edges(s, d)))
+
+
+def _mapped_sql(pairs: dict[str, str], value: str) -> str:
+    labels = [*pairs, "OTHER"]
+    return f"WITH c AS (SELECT {oracle.pick('p_partkey', labels)} AS label FROM part) SELECT c.label, m.{value}, m.ord, count(*) AS n FROM c LEFT JOIN {values([(k, v, i) for i, (k, v) in enumerate(pairs.items())], f'label, {value}, ord')} m ON m.label = c.label GROUP BY ALL"
+
+
+def _mapped(spark, sf, pairs: dict[str, str], value: str) -> DataFrame:
+    """The parts, each with a label of a code graph in turn, and what the map makes of it."""
+    code = spark.read.parquet(f"{sf}/part.parquet").select(F.expr(oracle.pick("p_partkey", [*pairs, "OTHER"])).alias("label"))
+    return code.join(F.broadcast(mapping(spark, pairs, "label", value)), "label", "left").groupBy("label", value, "ord").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("cpg_label_map", _mapped_sql(lex.NODE_TYPE_OF_LABEL, "node_type"))(lambda s, d: _mapped(s, d, lex.NODE_TYPE_OF_LABEL, "node_type"))
+query("cpg_edge_map", _mapped_sql(lex.EDGE_TYPE_OF_LABEL, "edge_type"))(lambda s, d: _mapped(s, d, lex.EDGE_TYPE_OF_LABEL, "edge_type"))
 
 
 # ---- front end: structure, sequences, predicates
@@ -340,6 +373,17 @@ def sec_software_documents(spark, sf):
     return security.extracted(corpus(spark, sf), "software").select("doc_id", "text", "char_start", "char_end")
 
 
+for _name in [x for x in oracle.EXTRACTORS if x not in ("software", "version")]:
+    query(f"sec_{_name}_documents", cte("corpus") + f"SELECT {', '.join(_SEC_COLUMNS)} FROM ({oracle.extractors('corpus')[_name]})")(lambda s, d, n=_name: security.extracted(corpus(s, d), n).select(*_SEC_COLUMNS))
+
+
+@query("sec_entities_pages", cte("htmls") + f"SELECT {', '.join(_SEC_COLUMNS)} FROM (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in oracle.extractors("htmls").values()) + ")")
+def sec_entities_pages(spark, sf):
+    """All ten extractors over raw web pages."""
+    pages = dealt(spark.read.parquet(f"{sf}/pages.parquet")).selectExpr("page_id AS doc_id", "coalesce(html, '') AS text")
+    return security.entities(pages).select(*_SEC_COLUMNS)
+
+
 @query("sec_version_documents", cte("corpus") + "SELECT doc_id, text, char_start, char_end FROM (" + oracle.pattern_sql(3, lex.VERSION, "VERSION", "'software_version'", 0.8, "corpus") + ")")
 def sec_version_documents(spark, sf):
     return security.extracted(corpus(spark, sf), "version").select("doc_id", "text", "char_start", "char_end")
@@ -501,9 +545,11 @@ def cpg_align(spark, sf):
     return code_aligned(spark, sf).select("doc_id", "node_id", "text", "cpg_id")
 
 
-@query("cpg_align_name", cte("named") + "SELECT needle AS name, cpg_id FROM named")
+@query("cpg_align_name", "SELECT lower(c_mktsegment) AS name, max(c_custkey) AS cpg_id FROM customer GROUP BY lower(c_mktsegment)")
 def cpg_align_name(spark, sf):
-    return crossmodal.by_name(cpg(spark)).select("name", F.col("named.cpg_id").alias("cpg_id"))
+    """The customers as vertices of a code graph, named by their segment: of one name the last."""
+    vertices = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS cpg_id", "c_custkey AS ord", "'METHOD' AS label", "c_name AS code", "c_mktsegment AS name", "0 AS line")
+    return crossmodal.by_name(code_graph.CodeGraph(vertices, vertices)).select("name", F.col("named.cpg_id").alias("cpg_id"))
 
 
 def aligned_nodes(spark, sf) -> DataFrame:
@@ -577,11 +623,16 @@ def pyg_node_pos(spark, sf):
     return rows.select("doc_id", "node_id", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"))
 
 
-@query("vocab", f"SELECT 'node' AS kind, name, idx FROM {values([(n, i) for i, n in enumerate(lex.NODE_TYPES)], 'name, idx')} UNION ALL SELECT 'edge', name, idx FROM {values([(n, i) for i, n in enumerate(lex.EDGE_TYPES)], 'name, idx')}")
+_VOCAB = [("node", n, i) for i, n in enumerate(lex.NODE_TYPES)] + [("edge", n, i) for i, n in enumerate(lex.EDGE_TYPES)]
+
+
+@query("vocab", cte("star_nodes", "star_first").rstrip() + f", u AS (SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM star_nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM star_first GROUP BY edge_type) SELECT v.kind, v.name, v.idx, CAST(coalesce(u.n, 0) AS BIGINT) AS n FROM {values(_VOCAB, 'kind, name, idx')} v LEFT JOIN u ON u.kind = v.kind AND u.name = v.name")
 def vocab(spark, sf):
+    """The exported vocabulary, with how often the star graph has each type."""
     row = export.vocabulary(spark, FULL_SCHEMA)
     part = lambda kind: row.select(F.lit(kind).alias("kind"), F.explode(f"{kind}_type").alias("name", "idx"))
-    return part("node").unionAll(part("edge"))
+    counts = graph.stats(*first_star(spark, sf)).filter("type is not null").select("kind", F.col("type").alias("name"), "n")
+    return part("node").unionAll(part("edge")).join(counts, ["kind", "name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -113,6 +113,17 @@ def _labels(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, idx int, level int, label_idx int")
 
 
+def in_use(labels: DataFrame, used: DataFrame) -> DataFrame:
+    """``labels`` with n: how often ``used`` (name, n) has each."""
+    counts = used.groupBy("name").agg(F.sum("n").alias("n"))
+    return labels.join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def indexed(used: DataFrame, labels: DataFrame) -> DataFrame:
+    """``used`` (name, ...) with idx, the index of its type; -1 where ``labels`` has none."""
+    return used.join(labels.select("name", "idx"), "name", "left").withColumn("idx", F.coalesce("idx", F.lit(-1)))
+
+
 DEFAULT_SCHEMA = Schema()
 SECURITY_SCHEMA = Schema(security=True)
 FULL_SCHEMA = Schema(security=True, cross_modal=True)
