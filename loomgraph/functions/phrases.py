@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.arrays import scanned
 from loomgraph.functions.text import let
 
-#: Written around what is found; where a text has them it is read as if it had _OTHER
-_BEGIN, _END, _OTHER = "\x01", "\x02", "\x03"
+#: Written around what is found; where a text has them it is read as if it had OTHER
+BEGIN, END, OTHER = "\x01", "\x02", "\x03"
 OCCURRENCE = "struct<phrase: string, start: int>"
 
 
@@ -37,11 +37,11 @@ def trie(phrases: Iterable[str]) -> str:
 
 def longest_at(text: Column, phrases: list[str]) -> Column:
     """An array of (phrase, start): at each place of ``text`` where phrases begin the longest of them."""
-    clean = F.translate(text, _BEGIN + _END, _OTHER * 2)
-    pieces = F.split(F.regexp_replace(clean, f"(?=({trie(phrases)}))", f"{_BEGIN}$1{_END}"), _BEGIN, -1)
+    clean = F.translate(text, BEGIN + END, OTHER * 2)
+    pieces = F.split(F.regexp_replace(clean, f"(?=({trie(phrases)}))", f"{BEGIN}$1{END}"), BEGIN, -1)
 
     def piece(at: Column, x: Column) -> tuple[Column, Column]:
-        phrase = F.substring_index(x, _END, 1)
+        phrase = F.substring_index(x, END, 1)
         return at + F.length(x) - F.length(phrase) - 1, F.struct(phrase.alias("phrase"), at.alias("start"))
 
     # the first piece is what stands before the first place

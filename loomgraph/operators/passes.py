@@ -168,28 +168,30 @@ class EntityRelationPass:
 # ---- topics
 
 
-def topic_words(tokens: DataFrame) -> DataFrame:
-    """Tokens (doc_id, sent_idx, place, text, lemma) that may be keywords, with ``word``."""
-    word = F.lower(or_else(F.col("lemma"), F.col("text")))
-    return tokens.withColumn("word", word).filter(~F.col("word").isin(lex.STOPWORDS) & (F.length("word") > 2))
+def with_word(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumn("word", F.lower(or_else(F.col("lemma"), F.col("text"))))
+
+
+def is_keyword() -> Column:
+    return ~F.col("word").isin(lex.STOPWORDS) & (F.length("word") > 2)
 
 
 def top_topics(tokens: DataFrame, k: int = TOP) -> DataFrame:
     """(doc_id, word, freq, rank, importance): the k most frequent words; ties by first appearance.
 
     ``tokens`` has doc_id, place (order in the document), text and lemma. Importance
-    divides by all tokens of the document.
+    divides by all tokens of the document: stop words are counted with the others, in one pass.
     """
-    totals = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    counted = topic_words(tokens).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("freq"), F.min("place").alias("first"))
+    counted = with_word(tokens).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("freq"), F.min("place").alias("first"))
+    counted = counted.withColumn("n_tokens", F.sum("freq").over(Window.partitionBy("doc_id"))).filter(is_keyword())
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("freq"), "first"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return top.join(totals, "doc_id").select("doc_id", "word", "freq", "rank", (F.col("freq").cast("double") / F.col("n_tokens")).alias("importance"))
+    return top.select("doc_id", "word", "freq", "rank", (F.col("freq").cast("double") / F.col("n_tokens")).alias("importance"))
 
 
 def topic_sentences(tokens: DataFrame, topics: DataFrame) -> DataFrame:
     """(doc_id, word, rank, sent_idx): each sentence that has a topic's word."""
-    where = topic_words(tokens).select("doc_id", "word", "sent_idx").distinct()
+    where = with_word(tokens).filter(is_keyword()).select("doc_id", "word", "sent_idx").distinct()
     return where.join(topics.select("doc_id", "word", "rank"), ["doc_id", "word"])
 
 

@@ -81,6 +81,12 @@ def test_tokens_and_sentences_need_no_shuffle(spark):
     assert not [t for t in tokens if t["doc_id"] in (2, 3)]
 
 
+def test_tokens_keep_control_characters(spark):
+    text = "a \x01\x02 b\x03c"
+    tokens = annotate.RuleAnnotator().annotate(spark.createDataFrame([(1, text)], "doc_id int, text string")).tokens.orderBy("i").collect()
+    assert [(t["text"], t["char_start"]) for t in tokens] == [("a", 0), ("\x01", 2), ("\x02", 3), ("b", 5), ("\x03", 6), ("c", 7)]
+
+
 def below(parent, head):
     out = [head]
     for x in out:
