@@ -24,8 +24,9 @@ over those parts of the corpus that can hold any:
    first are repeats.
 5. Spans meet their documents again, are merged, and cut out.
 
-So a window is removed because the array found it equal to an earlier one, or because its
-context equals, by hash, a second one of which the array tells. README has the shares.
+So the second of equal windows is removed only if the array finds it equal to an earlier one. Third
+and later copies of a context are removed because their hashes equal those of the first two, and the
+windows of hot keys (see Skew) because of theirs, without the array. README has the shares.
 
 Skew: a copied document is one row per anchor and task after step 2's local collapse; the
 rows that are already known as repeats are dealt out by a hash of their place. Each context is
@@ -565,7 +566,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     cuts = stored(cut_out(rows, marks), "strings")
     release(spark)
     hot = stored(cuts.filter("anchor >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("key"), "hot-keys")
-    later = [marks.filter(F.col("kind") != SINGLE).select("doc", "at")]
+    # a pair's second is left to the array; copies after it repeat what it repeats
+    later = [marks.filter(F.col("kind") == REPEAT).select("doc", "at")]
     if hot.limit(1).count():
         later.append(stored(judged(windows_of(cuts.join(hot, "key", "left_semi"))).filter(F.col("kind") != SINGLE).select("doc", "at"), "hot-windows"))
         cuts = cuts.join(hot, "key", "left_anti")
