@@ -515,3 +515,14 @@ def test_contexts_depend_on_the_window_only():
 def test_registered(spark):
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries()}
     assert os.path.exists(public.path("word_bpe_49k.json")) and hashlib.sha256
+
+
+def test_pairs_of_equal_windows_go_only_if_the_array_finds_them(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(180))
+    docs = spark.createDataFrame([(i, "".join(rng.choice("stuvwxyz ") for _ in range(300)) + (passage if i < 2 else "")) for i in range(6)], "doc_id bigint, text string")
+    removed = lambda: sum(r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect())
+    assert removed() >= 180
+    array = suffix_dedup.sorted_contexts
+    monkeypatch.setattr(suffix_dedup, "sorted_contexts", lambda cuts: array(cuts).filter("false"))
+    assert removed() == 0
