@@ -30,7 +30,9 @@ from loomgraph.llm.common import ascii_lower, fresh
 
 #: The table (term, kind, weight) that ``Vocabulary.default`` reads.
 TERMS = os.path.join(os.path.dirname(__file__), "url_terms.csv")
-SOFT_LIMIT = 4
+#: Weights: 1 for words that clean URLs have as well, 2 for words of spam topics, 3 for words seldom seen elsewhere.
+#: A word of a topic and one more are rejected, two usual words are not.
+SOFT_LIMIT = 3
 SOFT_AT_LEAST = 2
 MOST_TERMS = 1_000_000
 
