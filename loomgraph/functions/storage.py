@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +36,14 @@ def clean(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Results that haven't been written or collected yet are lost."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_system(uri: str) -> tuple:
+    """(pyarrow file system, path in it) of a URI or plain path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), os.path.abspath(uri)
+    return fs.FileSystem.from_uri(uri)

@@ -44,8 +44,8 @@ def edge_json_rows(edges: DataFrame) -> DataFrame:
     return edges.select("doc_id", F.concat(F.lit("e"), F.col("edge_id").cast("string")).alias("id"), F.col("src").alias("outV"), F.col("dst").alias("inV"), F.col("edge_type").alias("label"), F.to_json(properties(edges, EDGE_PROPERTIES)).alias("properties"))
 
 
-def graphson(graph: PropertyGraph) -> DataFrame:
-    """(doc_id, graphson): one JSON document for each graph."""
+def graphson(graph: PropertyGraph, pretty: bool = False) -> DataFrame:
+    """(doc_id, graphson): one JSON document for each graph, over several lines if ``pretty``."""
     nodes, edges = graph.node_table(), graph.edge_table()
     vertices = nodes.select("doc_id", F.struct(F.col("node_id").alias("id"), F.col("node_type").alias("label"), properties(nodes, NODE_PROPERTIES).alias("properties")).alias("v"))
     links = edges.select("doc_id", "edge_id", F.struct(F.concat(F.lit("e"), F.col("edge_id").cast("string")).alias("id"), F.col("src").alias("outV"), F.col("dst").alias("inV"), F.col("edge_type").alias("label"), properties(edges, EDGE_PROPERTIES).alias("properties")).alias("e"))
@@ -61,12 +61,15 @@ def graphson(graph: PropertyGraph) -> DataFrame:
         F.struct(F.size("vs").alias("total_nodes"), F.coalesce(F.size("es"), F.lit(0)).alias("total_edges"), F.col("node_types"), F.col("edge_types"), "passes_applied").alias("stats"),
         F.col("vs.v").alias("vertices"), F.coalesce(F.col("es.e"), F.array()).alias("edges"),
     )
-    return out.select("doc_id", F.to_json(document).alias("graphson"))
+    return out.select("doc_id", F.to_json(document, {"pretty": str(pretty).lower()}).alias("graphson"))
 
 
-def write_graphson(graph: PropertyGraph, path: str) -> None:
-    """One JSON document per line below ``path``."""
-    graphson(graph).select("graphson").write.mode("overwrite").text(path)
+def write_graphson(graph: PropertyGraph, path: str, pretty: bool = False) -> None:
+    """One JSON document per line below ``path``; if ``pretty`` one indented document per file, in a folder ``doc_id=...``."""
+    if pretty:
+        graphson(graph, True).write.mode("overwrite").partitionBy("doc_id").text(path)
+    else:
+        graphson(graph).select("graphson").write.mode("overwrite").text(path)
 
 
 # ---- tensors

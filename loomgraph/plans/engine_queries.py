@@ -89,31 +89,39 @@ def annotator_fallback(spark, sf):
     return a.tokens.select("doc_id", "sent_idx", "token_idx", "text", "pos")
 
 
-def nations(spark, sf) -> code_graph.CodeGraph:
-    """Nations as a code graph whose properties come in every form: a scalar, a list of one value, an empty list, absent."""
-    n = spark.read.parquet(f"{sf}/nation.parquet")
+CUSTOMERS_PER_FILE, SPLIT = 1000, 1 << 16
+
+
+def customers(spark, sf) -> code_graph.CodeGraph:
+    """Customers as code graphs of a thousand, in GraphSON whose properties come in every form: a scalar, a list of one value, an empty list, absent."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
     wrapped = lambda c: F.concat(F.lit('[{"value": "'), c.cast("string"), F.lit('"}]'))
-    key = F.col("n_nationkey")
-    code = F.when(key % 4 == 0, F.col("n_name")).when(key % 4 == 1, wrapped(F.col("n_name"))).when(key % 4 == 2, "[]")
+    key = F.col("c_custkey")
+    name = F.concat("c_name", F.lit(' {"a\\": [b\\\\"'))  # brackets, quotes and escapes, which a split may fall on
+    code = F.when(key % 4 == 0, name).when(key % 4 == 1, wrapped(F.col("c_name"))).when(key % 4 == 2, "[]")
     line = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, wrapped(key)).otherwise("none")
-    vertex = F.struct(key.cast("long").alias("id"), F.lit("METHOD").alias("label"), F.map_filter(F.create_map(F.lit("CODE"), code, F.lit("NAME"), F.lower("n_name"), F.lit("LINE_NUMBER"), line), lambda k, v: v.isNotNull()).alias("properties"))
-    edge = F.struct(F.concat(F.lit("e"), key.cast("string")).alias("id"), key.cast("long").alias("outV"), F.col("n_regionkey").cast("long").alias("inV"), F.lit("AST").alias("label"), F.create_map(F.lit("VARIABLE"), wrapped(F.col("n_name"))).alias("properties"))
-    raw = n.agg(F.sort_array(F.collect_list(vertex.dropFields("properties"))).alias("order"), F.collect_list(F.struct(key.alias("k"), vertex.alias("v"), edge.alias("e"))).alias("xs"))
-    xs = F.array_sort("xs", lambda a, b: (a["k"] - b["k"]).cast("int"))
-    document = raw.select(F.transform(xs, lambda x: x["v"]).alias("vertices"), F.transform(xs, lambda x: x["e"]).alias("edges"))
-    folder = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/graphson-nations-{uuid.uuid4().hex}"
-    document.coalesce(1).write.mode("overwrite").json(folder)
-    return code_graph.from_graphson(spark, folder)
+    vertex = F.struct(key.alias("id"), F.lit("METHOD").alias("label"), F.map_filter(F.create_map(F.lit("CODE"), code, F.lit("NAME"), F.lower("c_name"), F.lit("LINE_NUMBER"), line), lambda k, v: v.isNotNull()).alias("properties"))
+    edge = F.struct(F.concat(F.lit("e"), key.cast("string")).alias("id"), key.alias("outV"), F.col("c_nationkey").cast("long").alias("inV"), F.lit("AST").alias("label"), F.create_map(F.lit("VARIABLE"), wrapped(F.col("c_name"))).alias("properties"))
+    xs = F.array_sort(F.collect_list(F.struct(key.alias("k"), vertex.alias("v"), edge.alias("e"))), lambda a, b: (a["k"] - b["k"]).cast("int"))
+    # keys are unique, so a file's group has a thousand rows at most
+    files = c.groupBy(F.floor(key / CUSTOMERS_PER_FILE).alias("file")).agg(xs.alias("xs"))
+    document = files.select(F.lit(True).alias("directed"), F.transform("xs", lambda x: x["v"]).alias("vertices"), F.transform("xs", lambda x: x["e"]).alias("edges"))
+    folder = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/graphson-customers-{uuid.uuid4().hex}"
+    document.write.mode("overwrite").json(folder)
+    return code_graph.from_graphson(spark, folder, SPLIT)
+
+
+_PLACE = f"row_number() OVER (PARTITION BY c_custkey // {CUSTOMERS_PER_FILE} ORDER BY c_custkey) - 1 AS ord"
 
 
-@query("code_graph_vertices", """SELECT CAST(n_nationkey AS BIGINT) AS cpg_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, 'METHOD' AS label, CASE WHEN n_nationkey % 4 < 2 THEN n_name ELSE '' END AS code, lower(n_name) AS name, CASE WHEN n_nationkey % 3 < 2 THEN n_nationkey ELSE 0 END AS line FROM nation""")
+@query("code_graph_vertices", f"""SELECT c_custkey AS cpg_id, {_PLACE}, 'METHOD' AS label, CASE c_custkey % 4 WHEN 0 THEN c_name || ' {{"a\\": [b\\\\"' WHEN 1 THEN c_name ELSE '' END AS code, lower(c_name) AS name, CASE WHEN c_custkey % 3 < 2 THEN CAST(c_custkey AS INTEGER) ELSE 0 END AS line FROM customer""")
 def code_graph_vertices(spark, sf):
-    return nations(spark, sf).vertices.select("cpg_id", "ord", "label", "code", "name", "line")
+    return customers(spark, sf).vertices.select("cpg_id", "ord", "label", "code", "name", "line")
 
 
-@query("code_graph_edges", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst, 'AST' AS label, n_name AS variable FROM nation")
+@query("code_graph_edges", f"SELECT {_PLACE}, c_custkey AS src, CAST(c_nationkey AS BIGINT) AS dst, 'AST' AS label, c_name AS variable FROM customer")
 def code_graph_edges(spark, sf):
-    return nations(spark, sf).edges.select("ord", "src", "dst", "label", "variable")
+    return customers(spark, sf).edges.select("ord", "src", "dst", "label", "variable")
 
 
 # ---- front end over tags: nodes and edges as the engine numbers them

@@ -11,9 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources import graphson
+
 VERTEX = "struct<id: bigint, label: string, properties: map<string, string>>"
 EDGE = "struct<id: string, outV: bigint, inV: bigint, label: string, properties: map<string, string>>"
-DOCUMENT = f"vertices array<{VERTEX}>, edges array<{EDGE}>"
 
 
 @dataclass(frozen=True)
@@ -32,17 +33,24 @@ def property_value(properties: Column, name: str) -> Column:
 
 def from_table(raw: DataFrame) -> CodeGraph:
     """From rows of vertices and edges arrays (one graph)."""
-    vertices = raw.select(F.posexplode("vertices").alias("ord", "v")).select("ord", "v.*")
+    return from_elements(raw.select(F.posexplode("vertices").alias("ord", "e")), raw.select(F.posexplode("edges").alias("ord", "e")))
+
+
+def from_elements(vertices: DataFrame, edges: DataFrame) -> CodeGraph:
+    """From (ord, e) of each vertex and each edge, ``e`` as in VERTEX and EDGE."""
+    vertices, edges = vertices.select("ord", "e.*"), edges.select("ord", "e.*")
     text = lambda name: F.coalesce(property_value(F.col("properties"), name), F.lit(""))
     line = F.coalesce(F.try_to_number(property_value(F.col("properties"), "LINE_NUMBER"), F.lit("999999999")).cast("int"), F.lit(0))
     vertices = vertices.select(F.col("id").alias("cpg_id"), "ord", "label", text("CODE").alias("code"), text("NAME").alias("name"), line.alias("line"))
-    edges = raw.select(F.posexplode("edges").alias("ord", "e")).select("ord", "e.*")
     edges = edges.select("ord", F.col("outV").alias("src"), F.col("inV").alias("dst"), "label", text("VARIABLE").alias("variable"))
     return CodeGraph(vertices, edges)
 
 
-def from_graphson(spark: SparkSession, path: str) -> CodeGraph:
-    return from_table(spark.read.schema(DOCUMENT).option("multiLine", True).json(path))
+def from_graphson(spark: SparkSession, path: str, split_bytes: int = graphson.SPLIT_BYTES) -> CodeGraph:
+    """From files, each read by as many tasks as it has splits; ``ord`` counts within a document's array."""
+    found = graphson.read_elements(spark, path, split_bytes)
+    of = lambda key, kind: found.filter(F.col("key") == key).select("ord", F.from_json("element", kind).alias("e"))
+    return from_elements(of("vertices", VERTEX), of("edges", EDGE))
 
 
 def from_string(spark: SparkSession, text: str) -> CodeGraph:
