@@ -4,9 +4,10 @@ Method: words are runs of letters and digits of the lower-cased text (all bytes
 ASCII count as letters). An item of m words is compared with every window of m words of a
 document (a shorter document is one window). Item and windows have a SimHash of their
 shingles (``WIDTH`` words; the whole text if shorter), each weighted by how often it
-occurs. Item fingerprints are indexed by ``BLOCKS`` blocks of bits: two fingerprints that
-differ in at most ``RADIUS`` bits differ in at most ``RADIUS // BLOCKS`` bits in one of the
-blocks, so each block's table lists every item within that ball. Each window's fingerprint
+occurs. Item fingerprints are indexed by blocks of 16 bits: two fingerprints that differ in at
+most ``RADIUS`` bits differ in at most ``BALLS[b]`` bits in one block ``b``, for if all
+differed in more, these would be more than ``RADIUS`` bits. So each block's table lists every item within its ball
+(4 or 3 bits: 9.8 % of all values in the four blocks together). Each window's fingerprint
 looks its blocks up; what the tables return is checked on the complete distance, then by the
 exact weighted-shingle similarity (sum of smaller over sum of larger multiplicities),
 which must reach ``SIMILARITY``.
@@ -17,10 +18,10 @@ shingles of all items together have no fingerprint made; this leaves none out, a
 tells nothing of which item it could be. An item of m < ``WIDTH``
 words is one shingle, found in longer documents by windows of m words
 if ``short`` is set, as the query and the pipeline do; else it matches whole documents only.
-RADIUS is over three standard deviations above the distance expected at SIMILARITY.
+RADIUS is two and a half standard deviations above the distance expected at SIMILARITY.
 
-Bounds: the items are read in groups of at most ``GROUP_WORDS`` words; each group is one
-pass over the documents (written between passes), and only one group is sent to the executors at a time.
+Bounds: the items are read in groups of at most ``GROUP_WORDS`` words and ``GROUP_ITEMS`` items, whose
+indexes are written to the shared folder. The documents are passed over once; a task holds one group's index at a time.
 
 Defined results: null, empty and white-space texts match nothing, items without words
 likewise; repeated items and documents are each judged; ties between windows go to the
@@ -30,6 +31,7 @@ named ``leaks`` is replaced. Empty tables give no leaks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,14 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices, stored
-from loomgraph.llm.hashing import Words, gathered, mixed, xxh64
+from loomgraph.llm.common import bounded_batches, byte_view, local_path, new_dir, release_memory, slices
+from loomgraph.llm.hashing import Words, mixed, xxh64
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 20
-BLOCKS = 8
+BALLS = (4, 4, 3, 3)
+RADIUS = sum(b + 1 for b in BALLS) - 1
 GROUP_WORDS = 1 << 20
+GROUP_ITEMS = 2000
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 WINDOWS_AT_ONCE = 1 << 14
@@ -105,28 +108,36 @@ class Sized:
     items: np.ndarray
     shingles: list[np.ndarray]
     prints: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray]]  # by block: n+1 offsets by value, and the items within the ball
+    tables: list[tuple[np.ndarray, np.ndarray]]  # by block: values in order, and for each an item in whose ball it is
 
     @classmethod
-    def build(cls, items: list[int], shingles: list[np.ndarray], radius: int, blocks: int) -> Sized:
+    def build(cls, items: list[int], shingles: list[np.ndarray], balls: tuple[int, ...]) -> Sized:
         prints = np.array([simhash(x) for x in shingles], np.uint64)
-        width, ball = 64 // blocks, radius // blocks
-        values = np.arange(1 << width, dtype=np.uint64)
+        width = 64 // len(balls)
+        masks = np.arange(1 << width, dtype=np.uint64)
         tables = []
-        for block in range(blocks):
+        for block, ball in enumerate(balls):
             part = (prints >> _U(block * width)) & _U((1 << width) - 1)
-            value, held = np.nonzero(np.bitwise_count(values[:, None] ^ part[None, :]) <= ball)
-            tables.append((np.searchsorted(value, np.arange(len(values) + 1)), held))
+            values = (part[:, None] ^ masks[np.bitwise_count(masks) <= ball]).astype(np.uint16)
+            held = np.repeat(np.arange(len(prints), dtype=np.int32), values.shape[1])
+            order = np.argsort(values.ravel(), kind="stable")
+            tables.append((values.ravel()[order], held[order]))
         return cls(np.array(items), shingles, prints, tables)
 
+    def returned(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) pairs of each block's table."""
+        width = 64 // len(self.tables)
+        for block, (values, held) in enumerate(self.tables):
+            value = ((prints >> _U(block * width)) & _U((1 << width) - 1)).astype(np.uint16)
+            first, upto = (np.searchsorted(values[: len(held)], value, side) for side in ("left", "right"))
+            n = upto - first
+            at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            yield np.repeat(np.arange(len(prints)), n), held[at]
+
     def look_up(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs whose fingerprints differ in at most ``radius`` bits, from the blocks' tables."""
-        width = 64 // len(self.tables)
         found = [np.zeros(0, np.int64)]
-        for block, (offsets, held) in enumerate(self.tables):
-            value = ((prints >> _U(block * width)) & _U((1 << width) - 1)).astype(np.int64)
-            items, n = gathered(held, offsets, value)
-            window = np.repeat(np.arange(len(prints)), n)
+        for window, items in self.returned(prints):
             near = np.bitwise_count(self.prints[items] ^ prints[window]) <= radius
             found.append(window[near] * len(self.items) + items[near])
         return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.items)))
@@ -142,7 +153,7 @@ class Index:
     radius: int
 
     @classmethod
-    def build(cls, texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> Index:
+    def build(cls, texts: list[str], balls: tuple[int, ...] = BALLS) -> Index:
         words = words_of(pa.array(texts, pa.string()))
         hashes, _, n = shingle_hashes(words)
         ends = np.cumsum(n)
@@ -150,11 +161,11 @@ class Index:
         sizes = {}
         for m in sorted(set(words.counts.tolist()) - {0}):
             mine = np.flatnonzero(words.counts == m).tolist()
-            sizes[m] = Sized.build(mine, [own[i] for i in mine], radius, blocks)
+            sizes[m] = Sized.build(mine, [own[i] for i in mine], balls)
         known = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
         maybe = np.zeros(1 << 20, bool)
         maybe[(known & _U((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(sizes, known, maybe, radius)
+        return cls(sizes, known, maybe, sum(b + 1 for b in balls) - 1)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are shingles of an item."""
@@ -243,7 +254,7 @@ def item_groups(benchmark: DataFrame, item_id: str, text: str, most: int = GROUP
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item_id), F.col(text).cast("string"))
     for i, t in rows.toLocalIterator():
         n = t.count(" ") + 1
-        if ids and size + n > most:
+        if ids and (size + n > most or len(ids) == GROUP_ITEMS):
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(i)
@@ -265,23 +276,30 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     spark = docs.sparkSession
     bounded_batches(spark)
 
-    def judge(sent):
-        @F.arrow_udf(kind)
-        def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            ids, index = sent.value
-            for batch in batches:
-                leaks = leaks_of(pc.fill_null(batch, ""), index, threshold, short=short)
-                yield pa.array([[dict(zip(names, (ids[x[0]], *x[1:]))) for x in row] for row in leaks], arrow)
-            release_memory()
-
-        return judged(F.col(text).cast("string"))
-
-    out = docs.withColumn("leaks", F.expr(f"cast(array() as {kind})"))
-    sent = None
-    for ids, texts in item_groups(benchmark, item_id, item_text, group_words):
-        if sent is not None:
-            out = stored(out, "leaks")
-            sent.destroy()
-        sent = spark.sparkContext.broadcast((ids, Index.build(texts)))
-        out = out.withColumn("leaks", F.concat("leaks", judge(sent)))
-    return out
+    folder, groups = new_dir(spark, "items"), 0
+    for group in item_groups(benchmark, item_id, item_text, group_words):
+        files, path = local_path(folder)
+        files.create_dir(path)
+        with files.open_output_stream(f"{path}/{groups}") as out:
+            pickle.dump((group[0], Index.build(group[1])), out)
+        groups += 1
+
+    def load(group: int) -> tuple[list, Index]:
+        files, path = local_path(folder)
+        with files.open_input_stream(f"{path}/{group}") as source:
+            return pickle.load(source)
+
+    @F.arrow_udf(kind)
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = load(0) if groups == 1 else None
+        for batch in batches:
+            texts = pc.fill_null(batch, "")
+            rows: list[list[dict]] = [[] for _ in range(len(texts))]
+            for group in range(groups):
+                ids, index = held or load(group)
+                for row, leaks in zip(rows, leaks_of(texts, index, threshold, short=short)):
+                    row += [dict(zip(names, (ids[x[0]], *x[1:]))) for x in leaks]
+            yield pa.array(rows, arrow)
+        release_memory()
+
+    return docs.withColumn("leaks", judged(F.col(text).cast("string")))
