@@ -187,20 +187,29 @@ def leaks_of(texts: pa.Array, index: Index, threshold: float = SIMILARITY, width
         hashes, _, n = shingle_hashes(words, width)
         held = np.concatenate([[0], np.cumsum(index.holds(hashes))])
         ends = np.cumsum(n)
+        best: dict[tuple, tuple] = {}
+        waiting: dict[int, list[tuple]] = {m: [] for m in index.sizes}  # by number of words: (text, its first shingle, size, starts, prints)
         for t in np.flatnonzero(held[ends] > held[ends - n]).tolist():
             lo, hi = int(ends[t] - n[t]), int(ends[t])
-            out[a + t] += leaks_of_one(hashes[lo:hi], int(words.counts[t]), held[lo : hi + 1], index, threshold, width)
+            for m, size, starts, prints in windows_of(hashes[lo:hi], int(words.counts[t]), held[lo : hi + 1], index, threshold, width):
+                waiting[m].append((a + t, lo, size, starts, prints))
+                if sum(len(w[3]) for w in waiting[m]) >= WINDOWS_AT_ONCE:
+                    judge(waiting[m], hashes, index.sizes[m], index.radius, threshold, width, best)
+                    waiting[m] = []
+        for m, rest in waiting.items():
+            judge(rest, hashes, index.sizes[m], index.radius, threshold, width, best)
+        for t, place in sorted(best):
+            out[t].append(best[t, place])
         for m in [m for m in index.sizes if m < width] if short else []:
             for t, item, start in short_items(words, index, m):
                 out[a + t].append((item, start, m, 1.0))
     return out
 
 
-def leaks_of_one(hashes: np.ndarray, n_words: int, held: np.ndarray, index: Index, threshold: float, width: int) -> list[tuple]:
-    """The items found in one text; ``held``: the number of items' shingles before each place."""
-    best: dict[int, tuple] = {}
+def windows_of(hashes: np.ndarray, n_words: int, held: np.ndarray, index: Index, threshold: float, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(words of the items, words of a window, first shingles, fingerprints) of a text's windows; ``held``: the number of items' shingles before each place."""
     places = np.flatnonzero(np.diff(held))
-    for m, sized in index.sizes.items():
+    for m in index.sizes:
         if min(m, n_words) < width and m != n_words:  # a text or item of one shingle equals its like only
             continue
         size = min(m, n_words)
@@ -216,18 +225,24 @@ def leaks_of_one(hashes: np.ndarray, n_words: int, held: np.ndarray, index: Inde
         np.add.at(mark, first[some], 1)
         np.add.at(mark, upto[some] + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-        if not len(starts):
-            continue
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1):
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
             for k in range(0, len(run), WINDOWS_AT_ONCE):
                 part = run[k : k + WINDOWS_AT_ONCE]
-                prints = sliding_simhashes(hashes[part[0] : part[-1] + span], span)
-                for window, item in zip(*(x.tolist() for x in sized.look_up(prints, index.radius))):
-                    s, place = int(part[window]), int(sized.items[item])
-                    found = similarity(hashes[s : s + span], sized.shingles[item])
-                    if found >= threshold and (place not in best or found > best[place][3]):
-                        best[place] = (place, s, size, found)
-    return [best[i] for i in sorted(best)]
+                yield m, size, part, sliding_simhashes(hashes[part[0] : part[-1] + span], span)
+
+
+def judge(waiting: list[tuple], hashes: np.ndarray, sized: Sized, radius: int, threshold: float, width: int, best: dict[tuple, tuple]) -> None:
+    """Look the windows up together, compare what is returned, and keep the first best window of each text and item."""
+    if not waiting:
+        return
+    origin = np.repeat(np.arange(len(waiting)), [len(w[3]) for w in waiting])
+    starts, prints = (np.concatenate([w[i] for w in waiting]) for i in (3, 4))
+    for window, item in zip(*(x.tolist() for x in sized.look_up(prints, radius))):
+        t, lo, size, *_ = waiting[origin[window]]
+        s, place = int(starts[window]), int(sized.items[item])
+        found = similarity(hashes[lo + s : lo + s + max(size - width + 1, 1)], sized.shingles[item])
+        if found >= threshold and found > best.get((t, place), (0, 0, 0, 0.0))[3]:
+            best[t, place] = (place, s, size, found)
 
 
 def short_items(words: Words, index: Index, m: int) -> Iterator[tuple[int, int, int]]:
@@ -275,7 +290,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     names = [f.name for f in arrow.value_type]
     spark = docs.sparkSession
     bounded_batches(spark)
-
     folder, groups = new_dir(spark, "items"), 0
     for group in item_groups(benchmark, item_id, item_text, group_words):
         files, path = local_path(folder)
