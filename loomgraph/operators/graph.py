@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ranges
 from loomgraph.functions.storage import stored
+from loomgraph.operators import adjacency
 from loomgraph.schema import DEFAULT_SCHEMA, EDGE_COLUMNS, EDGE_FIELDS, NODE_COLUMNS, NODE_FIELDS, Schema, filled
 
 
@@ -172,14 +173,15 @@ def neighbors(edges: DataFrame, edge_types: list[str] | None = None, direction:
 def walk(edges: DataFrame, starts: DataFrame, edge_types: list[str], direction: str = "out", max_depth: int = 10) -> DataFrame:
     """(doc_id, start, path, depth): simple paths of 1 to ``max_depth`` edges from each start (doc_id, node_id).
 
-    One equi-join per level; it ends early when a level is empty. Parallel edges repeat paths.
+    One look-up in the adjacency per level: edges are shuffled when it is built and not again. It ends early when a level is empty.
+    Parallel edges repeat paths.
     """
-    step = neighbors(edges, edge_types, direction).select("doc_id", F.col("node_id").alias("cur"), F.col("other_id").alias("next"))
-    level = starts.select("doc_id", F.col("node_id").alias("start"), F.array("node_id").alias("path"), F.col("node_id").alias("cur"))
+    links = adjacency.build(neighbors(edges, edge_types, direction).select("doc_id", "node_id", "other_id"))
+    level = links.enter(starts.select("doc_id", "node_id", F.col("node_id").alias("start"), F.array("node_id").alias("path")))
     found = None
     for depth in range(1, max_depth + 1):
-        level = level.join(step, ["doc_id", "cur"]).filter(~F.array_contains("path", F.col("next")))
-        level = level.select("doc_id", "start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("cur"))
+        level = links.step(level).filter(~F.array_contains("path", F.col("other")))
+        level = level.select("doc_id", "start", F.array_append("path", F.col("other")).alias("path"), F.col("other").alias("node_id"), F.col("other_pieces").alias("pieces"))
         now = level.select("doc_id", "start", "path", F.lit(depth).alias("depth"))
         found = now if found is None else found.unionAll(now)
         if depth % 3 == 0 and depth < max_depth:

@@ -89,7 +89,7 @@ def annotator_fallback(spark, sf):
     return a.tokens.select("doc_id", "sent_idx", "token_idx", "text", "pos")
 
 
-CUSTOMERS_PER_FILE, SPLIT = 1000, 1 << 16
+CUSTOMERS_PER_FILE, SPLIT = 1000, 1 << 17
 
 
 def customers(spark, sf) -> code_graph.CodeGraph:
