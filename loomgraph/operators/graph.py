@@ -55,6 +55,14 @@ class PropertyGraph:
         """Edges as stored: first writer wins, ids in the order of adding."""
         return stored_edges(self.edges)
 
+    def edges_of(self, *edge_types: str) -> DataFrame:
+        """Edges of some types (none: of all) as ``edge_table`` has them, but without ids.
+
+        An edge's type is part of what makes it the first, so edges of other types are never made, and nothing is numbered or written.
+        """
+        wanted = self.edges.filter(F.col("edge_type").isin(*edge_types)) if edge_types else self.edges
+        return first_edges(wanted).select(*[c for c in EDGE_COLUMNS if c != "edge_id"])
+
     def node_table(self) -> DataFrame:
         return self.nodes.select(*NODE_COLUMNS)
 
