@@ -158,6 +158,15 @@ def having_edges(wanted: DataFrame, edges: DataFrame) -> DataFrame:
     return wanted.join(edges, ["doc_id", "src", "dst", "edge_type"], "left_semi")
 
 
+def edges_between(sources: DataFrame, targets: DataFrame, edges: DataFrame, edge_type: str, matching: Column) -> DataFrame:
+    """(doc_id, src, dst, edge_type) of the pairs of ``sources`` (doc_id, src, ...) and ``targets`` (doc_id, dst, ...) that match and that an edge joins.
+
+    The edges look up their ends, so what is made grows with them, not with the pairs. A source or target given twice makes its pairs twice.
+    """
+    linked = edges_of_type(edges, edge_type).select("doc_id", "src", "dst", "edge_type").distinct()
+    return linked.join(sources, ["doc_id", "src"]).join(targets, ["doc_id", "dst"]).filter(matching).select("doc_id", "src", "dst", "edge_type")
+
+
 def with_properties(rows: DataFrame, equal: dict[str, object] | None = None, none_of: dict[str, list] | None = None) -> DataFrame:
     """The nodes or edges whose columns equal the given values and hold none of those excluded."""
     for name, value in (equal or {}).items():
