@@ -10,16 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
+from loomgraph.functions import ranges
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import lookup, rstrip
 from loomgraph.operators.containment import containing
-from loomgraph.operators.graph import PropertyGraph, edge_rows, numbered, seq
-from loomgraph.schema import EDGE_EXTRA, NODE_COLUMNS, NODE_EXTRA, extra
+from loomgraph.operators.graph import PropertyGraph, edge_rows, first_edges, seq
+from loomgraph.schema import EDGE_EXTRA, NODE_COLUMNS, NODE_EXTRA, NODE_FIELDS, extra, filled
 from loomgraph.sources.code_graph import CodeGraph
 
 #: Rows of a code graph that meet a document at once
 CHUNK = 1000
-DESCRIBE_STAGE, MAP_STAGE, CODE_STAGE, ALIGN_STAGE = 10, 11, 12, 13
+DESCRIBE_STAGE, MAP_STAGE = 10, 11
+#: after all edges of the text, whoever added them
+CODE_STAGE, ALIGN_STAGE = 1 << 30, (1 << 30) + 1
+MERGE_PASS = "cross_modal_merge"
 
 
 def needle(text: Column) -> Column:
@@ -125,14 +129,18 @@ def for_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return dealt.join(listed, "__chunk").select(*docs.columns, F.inline("__rows"))
 
 
-def code_nodes(docs: DataFrame, cpg: CodeGraph) -> DataFrame:
-    """The vertices as node rows of every document (doc_id)."""
+def vertex_rows(cpg: CodeGraph) -> DataFrame:
+    """The vertices as node rows without a document, with their order."""
     v = cpg.vertices.withColumn("label", F.coalesce("label", F.lit("UNKNOWN")))
-    rows = v.select(
+    return v.select(
         "ord", merge_node_type(F.col("label")).alias("node_type"), F.coalesce("code", F.lit("")).alias("text"), F.coalesce("line", F.lit(0)).alias("sent_idx"),
         F.concat(F.lit("cpg:"), "label").alias("source"), extra(NODE_EXTRA, cpg_original_label=F.col("label"), cpg_original_id=F.col("cpg_id")).alias("extra"),
     )
-    return for_each(docs.select("doc_id").distinct(), rows)
+
+
+def code_nodes(docs: DataFrame, cpg: CodeGraph) -> DataFrame:
+    """The vertices as node rows of every document (doc_id)."""
+    return for_each(docs.select("doc_id").distinct(), vertex_rows(cpg))
 
 
 def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
@@ -144,6 +152,55 @@ def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
     return code.join(hits, "needle").select("doc_id", "node_id", "ord", "cpg_id")
 
 
+# Each part of a merge can be made without the others. A code edge has both ends among the code's nodes and a reference one, so
+# first writers are sought within each part.
+
+
+def bases(graph: PropertyGraph) -> DataFrame:
+    """(doc_id, base): the id of a document's first code node."""
+    return graph.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"))
+
+
+def merged_nodes(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
+    """The documents' nodes, and all vertices for each document. Vertices are numbered once, not once a document."""
+    rows = ranges.numbered(vertex_rows(cpg), [], ["ord"], "row")
+    docs = graph.meta.select("doc_id").distinct().join(bases(graph), "doc_id", "left")
+    new = for_each(docs, rows).withColumn("node_id", (F.coalesce("base", F.lit(0)) + F.col("row")).cast("long"))
+    return graph.nodes.select(*NODE_COLUMNS).unionByName(filled(new, NODE_FIELDS).select(*NODE_COLUMNS))
+
+
+def last_places(cpg: CodeGraph) -> DataFrame:
+    """(cpg_id, ord): of vertices with one id the last."""
+    return cpg.vertices.groupBy("cpg_id").agg(F.max("ord").alias("ord"))
+
+
+def code_edges(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
+    """The code graph's edges for each document; of equal ones the first, which is sought once for all documents."""
+    place = last_places(cpg)
+    ends = cpg.edges.withColumn("label", F.coalesce("label", F.lit("AST"))).join(place.withColumnsRenamed({"cpg_id": "src", "ord": "s"}), "src").join(place.withColumnsRenamed({"cpg_id": "dst", "ord": "d"}), "dst")
+    rows = ends.select("s", "d", merge_edge_type(F.col("label")).alias("edge_type"), "ord", "label").groupBy("s", "d", "edge_type").agg(F.min(F.struct("ord", "label")).alias("first"))
+    rows = rows.select("s", "d", "edge_type", "first.ord", extra(EDGE_EXTRA, cpg_original_label=F.col("first.label")).alias("extra"))
+    return edge_rows(for_each(bases(graph), rows).select("doc_id", (F.col("base") + F.col("s")).alias("src"), (F.col("base") + F.col("d")).alias("dst"), "edge_type", "extra", seq(CODE_STAGE, "ord").alias("seq")))
+
+
+def reference_edges(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
+    """Edges from code elements to the code nodes that hold their text."""
+    refs = references(graph.nodes, cpg).join(last_places(cpg).withColumnRenamed("ord", "last"), "cpg_id").join(bases(graph), "doc_id")
+    refs = refs.select("doc_id", F.col("node_id").alias("src"), (F.col("base") + F.col("last")).alias("dst"), F.lit("ENTITY_REL").alias("edge_type"), F.lit("CROSS_MODAL_REFERS_TO").alias("entity_rel_type"), extra(EDGE_EXTRA, cross_modal=F.lit(True)).alias("extra"), seq(ALIGN_STAGE, "node_id", "ord").alias("seq"))
+    return first_edges(edge_rows(refs))
+
+
+def merged_meta(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
+    n_code = cpg.vertices.select("cpg_id").distinct().count()
+    meta = graph.meta.drop("text_nodes").join(bases(graph).withColumnRenamed("base", "text_nodes"), "doc_id", "left")
+    return meta.withColumns({"source": F.lit(lex.MERGED_SOURCE), "code_nodes": F.lit(n_code).cast("long"), "passes_applied": F.array(F.lit(MERGE_PASS))}).select(*graph.meta.columns)
+
+
+def as_merged(df: DataFrame, suffix: str = "_merged") -> DataFrame:
+    """Rows of a merged graph under their document's new name."""
+    return df.withColumn("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(suffix)))
+
+
 def merge(graph: PropertyGraph, cpg: CodeGraph | None, suffix: str = "_merged") -> PropertyGraph:
     """Each document's graph and the code graph as one; unchanged without a code graph.
 
@@ -151,25 +208,12 @@ def merge(graph: PropertyGraph, cpg: CodeGraph | None, suffix: str = "_merged")
     """
     if cpg is None:
         return graph
-    text = edge_rows(graph.edge_table().withColumn("seq", seq(0, "edge_id")))
-    counts = graph.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"))
-    new = numbered(code_nodes(graph.meta, cpg), graph.nodes, "ord")
-    place = cpg.vertices.groupBy("cpg_id").agg(F.max("ord").alias("ord"))
-    ends = cpg.edges.withColumn("label", F.coalesce("label", F.lit("AST"))).join(place.withColumnsRenamed({"cpg_id": "src", "ord": "s"}), "src").join(place.withColumnsRenamed({"cpg_id": "dst", "ord": "d"}), "dst")
-    rows = ends.select("ord", "s", "d", merge_edge_type(F.col("label")).alias("edge_type"), extra(EDGE_EXTRA, cpg_original_label=F.col("label")).alias("extra"))
-    code = for_each(counts, rows).select("doc_id", (F.col("base") + F.col("s")).alias("src"), (F.col("base") + F.col("d")).alias("dst"), "edge_type", "extra", seq(CODE_STAGE, "ord").alias("seq"))
-    refs = references(graph.nodes, cpg).join(place.withColumnRenamed("ord", "last"), "cpg_id").join(counts, "doc_id")
-    refs = refs.select("doc_id", F.col("node_id").alias("src"), (F.col("base") + F.col("last")).alias("dst"), F.lit("ENTITY_REL").alias("edge_type"), F.lit("CROSS_MODAL_REFERS_TO").alias("entity_rel_type"), extra(EDGE_EXTRA, cross_modal=F.lit(True)).alias("extra"), seq(ALIGN_STAGE, "node_id", "ord").alias("seq"))
-    n_code = cpg.vertices.select("cpg_id").distinct().count()
-    meta = graph.meta.drop("text_nodes").join(counts.withColumnRenamed("base", "text_nodes"), "doc_id", "left").withColumns({"source": F.lit(lex.MERGED_SOURCE), "code_nodes": F.lit(n_code).cast("long"), "passes_applied": F.array().cast("array<string>")})
-    merged = PropertyGraph(graph.nodes.unionByName(new), text, meta.select(*graph.meta.columns)).with_edges(code).with_edges(refs).marked("cross_modal_merge")
-    named = F.concat(F.col("doc_id").cast("string"), F.lit(suffix))
-    return PropertyGraph(*(df.withColumn("doc_id", named) for df in (merged.nodes, merged.edges, merged.meta)), passes=merged.passes)
+    text = graph.edges.withColumn("allow_duplicate", F.lit(False))
+    edges = text.unionByName(code_edges(graph, cpg)).unionByName(reference_edges(graph, cpg))
+    return PropertyGraph(*(as_merged(df, suffix) for df in (merged_nodes(graph, cpg), edges, merged_meta(graph, cpg))), passes=(MERGE_PASS,))
 
 
 def link_counts(cpg: CodeGraph) -> DataFrame:
     """Vertices with their number of edges, a check of a code graph before a merge."""
     ends = cpg.edges.select(F.explode(F.array("src", "dst")).alias("cpg_id"))
     return cpg.vertices.join(ends.groupBy("cpg_id").agg(F.count(F.lit(1)).alias("n_edges")), "cpg_id", "left").fillna(0, ["n_edges"])
-
-
