@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
-from loomgraph.functions.arrays import before, matches, scanned
+from loomgraph.functions.arrays import before
 from loomgraph.functions.storage import stored
 from loomgraph.functions.text import let, paragraphs_of, strip
+from loomgraph.operators.frames import framed
+from loomgraph.operators.tags import _ADPOSITIONS, _CONJUNCTIONS, _DETERMINERS  # noqa: F401  the SQL reads them here
 
 TOKEN_SCHEMA = (
     "doc_id {id}, para_idx int, sent_idx int, token_idx int, i int, text string, lemma string, pos string, dep string, "
@@ -36,7 +38,8 @@ SENTENCE_SCHEMA = "doc_id {id}, para_idx int, sent_idx int, text string, char_st
 class Annotations:
     """docs(doc_id, text), paragraphs(doc_id, para_idx, text), sentences, tokens and spans.
 
-    ``nested``: a row a sentence with its tokens and spans as arrays, where the tables come from such rows.
+    ``nested``: a row a sentence with its tokens and spans as arrays, where the tables come from such rows; ``frames``: these and
+    the rows of documents and paragraphs, ``written`` once they are files.
     """
 
     docs: DataFrame
@@ -47,11 +50,13 @@ class Annotations:
     has_parser: bool = False
     model: str = "rules"
     nested: DataFrame | None = None
+    frames: DataFrame | None = None
+    written: bool = False
 
     def kept(self) -> Annotations:
         """The same written once, since several operators read each."""
-        if self.nested is not None:
-            return from_nested(self.docs, stored(self.nested, "annotated"), self.has_parser, self.model)
+        if self.frames is not None:
+            return self if self.written else replace(from_frames(self.docs, stored(self.frames, "annotated"), self.has_parser, self.model), written=True)
         return replace(self, sentences=stored(self.sentences, "sentences"), tokens=stored(self.tokens, "tokens"), spans=stored(self.spans, "spans"))
 
 
@@ -77,11 +82,6 @@ def sentences_of(paragraph: Column) -> Column:
     return F.filter(shown, lambda x: x["text"] != "")
 
 
-def tokens_of(sentence: Column) -> Column:
-    """An array of (text, char_start, char_end) of a sentence (text, char_start)."""
-    return matches(sentence["text"], lex.TOKEN, sentence["char_start"])
-
-
 def _sentence_rows(docs: DataFrame, of_paragraph) -> DataFrame:
     """A row for each element that ``of_paragraph`` gives for a paragraph's text, with para_idx and sent_idx, which runs over the document."""
     # the outer forms, here and below: for the others Spark infers a filter on the array's size, for which it makes the array once more
@@ -97,41 +97,24 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     return rows.withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int")).select(*_names(SENTENCE_SCHEMA))
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """Sentences with first_i (the number of tokens before them in their paragraph) and toks, their tokens as an array."""
-
-    def parts(paragraph: Column) -> Column:
-        with_tokens = F.transform(sentences_of(paragraph), lambda s: F.struct(s["text"].alias("text"), s["char_start"].alias("char_start"), tokens_of(s).alias("toks")))
-
-        def counted(found: Column) -> Column:
-            pairs = F.arrays_zip(found.alias("s"), before(F.transform(found, lambda x: F.size(x["toks"]))).alias("first_i"))
-            return F.transform(pairs, lambda x: F.struct(x["s"]["text"].alias("text"), x["s"]["char_start"].alias("char_start"), x["s"]["toks"].alias("toks"), x["first_i"].alias("first_i")))
-
-        return let(with_tokens, counted)
-
-    rows = _sentence_rows(docs, parts)
-    return rows.withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
-
-
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-TOKEN = "struct<text: string, char_start: int, char_end: int, lemma: string, pos: string, dep: string, head_i: int, ent_type: string, ent_iob: string>"
-SPAN = "struct<kind: string, label: string, text: string, start_i: int, end_i: int, char_start: int, char_end: int>"
-
-
-def from_nested(docs: DataFrame, nested: DataFrame, has_parser: bool, model: str) -> Annotations:
-    """The tables of sentence rows with ``toks`` (of TOKEN; without a parser of PLACED) and ``spans`` (of SPAN)."""
-    sentences = nested.select(*_names(SENTENCE_SCHEMA))
-    tokens = nested.select("doc_id", "para_idx", "sent_idx", "first_i", F.posexplode_outer("toks").alias("token_idx", "t")).filter("token_idx is not null")
-    tokens = tokens.select("*", "t.*").withColumn("i", F.col("first_i") + F.col("token_idx"))
-    if not has_parser:
+def from_frames(docs: DataFrame, frames: DataFrame, has_parser: bool, model: str) -> Annotations:
+    """The tables of ``frames.framed``'s rows."""
+    rows = frames.filter("sent_idx is not null")
+    sentences = rows.select(*_names(SENTENCE_SCHEMA))
+    tokens = rows.select("doc_id", "para_idx", "sent_idx", "first_i", F.posexplode("toks").alias("token_idx", "t"))
+    tokens = tokens.select("*", "t.*").withColumns({"i": F.col("first_i") + F.col("token_idx"), "lemma": F.lower("text")})
+    if has_parser:
+        spans = rows.select("doc_id", "para_idx", "sent_idx", F.inline("spans")).select(*_names(SPAN_SCHEMA))
+    else:
         none = F.lit("")
-        tokens = tokens.withColumns({"lemma": F.lower("text"), "pos": none, "dep": none, "head_i": F.col("i"), "ent_type": none, "ent_iob": none})
-    tokens = tokens.select(*_names(TOKEN_SCHEMA))
-    spans = nested.select("doc_id", "para_idx", "sent_idx", F.inline_outer("spans")).filter("kind is not null").select(*_names(SPAN_SCHEMA))
-    return Annotations(docs, split_paragraphs(docs), sentences, tokens, spans, has_parser, model, nested)
+        tokens = tokens.withColumns({"pos": none, "dep": none, "head_i": F.col("i"), "ent_type": none, "ent_iob": none})
+        fields = [f"cast(null as {x.split()[1]}) as {x.split()[0]}" for x in SPAN_SCHEMA.split(", ")[1:]]
+        spans = docs.filter("false").selectExpr("doc_id", *fields)
+    return Annotations(docs, split_paragraphs(docs), sentences, tokens.select(*_names(TOKEN_SCHEMA)), spans, has_parser, model, rows, frames)
 
 
 class RuleAnnotator:
@@ -139,26 +122,7 @@ class RuleAnnotator:
 
     def annotate(self, docs: DataFrame) -> Annotations:
         docs = documents(docs)
-        nested = tokenised(docs).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
-        return replace(from_nested(docs, nested, False, "rules"), sentences=split_sentences(docs))
-
-
-_DETERMINERS = ["the", "a", "an"]
-_ADPOSITIONS = ["of", "in", "to", "for", "on", "with", "at", "by", "from", "as", "via"]
-_CONJUNCTIONS = ["and", "or", "but"]
-
-
-def part_of_speech(text: Column, token_idx: Column) -> Column:
-    """A tag by word list, ending and shape."""
-    pronouns = [w for k in ("male", "female", "neutral", "plural", "demonstrative", "relative") for w in lex.PRONOUNS[k]]
-    tag = lambda low: (
-        F.when(low.isin(_DETERMINERS), "DET").when(low.isin(pronouns), "PRON").when(low.isin(lex.AUXILIARY_VERBS), "AUX")
-        .when(low.isin(_ADPOSITIONS), "ADP").when(low.isin(_CONJUNCTIONS), "CCONJ").when(low == "not", "PART")
-        .when(~text.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(text.rlike(r"^[0-9]"), "NUM")
-        .when(low.isin(lex.COMMON_VERBS) | low.rlike(r"^\p{L}{3,}(ed|ing)$"), "VERB").when(low.rlike("ly$"), "ADV")
-        .when(low.rlike(r"^\p{L}{2,}(ble|ful|ous|ive)$"), "ADJ").when((token_idx > 0) & text.rlike(r"^\p{Lu}"), "PROPN").otherwise("NOUN")
-    )
-    return let(F.lower(text), tag)
+        return replace(from_frames(docs, framed(docs, False), False, "rules"), sentences=split_sentences(docs))
 
 
 class LexiconAnnotator:
@@ -169,84 +133,11 @@ class LexiconAnnotator:
     nearest verb (left: object, right: subject), determiners, adjectives and numbers on the
     noun that follows, all else on the verb to the left or the root. Names are runs of
     proper nouns; noun chunks are runs of determiners, adjectives, numbers and nouns up to their last noun.
-
-    All labels come from two folds over a sentence's tokens, one in each direction.
     """
 
     def annotate(self, docs: DataFrame) -> Annotations:
         docs = documents(docs)
-        return from_nested(docs, labelled(tokenised(docs)), True, "lexicon")
-
-
-#: What a fold from the left knows of a token: the last verb before it, the word before it, where its run of names and its noun chunk begin
-_LEFT = "struct<verb: int, word: string, name: int, chunk: int>"
-#: From the right: the next verb and noun, and in the token's run of names and noun chunk the last name and the last noun
-_RIGHT = "struct<verb: int, noun: int, name: int, chunk: int>"
-
-
-def labelled(rows: DataFrame) -> DataFrame:
-    """Sentence rows of ``tokenised`` with toks of TOKEN and spans of SPAN."""
-    null = F.lit(None).cast("int")
-    is_noun = lambda tag: tag.isin("NOUN", "PROPN")
-    in_chunk = lambda tag: tag.isin("DET", "ADJ", "NUM", "NOUN", "PROPN")
-
-    def leftward(s: Column, x: Column) -> tuple[Column, Column]:
-        name, chunk = (F.when(inside, F.coalesce(s[c], x["k"])) for c, inside in (("name", x["tag"] == "PROPN"), ("chunk", in_chunk(x["tag"]))))
-        after = F.struct(F.when(x["tag"] == "VERB", x["k"]).otherwise(s["verb"]).alias("verb"), F.lower(x["text"]).alias("word"), name.alias("name"), chunk.alias("chunk"))
-        return after, F.struct(s["verb"].alias("verb"), s["word"].alias("word"), name.alias("name"), chunk.alias("chunk"))
-
-    def rightward(s: Column, x: Column) -> tuple[Column, Column]:
-        name = F.when(x["tag"] == "PROPN", F.coalesce(s["name"], x["k"]))
-        chunk = F.when(in_chunk(x["tag"]), F.coalesce(s["chunk"], F.when(is_noun(x["tag"]), x["k"])))
-        after = F.struct(F.when(x["tag"] == "VERB", x["k"]).otherwise(s["verb"]).alias("verb"), F.when(is_noun(x["tag"]), x["k"]).otherwise(s["noun"]).alias("noun"), name.alias("name"), chunk.alias("chunk"))
-        return after, F.struct(s["verb"].alias("verb"), s["noun"].alias("noun"), name.alias("name"), chunk.alias("chunk"))
-
-    start_left = F.struct(null.alias("verb"), F.lit(None).cast("string").alias("word"), null.alias("name"), null.alias("chunk"))
-    start_right = F.struct(null.alias("verb"), null.alias("noun"), null.alias("name"), null.alias("chunk"))
-    rows = rows.withColumn("tags", F.transform("toks", lambda t, k: F.struct(k.alias("k"), t["text"].alias("text"), part_of_speech(t["text"], k).alias("tag"))))
-    rows = rows.withColumns({
-        "lefts": scanned(F.col("tags"), start_left, leftward, _LEFT, _LEFT),
-        "rights": F.reverse(scanned(F.reverse("tags"), start_right, rightward, _RIGHT, _RIGHT)),
-        "root": F.coalesce(F.get(F.filter("tags", lambda x: x["tag"] == "VERB"), F.lit(0))["k"], F.lit(0)),
-    })
-
-    def label(x: Column) -> Column:
-        tag, k, left, right = x["tags"]["tag"], x["tags"]["k"], x["lefts"], x["rights"]
-        vl, vr, nr, root = left["verb"], right["verb"], right["noun"], F.col("root")
-        noun_like = tag.isin("NOUN", "PROPN", "PRON")
-        dep = (
-            F.when(k == root, "ROOT").when(tag == "PUNCT", "punct")
-            .when(tag.isin("DET", "ADJ", "NUM") & nr.isNotNull(), F.when(tag == "DET", "det").when(tag == "ADJ", "amod").otherwise("nummod"))
-            .when((tag == "VERB") & vl.isNotNull(), F.when(left["word"] == "that", "ccomp").otherwise("advcl"))
-            .when(noun_like & vl.isNotNull(), "dobj").when(noun_like & vr.isNotNull(), "nsubj")
-            .when((tag == "AUX") & vr.isNotNull(), "aux").when(tag == "ADV", "advmod").when(tag == "ADP", "prep").when(tag == "PART", "neg").otherwise("dep")
-        )
-        head = (
-            F.when(k == root, k).when(tag == "PUNCT", root).when(tag.isin("DET", "ADJ", "NUM") & nr.isNotNull(), nr).when(tag == "VERB", F.coalesce(vl, root))
-            .when(noun_like & vl.isNotNull(), vl).when(noun_like & vr.isNotNull(), vr).when((tag == "AUX") & vr.isNotNull(), vr).otherwise(F.coalesce(vl, root))
-        )
-        long, even = left["name"] != right["name"], F.length(x["toks"]["text"]) % 2 == 0
-        kind = F.when(tag != "PROPN", "").when(long, "PERSON").when(even, "ORG").otherwise("GPE")
-        iob = F.when(tag != "PROPN", "O").when(k == left["name"], "B").otherwise("I")
-        return F.struct(
-            *[x["toks"][c].alias(c) for c in ("text", "char_start", "char_end")], F.lower(x["toks"]["text"]).alias("lemma"), tag.alias("pos"), dep.alias("dep"),
-            (F.col("first_i") + head).cast("int").alias("head_i"), kind.alias("ent_type"), iob.alias("ent_iob"),
-        ).cast(TOKEN)
-
-    def span(kind: str, named: Column, first: Column, last: Column) -> Column:
-        """The span of the tokens first to last."""
-        start, end = (F.get(F.col("toks"), at)[c] for at, c in ((first, "char_start"), (last, "char_end")))
-        text = F.substring(F.col("text"), start - F.col("char_start") + 1, end - start)
-        at = lambda x: (F.col("first_i") + x).cast("int")
-        return F.struct(F.lit(kind).alias("kind"), named.alias("label"), text.alias("text"), at(first).alias("start_i"), at(last + 1).alias("end_i"), start.alias("char_start"), end.alias("char_end")).cast(SPAN)
-
-    rows = rows.withColumn("toks", F.transform(F.arrays_zip("toks", "tags", "lefts", "rights"), label))
-    every = F.transform(F.arrays_zip("toks", "tags", "lefts", "rights"), lambda x: F.struct(x["tags"]["k"].alias("k"), x["toks"]["ent_type"].alias("label"), x["lefts"]["name"].alias("a"), x["rights"]["name"].alias("b"), x["lefts"]["chunk"].alias("c"), x["rights"]["chunk"].alias("d")))
-    spans = let(every, lambda xs: F.concat(
-        F.transform(F.filter(xs, lambda x: x["k"] == x["a"]), lambda x: span("ent", x["label"], x["a"], x["b"])),
-        F.transform(F.filter(xs, lambda x: (x["k"] == x["c"]) & x["d"].isNotNull()), lambda x: span("np", F.lit("NP"), x["c"], x["d"])),
-    ))
-    return rows.withColumn("spans", spans).drop("tags", "lefts", "rights", "root")
+        return from_frames(docs, framed(docs, True), True, "lexicon")
 
 
 @dataclass(frozen=True)

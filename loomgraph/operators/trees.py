@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from loomgraph.operators.annotate import Annotations
+if TYPE_CHECKING:
+    from loomgraph.operators.annotate import Annotations
 
 
 def preorder(row: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
