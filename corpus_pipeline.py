@@ -38,8 +38,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that with the smallest id; a row without an id only if the group has no other.
 
-    A group: documents linked by a similarity of 0.8 or more of their 5-word shingles. Rows
-    are told apart by all their columns, so rows that only share an id are judged by their texts.
+    A group: documents linked by a similarity of 0.8 or more of their 5-word shingles. Candidates are those of one
+    SimHash class or MinHash band; each link is confirmed exactly. Rows are told apart by all their columns, so rows that only share an id are judged by their texts.
     """
     key = near_dups.KEY
     groups = near_dups.groups(docs).withColumn("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key))
@@ -70,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode),
 ]
 
-#: SQL can't express language statistics, MinHash or BPE.
+#: SQL can't express language statistics, SimHash, MinHash or BPE.
 ORACLE_SQL = None
 
 

@@ -1,11 +1,12 @@
-"""Near-duplicate groups of texts by MinHash bands and exact similarity.
+"""Near-duplicate groups of texts by SimHash classes, MinHash bands and exact similarity.
 
 The similarity of two texts is that of their sets of shingles of ``WIDTH`` words (common
 over all; words as in simhash.py, a shorter text is one shingle). Texts of ``SIMILARITY``
 or more are linked, linked texts are one group.
 
 Method: texts with equal bags of shingles (128 bits of sums over the shingles' hashes) are made one first. Each distinct
-bag has ``BANDS`` keys of ``ROWS`` MinHash values. Bags that share a key are compared
+bag has a SimHash fingerprint of its shingles, and fingerprints within 3 bits are joined into classes as in simhash.py; its class is one key. At
+0.8 some 10 bits differ, so each bag has ``BANDS`` keys of ``ROWS`` MinHash values as well. Bags that share a key are compared
 exactly, all with all, as blocks of about ``BLOCK`` bags: common shingles are counted as
 bits of a block's shared shingles, and only the links that join its parts are returned.
 So the keys only choose what is compared; a pair at exactly 0.8 shares none with a probability of (1 - 0.8^5)^30, about 7 in a million, and less above it.
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import simhash
 from loomgraph.llm.common import bounded_batches, byte_view, release_memory, slices, stored, tidy
 from loomgraph.llm.graph import components
 from loomgraph.llm.hashing import Words, mixed, xxh64
@@ -72,15 +74,16 @@ def binaries(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys))])
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the hash of its bag of shingles, and its band keys."""
-    bags, bands = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
+def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the hash of its bag of shingles, its band keys, and its SimHash fingerprint."""
+    bags, bands, prints = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), BANDS), np.uint64), np.zeros(len(texts), np.uint64)
     with np.errstate(over="ignore"):
         for a, b in slices(texts, SLICE_BYTES):
             hashes, n = shingle_hashes(texts[a:b])
             some = np.flatnonzero(n)
             if not len(some):
                 continue
+            prints[a:b] = simhash.bit_majority(hashes, n)
             first = (np.cumsum(n) - n)[some]
             bags[a + some] = sums(hashes, first)
             high = (hashes >> _U(32)).astype(np.uint32)
@@ -89,22 +92,22 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 for flip, times in _SEEDS[k]:
                     key = mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat((high ^ flip) * (times | np.uint32(1)), first))
                 bands[a + some, k] = key
-    return bags, bands
+    return bags, bands, prints
 
 
 def marked_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(__k1, __k2, doc_id, bag, bands) of each row."""
+    """(__k1, __k2, doc_id, bag, bands, fp, bytes) of each row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags, bands = signatures(batch.column(3))
+            bags, bands, prints = signatures(batch.column(3))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bags) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], binaries(bags), lists, pc.fill_null(pc.binary_length(batch.column(3)), 0).cast(pa.int64())], names=[*KEY, "doc_id", "bag", "bands", "bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], binaries(bags), lists, pa.array(prints.view(np.int64)), pc.fill_null(pc.binary_length(batch.column(3)), 0).cast(pa.int64())], names=[*KEY, "doc_id", "bag", "bands", "fp", "bytes"])
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(*row_key(docs), F.col(doc_id), F.col(text).cast("string"))
-    return rows.mapInArrow(tidy(run), f"__k1 bigint, __k2 bigint, doc_id {kind}, bag binary, bands array<bigint>, bytes bigint")
+    return rows.mapInArrow(tidy(run), f"__k1 bigint, __k2 bigint, doc_id {kind}, bag binary, bands array<bigint>, fp bigint, bytes bigint")
 
 
 def distinct_shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +181,19 @@ def blocked(buckets: DataFrame, pairs: bool) -> DataFrame:
     return lists.filter(F.size("bags") > 1).select("bags").distinct()
 
 
+def keyed(distinct: DataFrame) -> DataFrame:
+    """(bag, size, band): the keys of distinct bags (bag, size, bands, fp), their SimHash class and their MinHash bands."""
+    prints = stored(distinct.select("fp", F.col("fp").alias("rep")).distinct(), "fingerprints")
+    roots = components(simhash.links(prints))
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return known.select("bag", "size", F.explode(F.array_append("bands", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")))).alias("band"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__k1, __k2, doc_id, bag, component) of each row, by ``row_key``; rows of a group have the same component."""
     marked = stored(marked_rows(docs, doc_id, text), "signatures")
-    distinct = stored(marked.groupBy("bag").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands"), F.max("bytes").alias("size")), "distinct-bags")
-    banded = distinct.select("bag", "size", F.explode("bands").alias("band"))
+    distinct = stored(marked.groupBy("bag").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.max("bytes").alias("size")), "distinct-bags")
+    banded = stored(keyed(distinct), "keys")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
     buckets = stored(banded.drop("size").join(sizes, "band"), "buckets")
     reps = distinct.join(buckets.select("bag").distinct(), "bag", "left_semi").select("bag", "rep.*")
@@ -197,4 +208,4 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         more = links(stored(blocked(large.join(mixed_bands, "band", "left_semi"), True), "block-pairs"), texts)
         roots = stored(components(found.unionByName(stored(more, "more-links"))), "near-roots")
     of_bag = distinct.select("bag").join(roots, F.col("bag") == roots["node"], "left").select("bag", F.coalesce("root", "bag").alias("component"))
-    return marked.drop("bands", "bytes").join(of_bag, "bag").select(*KEY, "doc_id", "bag", "component")
+    return marked.drop("bands", "fp", "bytes").join(of_bag, "bag").select(*KEY, "doc_id", "bag", "component")
