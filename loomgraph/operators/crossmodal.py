@@ -83,18 +83,18 @@ class CrossModalPass:
         self.cpg = cpg
 
     def run(self, graph: PropertyGraph) -> PropertyGraph:
-        from dataclasses import replace
-
         entity = F.col("node_type") == "ENTITY"
         if self.cpg is None:
             cwe = inferred_cwe(F.col("domain_type"))
             noted = extra(NODE_EXTRA, inferred_cwe=cwe, pattern_source=F.lit("text_pattern_analysis"))
-            return replace(graph, nodes=graph.nodes.withColumn("extra", F.when(entity & cwe.isNotNull(), noted).otherwise(F.col("extra")))).marked(self.name)
+            return graph.over(graph.nodes.withColumn("extra", F.when(entity & cwe.isNotNull(), noted).otherwise(F.col("extra")))).marked(self.name)
         code = entity & (F.col("domain_type") == "code_construct")
         found = alignments(graph.nodes.filter(code).select("doc_id", "node_id", "text"), self.cpg).drop("text")
-        nodes = stored(graph.nodes.join(found, ["doc_id", "node_id"], "left"), "aligned")
+        # only code elements meet their vertices; all other nodes stay where they are
+        aligned = stored(graph.nodes.filter(code).join(found, ["doc_id", "node_id"], "left"), "aligned")
+        nodes = graph.nodes.filter(~F.coalesce(code, F.lit(False))).unionByName(aligned, True)
         noted = extra(NODE_EXTRA, cpg_node_id=F.col("cpg_id"), cpg_label=F.col("cpg_label"), cpg_code=F.col("cpg_code"), cross_modal=F.lit("REFERS_TO"))
-        out = replace(graph, nodes=nodes.withColumn("extra", F.when(F.col("cpg_id").isNotNull(), noted).otherwise(F.col("extra"))).select(*NODE_COLUMNS))
+        out = graph.over(nodes.withColumn("extra", F.when(F.col("cpg_id").isNotNull(), noted).otherwise(F.col("extra"))).select(*NODE_COLUMNS))
         said = describes(nodes).select(
             "doc_id", "src", "dst", F.lit("ENTITY_REL").alias("edge_type"), F.lit("DESCRIBES").alias("entity_rel_type"),
             extra(EDGE_EXTRA, cross_modal=F.lit(True), cpg_node_id=F.col("cpg_id"), vulnerability_pattern=F.col("pattern")).alias("extra"), seq(DESCRIBE_STAGE, "src", "dst").alias("seq"),
@@ -158,7 +158,7 @@ def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
 
 def bases(graph: PropertyGraph) -> DataFrame:
     """(doc_id, base): the id of a document's first code node."""
-    return graph.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"))
+    return graph.bases()
 
 
 def merged_nodes(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:

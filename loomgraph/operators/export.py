@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
-from loomgraph.operators.graph import PropertyGraph, dense
+from loomgraph.operators.graph import PropertyGraph, dense, gathered
 from loomgraph.schema import Schema
 
 #: property name -> (column, value that stands for absent; no value: always written)
@@ -46,13 +46,16 @@ def edge_json_rows(edges: DataFrame) -> DataFrame:
 
 def graphson(graph: PropertyGraph, pretty: bool = False) -> DataFrame:
     """(doc_id, graphson): one JSON document for each graph, over several lines if ``pretty``."""
-    nodes, edges = graph.node_table(), graph.edge_table()
-    vertices = nodes.select("doc_id", F.struct(F.col("node_id").alias("id"), F.col("node_type").alias("label"), properties(nodes, NODE_PROPERTIES).alias("properties")).alias("v"))
-    links = edges.select("doc_id", "edge_id", F.struct(F.concat(F.lit("e"), F.col("edge_id").cast("string")).alias("id"), F.col("src").alias("outV"), F.col("dst").alias("inV"), F.col("edge_type").alias("label"), properties(edges, EDGE_PROPERTIES).alias("properties")).alias("e"))
-    by_type = lambda df, c: df.groupBy("doc_id", c).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"{c}s"))
-    v = vertices.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("v.id").alias("k"), "v"))).alias("vs"))
-    e = links.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("edge_id").alias("k"), "e"))).alias("es"))
-    out = graph.meta.join(v, "doc_id", "left").join(e, "doc_id", "left").join(by_type(nodes, "node_type"), "doc_id", "left").join(by_type(edges, "edge_type"), "doc_id", "left")
+    nodes, edges = graph.node_table().repartition("doc_id"), graph.edge_table(gathered=True)
+    vertices = nodes.select("doc_id", "node_type", F.struct(F.col("node_id").alias("k"), F.struct(F.col("node_id").alias("id"), F.col("node_type").alias("label"), properties(nodes, NODE_PROPERTIES).alias("properties")).alias("v")).alias("x"))
+    links = edges.select("doc_id", "edge_type", F.struct(F.col("edge_id").alias("k"), F.struct(F.concat(F.lit("e"), F.col("edge_id").cast("string")).alias("id"), F.col("src").alias("outV"), F.col("dst").alias("inV"), F.col("edge_type").alias("label"), properties(edges, EDGE_PROPERTIES).alias("properties")).alias("e")).alias("x"))
+
+    def by_document(rows: DataFrame, kind: str, name: str) -> DataFrame:
+        """(doc_id, all of a document's rows, how many of each type): rows are gathered by document already, so no more are moved."""
+        typed = rows.groupBy("doc_id", kind).agg(F.collect_list("x").alias("xs"), F.count(F.lit(1)).alias("n"))
+        return typed.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("xs"))).alias(name), F.map_from_entries(F.sort_array(F.collect_list(F.struct(kind, "n")))).alias(f"{kind}s"))
+
+    out = graph.meta.join(by_document(vertices, "node_type", "vs"), "doc_id", "left").join(by_document(links, "edge_type", "es"), "doc_id", "left")
     names = lambda xs: F.array(*[F.lit(x) for x in xs])
     document = F.struct(
         F.lit(True).alias("directed"), F.lit(lex.FORMAT_TYPE).alias("type"), F.lit(lex.FORMAT_LABEL).alias("label"), F.col("doc_id"),
@@ -87,7 +90,10 @@ def type_index(col: Column, names: list[str]) -> Column:
 
 def node_tensor(nodes: DataFrame, embedding_dim: int = 0) -> DataFrame:
     """(doc_id, idx, node_id, x, pos, text): dense index, one-hot type, place, text."""
-    held = dense(nodes.select("doc_id", "node_id", "node_type", "para_idx", "sent_idx", "token_idx", "text"), ["node_id"], "idx")
+    return _tensor_columns(dense(nodes.select("doc_id", "node_id", "node_type", "para_idx", "sent_idx", "token_idx", "text"), ["node_id"], "idx"), embedding_dim)
+
+
+def _tensor_columns(held: DataFrame, embedding_dim: int) -> DataFrame:
     return held.select("doc_id", "idx", "node_id", one_hot(type_index(F.col("node_type"), lex.NODE_TYPES), len(lex.NODE_TYPES), embedding_dim).alias("x"), F.array("para_idx", "sent_idx", "token_idx").alias("pos"), "text")
 
 
@@ -99,14 +105,26 @@ def edge_tensor(edges: DataFrame, index: DataFrame) -> DataFrame:
     return out.select("doc_id", "edge_id", "row", "col", F.col("kind").alias("edge_type"), one_hot(F.col("kind"), len(lex.EDGE_TYPES)).alias("attr"))
 
 
+def placed(ids: Column, value: Column) -> Column:
+    """Where a value stands in a sorted array of distinct numbers, or -1: its own number where these are 0, 1, ..., else found by halving."""
+    n = F.size(ids)
+    whole = (F.get(ids, F.lit(0)) == 0) & (F.get(ids, n - 1) == n - 1)
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    at = F.aggregate(steps, F.lit(-1), lambda p, b: F.when((b < n - p) & (F.get(ids, p + b) <= value), p + b).otherwise(p))
+    found = F.when(F.get(ids, at) == value, at).otherwise(-1)
+    return F.when(whole, F.when((value >= 0) & (value < n), value).otherwise(-1)).otherwise(found).cast("long")
+
+
 def tensors(graph: PropertyGraph, labels: DataFrame | None = None, embedding_dim: int = 0) -> DataFrame:
     """One row per document with x, edge_index, edge_type, edge_attr, y, counts, node_texts and node_pos."""
-    nodes, edges = graph.node_table(), graph.edge_table()
-    n = node_tensor(nodes, embedding_dim)
-    e = edge_tensor(edges, n)
-    n = n.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "text", "pos"))).alias("n"))
-    e = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "row", "col", "edge_type", "attr"))).alias("e"))
-    out = n.join(e, "doc_id", "left")
+    nodes = gathered(graph.node_table().repartition("doc_id"), "node_id", "idx")
+    edges = graph.edge_table(gathered=True).select("doc_id", F.struct("edge_id", "src", "dst", type_index(F.col("edge_type"), lex.EDGE_TYPES).alias("edge_type")).alias("e"))
+    n = _tensor_columns(nodes, embedding_dim).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "node_id", "x", "text", "pos"))).alias("n"))
+    e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    ends = F.transform("e", lambda x: F.struct(x["edge_id"].alias("edge_id"), placed(F.col("ids"), x["src"]).alias("row"), placed(F.col("ids"), x["dst"]).alias("col"), x["edge_type"].alias("edge_type")))
+    known = F.filter(ends, lambda x: (x["row"] >= 0) & (x["col"] >= 0))
+    attr = lambda x: F.struct(x["edge_id"].alias("edge_id"), x["row"].alias("row"), x["col"].alias("col"), x["edge_type"].alias("edge_type"), one_hot(x["edge_type"], len(lex.EDGE_TYPES)).alias("attr"))
+    out = n.join(e, "doc_id", "left").withColumn("ids", F.col("n.node_id")).withColumn("e", F.transform(known, attr))
     out = out.join(labels.select("doc_id", "y"), "doc_id", "left") if labels is not None else out.withColumn("y", F.lit(None).cast("int"))
     listed = lambda f, kind: F.coalesce(F.col(f"e.{f}"), F.expr(f"from_json('[]', 'array<{kind}>')"))
     return out.select(

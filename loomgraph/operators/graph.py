@@ -18,6 +18,7 @@ class PropertyGraph:
     """nodes, edges (with ``seq``, the order in which they were added) and one meta row per document.
 
     Edges may hold several of one (src, dst, edge_type); ``edge_table`` keeps the first.
+    ``ends``: the nodes it is known for, and (doc_id, base) rows of which a document's greatest base is its next node id.
     """
 
     nodes: DataFrame
@@ -25,13 +26,31 @@ class PropertyGraph:
     meta: DataFrame
     schema: Schema = DEFAULT_SCHEMA
     passes: tuple[str, ...] = ()
+    ends: tuple[DataFrame, DataFrame] | None = None
 
-    def with_nodes(self, new: DataFrame, *order: Column | str) -> PropertyGraph:
-        """Append nodes; their ids follow the document's last id in the given order.
+    def known_ends(self) -> DataFrame | None:
+        """What ``ends`` tells of these very nodes; whoever replaces nodes by others makes it unknown."""
+        return self.ends[1] if self.ends is not None and self.ends[0] is self.nodes else None
+
+    def over(self, nodes: DataFrame) -> PropertyGraph:
+        """The same nodes with other properties, or from elsewhere."""
+        ends = self.known_ends()
+        return replace(self, nodes=nodes, ends=None if ends is None else (nodes, ends))
+
+    def bases(self) -> DataFrame:
+        """(doc_id, base): the next node id of each document that has nodes."""
+        ends = self.known_ends()
+        ends = self.nodes.select("doc_id", (F.col("node_id") + 1).alias("base")) if ends is None else ends
+        return ends.groupBy("doc_id").agg(F.max("base").alias("base"))
+
+    def with_nodes(self, new: DataFrame, *order: Column | str, place: Column | None = None) -> PropertyGraph:
+        """Append nodes; their ids follow the document's last id in the given order, or by ``place``, if the rows are numbered 0, 1, ... within their document already.
 
         The new nodes are written to the shared folder, because every later pass reads them.
         """
-        return replace(self, nodes=self.nodes.unionByName(stored(numbered(new, self.nodes, *order), "nodes")))
+        added = stored(numbered(new, self.bases(), *order, place=place), "nodes")
+        nodes, ends = self.nodes.unionByName(added), self.known_ends()
+        return replace(self, nodes=nodes, ends=None if ends is None else (nodes, ends.unionByName(added.select("doc_id", (F.col("node_id") + 1).alias("base")))))
 
     def with_edges(self, new: DataFrame) -> PropertyGraph:
         """Append edges whose ends come from the graph's own nodes, as those of passes do."""
@@ -51,9 +70,12 @@ class PropertyGraph:
         meta = self.meta.withColumn("passes_applied", F.array_append("passes_applied", F.lit(name)))
         return replace(self, meta=meta, passes=(*self.passes, name))
 
-    def edge_table(self) -> DataFrame:
-        """Edges as stored: first writer wins, ids in the order of adding."""
-        return stored_edges(self.edges)
+    def edge_table(self, gathered: bool = False) -> DataFrame:
+        """Edges as stored: first writer wins, ids in the order of adding.
+
+        ``gathered``: a document's edges in one partition, from one shuffle; for exports that make a row a document and gather them anyway.
+        """
+        return gathered_edges(self.edges) if gathered else stored_edges(self.edges)
 
     def edges_of(self, *edge_types: str) -> DataFrame:
         """Edges of some types (none: of all) as ``edge_table`` has them, but without ids.
@@ -72,10 +94,11 @@ def dense(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     return ranges.numbered(rows, ["doc_id"], order, name)
 
 
-def numbered(new: DataFrame, nodes: DataFrame, *order: Column | str) -> DataFrame:
-    """Node rows with ids that go on from those of ``nodes``."""
-    last = nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("__base"))
-    out = dense(new, list(order), "__row").join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
+def numbered(new: DataFrame, bases: DataFrame, *order: Column | str, place: Column | None = None) -> DataFrame:
+    """Node rows with ids from ``bases`` (doc_id, base) on, by ``order``, or by ``place`` if that counts them."""
+    rows = dense(new, list(order), "__row") if place is None else new.withColumn("__row", place)
+    last = bases.withColumnRenamed("base", "__base")
+    out = rows.join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
     return filled(out, NODE_FIELDS).select(*NODE_COLUMNS)
 
 
@@ -115,6 +138,20 @@ def stored_edges(edges: DataFrame) -> DataFrame:
     return dense(stored(first_edges(edges), "first-edges"), ["seq"], "edge_id").select(*EDGE_COLUMNS)
 
 
+def gathered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... within their document, each document's in one partition."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1)
+
+
+def gathered_edges(edges: DataFrame) -> DataFrame:
+    """``stored_edges`` where documents are gathered: first writers are sought and numbered where a document's edges are."""
+    same = Window.partitionBy("doc_id", "src", "dst", "edge_type")
+    free = F.col("allow_duplicate")
+    rows = edges.repartition("doc_id").withColumns({"__n": F.row_number().over(same.orderBy("allow_duplicate", "seq")), "__free_at": F.min(F.when(free, F.col("seq"))).over(same)})
+    kept = rows.filter(free | ((F.col("__n") == 1) & (F.col("__free_at").isNull() | (F.col("seq") <= F.col("__free_at")))))
+    return gathered(kept, "seq", "edge_id").withColumn("edge_id", F.col("edge_id").cast("long")).select(*EDGE_COLUMNS)
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end that doesn't exist, and which (``source`` or ``target``)."""
     ids = nodes.select("doc_id", "node_id")

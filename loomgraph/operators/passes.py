@@ -92,12 +92,11 @@ class CoreferencePass:
         found = antecedents(graph.nodes).join(clusters.select("doc_id", F.col("node_id").alias("antecedent"), "cluster"), ["doc_id", "antecedent"])
         found = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_idx", "token_idx")))
         found = stored(found, "mentions")
-        base = graph.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"))
-        placed = found.join(base, "doc_id").withColumn("mention", F.col("base") + F.col("place") - 1)
+        placed = found.join(graph.bases(), "doc_id").withColumn("mention", F.col("base") + F.col("place") - 1)
         mentions = found.select("doc_id", "place", F.lit("MENTION").alias("node_type"), "text", "sent_idx", "token_idx", F.lit(self.name).alias("source"))
         belongs = placed.select("doc_id", F.col("mention").alias("src"), F.col("token_node").alias("dst"), F.lit("BELONGS_TO").alias("edge_type"), seq(MENTION_STAGE, "place", 0).alias("seq"))
         refers = placed.select("doc_id", F.col("mention").alias("src"), F.col("antecedent").alias("dst"), F.lit("COREF").alias("edge_type"), F.col("cluster").alias("coref_cluster"), seq(MENTION_STAGE, "place", 1).alias("seq"))
-        return graph.with_edges(chain).with_nodes(mentions, "place").with_edges(belongs).with_edges(refers).marked(self.name)
+        return graph.with_edges(chain).with_nodes(mentions, place=F.col("place") - 1).with_edges(belongs).with_edges(refers).marked(self.name)
 
 
 # ---- discourse
@@ -201,14 +200,17 @@ class TopicPass:
     def run(self, graph: PropertyGraph) -> PropertyGraph:
         tokens = graph.nodes.filter("node_type = 'TOKEN'").withColumn("place", F.col("node_id"))
         topics = stored(top_topics(tokens), "topics")
-        base = graph.nodes.groupBy("doc_id").agg((F.max("node_id") + 1).alias("base"), F.min("node_id").alias("root"))
-        placed = topics.join(base, "doc_id").withColumn("topic", F.col("base") + F.col("rank") - 1)
+        placed = topics.join(graph.bases(), "doc_id").withColumn("topic", F.col("base") + F.col("rank") - 1)
+        if graph.known_ends() is None:
+            placed = placed.join(graph.nodes.groupBy("doc_id").agg(F.min("node_id").alias("root")), "doc_id")
+        else:  # of a graph that is numbered from its document on
+            placed = placed.withColumn("root", F.lit(0).cast("long"))
         new = topics.select("doc_id", "rank", F.lit("TOPIC").alias("node_type"), F.col("word").alias("text"), "importance", F.lit(self.name).alias("source"))
         sents = graph.nodes.filter("node_type = 'SENTENCE'").select("doc_id", "sent_idx", F.col("node_id").alias("dst"))
         holds = placed.select("doc_id", F.col("root").alias("src"), F.col("topic").alias("dst"), F.lit("CONTAINS").alias("edge_type"), seq(TOPIC_STAGE, "rank", -1).alias("seq"))
         about = topic_sentences(tokens, topics).join(placed.select("doc_id", "word", F.col("topic").alias("src")), ["doc_id", "word"]).join(sents, ["doc_id", "sent_idx"])
         about = about.select("doc_id", "src", "dst", F.lit("DISCOURSE").alias("edge_type"), extra(EDGE_EXTRA, topic_relevance=F.lit(True)).alias("extra"), seq(TOPIC_STAGE, "rank", "sent_idx").alias("seq"))
-        return graph.with_nodes(new, "rank").with_edges(holds).with_edges(about).marked(self.name)
+        return graph.with_nodes(new, place=F.col("rank") - 1).with_edges(holds).with_edges(about).marked(self.name)
 
 
 def default_passes() -> list[Pass]:

@@ -31,7 +31,7 @@ class GraphPipeline:
         graph = self.initial(docs)
         for p in self.passes:
             graph = p.run(graph)
-        return replace(graph, nodes=stored(graph.nodes, "nodes"), edges=stored(graph.edges, "edges"))
+        return replace(graph.over(stored(graph.nodes, "nodes")), edges=stored(graph.edges, "edges"))
 
     export_graphson = staticmethod(export.write_graphson)
     export_graphson_string = staticmethod(export.graphson)

@@ -28,6 +28,6 @@ def from_strings(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 def from_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """Turns of a conversation in order, each a paragraph."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text))))
-    # dealt by a given number: a text is cut into far more than its bytes tell, so small partitions stay apart
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by a given number that grows with the table: a text is cut into far more than its bytes tell, so small partitions stay apart
+    parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * turns.rdd.getNumPartitions())
     return turns.filter(F.col(text).isNotNull()).repartition(parts, key).groupBy(F.col(key).alias("doc_id")).agg(F.array_join(F.transform(listed, lambda x: x[text]), "\n\n").alias("text"))
