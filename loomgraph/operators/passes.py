@@ -178,10 +178,13 @@ def is_keyword() -> Column:
 def top_topics(tokens: DataFrame, k: int = TOP) -> DataFrame:
     """(doc_id, word, freq, rank, importance): the k most frequent words; ties by first appearance.
 
-    ``tokens`` has doc_id, place (order in the document), text and lemma. Importance
-    divides by all tokens of the document: stop words are counted with the others, in one pass.
+    ``tokens`` has doc_id, place (order in the document), text and lemma; or it has words counted before, each with
+    the ``times`` that it stands for. Importance divides by all tokens of the document: stop words are counted with the others, in one pass.
     """
-    counted = with_word(tokens).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("freq"), F.min("place").alias("first"))
+    worded, times = with_word(tokens), F.count(F.lit(1))
+    if "times" in tokens.columns:
+        worded, times = worded.repartition("doc_id"), F.sum("times")
+    counted = worded.groupBy("doc_id", "word").agg(times.alias("freq"), F.min("place").alias("first"))
     counted = counted.withColumn("n_tokens", F.sum("freq").over(Window.partitionBy("doc_id"))).filter(is_keyword())
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("freq"), "first"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= k)
