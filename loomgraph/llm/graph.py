@@ -24,9 +24,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def settled(edges: DataFrame) -> bool:
     """Whether every node points at one root, and no root points on: then the (u, v) edges are stars."""
-    roots = edges.select(F.col("v").alias("node"), F.lit(1).alias("as_root"), F.lit(0).alias("as_node")).distinct()
+    roots = edges.select(F.col("v").alias("node"), F.lit(1).alias("as_root"), F.lit(0).alias("as_node"))
     nodes = edges.select(F.col("u").alias("node"), F.lit(0).alias("as_root"), F.lit(1).alias("as_node"))
-    seen = roots.unionByName(nodes).groupBy("node").agg(F.sum("as_root").alias("roots"), F.sum("as_node").alias("links"))
+    seen = roots.unionByName(nodes).groupBy("node").agg(F.max("as_root").alias("roots"), F.sum("as_node").alias("links"))
     return not seen.filter("links > 1 or (links > 0 and roots > 0)").limit(1).count()
 
 

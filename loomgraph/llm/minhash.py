@@ -114,12 +114,22 @@ def marked_rows(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH) ->
     return rows.mapInArrow(tidy(run), f"__k1 bigint, __k2 bigint, doc_id {kind}, n bigint, set binary, bands array<bigint>, bytes bigint")
 
 
+def shared(banded: DataFrame) -> DataFrame:
+    """(band, set, n, bytes, held, all, c): the rows of buckets of several sets, with the number and bytes of its sets and its least, the centre."""
+    held = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all"), F.min(F.struct("set", "n")).alias("c")).filter("held > 1")
+    return banded.join(held, "band")
+
+
 def stars(banded: DataFrame) -> DataFrame:
+    """The stars of (band, set, n, bytes) rows."""
+    return star_edges(shared(banded))
+
+
+def star_edges(buckets: DataFrame) -> DataFrame:
     """(center, set, bytes): each bucket's sets against its least; pairs whose sizes exclude the similarity are left out."""
-    centers = banded.groupBy("band").agg(F.min(F.struct("set", "n")).alias("c"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     over, under = SIMILARITY
     near = F.least("n", "c.n") * under >= F.greatest("n", "c.n") * over
-    return banded.join(centers, "band").filter((F.col("set") != F.col("c.set")) & near).select(F.col("c.set").alias("center"), "set", "bytes").distinct()
+    return buckets.filter((F.col("set") != F.col("c.set")) & near).select(F.col("c.set").alias("center"), "set", "bytes").distinct()
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -153,9 +163,9 @@ def rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
 def parts(distinct: DataFrame, docs: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
     """(node, root) of the distinct sets (set, n, bands, bytes, rep) that are linked, except the roots."""
     banded = stored(distinct.select("set", "n", "bytes", F.explode("bands").alias("band")), "bands")
-    edges = stored(stars(banded), "stars")
-    held = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all"), F.min("set").alias("center")).filter("held > 1")
-    buckets = stored(banded.join(held, "band").select("band", "set", "held", "all", "center"), "buckets")
+    buckets = stored(shared(banded), "buckets")
+    edges = stored(star_edges(buckets), "stars")
+    buckets = buckets.select("band", "set", "held", "all", F.col("c.set").alias("center"))
     reps = distinct.join(buckets.select("set").distinct(), "set", "left_semi").select("set", "rep.*")
     rows = docs.select(*row_key(docs), F.col(text).cast("string").alias("text"))
     texts = stored(rows.join(reps, KEY).select("set", "text").dropDuplicates(["set"]), "set-texts")
@@ -166,8 +176,12 @@ def parts(distinct: DataFrame, docs: DataFrame, text: str, width: int = WIDTH) -
     roots = stored(components(found), "star-roots")
     node = rooted(distinct, roots)
     apart = edges.join(node, "set").join(node.select(F.col("set").alias("center"), F.col("root").alias("root2")), "center").filter("root <> root2")
-    found = stored(found.unionByName(confirmed(stored(apart.select("center", "set", "bytes"), "other-edges"), texts, width)), "star-links")
-    roots = stored(components(found), "star-roots")
+    others = stored(apart.select("center", "set", "bytes"), "other-edges")
+    if others.limit(1).count():
+        more = stored(confirmed(others, texts, width), "star-links")
+        if more.limit(1).count():
+            found = found.unionByName(more)
+            roots = stored(components(found), "star-roots")
     # what is left: buckets with several components besides the centre, which all have met
     for wide in (False, True):
         known = buckets.filter("set <> center" if not wide else f"held > {BLOCK}").join(rooted(distinct, roots), "set")
@@ -175,8 +189,10 @@ def parts(distinct: DataFrame, docs: DataFrame, text: str, width: int = WIDTH) -
         left = known.join(several, "band", "left_semi").select("band", F.col("set").alias("bag"), F.col("held").alias("n"), F.col("all").alias("bytes"))
         lists = stored(blocked(left, wide), "bucket-blocks")
         if lists.limit(1).count():
-            found = stored(found.unionByName(links(lists, texts.withColumnRenamed("set", "bag"), width)), "bucket-links")
-            roots = stored(components(found), "bucket-roots")
+            more = stored(links(lists, texts.withColumnRenamed("set", "bag"), width), "bucket-links")
+            if more.limit(1).count():
+                found = found.unionByName(more)
+                roots = stored(components(found), "bucket-roots")
     return roots
 
 
