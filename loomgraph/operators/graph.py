@@ -27,6 +27,11 @@ class PropertyGraph:
     schema: Schema = DEFAULT_SCHEMA
     passes: tuple[str, ...] = ()
     ends: tuple[DataFrame, DataFrame] | None = None
+    parts: tuple[DataFrame, tuple[DataFrame, ...]] | None = None
+
+    def edge_parts(self) -> tuple[DataFrame, ...]:
+        """The edges as they were added; all in one, if someone else put them there."""
+        return self.parts[1] if self.parts is not None and self.parts[0] is self.edges else (self.edges,)
 
     def known_ends(self) -> DataFrame | None:
         """What ``ends`` tells of these very nodes; whoever replaces nodes by others makes it unknown."""
@@ -54,7 +59,9 @@ class PropertyGraph:
 
     def with_edges(self, new: DataFrame) -> PropertyGraph:
         """Append edges whose ends come from the graph's own nodes, as those of passes do."""
-        return replace(self, edges=self.edges.unionByName(edge_rows(new)))
+        added = edge_rows(new)
+        edges = self.edges.unionByName(added)
+        return replace(self, edges=edges, parts=(edges, (*self.edge_parts(), added)))
 
     def add_edges(self, new: DataFrame, allow_duplicate: bool = False) -> PropertyGraph:
         """Append edges (doc_id, src, dst, edge_type, seq, fields); raises when an end doesn't exist.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,9 @@ class GraphPipeline:
         graph = self.initial(docs)
         for p in self.passes:
             graph = p.run(graph)
-        return replace(graph.over(stored(graph.nodes, "nodes")), edges=stored(graph.edges, "edges"))
+        # part by part: one plan for the edges of all passes runs all of their joins at once, and fills the driver's memory
+        parts = [stored(part, "edges") for part in graph.edge_parts()]
+        return replace(graph.over(stored(graph.nodes, "nodes")), edges=reduce(DataFrame.unionByName, parts))
 
     export_graphson = staticmethod(export.write_graphson)
     export_graphson_string = staticmethod(export.graphson)
