@@ -14,7 +14,7 @@ flips (and the segment itself) meets every pair. Matches are verified on the com
 distance. Linked fingerprints are joined into components by star steps.
 
 Skew: only distinct fingerprints enter the join; a segment that many share is split by
-Spark's skew join (both sides are plain exchanges).
+Spark's skew join (both sides are plain exchanges, never broadcast).
 
 Defined results: null, empty and white-space texts have fingerprint zero and are linked
 like any other. Repeated ids are separate rows with the component of their fingerprint.
@@ -98,7 +98,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     probes = cut.select(F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), "part", F.explode(ball).alias("value"))
     apart = F.col("fp").bitwiseXOR(F.col("fp2"))
     near = (F.col("fp") != F.col("fp2")) & (F.bit_count(apart) <= radius)
-    return cut.join(probes, ["part", "value"]).filter(near).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
+    # Spark sizes an exploded row as the row it came from, so it would broadcast some 35 probes a fingerprint
+    return cut.join(probes.hint("merge"), ["part", "value"]).filter(near).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
