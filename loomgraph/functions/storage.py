@@ -32,6 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: it is joined by sorting, never broadcast.
+
+    Spark sizes a table by its compressed files, and an exploded row as the row it came from, so it
+    takes tables for small that fill the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def clean(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Results that haven't been written or collected yet are lost."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
