@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ranges
-from loomgraph.functions.storage import stored
+from loomgraph.functions.storage import shuffled, stored
 from loomgraph.operators import adjacency
 from loomgraph.schema import DEFAULT_SCHEMA, EDGE_COLUMNS, EDGE_FIELDS, NODE_COLUMNS, NODE_FIELDS, Schema, filled
 
@@ -105,7 +105,7 @@ def numbered(new: DataFrame, bases: DataFrame, *order: Column | str, place: Colu
     """Node rows with ids from ``bases`` (doc_id, base) on, by ``order``, or by ``place`` if that counts them."""
     rows = dense(new, list(order), "__row") if place is None else new.withColumn("__row", place)
     last = bases.withColumnRenamed("base", "__base")
-    out = rows.join(last, "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
+    out = rows.join(shuffled(last), "doc_id", "left").withColumn("node_id", (F.coalesce("__base", F.lit(0)) + F.col("__row")).cast("long"))
     return filled(out, NODE_FIELDS).select(*NODE_COLUMNS)
 
 

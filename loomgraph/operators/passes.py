@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph import lexicons as lex
 from loomgraph.functions.arrays import cells, nearest
 from loomgraph.functions.phrases import occurrences
-from loomgraph.functions.storage import stored
+from loomgraph.functions.storage import shuffled, stored
 from loomgraph.functions.text import let, or_else, strip
 from loomgraph.operators.graph import PropertyGraph, seq
 from loomgraph.operators.security import longest_first
@@ -53,7 +53,7 @@ def first_sightings(nodes: DataFrame) -> DataFrame:
     """
     begin = nodes.filter("node_type = 'TOKEN' and entity_type <> '' and entity_iob = 'B'").select("doc_id", "sent_idx", "token_idx", F.col("char_start").alias("a"), F.col("char_end").alias("b"))
     ents = nodes.filter("node_type = 'ENTITY'").select("doc_id", "sent_idx", "node_id", "char_start", "char_end", F.col("entity_type").alias("type"))
-    covered = begin.join(ents, ["doc_id", "sent_idx"]).filter("char_start <= a and b <= char_end")
+    covered = begin.join(shuffled(ents), ["doc_id", "sent_idx"]).filter("char_start <= a and b <= char_end")
     met = covered.groupBy("doc_id", "sent_idx", "token_idx").agg(F.min_by(F.struct("node_id", "type"), "node_id").alias("e"))
     return met.groupBy("doc_id", F.col("e.node_id").alias("node_id"), F.col("e.type").alias("entity_type")).agg(F.min(F.struct("sent_idx", "token_idx")).alias("at")).select("doc_id", "node_id", "entity_type", "at.*")
 
@@ -89,10 +89,10 @@ class CoreferencePass:
     def run(self, graph: PropertyGraph) -> PropertyGraph:
         clusters = entity_clusters(graph.nodes)
         chain = entity_chain(clusters).select("doc_id", "src", "dst", F.lit("COREF").alias("edge_type"), F.col("cluster").alias("coref_cluster"), seq(CHAIN_STAGE, "cluster", "dst").alias("seq"))
-        found = antecedents(graph.nodes).join(clusters.select("doc_id", F.col("node_id").alias("antecedent"), "cluster"), ["doc_id", "antecedent"])
+        found = antecedents(graph.nodes).join(shuffled(clusters.select("doc_id", F.col("node_id").alias("antecedent"), "cluster")), ["doc_id", "antecedent"])
         found = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_idx", "token_idx")))
         found = stored(found, "mentions")
-        placed = found.join(graph.bases(), "doc_id").withColumn("mention", F.col("base") + F.col("place") - 1)
+        placed = found.join(shuffled(graph.bases()), "doc_id").withColumn("mention", F.col("base") + F.col("place") - 1)
         mentions = found.select("doc_id", "place", F.lit("MENTION").alias("node_type"), "text", "sent_idx", "token_idx", F.lit(self.name).alias("source"))
         belongs = placed.select("doc_id", F.col("mention").alias("src"), F.col("token_node").alias("dst"), F.lit("BELONGS_TO").alias("edge_type"), seq(MENTION_STAGE, "place", 0).alias("seq"))
         refers = placed.select("doc_id", F.col("mention").alias("src"), F.col("antecedent").alias("dst"), F.lit("COREF").alias("edge_type"), F.col("cluster").alias("coref_cluster"), seq(MENTION_STAGE, "place", 1).alias("seq"))
@@ -142,7 +142,7 @@ def entity_pairs(nodes: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, src, dst, mid): pairs of entities of one sentence, in id order; mid is the mean of their starts."""
     e = nodes.filter("node_type = 'ENTITY'").select("doc_id", "sent_idx", F.col("node_id").alias("src"), F.col("char_start").alias("a"))
     f = e.withColumnsRenamed({"src": "dst", "a": "b"})
-    return e.join(f, ["doc_id", "sent_idx"]).filter("src < dst").select("doc_id", "sent_idx", "src", "dst", ((F.col("a") + F.col("b")) / 2).alias("mid"))
+    return e.join(shuffled(f), ["doc_id", "sent_idx"]).filter("src < dst").select("doc_id", "sent_idx", "src", "dst", ((F.col("a") + F.col("b")) / 2).alias("mid"))
 
 
 def nearest_predicates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def nearest_predicates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     places = preds.groupBy("doc_id", "sent_idx", "token_idx").agg(F.min(F.struct("p", "word")).alias("item"))
     points = F.sort_array(F.collect_list(F.struct(F.col("token_idx").alias("at"), "item")))
     listed = places.groupBy("doc_id", "sent_idx").agg(points.alias("points")).select("doc_id", "sent_idx", cells(F.col("points")).alias("cells"))
-    joined = pairs.join(listed, ["doc_id", "sent_idx"], "left")
+    joined = pairs.join(shuffled(listed), ["doc_id", "sent_idx"], "left")
     return joined.withColumn("label", F.coalesce(nearest(F.col("cells"), F.col("mid"))["word"], F.lit("co-occurs"))).drop("cells")
 
 
@@ -194,7 +194,7 @@ def top_topics(tokens: DataFrame, k: int = TOP) -> DataFrame:
 def topic_sentences(tokens: DataFrame, topics: DataFrame) -> DataFrame:
     """(doc_id, word, rank, sent_idx): each sentence that has a topic's word."""
     where = with_word(tokens).filter(is_keyword()).select("doc_id", "word", "sent_idx").distinct()
-    return where.join(topics.select("doc_id", "word", "rank"), ["doc_id", "word"])
+    return where.join(shuffled(topics.select("doc_id", "word", "rank")), ["doc_id", "word"])
 
 
 class TopicPass:
@@ -203,15 +203,15 @@ class TopicPass:
     def run(self, graph: PropertyGraph) -> PropertyGraph:
         tokens = graph.nodes.filter("node_type = 'TOKEN'").withColumn("place", F.col("node_id"))
         topics = stored(top_topics(tokens), "topics")
-        placed = topics.join(graph.bases(), "doc_id").withColumn("topic", F.col("base") + F.col("rank") - 1)
+        placed = topics.join(shuffled(graph.bases()), "doc_id").withColumn("topic", F.col("base") + F.col("rank") - 1)
         if graph.known_ends() is None:
-            placed = placed.join(graph.nodes.groupBy("doc_id").agg(F.min("node_id").alias("root")), "doc_id")
+            placed = placed.join(shuffled(graph.nodes.groupBy("doc_id").agg(F.min("node_id").alias("root"))), "doc_id")
         else:  # of a graph that is numbered from its document on
             placed = placed.withColumn("root", F.lit(0).cast("long"))
         new = topics.select("doc_id", "rank", F.lit("TOPIC").alias("node_type"), F.col("word").alias("text"), "importance", F.lit(self.name).alias("source"))
         sents = graph.nodes.filter("node_type = 'SENTENCE'").select("doc_id", "sent_idx", F.col("node_id").alias("dst"))
         holds = placed.select("doc_id", F.col("root").alias("src"), F.col("topic").alias("dst"), F.lit("CONTAINS").alias("edge_type"), seq(TOPIC_STAGE, "rank", -1).alias("seq"))
-        about = topic_sentences(tokens, topics).join(placed.select("doc_id", "word", F.col("topic").alias("src")), ["doc_id", "word"]).join(sents, ["doc_id", "sent_idx"])
+        about = topic_sentences(tokens, topics).join(shuffled(placed.select("doc_id", "word", F.col("topic").alias("src"))), ["doc_id", "word"]).join(shuffled(sents), ["doc_id", "sent_idx"])
         about = about.select("doc_id", "src", "dst", F.lit("DISCOURSE").alias("edge_type"), extra(EDGE_EXTRA, topic_relevance=F.lit(True)).alias("extra"), seq(TOPIC_STAGE, "rank", "sent_idx").alias("seq"))
         return graph.with_nodes(new, place=F.col("rank") - 1).with_edges(holds).with_edges(about).marked(self.name)
 
