@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
-from loomgraph.operators.graph import PropertyGraph, dense, gathered
+from loomgraph.functions.storage import shuffled
+from loomgraph.operators.graph import PropertyGraph, dense
 from loomgraph.schema import Schema
 
 #: property name -> (column, value that stands for absent; no value: always written)
@@ -55,11 +56,13 @@ def graphson(graph: PropertyGraph, pretty: bool = False) -> DataFrame:
         typed = rows.groupBy("doc_id", kind).agg(F.collect_list("x").alias("xs"), F.count(F.lit(1)).alias("n"))
         return typed.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("xs"))).alias(name), F.map_from_entries(F.sort_array(F.collect_list(F.struct(kind, "n")))).alias(f"{kind}s"))
 
-    out = graph.meta.join(by_document(vertices, "node_type", "vs"), "doc_id", "left").join(by_document(links, "edge_type", "es"), "doc_id", "left")
+    # no more of a text is moved than is shown
+    meta = graph.meta.withColumn("source_text", F.substring("source_text", 1, SOURCE_CHARS))
+    out = meta.join(shuffled(by_document(vertices, "node_type", "vs")), "doc_id", "left").join(shuffled(by_document(links, "edge_type", "es")), "doc_id", "left")
     names = lambda xs: F.array(*[F.lit(x) for x in xs])
     document = F.struct(
         F.lit(True).alias("directed"), F.lit(lex.FORMAT_TYPE).alias("type"), F.lit(lex.FORMAT_LABEL).alias("label"), F.col("doc_id"),
-        F.struct(F.substring("source_text", 1, SOURCE_CHARS).alias("source_text"), "spacy_model", "has_parser", "passes_applied").alias("metadata"),
+        F.struct("source_text", "spacy_model", "has_parser", "passes_applied").alias("metadata"),
         F.struct(names(lex.NODE_TYPES).alias("node_types"), names(lex.EDGE_TYPES).alias("edge_types"), F.lit(len(lex.NODE_TYPES)).alias("num_node_types"), F.lit(len(lex.EDGE_TYPES)).alias("num_edge_types")).alias("schema"),
         F.struct(F.size("vs").alias("total_nodes"), F.coalesce(F.size("es"), F.lit(0)).alias("total_edges"), F.col("node_types"), F.col("edge_types"), "passes_applied").alias("stats"),
         F.col("vs.v").alias("vertices"), F.coalesce(F.col("es.e"), F.array()).alias("edges"),
@@ -67,12 +70,15 @@ def graphson(graph: PropertyGraph, pretty: bool = False) -> DataFrame:
     return out.select("doc_id", F.to_json(document, {"pretty": str(pretty).lower()}).alias("graphson"))
 
 
-def write_graphson(graph: PropertyGraph, path: str, pretty: bool = False) -> None:
-    """One JSON document per line below ``path``; if ``pretty`` one indented document per file, in a folder ``doc_id=...``."""
+def write_graphson(graph: PropertyGraph, path: str, pretty: bool = False, compression: str = "none") -> None:
+    """One JSON document per line below ``path``; if ``pretty`` one indented document per file, in a folder ``doc_id=...``.
+
+    ``compression``: as Spark's text files have it; ``gzip`` files take some twentieth of the disk and are read like plain ones.
+    """
     if pretty:
-        graphson(graph, True).write.mode("overwrite").partitionBy("doc_id").text(path)
+        graphson(graph, True).write.mode("overwrite").option("compression", compression).partitionBy("doc_id").text(path)
     else:
-        graphson(graph).select("graphson").write.mode("overwrite").text(path)
+        graphson(graph).select("graphson").write.mode("overwrite").option("compression", compression).text(path)
 
 
 # ---- tensors
@@ -90,10 +96,7 @@ def type_index(col: Column, names: list[str]) -> Column:
 
 def node_tensor(nodes: DataFrame, embedding_dim: int = 0) -> DataFrame:
     """(doc_id, idx, node_id, x, pos, text): dense index, one-hot type, place, text."""
-    return _tensor_columns(dense(nodes.select("doc_id", "node_id", "node_type", "para_idx", "sent_idx", "token_idx", "text"), ["node_id"], "idx"), embedding_dim)
-
-
-def _tensor_columns(held: DataFrame, embedding_dim: int) -> DataFrame:
+    held = dense(nodes.select("doc_id", "node_id", "node_type", "para_idx", "sent_idx", "token_idx", "text"), ["node_id"], "idx")
     return held.select("doc_id", "idx", "node_id", one_hot(type_index(F.col("node_type"), lex.NODE_TYPES), len(lex.NODE_TYPES), embedding_dim).alias("x"), F.array("para_idx", "sent_idx", "token_idx").alias("pos"), "text")
 
 
@@ -117,18 +120,20 @@ def placed(ids: Column, value: Column) -> Column:
 
 def tensors(graph: PropertyGraph, labels: DataFrame | None = None, embedding_dim: int = 0) -> DataFrame:
     """One row per document with x, edge_index, edge_type, edge_attr, y, counts, node_texts and node_pos."""
-    nodes = gathered(graph.node_table().repartition("doc_id"), "node_id", "idx")
+    nodes = graph.node_table().select("doc_id", "node_id", type_index(F.col("node_type"), lex.NODE_TYPES).alias("kind"), "text", F.array("para_idx", "sent_idx", "token_idx").alias("pos"))
     edges = graph.edge_table(gathered=True).select("doc_id", F.struct("edge_id", "src", "dst", type_index(F.col("edge_type"), lex.EDGE_TYPES).alias("edge_type")).alias("e"))
-    n = _tensor_columns(nodes, embedding_dim).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "node_id", "x", "text", "pos"))).alias("n"))
+    # the ids are gathered by themselves: as a field of the gathered nodes they would be listed anew for each edge that looks into them
+    n = nodes.repartition("doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "kind", "text", "pos"))).alias("n"), F.sort_array(F.collect_list("node_id")).alias("ids"))
     e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list("e")).alias("e"))
     ends = F.transform("e", lambda x: F.struct(x["edge_id"].alias("edge_id"), placed(F.col("ids"), x["src"]).alias("row"), placed(F.col("ids"), x["dst"]).alias("col"), x["edge_type"].alias("edge_type")))
     known = F.filter(ends, lambda x: (x["row"] >= 0) & (x["col"] >= 0))
-    attr = lambda x: F.struct(x["edge_id"].alias("edge_id"), x["row"].alias("row"), x["col"].alias("col"), x["edge_type"].alias("edge_type"), one_hot(x["edge_type"], len(lex.EDGE_TYPES)).alias("attr"))
-    out = n.join(e, "doc_id", "left").withColumn("ids", F.col("n.node_id")).withColumn("e", F.transform(known, attr))
-    out = out.join(labels.select("doc_id", "y"), "doc_id", "left") if labels is not None else out.withColumn("y", F.lit(None).cast("int"))
-    listed = lambda f, kind: F.coalesce(F.col(f"e.{f}"), F.expr(f"from_json('[]', 'array<{kind}>')"))
+    out = n.join(shuffled(e), "doc_id", "left").withColumn("e", known)
+    out = out.join(shuffled(labels.select("doc_id", "y")), "doc_id", "left") if labels is not None else out.withColumn("y", F.lit(None).cast("int"))
+    listed = lambda of, kind: F.coalesce(of, F.expr(f"from_json('[]', 'array<{kind}>')"))
+    attr = F.transform("e.edge_type", lambda k: one_hot(k, len(lex.EDGE_TYPES)))
     return out.select(
-        "doc_id", F.col("n.x").alias("x"), F.array(listed("row", "bigint"), listed("col", "bigint")).alias("edge_index"), listed("edge_type", "int").alias("edge_type"), listed("attr", "array<double>").alias("edge_attr"), "y",
+        "doc_id", F.transform("n.kind", lambda k: one_hot(k, len(lex.NODE_TYPES), embedding_dim)).alias("x"), F.array(listed(F.col("e.row"), "bigint"), listed(F.col("e.col"), "bigint")).alias("edge_index"),
+        listed(F.col("e.edge_type"), "int").alias("edge_type"), listed(attr, "array<double>").alias("edge_attr"), "y",
         F.size("n").alias("num_nodes"), F.coalesce(F.size("e"), F.lit(0)).alias("num_edges"), F.lit(len(lex.NODE_TYPES)).alias("num_node_types"), F.lit(len(lex.EDGE_TYPES)).alias("num_edge_types"),
         F.col("n.text").alias("node_texts"), F.col("n.pos").alias("node_pos"),
     )
