@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import lexicons as lex
 from loomgraph.functions import ranges
-from loomgraph.functions.storage import stored
+from loomgraph.functions.storage import shuffled, stored
 from loomgraph.functions.text import lookup, rstrip
 from loomgraph.operators.containment import containing
 from loomgraph.operators.graph import PropertyGraph, edge_rows, first_edges, seq
@@ -58,7 +58,7 @@ def describes(nodes: DataFrame) -> DataFrame:
     """(doc_id, src, dst, cpg_id, pattern): vulnerability types x aligned code elements; vertex 0 counts as none."""
     vulns = nodes.filter("node_type = 'ENTITY' and entity_type = 'VULN_TYPE'").select("doc_id", F.col("node_id").alias("src"), F.lower("text").alias("pattern"))
     code = nodes.filter("domain_type = 'code_construct' and coalesce(cpg_id, 0) <> 0").select("doc_id", F.col("node_id").alias("dst"), "cpg_id")
-    return vulns.join(code, "doc_id")
+    return vulns.join(shuffled(code), "doc_id")
 
 
 def maps_to(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
@@ -67,7 +67,7 @@ def maps_to(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
     vectors = nodes.filter("node_type = 'ENTITY' and entity_type = 'ATTACK_VECTOR'").select("doc_id", F.col("node_id").alias("src"), F.col("text").alias("vector"))
     code = nodes.filter("domain_type = 'code_construct' and coalesce(cpg_id, 0) <> 0").join(reached, "cpg_id", "left_semi").select("doc_id", F.col("node_id").alias("dst"), F.col("text").alias("element"))
     said = F.format_string(lex.FLOW_SENTENCE, "vector", "element")
-    return vectors.join(code, "doc_id").select("doc_id", "src", "dst", said.alias("description"))
+    return vectors.join(shuffled(code), "doc_id").select("doc_id", "src", "dst", said.alias("description"))
 
 
 def inferred_cwe(domain_type: Column) -> Column:
@@ -91,7 +91,7 @@ class CrossModalPass:
         code = entity & (F.col("domain_type") == "code_construct")
         found = alignments(graph.nodes.filter(code).select("doc_id", "node_id", "text"), self.cpg).drop("text")
         # only code elements meet their vertices; all other nodes stay where they are
-        aligned = stored(graph.nodes.filter(code).join(found, ["doc_id", "node_id"], "left"), "aligned")
+        aligned = stored(graph.nodes.filter(code).join(shuffled(found), ["doc_id", "node_id"], "left"), "aligned")
         nodes = graph.nodes.filter(~F.coalesce(code, F.lit(False))).unionByName(aligned, True)
         noted = extra(NODE_EXTRA, cpg_node_id=F.col("cpg_id"), cpg_label=F.col("cpg_label"), cpg_code=F.col("cpg_code"), cross_modal=F.lit("REFERS_TO"))
         out = graph.over(nodes.withColumn("extra", F.when(F.col("cpg_id").isNotNull(), noted).otherwise(F.col("extra"))).select(*NODE_COLUMNS))
@@ -122,6 +122,7 @@ def for_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     The code graph is cut into chunks of some ``CHUNK`` rows, which each document meets one by one.
     """
+    rows = stored(rows, "code-rows")  # counted and then met: made once, and what makes it is in no later plan
     chunks = max(1, -(-rows.count() // CHUNK))
     fields = rows.columns
     listed = rows.groupBy(F.pmod(F.xxhash64(*fields[:3]), F.lit(chunks)).cast("int").alias("__chunk")).agg(F.collect_list(F.struct(*fields)).alias("__rows"))
@@ -148,8 +149,8 @@ def references(nodes: DataFrame, cpg: CodeGraph) -> DataFrame:
     code = stored(nodes.filter("domain_type = 'code_construct'").select("doc_id", "node_id", needle(F.col("text")).alias("needle")), "code-elements")
     wanted = code.select("needle").distinct()
     vertices = cpg.vertices.select("cpg_id", "ord", F.lower("code").alias("text"))
-    hits = containing(wanted, vertices).join(vertices, "text").select("needle", "ord", "cpg_id")
-    return code.join(hits, "needle").select("doc_id", "node_id", "ord", "cpg_id")
+    hits = stored(containing(wanted, vertices).join(vertices, "text").select("needle", "ord", "cpg_id"), "hits")
+    return shuffled(code).join(hits, "needle").select("doc_id", "node_id", "ord", "cpg_id")
 
 
 # Each part of a merge can be made without the others. A code edge has both ends among the code's nodes and a reference one, so
@@ -164,7 +165,7 @@ def bases(graph: PropertyGraph) -> DataFrame:
 def merged_nodes(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
     """The documents' nodes, and all vertices for each document. Vertices are numbered once, not once a document."""
     rows = ranges.numbered(vertex_rows(cpg), [], ["ord"], "row")
-    docs = graph.meta.select("doc_id").distinct().join(bases(graph), "doc_id", "left")
+    docs = graph.meta.select("doc_id").distinct().join(shuffled(bases(graph)), "doc_id", "left")
     new = for_each(docs, rows).withColumn("node_id", (F.coalesce("base", F.lit(0)) + F.col("row")).cast("long"))
     return graph.nodes.select(*NODE_COLUMNS).unionByName(filled(new, NODE_FIELDS).select(*NODE_COLUMNS))
 
@@ -185,14 +186,14 @@ def code_edges(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
 
 def reference_edges(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
     """Edges from code elements to the code nodes that hold their text."""
-    refs = references(graph.nodes, cpg).join(last_places(cpg).withColumnRenamed("ord", "last"), "cpg_id").join(bases(graph), "doc_id")
+    refs = references(graph.nodes, cpg).join(last_places(cpg).withColumnRenamed("ord", "last"), "cpg_id").join(shuffled(bases(graph)), "doc_id")
     refs = refs.select("doc_id", F.col("node_id").alias("src"), (F.col("base") + F.col("last")).alias("dst"), F.lit("ENTITY_REL").alias("edge_type"), F.lit("CROSS_MODAL_REFERS_TO").alias("entity_rel_type"), extra(EDGE_EXTRA, cross_modal=F.lit(True)).alias("extra"), seq(ALIGN_STAGE, "node_id", "ord").alias("seq"))
     return first_edges(edge_rows(refs))
 
 
 def merged_meta(graph: PropertyGraph, cpg: CodeGraph) -> DataFrame:
     n_code = cpg.vertices.select("cpg_id").distinct().count()
-    meta = graph.meta.drop("text_nodes").join(bases(graph).withColumnRenamed("base", "text_nodes"), "doc_id", "left")
+    meta = graph.meta.drop("text_nodes").join(shuffled(bases(graph).withColumnRenamed("base", "text_nodes")), "doc_id", "left")
     return meta.withColumns({"source": F.lit(lex.MERGED_SOURCE), "code_nodes": F.lit(n_code).cast("long"), "passes_applied": F.array(F.lit(MERGE_PASS))}).select(*graph.meta.columns)
 
 
